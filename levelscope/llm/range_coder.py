@@ -5,13 +5,13 @@ block can be decoded alone. For every id the block's history gives three predict
 
 * order 2: the id that last followed the two ids before,
 * order 1: the id that last followed the id before,
-* order 0: adaptive bit probabilities along the id's two bytes.
+* order 0: adaptive frequencies of the id's four hexadecimal digits, each given those before.
 
 A first decision says whether the id is the one predicted by the longest known context;
 its probability is a logistic mix of adaptive probabilities for the order-2, order-1 and
-order-0 evidence, with weights learned as the block goes. If it isn't, sixteen order-0
-decisions spell the id. A carryless binary range coder with 64-bit bounds codes all of
-them. The arithmetic is in integers throughout, so every machine decodes alike.
+order-0 evidence, with weights learned as the block goes. If it isn't, four order-0 choices
+spell the id. A carryless range coder with 64-bit bounds codes all of them. Every value
+that the coder uses is an integer below 2^24 or exact, so every machine decodes alike.
 
 Blocks are coded many at a time, one numpy lane per block: step t handles id t of all.
 
@@ -33,6 +33,13 @@ MAX_ID = 0xFFFF
 #: Entries of the tables of contexts, a power of two.
 SLOTS = 4096
 
+#: Rows of digit frequencies: one for the first digit, 16 for the second and so on.
+_FIRST = (0, 1, 17, 273)
+_ROWS = 4369
+#: What a digit's frequency grows by, and the total from which a row's are halved.
+_GAIN, _FULL = (12, 16, 24, 24), 16_000
+_UPTO = np.triu(np.ones((16, 16), np.float32))
+
 _U = np.uint64
 _TOP, _LOW48, _SMALL, _ALL = _U(48), _U(0xFFFFFFFFFFFF), _U(1 << 40), _U(0xFFFFFFFFFFFFFFFF)
 _S16 = _U(16)
@@ -51,15 +58,15 @@ class _Lanes:
     """Models and coder bounds of ``n`` blocks; the longest block first."""
 
     def __init__(self, n: int):
-        self.after1 = np.zeros((n, SLOTS), np.uint32)  # id + 1 in the high bits, confidence 0..3 below
-        self.after2 = np.zeros((n, SLOTS), np.uint32)
-        self.high = np.full((n, 256), 1 << 15, np.uint16)  # probability of a set bit, 16 bits
-        self.low = np.full((n, 1 << 16), 1 << 15, np.uint16)
-        self.hit = np.full((n, 3, 8), 1 << 11, np.int32)  # 12 bits, by order and evidence
-        self.weight = np.full((n, 3), 22_000, np.int32)  # of 65536
+        self.after1 = np.zeros(n * SLOTS, np.uint32)  # id + 1 in the high bits, confidence 0..3 below
+        self.after2 = np.zeros(n * SLOTS, np.uint32)
+        self.digits = np.ones((n * _ROWS, 16), np.uint16)  # frequencies of a digit given those before
+        self.hit = np.full((3, n * 8), 1 << 11, np.int32)  # 12 bits, by order and evidence
+        self.weight = np.full((3, n), 22_000, np.int32)  # of 65536
         self.prev1 = np.zeros(n, np.uint32)
         self.prev2 = np.zeros(n, np.uint32)
         self.row = np.arange(n)
+        self.slot = self.row * SLOTS
 
     def evidence(self, m: int):
         """Slots, the predicted id + 1 and the hit probability for the first ``m`` lanes."""
@@ -67,8 +74,8 @@ class _Lanes:
         s1 = (p1 * np.uint32(0x9E3779B1)) >> np.uint32(20)
         s2 = ((p2 * np.uint32(0x85EBCA6B)) ^ (p1 * np.uint32(0xC2B2AE35)))
         s2 = (s2 ^ (s2 >> np.uint32(15))) * np.uint32(0x27D4EB2F) >> np.uint32(20)
-        row = self.row[:m]
-        e1, e2 = self.after1[row, s1], self.after2[row, s2]
+        s1, s2 = self.slot[:m] + s1, self.slot[:m] + s2
+        e1, e2 = self.after1[s1], self.after2[s2]
         g1, g2 = e1 >> np.uint32(2), e2 >> np.uint32(2)
         known2 = g2 > 0
         guess = np.where(known2, g2, g1)
@@ -76,27 +83,27 @@ class _Lanes:
         c2 = np.where(known2, (e2 & np.uint32(3)) + np.uint32(1), np.uint32(0))
         c1 = np.where(g1 > 0, same * np.uint32(4) + (e1 & np.uint32(3)), np.uint32(0))
         c0 = c2 + known2 * same * np.uint32(3)
-        at = (c2, c1, c0)
-        q = [self.hit[row, k, at[k]] for k in range(3)]
+        base = self.row[:m] * 8
+        at = (base + c2, base + c1, base + c0)
+        q = [self.hit[k][at[k]] for k in range(3)]
         s = [_STRETCH[x] for x in q]
-        w = self.weight[:m]
-        dot = (w[:, 0] * s[0] + w[:, 1] * s[1] + w[:, 2] * s[2]) >> 16
+        w = self.weight[:, :m]
+        dot = (w[0] * s[0] + w[1] * s[1] + w[2] * s[2]) >> 16
         mixed = _SQUASH[np.clip(dot + 2048, 0, 4095)]
         return s1, s2, e1, e2, guess, at, q, s, np.where(guess > 0, mixed, 1).astype(np.int32)
 
     def learn(self, m: int, ids: np.ndarray, ev, hit: np.ndarray) -> None:
         s1, s2, e1, e2, guess, at, q, s, mixed = ev
-        row = self.row[:m]
         goal = hit.astype(np.int32) * 4095
         err = (goal - mixed) * 6
-        w = self.weight[:m]
+        w = self.weight[:, :m]
         for k in range(3):
-            self.hit[row, k, at[k]] = q[k] + ((goal - q[k]) >> 4)
-            np.clip(w[:, k] + ((s[k] * err) >> 12), -200_000, 200_000, out=w[:, k])
+            self.hit[k][at[k]] = q[k] + ((goal - q[k]) >> 4)
+            np.clip(w[k] + ((s[k] * err) >> 12), -200_000, 200_000, out=w[k])
         new = ids + np.uint32(1)
         for table, slot, e in ((self.after1, s1, e1), (self.after2, s2, e2)):
             right = (e >> np.uint32(2)) == new
-            table[row, slot] = (new << np.uint32(2)) | np.where(right, np.minimum((e & np.uint32(3)) + np.uint32(1), np.uint32(3)), np.uint32(0))
+            table[slot] = (new << np.uint32(2)) | np.where(right, np.minimum((e & np.uint32(3)) + np.uint32(1), np.uint32(3)), np.uint32(0))
         self.prev2[:m] = self.prev1[:m]
         self.prev1[:m] = new
 
@@ -117,6 +124,17 @@ class _Coder:
         self.a, self.b = np.where(bit, self.a, mid + _U(1)), np.where(bit, mid, self.b)
         return bit
 
+    def pick(self, sums: np.ndarray, every: np.ndarray, digit: np.ndarray | None) -> np.ndarray:
+        """One choice a lane among 16 with the running ``sums`` of their frequencies."""
+        unit = (self.b - self.a) // sums[:, 15]
+        digit = self.digit(sums, unit, digit)
+        flat = sums.reshape(-1)
+        high = flat[every + digit]
+        low = np.where(digit > 0, flat[every + digit - 1], 0)
+        self.b = self.a + unit * high - _U(1)
+        self.a = self.a + unit * low
+        return digit
+
     def settle(self) -> None:
         """Shift out what is decided until every range is wide enough for two decisions."""
         a, b = self.a, self.b
@@ -145,6 +163,9 @@ class _Encoder(_Coder):
     def choose(self, mid, bit):
         return bit
 
+    def digit(self, sums, unit, digit):
+        return digit
+
     def shift(self, mask) -> None:
         rows = self.rows[mask]
         if self.at[rows].max() >= self.units.shape[1]:
@@ -170,6 +191,10 @@ class _Decoder(_Coder):
     def choose(self, mid, bit):
         return self.x[self.rows] <= mid
 
+    def digit(self, sums, unit, digit):
+        target = np.minimum((self.x[self.rows] - self.a) // unit, sums[:, 15] - 1)
+        return np.count_nonzero(sums <= target[:, None], axis=1)
+
     def shift(self, mask) -> None:
         rows = self.rows[mask]
         self.x[rows] = self.x[rows] << _S16 | self.units[rows, np.minimum(self.at[rows], self.units.shape[1] - 1)].astype(_U)
@@ -177,20 +202,24 @@ class _Decoder(_Coder):
 
 
 def _spell(lanes: _Lanes, coder: _Coder, rows: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-    """Sixteen order-0 decisions: the high byte, then the low byte given the high one."""
-    base, high = 0, None
-    for table, rate, top in ((lanes.high, 4, 8), (lanes.low, 3, 0)):
-        node = np.ones(len(rows), np.int64)
-        for k in range(8):
-            p = table[rows, base + node].astype(np.int32)
-            want = None if ids is None else (ids >> np.uint32(top + 7 - k) & np.uint32(1)).astype(bool)
-            bit = coder.decide(np.clip(p, 64, 65472), want)
-            table[rows, base + node] = p + ((bit * 65535 - p) >> rate)
-            node = node * 2 + bit
-            if k % 2:
-                coder.settle()
-        base, high, last = (node - 256) * 256, node if high is None else high, node
-    return ((high - 256) * 256 + last - 256).astype(np.uint32)
+    """Four order-0 choices, of a digit each."""
+    flat, prefix, every = lanes.digits.reshape(-1), np.zeros(len(rows), np.int64), np.arange(len(rows)) * 16
+    begin = rows * _ROWS
+    for k in range(4):
+        at = begin + _FIRST[k] + prefix
+        own = lanes.digits[at]
+        sums = (own.astype(np.float32) @ _UPTO).astype(np.uint32)  # exact: far below 2^24
+        want = None if ids is None else (ids >> np.uint32(12 - 4 * k) & np.uint32(15)).astype(np.int64)
+        digit = coder.pick(sums, every, want)
+        place = at * 16 + digit
+        flat[place] += np.uint16(_GAIN[k])
+        full = sums[:, 15] > _FULL
+        if full.any():
+            lanes.digits[at[full]] = (lanes.digits[at[full]] + np.uint16(1)) >> np.uint16(1)
+        prefix = prefix * 16 + digit
+        if k % 2:
+            coder.settle()
+    return prefix.astype(np.uint32)
 
 
 def _run(sizes: np.ndarray, coder: _Coder, ids: np.ndarray | None) -> np.ndarray:
