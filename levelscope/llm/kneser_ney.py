@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import MULTIPLIER, mix, new_path, word_hashes, written
 
 BEGIN, END = np.uint64(1), np.uint64(2)
-#: Tokens that a task counts or scores at once; bounds its memory.
-CHUNK = 2_000_000
+#: Characters that a task counts or scores at once (about a sixth of that in tokens); bounds its memory.
+COUNT_CHARS, SCORE_CHARS = 3_000_000, 2_000_000
 PARTS = "shard int, kind string, payload binary"
 #: Sums by word: predicted count, words before it, tokens after it, and words after it by count 1, 2, 3+.
 WORD_SUMS = ("count", "before", "total", "after1", "after2", "after3")
@@ -184,7 +184,7 @@ def count(docs: DataFrame, folder: str, shards: int) -> dict:
     """Count the texts of ``docs`` into arrays in ``folder``; returns what holds for all words."""
 
     def parts(batches):
-        for batch in _chunks(batches, 5 * CHUNK):
+        for batch in _chunks(batches, COUNT_CHARS):
             tokens, begins = _tokens(batch["text"])
             first = _contexts(tokens, begins)
             keys = _bigrams(first, tokens)
@@ -257,7 +257,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         d1, d2 = np.array([0.0, *model["d1"]]), np.array([0.0, *model["d2"]])
         ones, twos = model["n1"][:2]
         spare = (d1[1] * ones + d1[2] * twos + d1[3] * (v - ones - twos)) / types if v else 1.0
-        for batch in _chunks(batches, 5 * CHUNK):
+        for batch in _chunks(batches, SCORE_CHARS):
             tokens, begins = _tokens(batch["text"])
             first = _contexts(tokens, begins)
             words, back = np.unique(np.concatenate([tokens, first]), return_inverse=True)
