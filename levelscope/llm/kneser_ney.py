@@ -33,7 +33,11 @@ from .common import MULTIPLIER, mix, new_path, word_hashes, written
 
 BEGIN, END = np.uint64(1), np.uint64(2)
 #: Characters that a task counts or scores at once (about a sixth of that in tokens); bounds its memory.
-COUNT_CHARS, SCORE_CHARS = 3_000_000, 2_000_000
+COUNT_CHARS, SCORE_CHARS = 8_000_000, 2_000_000
+#: Shards for each shuffle partition; more make smaller groups.
+SHARDS_EACH = 2
+#: Arrays that a worker maps at once.
+MOST_OPEN = 400
 PARTS = "shard int, kind string, payload binary"
 #: Sums by word: predicted count, words before it, tokens after it, and words after it by count 1, 2, 3+.
 WORD_SUMS = ("count", "before", "total", "after1", "after2", "after3")
@@ -131,6 +135,8 @@ class _Arrays:
 
     def __getitem__(self, name: str) -> np.ndarray:
         if name not in self.open:
+            if len(self.open) >= MOST_OPEN:
+                self.open.clear()
             path = f"{self.path}/{name}.npy"
             if not self.local:
                 with self.store.open_input_stream(path) as source, tempfile.NamedTemporaryFile(suffix=".npy", delete=False) as copy:
@@ -142,9 +148,9 @@ class _Arrays:
                 os.unlink(path)  # the mapping holds the file
         return self.open[name]
 
-    def find(self, kind: str, n: int, keys: np.ndarray, columns: tuple[str, ...]) -> list[np.ndarray]:
-        """Each column's value for the sorted ``keys``, 0 where the array lacks the key."""
-        out = [np.zeros(len(keys), np.int64) for _ in columns]
+    def find(self, kind: str, n: int, keys: np.ndarray, columns: int) -> np.ndarray:
+        """A row of sums for each column for the sorted ``keys``, 0 where the key isn't stored."""
+        out = np.zeros((columns, len(keys)), np.int64)
         bounds = _shards(keys, n)
         for shard in range(n):
             low, high = bounds[shard], bounds[shard + 1]
@@ -156,8 +162,7 @@ class _Arrays:
             want = keys[low:high]
             at = np.minimum(np.searchsorted(stored, want), len(stored) - 1)
             known = stored[at] == want
-            for column, values in zip(columns, out, strict=True):
-                values[low:high] = np.where(known, self[f"{kind}-{shard}-{column}"][at], 0)
+            out[:, low:high] = np.where(known, self[f"{kind}-{shard}-sums"][:, at], 0)
         return out
 
 
@@ -197,8 +202,9 @@ def count(docs: DataFrame, folder: str, shards: int) -> dict:
             rows = []
             for s in range(shards):
                 a, b = bounds[s], bounds[s + 1]
-                if a < b:
-                    rows.append((s, "bigram", _pack(first[a:b], second[a:b], n[a:b])))
+                if a < b:  # by first word, so that the shuffle's compression finds runs
+                    near = a + np.argsort(first[a:b])
+                    rows.append((s, "bigram", _pack(first[near], second[near], n[near])))
             yield pd.DataFrame(rows, columns=["shard", "kind", "payload"])
 
     def bigrams(group: pd.DataFrame) -> pd.DataFrame:
@@ -210,24 +216,28 @@ def count(docs: DataFrame, folder: str, shards: int) -> dict:
         at = at[order][np.searchsorted(keys[order], unique)]
         first, second = first[at], second[at]
         _store(folder, f"bigram-{shard}-key", unique)
-        _store(folder, f"bigram-{shard}-count", n.astype(np.uint32) if not len(n) or n.max() < 1 << 32 else n)
-        zero = np.zeros(len(n), np.int64)
-        words = np.concatenate([second, first])
-        columns = [(n, zero), (zero + 1, zero), (zero, n), (zero, zero + (n == 1)), (zero, zero + (n == 2)), (zero, zero + (n > 2))]
-        words, *sums = _sums(words, *(np.concatenate(c) for c in columns))
-        bounds = _shards(words, shards)
-        rows = [(s, "word", _pack(words[a:b], *(x[a:b].astype(np.int64) for x in sums))) for s in range(shards) if (a := bounds[s]) < (b := bounds[s + 1])]
+        _store(folder, f"bigram-{shard}-sums", n[None].astype(np.uint32) if not len(n) or n.max() < 1 << 32 else n[None])
+        rows = []
+        for kind, by, columns in (("before", second, (n, np.ones_like(n))), ("after", first, (n, n == 1, n == 2, n > 2))):
+            word, *sums = _sums(by, *(c.astype(np.int64) for c in columns))
+            bounds = _shards(word, shards)
+            rows += [(s, kind, _pack(word[a:b], *(x[a:b] for x in sums))) for s in range(shards) if (a := bounds[s]) < (b := bounds[s + 1])]
         rows.append((shard, "counts", _pack(np.array([np.sum(n == k) for k in (1, 2, 3, 4)] + [len(n), n.sum(), 0], np.int64))))
         return pd.DataFrame(rows, columns=["shard", "kind", "payload"])
 
     def words(group: pd.DataFrame) -> pd.DataFrame:
         shard = int(group["shard"].iloc[0])
-        word, *sums = _unpack(group["payload"], (np.uint64,) + (np.int64,) * len(WORD_SUMS))
-        word, *sums = _sums(word, *sums)
+        found = []
+        for kind, width in (("before", 2), ("after", 4)):
+            word, *sums = _unpack(group.loc[group["kind"] == kind, "payload"], (np.uint64,) + (np.int64,) * width)
+            found.append(_sums(word, *sums))
+        word = np.union1d(found[0][0], found[1][0])
+        table = np.zeros((len(WORD_SUMS), len(word)), np.int64)
+        for at, (own, *sums) in zip((0, 2), found, strict=True):
+            table[at : at + len(sums), np.searchsorted(word, own)] = sums
         _store(folder, f"word-{shard}-key", word)
-        for name, values in zip(WORD_SUMS, sums, strict=True):
-            _store(folder, f"word-{shard}-{name}", values)
-        before = sums[1]
+        _store(folder, f"word-{shard}-sums", table)
+        before = table[1]
         return pd.DataFrame([(shard, "counts", _pack(np.array([np.sum(before == k) for k in (1, 2, 3, 4)] + [np.sum(before > 0), before.sum(), 0], np.int64)))], columns=["shard", "kind", "payload"])
 
     empty = np.zeros(0, np.uint64)
@@ -235,10 +245,10 @@ def count(docs: DataFrame, folder: str, shards: int) -> dict:
     every = spark.range(shards).select(F.col("id").cast("int").alias("shard"))
     # every shard has its arrays, be they empty
     none2 = every.select("shard", F.lit("bigram").alias("kind"), F.lit(_pack(empty, empty, empty.astype(np.uint32))).alias("payload"))
-    none1 = every.select("shard", F.lit("word").alias("kind"), F.lit(_pack(empty, *[empty.astype(np.int64)] * len(WORD_SUMS))).alias("payload"))
+    none1 = every.select("shard", F.lit("none").alias("kind"), F.lit(b"").alias("payload"))
     counted = docs.select("text").mapInPandas(parts, PARTS).unionByName(none2)
     second = written(counted.groupBy("shard").applyInPandas(bigrams, PARTS), "bigrams")
-    third = written(second.where("kind = 'word'").unionByName(none1).groupBy("shard").applyInPandas(words, PARTS), "words")
+    third = written(second.where("kind <> 'counts'").unionByName(none1).groupBy("shard").applyInPandas(words, PARTS), "words")
 
     def totals(df: DataFrame) -> list[int]:
         rows = df.where("kind = 'counts'").select("payload").collect()  # 64 bytes a shard
@@ -262,10 +272,10 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             first = _contexts(tokens, begins)
             words, back = np.unique(np.concatenate([tokens, first]), return_inverse=True)
             own, context = back[: len(tokens)], back[len(tokens) :]
-            c, before, after, a1, a2, a3 = arrays.find("word", n, words, WORD_SUMS)
+            c, before, after, a1, a2, a3 = arrays.find("word", n, words, len(WORD_SUMS))
             low = np.maximum(before - d1[np.minimum(before, 3)], 0) / types + spare / (v + 1)
             pairs, where = np.unique(_bigrams(first, tokens), return_inverse=True)
-            (c2,) = arrays.find("bigram", n, pairs, ("count",))
+            (c2,) = arrays.find("bigram", n, pairs, 1)
             c2 = c2[where]
             left = np.where(after > 0, (d2[1] * a1 + d2[2] * a2 + d2[3] * a3) / np.maximum(after, 1), 1.0)
             p = np.maximum(c2 - d2[np.minimum(c2, 3)], 0) / np.maximum(after[context], 1) + left[context] * low[own]
@@ -282,6 +292,6 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def train(docs: DataFrame) -> dict:
-    """A model of the texts of ``docs`` in a new folder; as many shards as shuffle partitions."""
+    """A model of the texts of ``docs`` in a new folder; its shards follow the shuffle partitions."""
     spark = docs.sparkSession
-    return count(docs, new_path(spark, "kneser-ney"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return count(docs, new_path(spark, "kneser-ney"), SHARDS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions")))
