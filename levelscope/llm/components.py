@@ -34,6 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     rounds grow with the logarithm of the number of nodes.
     """
     edges = written(edges.select("u", "v").where("u <> v").distinct(), "edges")
+    if edges.isEmpty():
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     before = None
     while True:
         edges = written(small_star(large_star(edges)), "edges")
@@ -42,4 +44,4 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = now
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    return written(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()), "components")

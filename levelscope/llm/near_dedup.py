@@ -7,10 +7,11 @@ bijective integer mixers, so no table is kept.
 
 Documents with the same shingle set are one class, compared through its representative.
 Classes that share a band are candidates. Within a bucket each class is first compared with
-the bucket's least one, on the full sets; linked classes become components. Only where a
-bucket still holds classes of different components, these are compared across components,
-so a large group of copies costs one comparison a class and not one a pair, and no link
-between different components is left out.
+the bucket's least one, on the full sets, and then with others of it, a different one in
+each bucket; linked classes become components. A large group of copies so costs a few
+comparisons a class and not one a pair. Where a bucket still holds classes of different
+components, an exact prefix filter over their shingles finds those that can be linked yet,
+and all of these are compared: no link between different components is left out.
 
 Nulls and ties: a null or wordless text has no shingles and is linked with nothing. Rows
 that repeat a doc_id count as one document with all their links. A null doc_id is returned
@@ -23,7 +24,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import MULTIPLIER, mix, word_hashes, written
@@ -33,8 +34,8 @@ BANDS, ROWS = 32, 5
 #: Rows of 40 bytes that may be broadcast: some 10 MB.
 BROADCAST_ROWS = 200_000
 SIGNED = "doc_id long, text_hash long, n_shingles long, class binary, bands array<long>"
-#: Times that a bucket's unlinked classes are compared with one of them before all are.
-STAR_ROUNDS = 2
+#: Times that a bucket's unlinked classes are compared with one of them.
+STAR_ROUNDS = 3
 
 
 
@@ -133,10 +134,28 @@ def star_pairs(entries: DataFrame) -> DataFrame:
     return far.select(F.col("centre.class").alias("a"), F.col("class").alias("b"), F.col("centre.id").alias("u"), F.col("id").alias("v"), F.col("centre.n").alias("n_a"), F.col("n").alias("n_b"))
 
 
-def cross_pairs(entries: DataFrame) -> DataFrame:
-    """The classes of a bucket that belong to different components, in pairs."""
-    x, y = entries.alias("x"), entries.alias("y")
-    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")))
+def prefix_pairs(entries: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Classes of different components that can be linked at all, by their rarest shingles.
+
+    A set that reaches the threshold with another shares all but n - ceil(n * percent / 100)
+    of its n shingles; so one of its rarest shingles, one more than that, is among the
+    rarest of the other too. A class whose changes made enough shingles that nobody has
+    meets no one, however large its bucket is.
+    """
+    classes = entries.select("class", "id", "label", "n").distinct().join(texts, "class")
+
+    def spread(batches):
+        for batch in batches:
+            sets = [shingles(t, size).view(np.int64) for t in batch["text"]]
+            yield batch.drop(columns="text").assign(shingle=sets).explode("shingle", ignore_index=True).astype({"shingle": "int64"})
+
+    rows = written(classes.select("class", "id", "label", "n", "text").mapInPandas(spread, "class binary, id long, label long, n long, shingle long"), "spread")
+    common = rows.groupBy("shingle").agg(F.count("*").alias("f"), F.min("label").alias("low"), F.max("label").alias("high"))
+    rank = F.row_number().over(Window.partitionBy("class").orderBy("f", "shingle"))
+    rare = rows.join(common, "shingle").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("low < high")
+    rare = written(rare.select("class", "id", "label", "n", "shingle"), "rare")
+    x, y = rare.alias("x"), rare.alias("y")
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") < F.col("y.label")))
     return pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.col("x.id").alias("u"), F.col("y.id").alias("v"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
 
 
@@ -163,21 +182,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     ids = known.select("doc_id", "class").distinct().join(classes.select("class", "id"), "class")
     links = written(ids.where("doc_id <> id").join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("u"), F.col("id").alias("v")), "links")
 
-    label, tried, open_ = written(components(links), "components"), [], shared
+    label, tried, open_ = components(links), [], shared
     for turn in range(STAR_ROUNDS + 1):
-        pairs = star_pairs(open_) if turn < STAR_ROUNDS else cross_pairs(open_)
+        pairs = star_pairs(open_) if turn < STAR_ROUNDS else prefix_pairs(open_, texts, size, percent)
         pairs = similar_size(pairs, percent).select("a", "b", "u", "v").distinct()
         for before in tried:
             pairs = pairs.join(before.select("a", "b"), ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         if pairs.isEmpty():
+            if turn < STAR_ROUNDS:
+                continue
             break
         tried.append(pairs)
         links = written(links.unionByName(verified(pairs, texts, size, percent).select("u", "v")), "links")
-        label = written(components(links), "components")
+        label = components(links)
         named = shared.drop("label", "centre").join(label, shared["id"] == label["node"], "left").withColumn("label", F.coalesce("component", "id")).drop("node", "component")
-        # buckets of several components stay open; the next centre is one outside the least
-        mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(_centre()).alias("centre")).where("low <> high")
+        # buckets of several components stay open, each with a centre of its own for the next turn
+        any_ = F.max_by(_centre(), F.xxhash64("bucket", "id", F.lit(turn))).alias("centre")
+        mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), any_).where("low <> high")
         open_ = written(named.join(mixed.select("bucket", "centre"), "bucket"), "open")
     member = known.select("doc_id", "class").distinct().join(classes.select("class", "id"), "class").groupBy("doc_id").agg(F.min("id").alias("id"))
     final = member.join(label, member["id"] == label["node"], "left").select("doc_id", F.coalesce("component", "id").alias("component_id"))
