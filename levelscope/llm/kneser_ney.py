@@ -1,7 +1,7 @@
 """Interpolated modified Kneser-Ney bigram model: counted by Spark, mapped into memory to score.
 
 Tokens are words (white space, A-Z lowered) and one end a text; the first word's context is
-the text's beginning. A token is its 64-bit hash, a bigram the mixed hash of its two tokens.
+the text's beginning. A token is its 48-bit hash, a bigram the mixed hash of its two tokens.
 
 Counting: tasks count the bigrams of some millions of tokens at a time and send each
 shard, a range of bigram hashes, its sorted part. A shard adds its parts up and stores two
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import MULTIPLIER, mix, new_path, word_hashes, written
 
 BEGIN, END = np.uint64(1), np.uint64(2)
+#: Words keep the upper 48 bits of their hashes; what is sent is that much smaller.
+TOKEN_BITS = np.uint64(0xFFFFFFFFFFFF0000)
 #: Characters that a task counts or scores at once (about a sixth of that in tokens); bounds its memory.
 COUNT_CHARS, SCORE_CHARS = 8_000_000, 2_000_000
 #: Shards for each shuffle partition; more make smaller groups.
@@ -62,8 +64,12 @@ def _sums(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length; values of 32 bits where they fit."""
-    return b"".join([len(arrays[0]).to_bytes(8, "little"), *(a.tobytes() for a in arrays)])
+    """Arrays of one length, byte by byte: all first bytes, then all second ones and so on.
+
+    Bytes that hardly differ then lie together, and the shuffle's compression removes them.
+    """
+    n = len(arrays[0])
+    return b"".join([n.to_bytes(8, "little"), *(np.ascontiguousarray(a).view(np.uint8).reshape(n, -1).T.tobytes() if n else b"" for a in arrays)])
 
 
 def _unpack(payloads, kinds: tuple) -> list[np.ndarray]:
@@ -71,8 +77,9 @@ def _unpack(payloads, kinds: tuple) -> list[np.ndarray]:
     for x in payloads:
         n, at = int.from_bytes(x[:8], "little"), 8
         for column, kind in zip(columns, kinds, strict=True):
-            column.append(np.frombuffer(x, kind, n, at))
-            at += n * np.dtype(kind).itemsize
+            size = np.dtype(kind).itemsize
+            column.append(np.frombuffer(x, np.uint8, n * size, at).reshape(size, n).T.copy().view(kind).reshape(n))
+            at += n * size
     return [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(columns, kinds, strict=True)]
 
 
@@ -81,7 +88,7 @@ def _tokens(texts) -> tuple[np.ndarray, np.ndarray]:
     parts, begins, at = [], [], 0
     for text in texts:
         h = word_hashes(text)
-        h[h <= END] = np.uint64(3)
+        h &= TOKEN_BITS
         parts += [h, [END]]
         begins.append(at)
         at += len(h) + 1
@@ -187,6 +194,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 def count(docs: DataFrame, folder: str, shards: int) -> dict:
     """Count the texts of ``docs`` into arrays in ``folder``; returns what holds for all words."""
+    word_shards = max(1, shards // 4)  # words are far fewer than bigrams
 
     def parts(batches):
         for batch in _chunks(batches, COUNT_CHARS):
@@ -216,12 +224,12 @@ def count(docs: DataFrame, folder: str, shards: int) -> dict:
         at = at[order][np.searchsorted(keys[order], unique)]
         first, second = first[at], second[at]
         _store(folder, f"bigram-{shard}-key", unique)
-        _store(folder, f"bigram-{shard}-sums", n[None].astype(np.uint32) if not len(n) or n.max() < 1 << 32 else n[None])
+        _store(folder, f"bigram-{shard}-sums", n[None].astype(np.min_scalar_type(n.max() if len(n) else 0)))
         rows = []
         for kind, by, columns in (("before", second, (n, np.ones_like(n))), ("after", first, (n, n == 1, n == 2, n > 2))):
             word, *sums = _sums(by, *(c.astype(np.int64) for c in columns))
-            bounds = _shards(word, shards)
-            rows += [(s, kind, _pack(word[a:b], *(x[a:b] for x in sums))) for s in range(shards) if (a := bounds[s]) < (b := bounds[s + 1])]
+            bounds = _shards(word, word_shards)
+            rows += [(s, kind, _pack(word[a:b], *(x[a:b] for x in sums))) for s in range(word_shards) if (a := bounds[s]) < (b := bounds[s + 1])]
         rows.append((shard, "counts", _pack(np.array([np.sum(n == k) for k in (1, 2, 3, 4)] + [len(n), n.sum(), 0], np.int64))))
         return pd.DataFrame(rows, columns=["shard", "kind", "payload"])
 
@@ -245,17 +253,17 @@ def count(docs: DataFrame, folder: str, shards: int) -> dict:
     every = spark.range(shards).select(F.col("id").cast("int").alias("shard"))
     # every shard has its arrays, be they empty
     none2 = every.select("shard", F.lit("bigram").alias("kind"), F.lit(_pack(empty, empty, empty.astype(np.uint32))).alias("payload"))
-    none1 = every.select("shard", F.lit("none").alias("kind"), F.lit(b"").alias("payload"))
+    none1 = every.where(F.col("shard") < word_shards).select("shard", F.lit("none").alias("kind"), F.lit(b"").alias("payload"))
     counted = docs.select("text").mapInPandas(parts, PARTS).unionByName(none2)
     second = written(counted.groupBy("shard").applyInPandas(bigrams, PARTS), "bigrams")
     third = written(second.where("kind <> 'counts'").unionByName(none1).groupBy("shard").applyInPandas(words, PARTS), "words")
 
     def totals(df: DataFrame) -> list[int]:
         rows = df.where("kind = 'counts'").select("payload").collect()  # 64 bytes a shard
-        return np.sum([np.frombuffer(r["payload"], np.int64, 7, 8) for r in rows], axis=0).tolist()
+        return np.sum([_unpack([r["payload"]], (np.int64,))[0] for r in rows], axis=0).tolist()
 
     two, one = totals(second), totals(third)
-    return {"folder": folder, "shards": shards, "d2": discounts(*two[:4]), "d1": discounts(*one[:4]), "types": two[4], "tokens": two[5], "vocabulary": one[4], "n1": one[:4]}
+    return {"folder": folder, "shards": shards, "word_shards": word_shards, "d2": discounts(*two[:4]), "d1": discounts(*one[:4]), "types": two[4], "tokens": two[5], "vocabulary": one[4], "n1": one[:4]}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -272,7 +280,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             first = _contexts(tokens, begins)
             words, back = np.unique(np.concatenate([tokens, first]), return_inverse=True)
             own, context = back[: len(tokens)], back[len(tokens) :]
-            c, before, after, a1, a2, a3 = arrays.find("word", n, words, len(WORD_SUMS))
+            c, before, after, a1, a2, a3 = arrays.find("word", model["word_shards"], words, len(WORD_SUMS))
             low = np.maximum(before - d1[np.minimum(before, 3)], 0) / types + spare / (v + 1)
             pairs, where = np.unique(_bigrams(first, tokens), return_inverse=True)
             (c2,) = arrays.find("bigram", n, pairs, 1)
