@@ -25,7 +25,8 @@ def _rows(lo: int, hi: int) -> Window:
     return Window.partitionBy(*KEY).orderBy("ts_ms").rowsBetween(lo, hi)
 
 
-_ORDER = Window.partitionBy(*KEY).orderBy("ts_ms")
+def _order() -> Window:
+    return Window.partitionBy(*KEY).orderBy("ts_ms")
 
 
 def tick_of(ts: Column) -> Column:
@@ -41,7 +42,7 @@ def session_extent(trades: DataFrame, quotes: DataFrame) -> DataFrame:
 def tick_grid(extent: DataFrame) -> DataFrame:
     """Every tick end from the session's first tick to its last, gaps included."""
     first, last = tick_of(F.col("start_ts_ms")), tick_of(F.col("end_ts_ms"))
-    return extent.select(*KEY, F.explode(F.sequence(first, last, F.lit(TICK_MS))).alias("ts_ms")).withColumn("sequence_id", F.row_number().over(_ORDER) - 1)
+    return extent.select(*KEY, F.explode(F.sequence(first, last, F.lit(TICK_MS))).alias("ts_ms")).withColumn("sequence_id", F.row_number().over(_order()) - 1)
 
 
 def tick_quote(grid: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -104,13 +105,13 @@ def aggr_z(ticks: DataFrame) -> DataFrame:
 
 
 def delta_deriv(ticks: DataFrame) -> DataFrame:
-    one = ticks.withColumn("delta_velocity", F.coalesce(F.col("delta") - F.lag("delta").over(_ORDER), F.lit(0.0)))
-    return one.withColumn("delta_acceleration", F.coalesce(F.col("delta_velocity") - F.lag("delta_velocity").over(_ORDER), F.lit(0.0)))
+    one = ticks.withColumn("delta_velocity", F.coalesce(F.col("delta") - F.lag("delta").over(_order()), F.lit(0.0)))
+    return one.withColumn("delta_acceleration", F.coalesce(F.col("delta_velocity") - F.lag("delta_velocity").over(_order()), F.lit(0.0)))
 
 
 def absorption(ticks: DataFrame) -> DataFrame:
     """Selling that didn't move the price; without a price before, the move is 0."""
-    move = F.coalesce(F.col("last_price") - F.lag("last_price").over(_ORDER), F.lit(0.0))
+    move = F.coalesce(F.col("last_price") - F.lag("last_price").over(_order()), F.lit(0.0))
     return ticks.withColumn("absorption_index", F.greatest(F.lit(0.0), -F.col("delta")) / (F.abs(move) + EPS))
 
 
@@ -126,7 +127,7 @@ def trade_size(sided: DataFrame) -> DataFrame:
 
 def realized_vol(ticks: DataFrame) -> DataFrame:
     """Deviation of the log returns between the positive prices of the last 60 s."""
-    step = F.ln(F.col("last_price") / F.lag("last_price").over(_ORDER))
+    step = F.ln(F.col("last_price") / F.lag("last_price").over(_order()))
     return ticks.withColumn("_r", step).withColumn("realized_vol_60s", F.coalesce(F.stddev_pop("_r").over(_over(-50_000, 0)), F.lit(0.0))).drop("_r")
 
 

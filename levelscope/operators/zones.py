@@ -10,7 +10,10 @@ from ..schemas import KEY
 
 LEVEL = [*KEY, "level_id"]
 SUCCESS_ATR, FAILURE_ATR, TIMEOUT_MS, BASELINE_MS = 0.50, 0.35, 300_000, 300_000
-_ORDER = Window.partitionBy(*LEVEL).orderBy("ts_ms")
+
+
+def _order() -> Window:
+    return Window.partitionBy(*LEVEL).orderBy("ts_ms")
 
 
 def active_levels(static: DataFrame, added: DataFrame | None = None) -> DataFrame:
@@ -36,13 +39,13 @@ def zone_distance(ticks: DataFrame, levels: DataFrame) -> DataFrame:
 
 def zone_events(zone: DataFrame) -> DataFrame:
     """``event`` enter or exit, the side of the last entry, and touches confirmed so far."""
-    one = F.lag("in_zone", 1, False).over(_ORDER)
-    two = F.lag("in_zone", 2, False).over(_ORDER)
+    one = F.lag("in_zone", 1, False).over(_order())
+    two = F.lag("in_zone", 2, False).over(_order())
     event = F.when(F.col("in_zone") & ~one, "enter").when(~F.col("in_zone") & one, "exit")
     left = F.when(two & ~one & ~F.col("in_zone"), 1).otherwise(0)
     with_event = zone.withColumn("event", event).withColumn("_touch", left)
     side = F.when(F.col("event") == "enter", F.when(F.col("signed_distance") >= 0, "above").otherwise("below"))
-    so_far = _ORDER.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = _order().rowsBetween(Window.unboundedPreceding, 0)
     return with_event.withColumn("entry_side", F.last(side, ignorenulls=True).over(so_far)).withColumn("touch_count", F.sum("_touch").over(so_far)).drop("_touch")
 
 
@@ -59,7 +62,7 @@ def outcome(trigger: Column) -> Column:
 
 def episodes(events: DataFrame, bias: str = "long") -> DataFrame:
     """An episode for each zone visit that is resolved before the next one, with its metrics."""
-    so_far = _ORDER.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = _order().rowsBetween(Window.unboundedPreceding, 0)
     seg = events.withColumn("seg", F.sum(F.when(F.col("event") == "enter", 1).otherwise(0)).over(so_far)).where("seg > 0")
     part = Window.partitionBy(*LEVEL, "seg").orderBy("ts_ms").rowsBetween(Window.unboundedPreceding, 0)
     one = seg.withColumn("zone_entry_time", F.min("ts_ms").over(part)).withColumn("zone_exit_time", F.min(F.when(F.col("event") == "exit", F.col("ts_ms"))).over(part)).withColumn("entry_atr", F.first("atr").over(part))

@@ -99,7 +99,7 @@ def _preview(t: Tape) -> DataFrame:
 
 
 def _absorption(t: Tape) -> DataFrame:
-    move = F.round(F.abs(F.coalesce(F.col("last_price") - F.lag("last_price").over(K._ORDER), F.lit(0.0))), 4)
+    move = F.round(F.abs(F.coalesce(F.col("last_price") - F.lag("last_price").over(K._order()), F.lit(0.0))), 4)
     ticks = t.state.join(t.flow, K.TICK)
     return ticks.select(*K.TICK, F.round(F.ln(1 + F.greatest(F.lit(0.0), -F.col("delta")) / (move + X.EPS)), 4).alias("absorption"))
 
