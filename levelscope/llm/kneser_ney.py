@@ -35,7 +35,7 @@ BEGIN, END = np.uint64(1), np.uint64(2)
 #: Words keep the upper 48 bits of their hashes; what is sent is that much smaller.
 TOKEN_BITS = np.uint64(0xFFFFFFFFFFFF0000)
 #: Characters that a task counts or scores at once (about a sixth of that in tokens); bounds its memory.
-COUNT_CHARS, SCORE_CHARS = 8_000_000, 2_000_000
+COUNT_CHARS, SCORE_CHARS = 4_000_000, 2_000_000
 #: Shards for each shuffle partition; more make smaller groups.
 SHARDS_EACH = 2
 #: Arrays that a worker maps at once.
@@ -60,7 +60,7 @@ def _sums(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[begins], *(np.add.reduceat(c[order], begins) if len(begins) else c[:0] for c in columns)
+    return keys[begins], *(np.add.reduceat(c[order], begins, dtype=np.int64) if len(begins) else c[:0].astype(np.int64) for c in columns)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -72,6 +72,13 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return b"".join([n.to_bytes(8, "little"), *(np.ascontiguousarray(a).view(np.uint8).reshape(n, -1).T.tobytes() if n else b"" for a in arrays)])
 
 
+def _small(counts: np.ndarray) -> np.ndarray:
+    """Counts of one shard as 32 bits."""
+    if len(counts) and counts.max() >= 1 << 32:
+        raise OverflowError("a shard has too many tokens; raise spark.sql.shuffle.partitions")
+    return counts.astype(np.uint32)
+
+
 def _unpack(payloads, kinds: tuple) -> list[np.ndarray]:
     columns: list[list] = [[] for _ in kinds]
     for x in payloads:
@@ -194,7 +201,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 def count(docs: DataFrame, folder: str, shards: int) -> dict:
     """Count the texts of ``docs`` into arrays in ``folder``; returns what holds for all words."""
-    word_shards = max(1, shards // 4)  # words are far fewer than bigrams
+    word_shards = max(1, shards // 2)  # words are far fewer than bigrams
 
     def parts(batches):
         for batch in _chunks(batches, COUNT_CHARS):
@@ -227,9 +234,9 @@ def count(docs: DataFrame, folder: str, shards: int) -> dict:
         _store(folder, f"bigram-{shard}-sums", n[None].astype(np.min_scalar_type(n.max() if len(n) else 0)))
         rows = []
         for kind, by, columns in (("before", second, (n, np.ones_like(n))), ("after", first, (n, n == 1, n == 2, n > 2))):
-            word, *sums = _sums(by, *(c.astype(np.int64) for c in columns))
+            word, *sums = _sums(by, *columns)
             bounds = _shards(word, word_shards)
-            rows += [(s, kind, _pack(word[a:b], *(x[a:b] for x in sums))) for s in range(word_shards) if (a := bounds[s]) < (b := bounds[s + 1])]
+            rows += [(s, kind, _pack(word[a:b], *(_small(x[a:b]) for x in sums))) for s in range(word_shards) if (a := bounds[s]) < (b := bounds[s + 1])]
         rows.append((shard, "counts", _pack(np.array([np.sum(n == k) for k in (1, 2, 3, 4)] + [len(n), n.sum(), 0], np.int64))))
         return pd.DataFrame(rows, columns=["shard", "kind", "payload"])
 
@@ -237,7 +244,7 @@ def count(docs: DataFrame, folder: str, shards: int) -> dict:
         shard = int(group["shard"].iloc[0])
         found = []
         for kind, width in (("before", 2), ("after", 4)):
-            word, *sums = _unpack(group.loc[group["kind"] == kind, "payload"], (np.uint64,) + (np.int64,) * width)
+            word, *sums = _unpack(group.loc[group["kind"] == kind, "payload"], (np.uint64,) + (np.uint32,) * width)
             found.append(_sums(word, *sums))
         word = np.union1d(found[0][0], found[1][0])
         table = np.zeros((len(WORD_SUMS), len(word)), np.int64)
