@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import normal_conditions
@@ -46,10 +46,6 @@ def vendor_a(messages: DataFrame, symbol: str | None = None) -> tuple[DataFrame,
     return trades, quotes
 
 
-def _to_ms(ts: Column) -> Column:
-    return F.when(ts >= 10**15, (ts - F.pmod(ts, F.lit(10**6))) / 10**6).otherwise(ts).cast("long")
-
-
 def vendor_b(rows: DataFrame, symbol: str, kind: str = "trade") -> tuple[DataFrame, DataFrame]:
     """Rows of the second vendor in the tape's schema, and those that lack a field.
 
@@ -60,7 +56,8 @@ def vendor_b(rows: DataFrame, symbol: str, kind: str = "trade") -> tuple[DataFra
         return F.coalesce(*there) if there else F.lit(None)
 
     ts = first("sip_timestamp", "participant_timestamp", "timestamp", "t").cast("long")
-    base = rows.withColumn("ts_ms", _to_ms(ts)).withColumn("symbol", F.lit(symbol))
+    exact = F.expr(f"IF(_ts >= {10**15}, _ts div 1000000, _ts)")
+    base = rows.withColumn("_ts", ts).withColumn("ts_ms", exact).withColumn("symbol", F.lit(symbol))
     if kind == "trade":
         out = {"price": ("price", "p"), "size": ("size", "s")}
     else:
