@@ -13,8 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the text contracts: space and the five ASCII controls from tab on.
-SPACES = " \t\n\x0b\x0c\r"
+#: A word of the text contracts: all but the space and the five ASCII controls from tab on.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Distinct words whose ids a worker keeps at once.
 CACHED_WORDS = 700_000
