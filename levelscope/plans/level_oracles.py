@@ -44,9 +44,28 @@ CTES |= {
   FROM eps e JOIN zev z ON z.symbol = e.symbol AND z.session_id = e.session_id AND z.level_id = e.level_id AND z.ts_ms BETWEEN e.entry - 300000 AND e.res JOIN (SELECT *, buy_volume - sell_volume AS delta FROM flow) f ON f.symbol = z.symbol AND f.session_id = z.session_id AND f.ts_ms = z.ts_ms""",
     "mk": """SELECT 'm' || seq AS marker_id, symbol, session_id, ts_ms, ['consolidation', 'support_bounce', 'breakdown', 'downtrend_break'][CAST((seq // 50) % 4 + 1 AS INT)] AS marker_type FROM tape WHERE event_type = 'signup' AND seq % 50 = 0""",
 }
+CTES |= {
+    "tpx": """SELECT *, CASE WHEN lb30 + ls30 > 0 THEN lb30 / (lb30 + ls30) END AS ratio, n30 >= 5 AND CASE WHEN lb30 + ls30 > 0 THEN lb30 / (lb30 + ls30) END > 0.6 AS ib, n30 >= 5 AND CASE WHEN lb30 + ls30 > 0 THEN lb30 / (lb30 + ls30) END < 0.4 AS isell,
+  CASE WHEN NOT conf THEN 'hold' WHEN again AND nheld THEN 'break_reclaim_hold' WHEN again THEN 'break_reclaim_fail' ELSE 'break' END AS outcome, sign(ad) * sign(d30) < 0 AS flip FROM tp""",
+    "pts": """SELECT *, greatest(-20, least(20, CAST(round_even(greatest(-6.0, least(6.0, asinh(d30 / 50000.0) * 4)), 0) AS INT)
+  + CASE WHEN a30 >= 0.2 THEN 3 WHEN a30 <= -0.2 THEN -3 WHEN a30 >= 0.05 THEN 1 WHEN a30 <= -0.05 THEN -1 ELSE 0 END
+  + CASE WHEN b30 >= 0.02 THEN 6 WHEN b30 >= 0.01 THEN 3 WHEN b30 >= 0.005 THEN 1 WHEN b30 <= -0.01 THEN -6 WHEN b30 <= -0.005 THEN -2 ELSE 0 END
+  + CASE WHEN ratio >= 0.55 THEN 3 + CASE WHEN a30 > 0 THEN 4 ELSE 0 END ELSE 0 END + CASE WHEN ld30 >= 20000 THEN 3 WHEN ld30 <= -20000 THEN -4 ELSE 0 END + CASE WHEN n30 >= 50 THEN 3 WHEN n30 >= 20 THEN 2 ELSE 0 END
+  + CASE WHEN ib THEN 4 ELSE 0 END + CASE WHEN isell THEN -6 ELSE 0 END + CASE WHEN isell AND b30 > 0 THEN 8 WHEN isell AND b30 < 0 THEN -3 ELSE 0 END + CASE WHEN conf AND again AND nheld THEN -2 WHEN conf THEN -8 ELSE 0 END
+  + CASE WHEN ci >= 1 THEN 3 WHEN ci >= 0.8 THEN 2 WHEN ci < 0.5 THEN -1 ELSE 0 END + CASE WHEN ci - ci0 > 0.05 THEN 1 WHEN ci - ci0 < -0.05 THEN -1 ELSE 0 END
+  + CASE WHEN level_type = 'support' AND lower > low60 AND b30 * last_price + last_price >= lower - 1e-9 THEN 2 ELSE 0 END + CASE WHEN dwell <= 20 AND b30 > 0 THEN 1 ELSE 0 END + CASE WHEN n30 < 10 AND ratio >= 0.55 THEN -2 ELSE 0 END)) AS score FROM tpx""",
+    "bucketed": "SELECT *, greatest(1, least(10, CAST(round_even((score + 20) / 40.0 * 9 + 1, 0) AS INT))) AS bucket FROM pts",
+    "stats": f"""SELECT {_L}, count(*) AS touches, avg(CAST(outcome = 'hold' AS INT)) AS hold_rate, count(*) FILTER (conf) AS breaks, avg(CAST(flip AS INT)) AS flip_rate, avg(ci) AS compression_mean, max(ci) AS compression_max, avg(b30) AS bounce_mean,
+  quantile_cont(b30, 0.5) AS bounce_median, avg(CAST(b30 > 0 AS INT)) AS positive_bounce_rate, avg(CAST(a30 > 0 AS INT)) AS aggression_rate FROM tpx GROUP BY ALL""",
+    "statsq": """SELECT *, CASE WHEN (touches <= 3 AND hold_rate >= 0.8) OR (touches <= 7 AND hold_rate >= 0.7 AND positive_bounce_rate >= 0.6) THEN 'strong' WHEN touches > 10 AND (breaks >= 2 OR positive_bounce_rate < 0.5) THEN 'exhausted' WHEN hold_rate >= 0.6 THEN 'moderate' ELSE 'weak' END AS quality FROM stats""",
+}
 _E = f"PARTITION BY {_L}, entry ORDER BY ts_ms"
 
 FINALS = {
+    "touch_score": f"SELECT {_L}, ts_ms, CAST(score AS BIGINT) AS score, CAST(bucket AS BIGINT) AS bucket, CASE WHEN bucket <= 1 THEN 'STRONG_SELL' WHEN bucket <= 3 THEN 'SELL' WHEN bucket <= 4 THEN 'CAUTION' WHEN bucket <= 6 THEN 'NEUTRAL' WHEN bucket <= 8 THEN 'BUY' ELSE 'STRONG_BUY' END AS label, CAST(sum(score) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum_score FROM bucketed",
+    "level_stats": f"SELECT {_L}, touches, breaks, quality, {r('hold_rate', 'flip_rate', 'compression_mean', 'compression_max', 'bounce_mean', 'bounce_median', 'positive_bounce_rate', 'aggression_rate')} FROM statsq",
+    "level_flags": f"SELECT {_L}, concat_ws(',', CASE WHEN compression_max >= 1 THEN 'compression' END, CASE WHEN positive_bounce_rate >= 0.6 THEN 'bounces' END, CASE WHEN flip_rate >= 0.5 THEN 'flips' END, CASE WHEN aggression_rate >= 0.6 THEN 'aggression' END, CASE WHEN quality = 'strong' THEN 'quality' END) AS green, concat_ws(',', CASE WHEN compression_max < 0.5 THEN 'compression' END, CASE WHEN positive_bounce_rate < 0.5 THEN 'bounces' END, CASE WHEN aggression_rate < 0.4 THEN 'aggression' END, CASE WHEN touches > 10 THEN 'touches' END, CASE WHEN breaks >= 2 THEN 'breaks' END, CASE WHEN quality IN ('exhausted', 'weak') THEN 'quality' END) AS red FROM statsq",
+    "phases": f"SELECT {_L}, CAST(phase AS BIGINT) AS phase, count(*) AS touches, sum(d30) AS delta, count(*) FILTER (ib) AS inst_buys, count(*) FILTER (isell) AS inst_sells, CASE WHEN sum(d30) > 0 THEN 'buyers' WHEN sum(d30) < 0 THEN 'sellers' ELSE 'even' END AS winner FROM (SELECT *, least(3, (tn - 1) // greatest(1, count(*) OVER (PARTITION BY {_L}) // 4)) AS phase FROM tpx) GROUP BY ALL",
     "interaction_timeline": f"SELECT {_L}, ts_ms, event, from_side, to_side, wick AS wick_touch, cross_through, reclaim_attempt FROM tlr WHERE event IS NOT NULL",
     "timeline_summary": f"SELECT {_L}, count(*) FILTER (event = 'touch') AS touches, count(*) FILTER (event = 'break') AS breaks, count(*) FILTER (event = 'reject') AS rejects, count(*) FILTER (reclaim_attempt) AS reclaim_attempts, count(*) FILTER (cross_through) AS cross_throughs, count(*) AS events FROM tlr WHERE event IS NOT NULL GROUP BY ALL",
     "role_flip": f"SELECT {_L}, bool_or(flip) AS role_flip FROM (SELECT {_L}, coalesce(event = 'reject', false) AND coalesce(max(CASE WHEN event = 'break' THEN 1 END) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1, false) AS flip FROM tlr) GROUP BY ALL",

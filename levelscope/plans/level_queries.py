@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from .. import adapters
 from ..functions import expressions as X
-from ..operators import bars as B
 from ..operators import scoring as S
 from ..operators import stats as G
 from ..operators import ticks as K
