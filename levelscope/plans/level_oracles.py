@@ -61,7 +61,18 @@ CTES |= {
 }
 _E = f"PARTITION BY {_L}, entry ORDER BY ts_ms"
 
+CTES |= {
+    "spine": f"""SELECT *, CASE WHEN sg IS NULL THEN NULL WHEN sg <> last_value(sg IGNORE NULLS) OVER ({_E} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS chg FROM (SELECT *, CASE WHEN da > 1e-12 THEN 1 WHEN da < -1e-12 THEN -1 END AS sg FROM et)""",
+    "mep": """SELECT m.*, CASE marker_type WHEN 'breakdown' THEN 'short' ELSE 'long' END AS bias, coalesce(p.last_price, f.last_price) AS lp, coalesce(p.atr, f.atr) AS la FROM mk m
+  ASOF LEFT JOIN (SELECT * FROM state WHERE last_price IS NOT NULL AND atr > 0) p ON p.symbol = m.symbol AND p.session_id = m.session_id AND m.ts_ms >= p.ts_ms
+  LEFT JOIN (SELECT symbol, session_id, first(last_price ORDER BY ts_ms) AS last_price, first(atr ORDER BY ts_ms) AS atr FROM state WHERE last_price IS NOT NULL AND atr > 0 GROUP BY ALL) f ON f.symbol = m.symbol AND f.session_id = m.session_id""",
+    "mtick": """SELECT m.*, s.ts_ms AS t, (s.last_price - lp) / la * CASE bias WHEN 'short' THEN -1 ELSE 1 END AS mv FROM mep m JOIN state s ON s.symbol = m.symbol AND s.session_id = m.session_id AND s.ts_ms BETWEEN m.ts_ms - 120000 AND m.ts_ms + 600000 WHERE s.last_price IS NOT NULL AND s.atr > 0""",
+    "mres": """SELECT *, CASE WHEN t < ts_ms + 120000 THEN NULL WHEN t >= ts_ms + 600000 THEN 'timeout' WHEN mv >= 0.5 THEN 'threshold_hit' WHEN mv <= -0.35 THEN 'invalidation' END AS why FROM mtick""",
+    "mend": "SELECT marker_id, min(t) AS res, first(why ORDER BY t) AS trig FROM mres WHERE why IS NOT NULL GROUP BY ALL",
+}
 FINALS = {
+    "episode_snapshots": f"SELECT {_L}, entry AS zone_entry_time, ts_ms, phase, round(max(CASE WHEN above THEN greatest(0.0, -da) ELSE greatest(0.0, da) END) OVER ({_E} ROWS UNBOUNDED PRECEDING), 6) AS max_penetration_atr, CAST(coalesce(sum(chg) OVER m - first_value(chg IGNORE NULLS) OVER m, 0) AS BIGINT) AS cross_count_60s, round(max(da) OVER m - min(da) OVER m, 6) AS oscillation_amplitude_60s, sum(CASE WHEN abs(da) <= width THEN 10.0 ELSE 0.0 END) OVER m AS time_in_zone_60s, sum(CASE WHEN abs(da) <= width THEN 10.0 ELSE 0.0 END) OVER ({_E} ROWS UNBOUNDED PRECEDING) AS time_in_zone_total FROM spine WINDOW m AS ({_E} RANGE BETWEEN 60000 PRECEDING AND CURRENT ROW)",
+    "marker_episodes": f"SELECT marker_id, {_K}, marker_type, bias AS direction_bias, lp AS level_price, any_value(res) AS resolution_time, any_value(trig) AS resolution_trigger, round(greatest(0.0, max(mv)), 6) AS mfe, round(greatest(0.0, -min(mv)), 6) AS mae FROM mres LEFT JOIN mend USING (marker_id) WHERE res IS NULL OR t <= res GROUP BY marker_id, {_K}, marker_type, bias, lp",
     "touch_score": f"SELECT {_L}, ts_ms, CAST(score AS BIGINT) AS score, CAST(bucket AS BIGINT) AS bucket, CASE WHEN bucket <= 1 THEN 'STRONG_SELL' WHEN bucket <= 3 THEN 'SELL' WHEN bucket <= 4 THEN 'CAUTION' WHEN bucket <= 6 THEN 'NEUTRAL' WHEN bucket <= 8 THEN 'BUY' ELSE 'STRONG_BUY' END AS label, CAST(sum(score) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum_score FROM bucketed",
     "level_stats": f"SELECT {_L}, touches, breaks, quality, {r('hold_rate', 'flip_rate', 'compression_mean', 'compression_max', 'bounce_mean', 'bounce_median', 'positive_bounce_rate', 'aggression_rate')} FROM statsq",
     "level_flags": f"SELECT {_L}, concat_ws(',', CASE WHEN compression_max >= 1 THEN 'compression' END, CASE WHEN positive_bounce_rate >= 0.6 THEN 'bounces' END, CASE WHEN flip_rate >= 0.5 THEN 'flips' END, CASE WHEN aggression_rate >= 0.6 THEN 'aggression' END, CASE WHEN quality = 'strong' THEN 'quality' END) AS green, concat_ws(',', CASE WHEN compression_max < 0.5 THEN 'compression' END, CASE WHEN positive_bounce_rate < 0.5 THEN 'bounces' END, CASE WHEN aggression_rate < 0.4 THEN 'aggression' END, CASE WHEN touches > 10 THEN 'touches' END, CASE WHEN breaks >= 2 THEN 'breaks' END, CASE WHEN quality IN ('exhausted', 'weak') THEN 'quality' END) AS red FROM statsq",
