@@ -39,7 +39,7 @@ CTES |= {
     coalesce(lead(sell) OVER w > 1.2 * lead(buy) OVER w, false) AS a FROM mins WINDOW w AS (PARTITION BY {_K} ORDER BY minute_ts)) WINDOW f AS (PARTITION BY {_K} ORDER BY minute_ts ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)""",
     "dumpy": """SELECT *, recovery_buy / sell AS ratio, recovery_buy / sell < 0.30 AS b, CASE WHEN recovery_buy / sell >= 0.75 THEN 2 WHEN recovery_buy / sell >= 0.5 THEN 1 ELSE 0 END + CASE WHEN accelerations >= 2 THEN 2 WHEN accelerations >= 1 THEN 1 ELSE 0 END AS score
   FROM dumps WHERE sell > 2 * buy AND sell > 20000""",
-    "et": f"""SELECT e.symbol, e.session_id, e.level_id, e.entry, e.above, e.entry - 300000 AS st, z.ts_ms, z.da, z.width, z.last_price, z.atr, f.delta, f.total_volume, f.trade_count,
+    "et": f"""SELECT e.symbol, e.session_id, e.level_id, e.entry, e.above, e.entry - 300000 AS st, z.ts_ms, z.da, z.width, z.last_price, z.atr, f.delta, f.total_volume, f.trade_count, f.buy_volume, f.sell_volume, e.why,
   CASE WHEN z.ts_ms < e.entry THEN 'baseline' WHEN e.exit_ts IS NULL OR z.ts_ms <= e.exit_ts THEN 'stress' ELSE 'resolution' END AS phase
   FROM eps e JOIN zev z ON z.symbol = e.symbol AND z.session_id = e.session_id AND z.level_id = e.level_id AND z.ts_ms BETWEEN e.entry - 300000 AND e.res JOIN (SELECT *, buy_volume - sell_volume AS delta FROM flow) f ON f.symbol = z.symbol AND f.session_id = z.session_id AND f.ts_ms = z.ts_ms""",
     "mk": """SELECT 'm' || seq AS marker_id, symbol, session_id, ts_ms, ['consolidation', 'support_bounce', 'breakdown', 'downtrend_break'][CAST((seq // 50) % 4 + 1 AS INT)] AS marker_type FROM tape WHERE event_type = 'signup' AND seq % 50 = 0""",
@@ -63,6 +63,12 @@ _E = f"PARTITION BY {_L}, entry ORDER BY ts_ms"
 
 CTES |= {
     "spine": f"""SELECT *, CASE WHEN sg IS NULL THEN NULL WHEN sg <> last_value(sg IGNORE NULLS) OVER ({_E} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS chg FROM (SELECT *, CASE WHEN da > 1e-12 THEN 1 WHEN da < -1e-12 THEN -1 END AS sg FROM et)""",
+    "feat": f"""SELECT {_L}, entry, why, phase, unnest(['delta', 'total_volume', 'trade_count', 'relative_aggression', 'cvd_60s', 'price_return_60s', 'buy_volume', 'sell_volume']) AS feature,
+  unnest([delta, total_volume, CAST(trade_count AS DOUBLE), ra, c60, r60, buy_volume, sell_volume]) AS x FROM (SELECT *, sum(delta) OVER ({_E} ROWS 5 PRECEDING) AS c60, coalesce(last_price - lag(last_price, 6) OVER ({_E}), 0.0) AS r60,
+    CASE WHEN total_volume > 0 THEN delta / (total_volume + 1e-9) ELSE 0.0 END AS ra, row_number() OVER (PARTITION BY {_L}, entry, phase ORDER BY ts_ms) AS n FROM et) WHERE phase = 'baseline' OR (phase = 'stress' AND n <= 6)""",
+    "shift": f"SELECT {_L}, entry, why, feature, avg(x) FILTER (phase = 'stress') - avg(x) FILTER (phase = 'baseline') AS change FROM feat GROUP BY ALL",
+    "ranked": """SELECT feature, count(change) FILTER (why = 'threshold_hit') AS wins, count(change) FILTER (why = 'invalidation') AS losses, avg(change) FILTER (why = 'threshold_hit') AS win_mean, avg(change) FILTER (why = 'invalidation') AS loss_mean,
+  sqrt((pow(stddev_pop(change) FILTER (why = 'threshold_hit'), 2) + pow(stddev_pop(change) FILTER (why = 'invalidation'), 2)) / 2) AS pooled FROM shift WHERE change IS NOT NULL GROUP BY feature""",
     "mep": """SELECT m.*, CASE marker_type WHEN 'breakdown' THEN 'short' ELSE 'long' END AS bias, coalesce(p.last_price, f.last_price) AS lp, coalesce(p.atr, f.atr) AS la FROM mk m
   ASOF LEFT JOIN (SELECT * FROM state WHERE last_price IS NOT NULL AND atr > 0) p ON p.symbol = m.symbol AND p.session_id = m.session_id AND m.ts_ms >= p.ts_ms
   LEFT JOIN (SELECT symbol, session_id, first(last_price ORDER BY ts_ms) AS last_price, first(atr ORDER BY ts_ms) AS atr FROM state WHERE last_price IS NOT NULL AND atr > 0 GROUP BY ALL) f ON f.symbol = m.symbol AND f.session_id = m.session_id""",
@@ -71,6 +77,8 @@ CTES |= {
     "mend": "SELECT marker_id, min(t) AS res, first(why ORDER BY t) AS trig FROM mres WHERE why IS NOT NULL GROUP BY ALL",
 }
 FINALS = {
+    "pattern_index": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY level_type ORDER BY touches DESC, combo) AS rank FROM (SELECT level_type, combo, count(*) AS touches, count(DISTINCT session_id) AS sessions, count(DISTINCT symbol) AS symbols FROM (SELECT level_type, session_id, symbol, concat_ws('+', CASE WHEN a30 > 0 THEN 'aggression' END, CASE WHEN ci >= 1 THEN 'compression' END, CASE WHEN flip THEN 'delta_flip' END, CASE WHEN ib THEN 'inst_buy' END, CASE WHEN vz > 1 THEN 'volume' END, CASE WHEN level_type = 'support' AND lower > low60 AND b30 * last_price + last_price >= lower - 1e-9 THEN 'wick' END) AS combo FROM tpx WHERE b60 >= 0.0005) GROUP BY ALL)) WHERE rank <= 20",
+    "feature_ranking": "SELECT feature, wins, losses, round(win_mean, 4) AS win_mean, round(loss_mean, 4) AS loss_mean, round((win_mean - loss_mean) / (pooled + 1e-9), 4) AS effect FROM ranked WHERE wins >= 2 AND losses >= 2",
     "episode_snapshots": f"SELECT {_L}, entry AS zone_entry_time, ts_ms, phase, round(max(CASE WHEN above THEN greatest(0.0, -da) ELSE greatest(0.0, da) END) OVER ({_E} ROWS UNBOUNDED PRECEDING), 6) AS max_penetration_atr, CAST(coalesce(sum(chg) OVER m - first_value(chg IGNORE NULLS) OVER m, 0) AS BIGINT) AS cross_count_60s, round(max(da) OVER m - min(da) OVER m, 6) AS oscillation_amplitude_60s, sum(CASE WHEN abs(da) <= width THEN 10.0 ELSE 0.0 END) OVER m AS time_in_zone_60s, sum(CASE WHEN abs(da) <= width THEN 10.0 ELSE 0.0 END) OVER ({_E} ROWS UNBOUNDED PRECEDING) AS time_in_zone_total FROM spine WINDOW m AS ({_E} RANGE BETWEEN 60000 PRECEDING AND CURRENT ROW)",
     "marker_episodes": f"SELECT marker_id, {_K}, marker_type, bias AS direction_bias, lp AS level_price, any_value(res) AS resolution_time, any_value(trig) AS resolution_trigger, round(greatest(0.0, max(mv)), 6) AS mfe, round(greatest(0.0, -min(mv)), 6) AS mae FROM mres LEFT JOIN mend USING (marker_id) WHERE res IS NULL OR t <= res GROUP BY marker_id, {_K}, marker_type, bias, lp",
     "touch_score": f"SELECT {_L}, ts_ms, CAST(score AS BIGINT) AS score, CAST(bucket AS BIGINT) AS bucket, CASE WHEN bucket <= 1 THEN 'STRONG_SELL' WHEN bucket <= 3 THEN 'SELL' WHEN bucket <= 4 THEN 'CAUTION' WHEN bucket <= 6 THEN 'NEUTRAL' WHEN bucket <= 8 THEN 'BUY' ELSE 'STRONG_BUY' END AS label, CAST(sum(score) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum_score FROM bucketed",
