@@ -152,10 +152,14 @@ def prefix_pairs(entries: DataFrame, texts: DataFrame, size: int, percent: int)
     rows = written(classes.select("class", "id", "label", "n", "text").mapInPandas(spread, "class binary, id long, label long, n long, shingle long"), "spread")
     common = rows.groupBy("shingle").agg(F.count("*").alias("f"), F.min("label").alias("low"), F.max("label").alias("high"))
     rank = F.row_number().over(Window.partitionBy("class").orderBy("f", "shingle"))
-    rare = rows.join(common, "shingle").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("low < high")
-    rare = written(rare.select("class", "id", "label", "n", "shingle"), "rare")
+    # shingles that another component has too: no more than these can be in common with it
+    open_ = F.count(F.when(F.col("low") < F.col("high"), 1)).over(Window.partitionBy("class"))
+    rare = rows.join(common, "shingle").withColumn("open", open_).withColumn("rank", rank)
+    rare = rare.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("low < high").where(100 * F.col("open") >= percent * F.col("n"))
+    rare = written(rare.select("class", "id", "label", "n", "open", "shingle"), "rare")
     x, y = rare.alias("x"), rare.alias("y")
-    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") < F.col("y.label")))
+    enough = (100 + percent) * F.least("x.open", "y.open") >= percent * (F.col("x.n") + F.col("y.n"))
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") < F.col("y.label")) & enough)
     return pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.col("x.id").alias("u"), F.col("y.id").alias("v"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
 
 
