@@ -10,8 +10,8 @@ item if tiles cover ``percent`` of the item's words.
 
 Items shorter than a seed are matched whole, as one shingle of their own length.
 
-Nulls and ties: words are split at white space with A-Z lowered; a null or wordless text on
-either side matches nothing. Rows that repeat a doc_id are compared each on their own and
+Nulls and ties: words are split at white space, their case folded in every script; a null or
+wordless text on either side matches nothing. Rows that repeat a doc_id are compared each on their own and
 the best coverage is reported; repeated items likewise. Extra columns are ignored.
 """
 
@@ -37,6 +37,14 @@ BROADCAST_SEEDS = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def folded_hashes(text: str | None) -> np.ndarray:
+    """Hashes of the words, equal for a text and its upper- or lower-cased copy.
+
+    Folding alone keeps the dotless i apart from its upper case; the fold of the upper case doesn't.
+    """
+    return word_hashes(text if not text or text.isascii() else text.upper().casefold())
+
+
 def windows(ids: np.ndarray, size: int) -> np.ndarray:
     """Karp-Rabin hash of each window of ``size`` ids: a polynomial modulo 2^64, mixed."""
     n = len(ids) - size + 1
@@ -103,7 +111,7 @@ def benchmark_seeds(benchmark: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             rows = []
             for item_id, text in zip(batch["item_id"], batch["text"], strict=True):
-                ids = word_hashes(text)
+                ids = folded_hashes(text)
                 size = min(least, len(ids))
                 if size:
                     rows += [(item_id, size, int(h)) for h in np.unique(windows(ids, size)).view(np.int64)]
@@ -121,7 +129,7 @@ def document_seeds(docs: DataFrame, sizes: list[int], keep: np.ndarray | None) -
         for batch in batches:
             rows = []
             for doc_id, key, text in zip(batch["doc_id"], batch["text_hash"], batch["text"], strict=True):
-                ids = word_hashes(text)
+                ids = folded_hashes(text)
                 for size in sizes:
                     h = windows(ids, size)
                     if bits is not None:
@@ -154,8 +162,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = SEED_WORDS,
         for batch in batches:
             rows = []
             for doc_id, item_id, text, item_text in zip(batch["doc_id"], batch["item_id"], batch["text"], batch["item_text"], strict=True):
-                item = word_hashes(item_text)
-                own = tiles(item, word_hashes(text), least)
+                item = folded_hashes(item_text)
+                own = tiles(item, folded_hashes(text), least)
                 covered = sum(n for _, _, n in own)
                 if len(item) and 100 * covered >= percent * len(item):
                     rows.append((doc_id, item_id, len(item), covered, len(own)))

@@ -148,3 +148,12 @@ def test_contaminated(spark):
     assert found[2, 1]["n_tiles"] == 2 and found[1, 1]["coverage"] == 1.0
     assert sorted(r["doc_id"] for r in decontaminate.clean(df, bench).collect()) == [3, 4, 5, 6]
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
+
+
+def test_contaminated_whatever_the_case(spark):
+    item = "Straße der été naïve ΟΔΟΣ σοφίας über ılık İzmir řeka ﬁnal жизнь вокруг нас"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"so {item.upper()} it"), (2, f"so {item.lower()} it"), (3, f"so {item} it"), (4, item.upper().replace("É", "E").replace("Ü", "U").replace("Ж", "Х"))], "doc_id long, text string")
+    found = {r["doc_id"]: (r["item_words"], r["coverage"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert found == {1: (14, 1.0), 2: (14, 1.0), 3: (14, 1.0)}
+    assert [r["doc_id"] for r in decontaminate.clean(docs, bench).collect()] == [4]
