@@ -13,6 +13,8 @@ from ..functions.expressions import quote_rule
 from ..schemas import KEY
 
 SLICE_MS = 3_600_000
+#: Slices in which anchors meet ticks: windows round an anchor are minutes long.
+REACH_MS = 300_000
 
 
 def carried(df: DataFrame, name: str, value: Column, order: list[str], inclusive: bool = True, keys: list[str] = KEY, slice_ms: int = SLICE_MS) -> DataFrame:
@@ -27,6 +29,17 @@ def carried(df: DataFrame, name: str, value: Column, order: list[str], inclusive
     return df.withColumn(name, near).join(left, part).withColumn(name, F.coalesce(name, "_before")).drop("_slice", "_value", "_before")
 
 
+def in_reach(anchors: DataFrame, ticks: DataFrame, begin: Column, end: Column, slice_ms: int = REACH_MS) -> DataFrame:
+    """Anchors with the ticks of their session from ``begin`` to ``end``, both included.
+
+    An anchor goes to the few slices that its window covers and meets their ticks, not the session's.
+    """
+    near = anchors.withColumn("_begin", begin).withColumn("_end", end)
+    near = near.withColumn("_slice", F.explode(F.expr(f"sequence(_begin div {slice_ms}, _end div {slice_ms})")))
+    both = near.join(ticks.withColumn("_slice", F.expr(f"ts_ms div {slice_ms}")), [*KEY, "_slice"])
+    return both.where(F.col("ts_ms").between(F.col("_begin"), F.col("_end"))).drop("_slice", "_begin", "_end")
+
+
 def asof_quote(trades: DataFrame, quotes: DataFrame, stale_ms: int | None = None) -> DataFrame:
     """Trades plus the latest quote at or before each; at equal times quotes come first.
 

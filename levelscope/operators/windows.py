@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import bucket, price_zone
 from ..schemas import KEY
+from .tape import in_reach
 from .timeline import window_summary
 
 #: Seconds before an anchor at which the countdown's windows begin and end.
@@ -17,17 +18,17 @@ INSTITUTIONAL_SIZE = 500
 def countdown(anchors: DataFrame, ticks: DataFrame, name: str = "marker_id", windows: tuple = COUNTDOWN) -> DataFrame:
     """A summary of each window before each anchor (``name``, symbol, session_id, anchor_ts).
 
-    Ticks meet anchors on their session; an anchor has a few dozen ticks in reach.
+    Ticks meet anchors on their session and slice of time.
     """
     table = F.explode(F.array(*[F.struct(F.lit(k).alias("window"), F.lit(a).alias("begin_s"), F.lit(b).alias("end_s")) for k, (a, b) in enumerate(windows)])).alias("w")
     every = anchors.select(name, *KEY, "anchor_ts", table)
-    inside = every.join(ticks, KEY).where((F.col("ts_ms") > F.col("anchor_ts") - F.col("w.begin_s") * 1000) & (F.col("ts_ms") <= F.col("anchor_ts") - F.col("w.end_s") * 1000))
+    inside = in_reach(every, ticks, F.col("anchor_ts") - F.col("w.begin_s") * 1000 + 1, F.col("anchor_ts") - F.col("w.end_s") * 1000)
     return window_summary(inside.withColumn("window", F.col("w.window")), [name, *KEY, "window"])
 
 
 def anchor_stats(anchors: DataFrame, ticks: DataFrame, columns: list[str], name: str = "marker_id", before_ms: int = 300_000) -> DataFrame:
     """p10, p50, p90 and mean of columns over the time before each anchor, a row a column."""
-    inside = anchors.join(ticks, KEY).where((F.col("ts_ms") > F.col("anchor_ts") - before_ms) & (F.col("ts_ms") <= F.col("anchor_ts")))
+    inside = in_reach(anchors, ticks, F.col("anchor_ts") - before_ms + 1, F.col("anchor_ts"))
     tall = inside.select(name, F.expr(f"stack({len(columns)}, {', '.join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)}) AS (column, x)")).where("x IS NOT NULL")
     p = F.percentile("x", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
     out = tall.groupBy(name, "column").agg(p.alias("p"), F.avg("x").alias("mean"))

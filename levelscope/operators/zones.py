@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import marker_bias
 from ..schemas import KEY
+from .tape import carried, in_reach
 
 LEVEL = [*KEY, "level_id"]
 SUCCESS_ATR, FAILURE_ATR, TIMEOUT_MS, BASELINE_MS = 0.50, 0.35, 300_000, 300_000
@@ -155,12 +156,14 @@ def marker_episodes(markers: DataFrame, ticks: DataFrame) -> DataFrame:
     """Episodes round markers: a level at the anchor tick's price, scanned from two minutes on."""
     m = dedup_markers(markers).withColumn("direction_bias", marker_bias(F.col("marker_type"), F.col("direction_bias"))).where("direction_bias IS NOT NULL").withColumnRenamed("ts_ms", "marker_ts_ms")
     t = ticks.where("last_price IS NOT NULL AND atr > 0").select(*KEY, "ts_ms", "last_price", "atr")
-    near = m.join(t, KEY)
-    known = F.col("ts_ms") <= F.col("marker_ts_ms")
-    anchor = F.coalesce(F.max_by(F.struct("last_price", "atr"), F.when(known, F.col("ts_ms"))), F.min_by(F.struct("last_price", "atr"), "ts_ms"))
-    anchored = near.groupBy(*m.columns).agg(anchor.alias("a")).select(*m.columns, F.col("a.last_price").alias("level_price"), F.col("a.atr").alias("atr_value"))
+    tick = F.struct("last_price", "atr")
+    both = m.withColumn("ts_ms", F.col("marker_ts_ms")).withColumn("_kind", F.lit(1)).unionByName(t.select(*KEY, "ts_ms", F.lit(0).alias("_kind"), tick.alias("_tick")), allowMissingColumns=True)
+    first = t.groupBy(*KEY).agg(F.min_by(tick, "ts_ms").alias("_first"))
+    anchored = carried(both, "_a", F.col("_tick"), ["ts_ms", "_kind"]).where("_kind = 1").join(first, KEY).withColumn("_a", F.coalesce("_a", "_first"))
+    anchored = anchored.select(*m.columns, F.col("_a.last_price").alias("level_price"), F.col("_a.atr").alias("atr_value"))
     start, end = F.col("marker_ts_ms") - 120_000, F.col("marker_ts_ms") + 600_000
-    inside = anchored.withColumn("zone_entry_time", start).withColumn("zone_exit_time", F.col("marker_ts_ms") + 120_000).join(t.drop("atr"), KEY).where(F.col("ts_ms").between(start, end))
+    timed = anchored.withColumn("zone_entry_time", start).withColumn("zone_exit_time", F.col("marker_ts_ms") + 120_000)
+    inside = in_reach(timed, t.drop("atr"), start, end)
     move = (F.col("last_price") - F.col("level_price")) / F.col("atr_value")
     why = resolution(F.col("ts_ms"), move, F.col("zone_exit_time"), F.col("direction_bias"), timeout_ms=480_000)
     inside = inside.withColumn("trigger", F.when(F.col("ts_ms") >= F.col("zone_exit_time"), why)).withColumn("move", F.when(F.col("direction_bias") == "short", -move).otherwise(move))

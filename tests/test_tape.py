@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from levelscope.functions import expressions as X
-from levelscope.operators import bars, scoring, tape, ticks, zones
+from levelscope.operators import bars, scoring, tape, ticks, windows, zones
 from levelscope.sources import store, tape_files
 from levelscope.streaming import tape_stream
 
@@ -162,3 +162,44 @@ def test_entry_imports_without_a_session():
 
     code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 50"
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
+def joins_by_slice(df):
+    """Joins of the plan that match slices of time as well as sessions."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return sum("Join " in line and line.count("_slice#") == 2 for line in plan.splitlines())
+
+
+def test_markers_meet_the_ticks_of_their_slices_alone(spark):
+    r = random.Random(7)
+    price = [100 + 3 * math.sin(k / 9) + r.random() for k in range(700)]
+    tick = [(s, T0 + 10_000 * k, p + (s == "T"), 2.0) for s in "ST" for k, p in enumerate(price) if k % 50 and k > 20]
+    t = spark.createDataFrame([(s, s + "_1", ts, p, a, 3, 5.0, 1.0, 4.0, 0.5) for s, ts, p, a in tick], "symbol string, session_id string, ts_ms long, last_price double, atr double, trade_count long, total_volume double, delta double, buy_volume double, relative_aggression double").withColumn("sell_volume", F.lit(1.0))
+    every = [(f"m{k}", "ST"[k % 2], T0 + r.randrange(-100_000, 7_100_000) // (1 + k % 3) // 10_000 * 10_000 + k % 2) for k in range(80)] + [("none", "U", T0)]
+    m = spark.createDataFrame([(i, s, s + "_1", ts, "consolidation", "short" if s == "T" else "long") for i, s, ts in every], "marker_id string, symbol string, session_id string, ts_ms long, marker_type string, direction_bias string")
+    one = {(x["symbol"], x["ts_ms"]): x["marker_id"] for x in m.orderBy(F.desc("marker_id")).collect()}
+    want, means, spans = {}, {}, {}
+    for i, s, ts in every:
+        own = [x for x in tick if x[0] == s]
+        last = [x[2] for x in own if ts - 300_000 < x[1] <= ts]
+        if last:
+            means[i] = pytest.approx(sum(last) / len(last))
+        for k, (a, b) in enumerate(windows.COUNTDOWN):
+            n = sum(ts - a * 1000 < x[1] <= ts - b * 1000 for x in own)
+            if n:
+                spans[i, k] = n
+        level = next((x[2] for x in reversed(own) if x[1] <= ts), own[0][2] if own else None)
+        moves, end = [], None
+        for _, at, p, atr in own:
+            if ts - 120_000 <= at <= ts + 600_000 and end is None:
+                moves.append((p - level) / atr * (-1 if s == "T" else 1))
+                if at >= ts + 120_000 and (at >= ts + 600_000 or moves[-1] >= 0.5 or moves[-1] <= -0.35):
+                    end = at
+        if moves and one[s, ts] == i:
+            want[i] = (level, end, pytest.approx(max(0, *moves)), pytest.approx(max(0, *(-x for x in moves))))
+    found = zones.marker_episodes(m, t)
+    assert {x["marker_id"]: (x["level_price"], x["resolution_time"], x["mfe"], x["mae"]) for x in found.collect()} == want and len(want) > 60
+    anchors = m.withColumnRenamed("ts_ms", "anchor_ts")
+    down, stats = windows.countdown(anchors, t), windows.anchor_stats(anchors, t, ["last_price"])
+    assert {(x["marker_id"], x["window"]): x["points"] for x in down.collect()} == spans and {x["marker_id"]: x["mean"] for x in stats.collect()} == means
+    assert (joins_by_slice(found), joins_by_slice(down), joins_by_slice(stats)) == (2, 1, 1)
