@@ -184,7 +184,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
     # documents whose rows repeat a doc_id tie their classes together
     ids = known.select("doc_id", "class").distinct().join(classes.select("class", "id"), "class")
-    links = written(ids.where("doc_id <> id").join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("u"), F.col("id").alias("v")), "links")
+    several = ids.groupBy("doc_id").agg(F.min("id").alias("v"), F.max("id").alias("high")).where("v < high")
+    links = written(ids.join(several, "doc_id").where("id <> v").select(F.col("id").alias("u"), "v").distinct(), "links")
 
     label, tried, open_ = components(links), [], shared
     for turn in range(STAR_ROUNDS + 1):

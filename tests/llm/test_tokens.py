@@ -186,6 +186,17 @@ def test_near_dedup_mutated_family(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_dedup_repeated_doc_id_ties_its_classes(spark):
+    from .conftest import prose
+
+    x, y, z = (prose(k, 60) for k in (700, 701, 702))
+    rows = [(1, x), (5, x), (5, y), (2, y), (7, y), (7, z), (3, z), (9, prose(703, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == linked(rows, 5, 80) == {1: 1, 5: 1, 2: 1, 7: 1, 3: 1, 9: 9}
+    assert sorted(r["doc_id"] for r in near_dedup.deduplicated(docs).collect()) == [1, 9]
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(80), r.randrange(80)) for _ in range(50)] + [(100 + k, 101 + k) for k in range(25)]
