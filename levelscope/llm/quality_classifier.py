@@ -159,4 +159,7 @@ def classify(docs: DataFrame, model: RuleEnsemble, threshold: float = THRESHOLD)
 
 def accepted(docs: DataFrame, model: RuleEnsemble, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, as they are, that the classifier doesn't reject."""
-    return features(docs).where(model.score() >= threshold).select("_row.*")
+    # The partition's number makes the score non-deterministic to Catalyst, which else moves the
+    # filter below the features and evaluates their expressions again for each rule that reads them.
+    scored = features(docs).select("_row", (model.score() + 0.0 * F.spark_partition_id()).alias("_score"))
+    return scored.where(F.col("_score") >= threshold).select("_row.*")

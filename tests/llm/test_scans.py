@@ -101,6 +101,18 @@ def test_quality_classifier(spark):
     assert sum((r["predicted"] == 1) == (r["doc_id"] < 200) for r in held) >= 0.95 * len(held)
     kept = quality_classifier.accepted(docs, model)
     assert kept.columns == docs.columns and 110 <= kept.where("doc_id < 200").count() <= 120
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and not any("regexp" in line or "split" in line for line in filters)
+    # every rule again, row by row, over the statistics
+    for r in quality_classifier.features(docs).select("_row.doc_id", *quality_classifier.FEATURES).collect():
+        total = model.intercept
+        for rule, weight in zip(model.rules, model.weights, strict=True):
+            values = [(r[quality_classifier.FEATURES[f]], side, bound) for f, side, bound in rule]
+            total += weight * all(v <= b if side == "<=" else v > b for v, side, b in values)
+        (own,) = (x for x in rows if x["doc_id"] == r["doc_id"])
+        assert own["score"] == pytest.approx(1 / (1 + 2.718281828459045 ** -total), rel=1e-9)
+        assert own["predicted"] == (own["score"] >= quality_classifier.THRESHOLD)
     one = quality_classifier.train(docs, labels.where("quality = 1"))
     assert quality_classifier.classify(docs, one).where("predicted = 1").count() == 242
 
