@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from levelscope.llm import bin_packing, decontaminate, near_dedup, quality_classifier, secret_scan
-from levelscope.llm.common import new_path, table, vocabulary
+from levelscope.llm.common import new_path, table
+from levelscope.llm.encoding import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,14 +21,16 @@ from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoder, written
+from .common import written
+from .encoding import encoder, slices
 
 #: Groups that the pieces of one length are numbered in.
 SALTS = 256
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece long, start long, length long, ids_crc32 long"
 
 
 def cut(docs: DataFrame, vocabulary_file: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
@@ -37,17 +39,26 @@ def cut(docs: DataFrame, vocabulary_file: str, end_id: int, capacity: int, with_
 
     def pieces(batches):
         for batch in batches:
-            rows = []
-            for doc_id, ids in zip(batch["doc_id"], encoder(vocabulary_file).many(batch["text"]), strict=True):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), *([part] * with_ids)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] * with_ids)])
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+            at = 0
+            for part in slices(batch.column("text")):
+                ids, ends = encoder(vocabulary_file).encode(part)
+                data, lengths = ids.astype("<u4").tobytes(), np.diff(ends) + 1  # with the end id
+                counts = -(-lengths // capacity)
+                doc = np.repeat(np.arange(len(part)), counts)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+                start = piece * capacity
+                length = np.minimum(lengths[doc] - start, capacity)
+                low = 4 * (ends[:-1][doc] + start)
+                high = low + 4 * length
+                last = start + length == lengths[doc]
+                own = [data[a : b - 4] + end if x else data[a:b] for a, b, x in zip(low.tolist(), high.tolist(), last.tolist(), strict=True)]
+                columns = [batch.column("doc_id").take(pa.array(at + doc)), pa.array(piece), pa.array(start), pa.array(length), pa.array(map(zlib.crc32, own), pa.int64())]
+                columns += [pa.array(own, pa.binary())] * with_ids
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] * with_ids)])
+                at += len(part)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInPandas(pieces, PIECES + ", ids binary" * with_ids)
+    return source.mapInArrow(pieces, PIECES + ", ids binary" * with_ids).withColumn("piece", F.col("piece").cast("int"))
 
 
 def fullest(lengths: list[int], counts: list[int], room: int) -> list[tuple[int, int]]:

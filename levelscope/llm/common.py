@@ -1,12 +1,10 @@
-"""What the training-data operators share: tables, shared folders, tokenizers, words."""
+"""What the training-data operators share: tables, shared folders, words."""
 
 from __future__ import annotations
 
 import os
-import re
 import tempfile
 import uuid
-from array import array
 
 import numpy as np
 import xxhash
@@ -15,8 +13,6 @@ from pyspark.sql import functions as F
 
 #: A word of the text contracts: all but the space and the five ASCII controls from tab on.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Distinct words whose ids a worker keeps at once.
-CACHED_WORDS = 700_000
 
 _own_dirs: dict[str, str] = {}
 
@@ -70,79 +66,6 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-_inner_space = re.compile(r"(?<=\S) (?=\S)")
-
-
-class WordwiseEncoder:
-    """Ids of whole texts by the tokenizers library, each distinct word encoded once.
-
-    Both vocabularies in use split at every single space between two visible characters, and
-    before every single line feed between two, and carry nothing across. So a text's ids are
-    its pieces' ids in turn; ``tests/llm`` holds this against encoding the text at once. A
-    text with other runs of white space is cut at its single spaces alone. Strings of special
-    tokens in a text are ordinary text. The words kept are bounded: past ``most`` they are
-    forgotten at once.
-    """
-
-    def __init__(self, path: str, most: int = CACHED_WORDS):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.most = most
-        self.known: dict[str, bytes | None] = {}
-
-    def _encoded(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _learn(self, pieces: set[str]) -> None:
-        """The ids of pieces inside a text; None for those that a longer run of white space left."""
-        new = list(pieces.difference(self.known))
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = list(pieces)
-        good = [p for p in new if p and not p[-1].isspace() and (not p[0].isspace() or p[0] == "\n" and not p[1].isspace())]
-        self.known.update(dict.fromkeys(new))
-        for at in range(0, len(good), 10_000):
-            part = good[at : at + 10_000]
-            self.known.update(zip(part, self._encoded([p if p[0] == "\n" else " " + p for p in part]), strict=True))
-
-    def many(self, texts) -> list[bytes]:
-        """Little-endian uint32 ids of each text, as bytes; of a null, none."""
-        cut = [x.replace("\n", " \n").split(" ") if x else None for x in texts]
-        self._learn(set().union(*(x for x in cut if x)))
-        heads = {x[0] for x in cut if x}
-        first = dict(zip(heads, self._encoded(list(heads)), strict=True))
-        out = []
-        for text, x in zip(texts, cut, strict=True):
-            try:
-                if x and self.known[x[0]] is None:
-                    raise TypeError
-                out.append(first[x[0]] + b"".join(map(self.known.__getitem__, x[1:])) if x else b"")
-            except TypeError:  # white space that isn't a single space or line feed
-                words = _inner_space.split(text)
-                out.append(b"".join(self._encoded([words[0], *map(" ".__add__, words[1:])])))
-        return out
-
-
-_encoders: dict[tuple[str, int], WordwiseEncoder] = {}
-
-
-def encoder(path: str, most: int = CACHED_WORDS) -> WordwiseEncoder:
-    """The worker's encoder for a vocabulary file; kept while the worker lives."""
-    if (path, most) not in _encoders:
-        _encoders[path, most] = WordwiseEncoder(path, most)
-    return _encoders[path, most]
-
-
-def vocabulary(name: str) -> str:
-    """Where a public vocabulary file lies on this machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def word_bytes(text: str | None) -> list[bytes]:
     """Words with A-Z lowered, as UTF-8: bytes.split and bytes.lower know ASCII only."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

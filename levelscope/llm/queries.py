@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bin_packing, chat_format, decontaminate, kneser_ney, near_dedup, quality_classifier, quality_rules, secret_scan, token_binary
-from .common import bucket_of, new_path, table, vocabulary, written
+from .common import bucket_of, new_path, table, written
+from .encoding import vocabulary
 from .sql import ORACLES
 from .token_counts import TokenCounts, count_tokens
 

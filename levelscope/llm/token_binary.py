@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import range_coder
-from .common import encoder, new_path
+from .common import new_path
+from .encoding import encoder
 
 BLOCK_IDS = 4096
 #: Blocks that a task codes side by side; bounds its memory.

@@ -20,11 +20,12 @@ op is ignored. Other columns are ignored. An empty batch commits and adds nothin
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encoder
+from .encoding import encoder, slices
 
 KEY = ["doc_id", "tokenizer"]
 GROUP = ["source", "lang", "tokenizer"]
@@ -37,10 +38,11 @@ def count_tokens(docs: DataFrame, vocabulary_file: str) -> DataFrame:
 
     def counted(batches):
         for batch in batches:
-            n = [len(x) // 4 for x in encoder(vocabulary_file).many(batch["text"])]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "source": batch["source"], "lang": batch["lang"], "n_tokens": n})
+            texts = batch.column("text")
+            n = np.concatenate([np.zeros(0, np.int64), *(np.diff(encoder(vocabulary_file).encode(part)[1]) for part in slices(texts))])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("lang"), pa.array(n, pa.int64())], ["doc_id", "source", "lang", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text").mapInPandas(counted, "doc_id long, source string, lang string, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text").mapInArrow(counted, "doc_id long, source string, lang string, n_tokens long")
 
 
 class TokenCounts:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from levelscope.llm import secret_scan
-from levelscope.llm.common import vocabulary
+from levelscope.llm.encoding import vocabulary
 
 from .conftest import prose
 from .test_tokens import ids, linked

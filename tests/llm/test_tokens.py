@@ -14,7 +14,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from levelscope.llm import bin_packing, chat_format, components, kneser_ney, near_dedup, range_coder, token_binary
-from levelscope.llm.common import encoder, new_path, vocabulary
+from levelscope.llm.common import new_path
+from levelscope.llm.encoding import WordwiseEncoder, encoder, vocabulary
 from levelscope.llm.token_counts import TokenCounts, count_tokens
 
 
@@ -31,16 +32,34 @@ def ids(t, text):
     return t.encode(text or "", add_special_tokens=False).ids
 
 
+TEXTS = st.text(alphabet=st.sampled_from(list("ab0 'st\n\t  ́éΣ<|>漢1.\x1c")), max_size=40)
+
+
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("ab 'st\n\t  ́éΣ<|>漢1.\x1c")), max_size=40))
-def test_wordwise_encoding_equals_whole(text):
+@given(st.lists(st.one_of(st.none(), TEXTS, st.sampled_from(["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>"])), max_size=8))
+def test_wordwise_encoding_equals_whole(texts):
+    """As ordinary text, with the library's defaults, and with next to nothing kept between slices."""
+    from tokenizers import Tokenizer
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        if name not in _made:
+            plain, default = (Tokenizer.from_file(vocabulary(name)) for _ in range(2))
+            plain.encode_special_tokens = True
+            _made[name] = [(plain, encoder(vocabulary(name))), (default, WordwiseEncoder(vocabulary(name), special=True)), (plain, WordwiseEncoder(vocabulary(name), most_bytes=500))]
+        for t, own in _made[name]:
+            assert [np.frombuffer(x, "<u4").tolist() for x in own.many(texts)] == [ids(t, x) for x in texts]
+
+
+def test_wordwise_encoding_of_many_words():
+    """Pieces that go to the library together, with and without the separator in them."""
     from tokenizers import Tokenizer
 
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdeé漢0.,'-") for _ in range(r.randrange(1, 9))) for _ in range(3000)]
+    texts = [" ".join(r.choice(words) for _ in range(400)) + r.choice(["", "\nnext line", "  two"]) for _ in range(20)]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
-        t = Tokenizer.from_file(vocabulary(name)) if name not in _made else _made[name]
-        t.encode_special_tokens = True
-        _made[name] = t
-        assert np.frombuffer(encoder(vocabulary(name)).many([text])[0], "<u4").tolist() == ids(t, text)
+        t = Tokenizer.from_file(vocabulary(name))
+        assert [np.frombuffer(x, "<u4").tolist() for x in WordwiseEncoder(vocabulary(name)).many(texts)] == [ids(t, x) for x in texts]
 
 
 _made: dict = {}
