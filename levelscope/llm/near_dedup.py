@@ -137,10 +137,14 @@ def star_pairs(entries: DataFrame) -> DataFrame:
 def prefix_pairs(entries: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Classes of different components that can be linked at all, by their rarest shingles.
 
-    A set that reaches the threshold with another shares all but n - ceil(n * percent / 100)
-    of its n shingles; so one of its rarest shingles, one more than that, is among the
-    rarest of the other too. A class whose changes made enough shingles that nobody has
-    meets no one, however large its bucket is.
+    Shingles have one order, the rarest first. A set that reaches the threshold with another
+    shares all but n - ceil(n * percent / 100) of its n shingles; so the first shingle that the
+    two share is among that many, and one more, of each set's first ones. From there on a set
+    has ``rest`` shingles that other components have too, and no more than the lesser of both
+    rests can be shared: with r the rest, all of n + m (r * (100 + percent) / percent) that is
+    left to a partner's size m is ``room``. Rows that no partner of their shingle has room for
+    go before the join. A class whose changes made enough shingles of its own so meets no one,
+    however large its bucket is.
     """
     classes = entries.select("class", "id", "label", "n").distinct().join(texts, "class")
 
@@ -151,14 +155,19 @@ def prefix_pairs(entries: DataFrame, texts: DataFrame, size: int, percent: int)
 
     rows = written(classes.select("class", "id", "label", "n", "text").mapInPandas(spread, "class binary, id long, label long, n long, shingle long"), "spread")
     common = rows.groupBy("shingle").agg(F.count("*").alias("f"), F.min("label").alias("low"), F.max("label").alias("high"))
-    rank = F.row_number().over(Window.partitionBy("class").orderBy("f", "shingle"))
-    # shingles that another component has too: no more than these can be in common with it
-    open_ = F.count(F.when(F.col("low") < F.col("high"), 1)).over(Window.partitionBy("class"))
-    rare = rows.join(common, "shingle").withColumn("open", open_).withColumn("rank", rank)
-    rare = rare.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("low < high").where(100 * F.col("open") >= percent * F.col("n"))
-    rare = written(rare.select("class", "id", "label", "n", "open", "shingle"), "rare")
-    x, y = rare.alias("x"), rare.alias("y")
-    enough = (100 + percent) * F.least("x.open", "y.open") >= percent * (F.col("x.n") + F.col("y.n"))
+    own = Window.partitionBy("class")
+    order = own.orderBy("f", "shingle")
+    shared = F.count(F.when(F.col("low") < F.col("high"), 1))
+    ranked = rows.join(common, "shingle").withColumn("rank", F.row_number().over(order))
+    ranked = ranked.withColumn("rest", shared.over(own) - shared.over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    room = F.floor(F.col("rest") * (100 + percent) / percent) - F.col("n")
+    rare = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("low < high").withColumn("room", room)
+    rare = written(rare.where(100 * F.col("room") >= percent * F.col("n")).select("class", "id", "label", "n", "rest", "room", "shingle"), "rare")
+    bounds = rare.groupBy("shingle").agg(F.min("n").alias("least_n"), F.max("room").alias("most_room"), F.min("label").alias("low"), F.max("label").alias("high"))
+    meeting = rare.join(bounds.where("low < high"), "shingle").where("room >= least_n AND n <= most_room")
+    meeting = written(meeting.select("class", "id", "label", "n", "rest", "shingle"), "meeting")
+    x, y = meeting.alias("x"), meeting.alias("y")
+    enough = (100 + percent) * F.least("x.rest", "y.rest") >= percent * (F.col("x.n") + F.col("y.n"))
     pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") < F.col("y.label")) & enough)
     return pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.col("x.id").alias("u"), F.col("y.id").alias("v"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
 
@@ -194,13 +203,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         for before in tried:
             pairs = pairs.join(before.select("a", "b"), ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn < STAR_ROUNDS:
-                continue
+        if not pairs.isEmpty():
+            tried.append(pairs)
+            links = written(links.unionByName(verified(pairs, texts, size, percent).select("u", "v")), "links")
+            label = components(links)
+        if turn == STAR_ROUNDS:
             break
-        tried.append(pairs)
-        links = written(links.unionByName(verified(pairs, texts, size, percent).select("u", "v")), "links")
-        label = components(links)
         named = shared.drop("label", "centre").join(label, shared["id"] == label["node"], "left").withColumn("label", F.coalesce("component", "id")).drop("node", "component")
         # buckets of several components stay open, each with a centre of its own for the next turn
         any_ = F.max_by(_centre(), F.xxhash64("bucket", "id", F.lit(turn))).alias("centre")
