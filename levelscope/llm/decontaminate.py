@@ -17,8 +17,6 @@ the best coverage is reported; repeated items likewise. Extra columns are ignore
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,6 +33,9 @@ FILTER_BITS = 24
 #: Seeds that may be broadcast to join; more are joined by a shuffle.
 BROADCAST_SEEDS = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Pairs of equal windows that are looked at together.
+PAIRS_AT_ONCE = 1_000_000
 
 
 def folded_hashes(text: str | None) -> np.ndarray:
@@ -46,14 +47,17 @@ def folded_hashes(text: str | None) -> np.ndarray:
 
 
 def windows(ids: np.ndarray, size: int) -> np.ndarray:
-    """Karp-Rabin hash of each window of ``size`` ids: a polynomial modulo 2^64, mixed."""
+    """Karp-Rabin hash of each window of ``size`` ids: a polynomial modulo 2^64, mixed.
+
+    It rolls: with the running sum of id * base^place, a window is the difference of two
+    sums, brought back to place 0 by the base's inverse; each costs the same at any size.
+    """
     n = len(ids) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for k in range(size):
-        out = out * _BASE + ids[k : k + n]
-    return mix(out)
+    powers, back = (np.cumprod(np.full(len(ids), base, np.uint64)) for base in (_BASE, _INVERSE))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ids * powers)])
+    return mix((sums[size:] - sums[:-size]) * back[:n])
 
 
 def tiles(item: np.ndarray, text: np.ndarray, least: int, first: int = FIRST_WINDOW) -> list[tuple[int, int, int]]:
@@ -64,38 +68,58 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int, first: int = FIRST_WIN
     size = min(first, top)
     while size >= least > 0:
         hashes = windows(text, size)
-        while matches := _matches(item, text, free_item, free_text, size, hashes):
-            longest = max(n for _, _, n in matches)
-            for p, t, n in sorted(matches):
-                if n == longest and free_item[p : p + n].all() and free_text[t : t + n].all():
+        while len(matches := _matches(item, text, free_item, free_text, size, hashes)):
+            longest = matches[:, 2].max()
+            for p, t, n in sorted(map(tuple, matches[matches[:, 2] == longest].tolist())):
+                if free_item[p : p + n].all() and free_text[t : t + n].all():
                     free_item[p : p + n] = free_text[t : t + n] = False
                     found.append((p, t, n))
         size = max(size // 2, least) if size > least else 0
     return found
 
 
-def _matches(item, text, free_item, free_text, size: int, hashes: np.ndarray) -> set[tuple[int, int, int]]:
-    """Unmarked matches that begin with an equal window and can't be extended further."""
-    starts = defaultdict(list)
-    own = windows(item, size)
-    for p in _open(free_item, size).tolist():
-        starts[int(own[p])].append(p)
-    if not starts:
-        return set()
-    at = _open(free_text, size)
-    at = at[np.isin(hashes[at], np.fromiter(starts, np.uint64, len(starts)))]
-    out = set()
-    for t in at.tolist():
-        for p in starts[int(hashes[t])]:
-            if (p and t) and free_item[p - 1] and free_text[t - 1] and item[p - 1] == text[t - 1]:
-                continue  # its beginning is found further left
-            if not np.array_equal(item[p : p + size], text[t : t + size]):
-                continue
-            n = size
-            while p + n < len(item) and t + n < len(text) and free_item[p + n] and free_text[t + n] and item[p + n] == text[t + n]:
-                n += 1
-            out.add((p, t, n))
-    return out
+def _matches(item, text, free_item, free_text, size: int, hashes: np.ndarray) -> np.ndarray:
+    """Unmarked matches (start in item, start in text, words) that can't be extended on either side."""
+    none = np.zeros((0, 3), np.int64)
+    starts, places = _open(free_item, size), _open(free_text, size)
+    if not len(starts) or not len(places):
+        return none
+    own = windows(item, size)[starts]
+    order = np.argsort(own, kind="stable")
+    starts, own = starts[order], own[order]
+    low, high = (np.searchsorted(own, hashes[places], side) for side in ("left", "right"))
+    some = high > low
+    places, low, many = places[some], low[some], (high - low)[some]
+    found, at = [none], 0
+    while at < len(places):
+        end = max(at + 1, int(np.searchsorted(np.cumsum(many[at:]), PAIRS_AT_ONCE, "right")) + at)
+        n = many[at:end]
+        t = np.repeat(places[at:end], n)
+        p = starts[np.repeat(low[at:end] - (np.cumsum(n) - n), n) + np.arange(len(t))]
+        found.append(_extended(item, text, free_item, free_text, size, p, t))
+        at = end
+    return np.concatenate(found)
+
+
+def _extended(item, text, free_item, free_text, size: int, p: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Of pairs of windows with equal hashes, those that begin a match, compared word by word."""
+    inner = np.flatnonzero((p > 0) & (t > 0))
+    before = free_item[p[inner] - 1] & free_text[t[inner] - 1] & (item[p[inner] - 1] == text[t[inner] - 1])
+    first = np.ones(len(p), bool)
+    first[inner[before]] = False  # its beginning is found further left
+    p, t = p[first], t[first]
+    for k in range(size):
+        same = item[p + k] == text[t + k]
+        p, t = p[same], t[same]
+    n, alive = np.full(len(p), size), np.arange(len(p))
+    while len(alive):
+        x, y = p[alive] + n[alive], t[alive] + n[alive]
+        inside = (x < len(item)) & (y < len(text))
+        alive, x, y = alive[inside], x[inside], y[inside]
+        more = free_item[x] & free_text[y] & (item[x] == text[y])
+        alive = alive[more]
+        n[alive] += 1
+    return np.stack([p, t, n], axis=1)
 
 
 def _open(free: np.ndarray, size: int) -> np.ndarray:
@@ -120,20 +144,33 @@ def benchmark_seeds(benchmark: DataFrame, least: int) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInPandas(seeds, "item_id long, size int, seed long")
 
 
-def document_seeds(docs: DataFrame, sizes: list[int], keep: np.ndarray | None) -> DataFrame:
+def seed_filter(seeds: DataFrame) -> np.ndarray:
+    """A bit for each value of the seeds' upper bits, gathered by Spark as 64-bit words.
+
+    The driver gets as many words as the filter has at most, whatever the benchmark's size.
+    """
+    upper = F.shiftrightunsigned("seed", 64 - FILTER_BITS)
+    bit = F.expr("shiftleft(1L, cast(upper % 64 AS int))")
+    words = seeds.select(upper.alias("upper")).groupBy(F.floor(F.col("upper") / 64).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    out = np.zeros(1 << FILTER_BITS - 6, np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def document_seeds(docs: DataFrame, sizes: list[int], keep: np.ndarray) -> DataFrame:
     """doc_id, text_hash, size and seed of the windows of whole texts that pass the filter."""
     held = docs.sparkSession.sparkContext.broadcast(keep)
 
     def seeds(batches):
-        bits = held.value
+        words = held.value
         for batch in batches:
             rows = []
             for doc_id, key, text in zip(batch["doc_id"], batch["text_hash"], batch["text"], strict=True):
                 ids = folded_hashes(text)
                 for size in sizes:
                     h = windows(ids, size)
-                    if bits is not None:
-                        h = h[bits[h >> np.uint64(64 - FILTER_BITS)]]
+                    upper = h >> np.uint64(64 - FILTER_BITS)
+                    h = h[(words[upper >> np.uint64(6)] >> (upper & np.uint64(63)) & np.uint64(1)).astype(bool)]
                     rows += [(doc_id, key, size, x) for x in np.unique(h).view(np.int64).tolist()]
             yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "size", "seed"]).astype({"doc_id": "Int64"})
 
@@ -146,11 +183,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = SEED_WORDS,
     seeds = written(benchmark_seeds(benchmark, least), "seeds")
     few = seeds.count() <= BROADCAST_SEEDS
     sizes = sorted(r["size"] for r in seeds.select("size").distinct().collect())  # at most as many as a seed has words
-    keep = None
-    if few:
-        keep = np.zeros(1 << FILTER_BITS, bool)
-        keep[np.array([r["seed"] for r in seeds.select("seed").collect()], np.int64).view(np.uint64) >> np.uint64(64 - FILTER_BITS)] = True
-    hits = document_seeds(docs, sizes, keep)
+    hits = document_seeds(docs, sizes, seed_filter(seeds))
     pairs = written(hits.join(F.broadcast(seeds) if few else seeds, ["size", "seed"]).select("doc_id", "text_hash", "item_id").distinct(), "pairs")
     some = pairs.count() <= BROADCAST_SEEDS
     same = docs["doc_id"].eqNullSafe(pairs["doc_id"]) & (docs["text_hash"] == pairs["text_hash"])
