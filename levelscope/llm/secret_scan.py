@@ -54,6 +54,8 @@ MORE = (
 )
 RULES = BASE + MORE
 REDACTED = "[REDACTED]"
+#: Code points of the blocks that a text is cut into to copy what lies between its spans.
+BLOCK = 4096
 
 
 def trigram_query(pattern: str) -> frozenset[frozenset[str]] | None:
@@ -143,31 +145,43 @@ def candidates(index: DataFrame, queries: dict[str, frozenset[frozenset[str]]])
     return has.select("doc_id", "text_hash", F.array_compact(F.array(*may)).alias("may")).where(F.size("may") > 0)
 
 
+def running(values: Column, combine) -> Column:
+    """Inclusive running ``combine`` of an array of numbers, in log2(n) passes over it.
+
+    Pass d combines each element with the one 2^d before it; appending to an array element by
+    element would copy it each time.
+    """
+
+    def scanned(own: Column) -> Column:
+        steps = F.when(F.size(own) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(own))).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+
+        def double(state: Column, d: Column) -> Column:
+            far = F.pow(F.lit(2), d).cast("int")
+            return F.transform(state, lambda x, i: F.when(i >= far, combine(x, F.get(state, i - far))).otherwise(x))
+
+        return F.aggregate(steps, own, double)
+
+    return let(values, scanned)
+
+
 def spans(text: Column, rule: Rule) -> Column:
     """array<struct<start, end, kind>> of a rule's matches in a text.
 
-    What lies between matches comes from splitting at them; a match begins after all of
-    that, and of the matches, before it.
+    What lies between matches comes from splitting at them, so a match ends after all gaps
+    and matches up to it.
     """
     pattern = F.lit(rule.pattern)
+    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
 
     def placed(found: Column) -> Column:
         gaps = F.split(text, rule.pattern, -1)
+        ends = running(F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m)), lambda x, y: x + y)
+        value = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
+        rows = F.arrays_zip(ends.alias("end"), found.alias("match"), value.alias("value"))
+        kept = F.filter(rows, lambda x: F.length(x["value"]) >= rule.least)
+        return F.transform(kept, lambda x: F.struct((x["end"] - F.length(x["match"])).alias("start"), x["end"].alias("end"), F.lit(rule.name).alias("kind")))
 
-        def step(state: Column, x: Column) -> Column:
-            start = state["at"] + F.length(x["gap"])
-            end = start + F.length(x["match"])
-            one = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(rule.name).alias("kind")))
-            return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= rule.least, F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
-
-        value = F.regexp_extract_all(text, pattern, F.lit(rule.group))
-        rows = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("match"), value.alias("value"))
-        begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
-        return F.aggregate(rows, begin, step)["out"]
-
-    none = F.lit(None).cast("array<struct<start:int,end:int,kind:string>>")
-    none = F.coalesce(none, F.array().cast("array<struct<start:int,end:int,kind:string>>"))
-    return F.when(F.rlike(text, pattern), let(F.regexp_extract_all(text, pattern, F.lit(0)), placed)).otherwise(none)
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(none))
 
 
 def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -209,16 +223,28 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every run of overlapping spans in ``text`` replaced."""
     found = with_spans(docs, rules)
+    text = F.col("text")
+
+    def redacted(blocks: Column) -> Column:
+        def piece(begin: Column, end: Column) -> Column:
+            """The text from code point ``begin`` to ``end``, out of the blocks that hold it."""
+            first, last = F.floor(begin / BLOCK), F.floor((end - 1) / BLOCK)
+            run = F.array_join(F.slice(blocks, (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+            inside = F.substring(run, (begin % BLOCK + 1).cast("int"), (end - begin).cast("int"))
+            return F.when(end > begin, inside).otherwise(F.lit(""))
+
+        ends = running(F.transform("_spans", lambda x: x["end"]), F.greatest)
+
+        def parts(ends: Column) -> Column:
+            def part(x: Column, i: Column) -> Column:
+                before = F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0))
+                fresh = (x["start"] > before) | (i == 0)
+                return F.when(fresh, F.concat(piece(before, x["start"]), F.lit(REDACTED))).otherwise(F.lit(""))
 
-    def step(state: Column, x: Column) -> Column:
-        fresh = x["start"] > state["at"]
-        gap = F.substring(F.col("text"), state["at"] + 1, x["start"] - state["at"])
-        first = (state["at"] == 0) & (x["start"] == 0) & (state["out"] == "")
-        out = F.when(fresh, F.concat(state["out"], gap, F.lit(REDACTED))).when(first, F.lit(REDACTED)).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), out.alias("out"))
+            tail = piece(F.element_at(ends, -1), F.length(text))
+            return F.concat(F.array_join(F.transform("_spans", part), ""), tail)
 
-    def finish(state: Column) -> Column:
-        return F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, F.length("text")))
+        return let(ends, parts)
 
-    clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, finish)
-    return found.withColumn("text", F.when(F.size("_spans") > 0, clean).otherwise(F.col("text"))).drop("_spans")
+    clean = let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), redacted)
+    return found.withColumn("text", F.when(F.size("_spans") > 0, clean).otherwise(text)).drop("_spans")

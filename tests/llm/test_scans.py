@@ -2,13 +2,15 @@
 
 import collections
 import hashlib
+import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from levelscope.llm import decontaminate, quality_classifier, quality_rules, secret_scan
-from levelscope.llm.common import word_hashes
+from levelscope.llm.common import mix, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -38,6 +40,36 @@ def base_spans(text):
     return [f"{name}:{a}:{b}" for a, _, b, name in sorted(found)]
 
 
+def more_spans(text):
+    found = [(m.start(), k, m.end(), r.name) for k, r in enumerate(secret_scan.RULES) for m in re.finditer(r.pattern, text) if len(m[r.group]) >= r.least]
+    return [f"{name}:{a}:{b}" for a, _, b, name in sorted(found)]
+
+
+def redacted(text):
+    out, at = [], 0
+    for x in more_spans(text):
+        a, b = map(int, x.split(":")[1:])
+        if a > at or not out:
+            out += [text[at:a], "[REDACTED]"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_all_rules_against_re(spark, monkeypatch, most):
+    """Whole span lists and redacted texts, through the index and with a shuffled candidate join."""
+    monkeypatch.setattr(secret_scan, "BROADCAST_ROWS", most)
+    r = random.Random(2)
+    bits = ["gho_" + "aB3" * 12, "xoxb-123456-abcdef", "eyJ" + "a" * 12 + ".eyJ" + "b" * 12 + "." + "c" * 12, "-----BEGIN EC PRIVATE KEY-----", "token=" + "f" * 30, "AKIA" + "A1" * 10, "é漢\U0001f600", " words ", "secret: x", "0123456789abcdef" * 2]
+    texts = ["".join(r.choice(bits) + r.choice(["", " ", "\n"]) for _ in range(r.randrange(12))) for _ in range(60)]
+    texts += ["x" * 5000 + " token=abcdefgh " + "é" * 9000 + "token=abcdefgh", "ab " * 3 + ("0123456789abcdef0123456789 z " * 16_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for row in secret_scan.scan(docs).collect():
+        assert row["spans"] == ",".join(more_spans(texts[row["doc_id"]]))
+    for row in secret_scan.redact(docs).collect():
+        assert row["text"] == redacted(texts[row["doc_id"]])
+
+
 def test_secret_scan(spark):
     docs = spark.createDataFrame([(k, t, "c") for k, t in enumerate(SECRETS)] + [(None, SECRETS[0], "c"), (1, SECRETS[1], "c")], "doc_id long, text string, spans string")
     rows = secret_scan.scan(docs).collect()
@@ -147,9 +179,30 @@ def test_tiles_cover_as_greedily_as_brute_force(seed):
         assert item[p : p + n] == text[t : t + n]
 
 
-def test_contaminated(spark):
+def test_windows_roll_like_the_polynomial():
+    ids = word_hashes(" ".join("abcdefg"[k % 7] + str(k % 11) for k in range(60)))
+    for size in (1, 2, 5, 32, 60, 61):
+        own = []
+        for at in range(len(ids) - size + 1):
+            h = sum(int(x) * pow(int(decontaminate._BASE), k, 1 << 64) for k, x in enumerate(ids[at : at + size])) % (1 << 64)
+            own.append(h)
+        assert decontaminate.windows(ids, size).tolist() == mix(np.array(own, np.uint64)).tolist()
+
+
+def test_tiles_of_one_repeated_word_and_of_long_texts():
+    same = word_hashes("again " * 300), word_hashes("again " * 20_000)
+    assert sum(n for _, _, n in decontaminate.tiles(*same, 5)) == 300
+    item = word_hashes(" ".join(f"w{k}" for k in range(200)))
+    text = np.concatenate([word_hashes(" ".join(f"x{k % 977}" for k in range(300_000))), item[100:], word_hashes("y"), item[:100]])
+    assert sorted(decontaminate.tiles(item, text, 5)) == [(0, 300_101, 100), (100, 300_000, 100)]
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_contaminated(spark, monkeypatch, most):
     from .conftest import prose
 
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", most)
+
     bench = spark.createDataFrame([(1, prose(1000, 40), "t"), (2, prose(1001, 20), "t"), (3, None, "t"), (4, "", "t"), (5, "tiny item here", "t"), (1, prose(1000, 40), "t")], "item_id long, text string, size string")
     w = prose(1000, 40).split()
     reordered = " ".join(w[20:] + ["and"] + w[:20])
