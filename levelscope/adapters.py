@@ -49,10 +49,45 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("symbol", "session_id", "l.level_id", "l.level_price", "l.level_type", F.lit(0.25).alias("level_width_atr"), created.alias("created_ts_ms"))
 
 
-def markers(spark: SparkSession, sf_dir: str, every: int = 500) -> DataFrame:
-    """Sparse markers with two price tags, from each ``every``-th signup."""
-    tape = events_tape(spark, sf_dir).where((F.col("event_type") == "signup") & (F.col("seq") % every == 0))
-    kind = F.element_at(F.array(*[F.lit(x) for x in ("consolidation", "support_bounce", "breakdown", "downtrend_break")]), F.expr(f"CAST((seq div {every}) % 4 + 1 AS INT)"))
+#: How the levels ended, for scenarios; one that isn't here is pending.
+LEVEL_OUTCOMES = {"L1": "win", "L2": "loss"}
+#: Sizes of this tape are far below the share counts that rules on large volume ask for.
+HEAVY = 1000.0
+#: Bounces of this tape are a tenth of those that count as positive on real ones.
+BOUNCE = 0.0005
+
+
+def level_outcomes(every: DataFrame) -> DataFrame:
+    known = F.create_map(*[F.lit(x) for pair in LEVEL_OUTCOMES.items() for x in pair])
+    return every.select("symbol", "session_id", "level_id", F.get(F.map_values(F.map_filter(known, lambda k, _: k == F.col("level_id"))), F.lit(0)).alias("level_outcome"))
+
+
+def heavy(stream: DataFrame) -> DataFrame:
+    """The stream with its volumes and deltas times ``HEAVY``."""
+    names = [c for c in stream.columns if "volume" in c and "share" not in c and "vol_" not in c or c in ("delta", "large_trade_delta")]
+    return stream.withColumns({c: F.col(c) * HEAVY for c in names})
+
+
+def chain_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain a session: its levels and two averages, watched in the session's thirds, less ten minutes each."""
+    extent = events_tape(spark, sf_dir).groupBy("symbol", "session_id").agg(F.min("ts_ms").alias("start"), F.max("ts_ms").alias("end"))
+    third = F.expr("(end - start) div 3")
+    spots = [F.struct(F.lit(k).alias("k"), F.lit(p).cast("double").alias("price"), F.lit(t).alias("kind")) for k, (_, p, t, _) in enumerate(LEVELS)]
+    every = extent.select("*", third.alias("third"), F.explode(F.array(*spots, F.struct(F.lit(2).alias("k"), F.lit(None).cast("double").alias("price"), F.lit(None).cast("string").alias("kind")))).alias("x"))
+    begin = F.col("start") + F.col("third") * F.col("x.k")
+    tags = F.when(F.col("x.price").isNotNull(), F.array(F.struct(F.col("x.price").alias("price"), F.col("x.kind").alias("kind"))))
+    moving = F.col("x.price").isNull()
+    notes = F.to_json(F.struct(
+        F.lit("level_chain_v1").alias("schema"), F.lit("c1").alias("chain_id"), (begin + F.col("third") - 600_000).alias("end_ts_ms"), tags.alias("price_tags"),
+        F.when(moving, "indicator").otherwise("price").alias("level_type"), F.when(moving, F.array(F.lit("ema9"), F.lit("vwap"))).alias("indicators"), F.lit(0.0015).alias("band_pct"),
+    ))
+    return every.select(F.concat_ws("-", F.lit("c"), "session_id", F.col("x.k").cast("string"), F.when(moving, "i").otherwise("p")).alias("marker_id"), "symbol", "session_id", begin.alias("ts_ms"), F.lit("level").alias("marker_type"), F.lit("long").alias("direction_bias"), notes.alias("notes"))
+
+
+def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A marker with two price tags from every signup."""
+    tape = events_tape(spark, sf_dir).where(F.col("event_type") == "signup")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("consolidation", "support_bounce", "breakdown", "downtrend_break")]), F.expr("CAST(seq % 4 + 1 AS INT)"))
     notes = F.to_json(F.struct((F.col("ts_ms") + 600_000).alias("end_ts_ms"), F.array(*[F.struct(F.lit(p).alias("price"), F.lit(t).alias("kind")) for _, p, t, _ in LEVELS[:2]]).alias("price_tags")))
     typed = tape.withColumn("marker_type", kind)
     bias = F.when(F.col("marker_type") == "consolidation", "long")

@@ -43,6 +43,11 @@ def sign(x: Column, eps: float = DEAD_ZONE) -> Column:
     return F.when(x > eps, 1).when(x < -eps, -1).otherwise(0)
 
 
+def asinh(x: Column) -> Column:
+    """Inverse hyperbolic sine by its symmetry: Spark's own loses large negative numbers."""
+    return F.signum(x) * F.asinh(F.abs(x))
+
+
 def clamp01(x: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
 

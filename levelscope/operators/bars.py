@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import EXCHANGE_ZONE, bucket, local, true_range
 from ..schemas import KEY
+from .tape import accumulated
 
 WIDTHS = {"30s": 30_000, "1m": 60_000, "2m": 120_000, "3m": 180_000}
 PERIODS = (9, 20, 30, 200)
@@ -45,9 +46,10 @@ def vwap(trades: DataFrame, premarket: bool = False, zone: str = EXCHANGE_ZONE,
     counts = F.col("size") > 0
     if not premarket:
         counts = counts & (F.date_format(when, "HH:mm:ss") >= opens)
-    w = Window.partitionBy("symbol", F.date_format(when, "yyyy-MM-dd")).orderBy("ts_ms", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    money, size = F.sum(F.when(counts, F.col("price") * F.col("size"))).over(w), F.sum(F.when(counts, F.col("size"))).over(w)
-    return trades.withColumn("vwap", money / size)
+    value = {"_money": F.when(counts, F.col("price") * F.col("size")), "_size": F.when(counts, F.col("size"))}
+    dated = trades.withColumn("_day", F.date_format(when, "yyyy-MM-dd"))
+    summed = accumulated(dated, value, ["ts_ms", "seq"], ["symbol", "_day"])
+    return summed.withColumn("vwap", F.try_divide("_money", "_size")).drop("_day", "_money", "_size")
 
 
 def with_emas(bar: DataFrame, periods: tuple[int, ...] = PERIODS) -> DataFrame:

@@ -5,32 +5,76 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expressions import asinh
 from ..schemas import KEY
 
-FEATURES = ("delta", "total_volume", "trade_count", "relative_aggression", "cvd_60s", "price_return_60s", "buy_volume", "sell_volume")
+#: What a tick of an episode is ranked by; the ratio-like ones are compared as asinh, where they can't explode.
+FEATURES = (
+    "delta", "cvd_60s", "cvd_30s", "relative_aggression", "absorption_index", "divergence_score", "buy_on_red", "sell_on_green", "spread_pct", "signed_distance_atr", "vol_zscore", "trade_zscore",
+    "compression_index", "ema_confluence_score",
+)
+RATIO_LIKE = ("absorption_index", "divergence_score", "buy_on_red", "sell_on_green")
+EARLY = 6
+
+
+def _tall(ticks: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("episode_id", "phase").orderBy("ts_ms"))
+    stacked = F.expr(f"stack({len(names)}, {', '.join(f"'{n}', CAST({n} AS DOUBLE)" for n in names)}) AS (feature, x)")
+    return ticks.withColumn("_n", rank).select("episode_id", "phase", "_n", stacked)
 
 
 def feature_ranking(ticks: DataFrame, outcomes: DataFrame, names: tuple[str, ...] = FEATURES, most: int = 20) -> DataFrame:
     """How far the change of each feature from baseline to stress separates wins from losses.
 
     ``ticks`` have episode_id, phase, ts_ms; the first six stress ticks count. Features with
-    fewer than two episodes of either outcome are left out; the ``most`` largest stay.
+    fewer than two episodes of either outcome are left out; the ``most`` largest effects stay,
+    of equal ones those with the larger difference. Without any deviation an effect is 0.
     """
-    w = Window.partitionBy("episode_id", "phase").orderBy("ts_ms")
-    early = ticks.withColumn("_n", F.row_number().over(w)).where("phase = 'baseline' OR (phase = 'stress' AND _n <= 6)")
-    tall = early.select("episode_id", "phase", F.expr(f"stack({len(names)}, {', '.join(f"'{n}', CAST({n} AS DOUBLE)" for n in names)}) AS (feature, x)"))
-    change = tall.groupBy("episode_id", "feature").agg((F.avg(F.when(F.col("phase") == "stress", F.col("x"))) - F.avg(F.when(F.col("phase") == "baseline", F.col("x")))).alias("change"))
+    early = _tall(ticks, names).where(f"phase = 'baseline' OR (phase = 'stress' AND _n <= {EARLY})")
+    change = early.groupBy("episode_id", "feature").agg((F.avg(F.when(F.col("phase") == "stress", F.col("x"))) - F.avg(F.when(F.col("phase") == "baseline", F.col("x")))).alias("change"))
     joined = change.join(outcomes.select("episode_id", "outcome"), "episode_id").where("change IS NOT NULL")
+    joined = joined.withColumn("stable", F.when(F.col("feature").isin(*RATIO_LIKE), asinh(F.col("change"))).otherwise(F.col("change")))
 
-    def of(kind: str, f) -> Column:
-        return f(F.when(F.col("outcome") == kind, F.col("change")))
+    def of(kind: str, f, column: str = "change") -> Column:
+        return f(F.when(F.col("outcome") == kind, F.col(column)))
 
     out = joined.groupBy("feature").agg(
-        of("win", F.count).alias("wins"), of("loss", F.count).alias("losses"), of("win", F.avg).alias("win_mean"), of("loss", F.avg).alias("loss_mean"), of("win", F.stddev_pop).alias("_w"), of("loss", F.stddev_pop).alias("_l"),
+        of("win", F.count).alias("wins"), of("loss", F.count).alias("losses"), of("win", F.avg).alias("win_mean"), of("loss", F.avg).alias("loss_mean"),
+        (of("win", F.avg, "stable") - of("loss", F.avg, "stable")).alias("_apart"), of("win", F.stddev_pop, "stable").alias("_w"), of("loss", F.stddev_pop, "stable").alias("_l"),
     ).where("wins >= 2 AND losses >= 2")
     pooled = F.sqrt((F.col("_w") * F.col("_w") + F.col("_l") * F.col("_l")) / 2)
-    out = out.withColumn("effect", (F.col("win_mean") - F.col("loss_mean")) / (pooled + 1e-9))
-    return out.drop("_w", "_l").orderBy(F.desc(F.abs("effect")), "feature").limit(most)
+    out = out.withColumns({"diff": F.col("win_mean") - F.col("loss_mean"), "effect": F.when(pooled > 0, F.col("_apart") / (pooled + 1e-12)).otherwise(0.0)})
+    return out.drop("_w", "_l", "_apart").orderBy(F.desc(F.abs("effect")), F.desc(F.abs("diff")), "feature").limit(most)
+
+
+def feature_corr(ticks: DataFrame, outcomes: DataFrame, names: tuple[str, ...] = FEATURES, most: int = 15) -> DataFrame:
+    """Means and deviations of features by window (baseline, early stress, all stress), and their correlation with winning.
+
+    An episode without a value counts with the feature's median; the ``most`` largest differences stay.
+    """
+    tall = _tall(ticks, names)
+    stress = F.col("phase") == "stress"
+    windows = F.explode(F.array_compact(F.array(F.when(F.col("phase") == "baseline", F.lit("baseline")), F.when(stress, F.lit("stress")), F.when(stress & (F.col("_n") <= EARLY), F.lit("early_stress_60s"))))).alias("window")
+    per = tall.select("episode_id", "feature", "x", windows).groupBy("episode_id", "feature", "window").agg(F.avg("x").alias("mean"), F.coalesce(F.stddev_pop("x"), F.lit(0.0)).alias("std"))
+    known = outcomes.where("outcome IN ('win', 'loss')").select("episode_id", (F.col("outcome") == "win").cast("double").alias("y"))
+    each = per.select("episode_id", "feature", "window", F.expr("stack(2, 'mean', mean, 'std', std) AS (stat, x)"))
+    sets = each.select("feature", "window", "stat").distinct()
+    grid = known.crossJoin(F.broadcast(sets))  # three windows and two statistics of each feature
+    full = grid.join(each, ["episode_id", "feature", "window", "stat"], "left")
+    keys = ["feature", "window", "stat"]
+    full = full.join(full.groupBy(*keys).agg(F.percentile("x", F.lit(0.5)).alias("_median")), keys)
+    win, loss = F.when(F.col("y") == 1, F.col("x")), F.when(F.col("y") == 0, F.col("x"))
+    out = full.groupBy(*keys).agg(F.count(win).alias("wins"), F.count(loss).alias("losses"), F.avg(win).alias("win_mean"), F.avg(loss).alias("loss_mean"), F.corr(F.coalesce("x", "_median"), "y").alias("corr"))
+    out = out.where("wins >= 2 AND losses >= 2").withColumn("diff", F.col("win_mean") - F.col("loss_mean"))
+    return out.orderBy(F.desc(F.abs("diff")), F.desc("corr"), *keys).limit(most)
+
+
+def episode_stats(episodes: DataFrame, metrics: tuple[str, ...] = ("mfe", "mae", "time_to_mfe_ms", "time_to_failure_ms")) -> DataFrame:
+    """Least, median, 90th percentile, largest and mean of each metric, by session."""
+    stacked = F.expr(f"stack({len(metrics)}, {', '.join(f"'{m}', CAST({m} AS DOUBLE)" for m in metrics)}) AS (metric, x)")
+    p = F.percentile("x", F.array(F.lit(0.5), F.lit(0.9)))
+    out = episodes.select("session_id", stacked).where("x IS NOT NULL").groupBy("session_id", "metric").agg(F.min("x").alias("min"), p.alias("p"), F.max("x").alias("max"), F.avg("x").alias("mean"))
+    return out.select("session_id", "metric", "min", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p90"), "max", "mean")
 
 
 def reports_index(episodes: DataFrame) -> DataFrame:
@@ -41,18 +85,6 @@ def reports_index(episodes: DataFrame) -> DataFrame:
     ).withColumn("win_rate", F.try_divide("wins", F.col("wins") + F.col("losses")))
 
 
-def pattern_index(packets: DataFrame, least: float = 0.0005, most: int = 20) -> DataFrame:
-    """Combinations of flags at touches that bounced, by how often and in how many sessions."""
-    flags = F.array_compact(F.array(
-        F.when(F.col("delta_flip_flag"), F.lit("delta_flip")), F.when(F.col("institutional_buy"), F.lit("inst_buy")), F.when(F.col("wick_recovered_flag"), F.lit("wick")),
-        F.when(F.col("rel_aggr_0_30s") > 0, F.lit("aggression")), F.when(F.col("touch_volume_z") > 1, F.lit("volume")), F.when(F.col("compression_index") >= 1, F.lit("compression")),
-    ))
-    good = packets.where(F.col("bounce_return_60s_pct") >= least).select("session_id", "symbol", "level_type", F.array_join(F.array_sort(flags), "+").alias("combo"))
-    out = good.groupBy("level_type", "combo").agg(F.count("*").alias("touches"), F.countDistinct("session_id").alias("sessions"), F.countDistinct("symbol").alias("symbols"))
-    w = Window.partitionBy("level_type").orderBy(F.desc("touches"), "combo")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
-
-
 def shared_combos(index_by_session: DataFrame) -> DataFrame:
     """Combinations (session_id, combo) that every session has."""
     n = index_by_session.select("session_id").distinct().agg(F.count("*").alias("n"))
@@ -75,11 +107,31 @@ def dq_nulls(df: DataFrame, names: list[str]) -> DataFrame:
     return one.select(F.expr(f"stack({len(names)}, {', '.join(f"'{n}', `{n}`" for n in names)}) AS (column, null_rate)"))
 
 
-def dq_dists(df: DataFrame, names: list[str]) -> DataFrame:
-    """Least, largest, mean, median and 90th percentile of each column."""
-    tall = df.select(F.expr(f"stack({len(names)}, {', '.join(f"'{n}', CAST(`{n}` AS DOUBLE)" for n in names)}) AS (column, x)")).where("x IS NOT NULL")
-    p = F.percentile("x", F.array(F.lit(0.5), F.lit(0.9)))
-    return tall.groupBy("column").agg(F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), p.alias("p")).select("column", "min", "max", "mean", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p90"))
+def dq_dists(df: DataFrame, names: list[str], points: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:
+    """Least, largest, mean and percentiles (interpolated) of each column.
+
+    Values are counted first; each count is then placed among the ranks of its column by running
+    sums over ranges of values, so no task holds a column's values.
+    """
+    stacked = F.expr(f"stack({len(names)}, {', '.join(f"'{n}', CAST(`{n}` AS DOUBLE)" for n in names)}) AS (column, x)")
+    counted = df.select(stacked).where("x IS NOT NULL").groupBy("column", "x").agg(F.count("*").alias("n"))
+    whole = counted.groupBy("column").agg(F.min("x").alias("min"), F.max("x").alias("max"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("rows"))
+    ranged = counted.join(F.broadcast(whole.select("column", "min", "max")), "column")  # a row for each named column
+    bins = F.least(F.lit(4095), F.floor(F.coalesce(F.try_divide(F.col("x") - F.col("min"), F.col("max") - F.col("min")), F.lit(0.0)) * 4096)).cast("int")
+    ranged = ranged.withColumn("_bin", bins)
+    before = Window.partitionBy("column").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    by_bin = ranged.groupBy("column", "_bin").agg(F.sum("n").alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    inside = Window.partitionBy("column", "_bin").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.join(by_bin.select("column", "_bin", "_before"), ["column", "_bin"]).withColumn("_upto", F.sum("n").over(inside) + F.col("_before"))
+    ranks = placed.join(F.broadcast(whole.select("column", "rows")), "column")
+    picked = []
+    for k, p in enumerate(points):
+        at = (F.col("rows") - 1) * p
+        low, high = F.floor(at), F.ceil(at)
+        begin, end = F.col("_upto") - F.col("n"), F.col("_upto") - 1
+        value = [F.max(F.when((begin <= i) & (i <= end), F.col("x"))) for i in (low, high)]
+        picked.append((value[0] + (value[1] - value[0]) * F.max(at - low)).alias(f"p{round(100 * p)}"))
+    return whole.drop("rows").join(ranks.groupBy("column").agg(*picked), "column")
 
 
 def dq_value_counts(df: DataFrame, names: list[str]) -> DataFrame:
@@ -89,10 +141,58 @@ def dq_value_counts(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def dq_cadence(ticks: DataFrame, part: list[str], step_ms: int = 10_000) -> DataFrame:
-    """Distances between successive times: extremes, share of regular ones, gaps."""
+    """Distances between successive times of each part: extremes, percentiles, share of regular ones, gaps."""
     d = F.col("ts_ms") - F.lag("ts_ms").over(Window.partitionBy(*part).orderBy("ts_ms"))
     x = ticks.withColumn("d", d).where("d IS NOT NULL")
-    return x.groupBy(*part).agg(F.min("d").alias("min"), F.max("d").alias("max"), F.avg((F.col("d") == step_ms).cast("double")).alias("regular"), F.count(F.when(F.col("d") > 20_000, 1)).alias("gaps_20s"), F.count(F.when(F.col("d") > 60_000, 1)).alias("gaps_60s"))
+    return x.groupBy(*part).agg(
+        F.min("d").alias("min"), F.percentile("d", F.lit(0.5)).alias("p50"), F.percentile("d", F.lit(0.9)).alias("p90"), F.max("d").alias("max"), F.avg((F.col("d") == step_ms).cast("double")).alias("regular"),
+        F.count(F.when(F.col("d") > 20_000, 1)).alias("gaps_20s"), F.count(F.when(F.col("d") > 60_000, 1)).alias("gaps_60s"),
+    )
+
+
+def dq_sequence(ticks: DataFrame, part: list[str], order: str = "ts_ms", number: str = "sequence_id") -> DataFrame:
+    """Whether the numbers of each part never fall in order of time, and how many repeat."""
+    ok = F.coalesce(F.col(number) >= F.lag(number).over(Window.partitionBy(*part).orderBy(order)), F.lit(True))
+    return ticks.withColumn("_ok", ok).groupBy(*part).agg(F.min("_ok").alias("monotonic"), (F.count("*") - F.countDistinct(number)).alias("duplicates"))
+
+
+def dq_zone(ticks: DataFrame, part: list[str]) -> DataFrame:
+    """Shares of ticks within a quarter and half an ATR of the level, and of those that diverge."""
+    near = [F.avg((F.abs("signed_distance_atr") <= x).cast("double")).alias(n) for x, n in ((0.25, "share_25"), (0.5, "share_50"))]
+    apart = [F.avg((F.col("divergence_flag") == 1).cast("double")).alias("share_divergent")] if "divergence_flag" in ticks.columns else []
+    return ticks.groupBy(*part).agg(*near, *apart)
+
+
+def dq_outliers(ticks: DataFrame, column: str, part: list[str], keep: list[str], most: int = 10) -> DataFrame:
+    """The rows with the largest values of a column in each part."""
+    w = Window.partitionBy(*part).orderBy(F.desc(column), *keep)
+    return ticks.where(F.col(column).isNotNull()).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select(*part, "rank", *keep, column)
+
+
+#: Pairs of an episode's times whose distance should make sense.
+TIMES = (("start_time", "zone_entry_time"), ("zone_entry_time", "zone_exit_time"), ("zone_entry_time", "resolution_time"), ("start_time", "end_time"))
+
+
+def dq_time(episodes: DataFrame) -> DataFrame:
+    """Least, median, 90th percentile and largest distance of the times of episodes, a row a pair."""
+    pairs = [(a, b) for a, b in TIMES if a in episodes.columns and b in episodes.columns]
+    stacked = F.expr(f"stack({len(pairs)}, {', '.join(f"'{a} to {b}', CAST({b} - {a} AS DOUBLE)" for a, b in pairs)}) AS (pair, d)")
+    p = F.percentile("d", F.array(F.lit(0.5), F.lit(0.9)))
+    out = episodes.select(stacked).where("d IS NOT NULL").groupBy("pair").agg(F.min("d").alias("min"), p.alias("p"), F.max("d").alias("max"), F.count("*").alias("n"))
+    return out.select("pair", "n", "min", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p90"), "max")
+
+
+def dq_coverage(snapshots: DataFrame, stream: DataFrame) -> DataFrame:
+    """Whether the snapshots of each session lie inside its stream."""
+    a = snapshots.groupBy(*KEY).agg(F.min("ts_ms").alias("first"), F.max("ts_ms").alias("last"))
+    b = stream.groupBy(*KEY).agg(F.min("ts_ms").alias("stream_first"), F.max("ts_ms").alias("stream_last"))
+    inside = (F.col("first") >= F.col("stream_first")) & (F.col("last") <= F.col("stream_last"))
+    return a.join(b, KEY, "left").withColumn("inside", F.coalesce(inside, F.lit(False)))
+
+
+def dq_markers(found: DataFrame) -> DataFrame:
+    """Marker episodes that lack their marker's id or time."""
+    return found.agg(F.count("*").alias("rows"), F.count(F.when(F.col("marker_id").isNull(), 1)).alias("without_id"), F.count(F.when(F.col("marker_ts_ms").isNull(), 1)).alias("without_time"))
 
 
 def dq_missing(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -107,5 +207,5 @@ def minute_extremes(ticks: DataFrame) -> DataFrame:
     first, last = F.col("_a") <= 6, F.col("_z") <= 6
     return one.groupBy(*KEY).agg(
         F.max(F.when(first, F.col("high_10s"))).alias("first_high"), F.min(F.when(first, F.col("low_10s"))).alias("first_low"), F.max(F.when(last, F.col("high_10s"))).alias("last_high"), F.min(F.when(last, F.col("low_10s"))).alias("last_low"),
-        F.max("last_price").alias("peak"), F.min("last_price").alias("low"), ((F.max("last_price") - F.min("last_price")) / F.max("last_price") * 100).alias("drop_pct"),
+        F.max("last_price").alias("peak"), F.min("last_price").alias("low"), (F.try_divide(F.max("last_price") - F.min("last_price"), F.max("last_price")) * 100).alias("drop_pct"),
     )

@@ -29,14 +29,50 @@ def carried(df: DataFrame, name: str, value: Column, order: list[str], inclusive
     return df.withColumn(name, near).join(left, part).withColumn(name, F.coalesce(name, "_before")).drop("_slice", "_value", "_before")
 
 
-def in_reach(anchors: DataFrame, ticks: DataFrame, begin: Column, end: Column, slice_ms: int = REACH_MS) -> DataFrame:
+def accumulated(df: DataFrame, values: dict[str, Column], order: list[str], keys: list[str] = KEY, slice_ms: int = SLICE_MS) -> DataFrame:
+    """``df`` plus running sums of ``values`` up to each row: within its slice, on top of all slices before."""
+    part = [*keys, "_slice"]
+    df = df.withColumn("_slice", F.expr(f"ts_ms div {slice_ms}")).withColumns({f"_{n}": v for n, v in values.items()})
+    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*part).agg(*[F.sum(f"_{n}").alias(f"_all_{n}") for n in values])
+    left = totals.select(*part, *[F.sum(f"_all_{n}").over(before).alias(f"_before_{n}") for n in values])
+    near = df.withColumns({n: F.sum(f"_{n}").over(w) for n in values}).join(left, part)
+    # a sum without any value is null, not 0
+    both = {n: F.when(F.col(n).isNull(), F.col(f"_before_{n}")).otherwise(F.col(n) + F.coalesce(f"_before_{n}", F.lit(0))) for n in values}
+    return near.withColumns(both).drop("_slice", *[f"_{n}" for n in values], *[f"_before_{n}" for n in values])
+
+
+def stable_order(events: DataFrame, order: list[str] = ["ts_ms", "seq"]) -> DataFrame:  # noqa: B006
+    """``position`` of each row in its session by time and arrival."""
+    return accumulated(events, {"position": F.lit(1).cast("long")}, order)
+
+
+def event_merge(quotes: DataFrame, trades: DataFrame, commands: DataFrame | None = None) -> DataFrame:
+    """Quotes, commands and trades of a session in one order: by time, at equal times in this order, then by arrival."""
+    kinds = [("quote", 0, quotes), ("command", 1, commands), ("trade", 2, trades)]
+    parts = [df.select("seq", *KEY, "ts_ms", F.lit(name).alias("kind"), F.lit(k).alias("_kind")) for name, k, df in kinds if df is not None]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return stable_order(every, ["ts_ms", "_kind", "seq"]).drop("_kind")
+
+
+def tape_preview(trades: DataFrame, quotes: DataFrame) -> DataFrame:
+    """How many trades and quotes each session has, and its first and last price."""
+    order = F.struct("ts_ms", "seq")
+    a = trades.groupBy(*KEY).agg(F.count("*").alias("n_trades"), F.min_by("price", order).alias("first_price"), F.max_by("price", order).alias("last_price"))
+    return a.join(quotes.groupBy(*KEY).agg(F.count("*").alias("n_quotes")), KEY, "full").fillna(0, ["n_trades", "n_quotes"])
+
+
+def in_reach(anchors: DataFrame, ticks: DataFrame, begin: Column, end: Column, slice_ms: int = REACH_MS, keys: list[str] = KEY) -> DataFrame:
     """Anchors with the ticks of their session from ``begin`` to ``end``, both included.
 
     An anchor goes to the few slices that its window covers and meets their ticks, not the session's.
     """
     near = anchors.withColumn("_begin", begin).withColumn("_end", end)
     near = near.withColumn("_slice", F.explode(F.expr(f"sequence(_begin div {slice_ms}, _end div {slice_ms})")))
-    both = near.join(ticks.withColumn("_slice", F.expr(f"ts_ms div {slice_ms}")), [*KEY, "_slice"])
+    both = near.join(ticks.withColumn("_slice", F.expr(f"ts_ms div {slice_ms}")), [*keys, "_slice"])
     return both.where(F.col("ts_ms").between(F.col("_begin"), F.col("_end"))).drop("_slice", "_begin", "_end")
 
 

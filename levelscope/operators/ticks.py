@@ -127,14 +127,15 @@ def trade_size(sided: DataFrame) -> DataFrame:
 
 def realized_vol(ticks: DataFrame) -> DataFrame:
     """Deviation of the log returns between the positive prices of the last 60 s."""
-    step = F.ln(F.col("last_price") / F.lag("last_price").over(_order()))
+    price, before = F.col("last_price"), F.lag("last_price").over(_order())
+    step = F.when((price > 0) & (before > 0), F.ln(price / before))
     return ticks.withColumn("_r", step).withColumn("realized_vol_60s", F.coalesce(F.stddev_pop("_r").over(_over(-50_000, 0)), F.lit(0.0))).drop("_r")
 
 
 def approach_return(ticks: DataFrame) -> DataFrame:
     """Log return against the price 60 s before, or the latest before that within five minutes."""
     before = F.last("last_price", ignorenulls=True).over(_over(-300_000, -60_000))
-    return ticks.withColumn("approach_return_60s", F.coalesce(F.ln(F.col("last_price") / before), F.lit(0.0)))
+    return ticks.withColumn("approach_return_60s", F.coalesce(F.when((before > 0) & (F.col("last_price") > 0), F.ln(F.col("last_price") / before)), F.lit(0.0)))
 
 
 def ema_structure(ticks: DataFrame, confluence_ref: float = CONFLUENCE_REF) -> DataFrame:
@@ -146,32 +147,41 @@ def ema_structure(ticks: DataFrame, confluence_ref: float = CONFLUENCE_REF) -> D
     seconds = (F.col("ts_ms") - F.col("_then.ts_ms")) / 1000.0
     for p in (9, 20, 30):
         one = one.withColumn(f"slope_ema{p}_60s", F.coalesce((F.col(f"ema{p}") - F.col(f"_then.ema{p}")) / seconds, F.lit(0.0)))
-    compression = (F.abs(e9 - e20) + F.abs(e20 - e30)) / atr
+    moving = e9.isNotNull() & atr.isNotNull()
+    # equal prices have no range; by convention what is measured by it is 0 then
+    compression = F.when(atr > 0, (F.abs(e9 - e20) + F.abs(e20 - e30)) / atr).when(moving, 0.0)
     return (
         one.drop("_then").withColumn("ema_spread_9_20", e9 - e20).withColumn("ema_spread_20_30", e20 - e30)
         .withColumn("compression_index", compression).withColumn("ema_confluence_score", clamp01(1 - compression / confluence_ref))
         .withColumn("stack_state", F.when(e9.isNotNull(), stack_state(price, e9, e20, e30)))
         .withColumn("price_vs_emas", F.when(price.isNotNull(), price_mask(price, e9, e20, e30, e200)).otherwise(0))
-        .withColumn("stretch_200_atr", F.coalesce((price - e200) / atr, F.lit(0.0)))
+        .withColumn("stretch_200_atr", F.coalesce(F.when(atr > 0, (price - e200) / atr), F.lit(0.0)))
     )
 
 
 def vwap_context(ticks: DataFrame) -> DataFrame:
     d = F.col("last_price") - F.col("vwap_session")
     state = F.when(d > 1e-12, "above").when(d < -1e-12, "below").when(d.isNotNull(), "at")
-    return ticks.withColumn("price_minus_vwap", d).withColumn("price_minus_vwap_atr", d / F.col("atr")).withColumn("vwap_state", state)
+    return ticks.withColumn("price_minus_vwap", d).withColumn("price_minus_vwap_atr", F.when(F.col("atr") > 0, d / F.col("atr")).when(d.isNotNull() & F.col("atr").isNotNull(), 0.0)).withColumn("vwap_state", state)
 
 
-def large_threshold(grid: DataFrame, sided: DataFrame) -> DataFrame:
+def large_threshold(grid: DataFrame, sided: DataFrame, share: float = 0.95, window_ms: int = 300_000) -> DataFrame:
     """The 95th percentile (nearest rank) of the trade sizes of the five minutes to each tick.
 
-    A trade is sent to the ticks whose window holds it, 31 at most.
+    A window begins at a whole millisecond inside a tick, so trades are first counted by tick,
+    size and whether they lie in the part of their tick that its farthest window still holds;
+    only these counts go to the 31 ticks whose windows hold them. The rank is found by running
+    counts over the distinct sizes of a window.
     """
-    t = sided.where("size > 0").select(*KEY, "ts_ms", "size")
     first = tick_of(F.col("ts_ms"))
-    last = first + F.floor((F.col("ts_ms") + 300_000 - first) / TICK_MS) * TICK_MS
-    sent = t.select(*KEY, F.explode(F.sequence(first, last, F.lit(TICK_MS))).alias("ts_ms"), "size")
-    out = sent.groupBy(*TICK).agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY size)").alias("large_trade_threshold_size"))
+    farthest = first + F.floor((F.col("ts_ms") + window_ms - first) / TICK_MS) * TICK_MS
+    counted = sided.where("size > 0").groupBy(*KEY, first.alias("first"), farthest.alias("farthest"), "size").agg(F.count("*").alias("n"))
+    sent = counted.select(*KEY, F.explode(F.sequence("first", "farthest", F.lit(TICK_MS))).alias("ts_ms"), "size", "n")
+    sizes = sent.groupBy(*TICK, "size").agg(F.sum("n").alias("n"))
+    part = Window.partitionBy(*TICK)
+    so_far = F.sum("n").over(part.orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = sizes.withColumns({"_upto": so_far, "_all": F.sum("n").over(part)})
+    out = ranked.where(F.col("_upto") >= F.ceil(F.col("_all") * share)).groupBy(*TICK).agg(F.min("size").alias("large_trade_threshold_size"))
     return grid.join(out, TICK, "left").select(*TICK, F.coalesce("large_trade_threshold_size", F.lit(0.0)).alias("large_trade_threshold_size"))
 
 

@@ -39,7 +39,7 @@ def level_gaps(levels: DataFrame, atr: DataFrame) -> DataFrame:
     """Distance of each level to the next lower one, in ATR (``atr``: symbol, session_id, atr)."""
     down = Window.partitionBy(*KEY).orderBy(F.desc("level_price"))
     gap = F.col("level_price") - F.lead("level_price").over(down)
-    out = levels.withColumn("gap", gap).join(atr, KEY).withColumn("gap_atr", F.col("gap") / F.col("atr"))
+    out = levels.withColumn("gap", gap).join(atr, KEY).withColumn("gap_atr", F.try_divide(F.col("gap"), F.col("atr")))
     return out.select(*KEY, "level_id", "level_price", "gap", "gap_atr", F.coalesce(F.col("gap_atr") < 0.5, F.lit(False)).alias("cluster"))
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import marker_bias
+from ..functions.expressions import clamp01, level_tags, marker_bias, parse_notes, price_mask, stack_state
 from ..schemas import KEY
 from .tape import carried, in_reach
+from .ticks import tick_of
 
 LEVEL = [*KEY, "level_id"]
 SUCCESS_ATR, FAILURE_ATR, TIMEOUT_MS, BASELINE_MS = 0.50, 0.35, 300_000, 300_000
@@ -92,13 +93,14 @@ def episodes(events: DataFrame, bias: str = "long") -> DataFrame:
 def episode_ticks(found: DataFrame, events: DataFrame, stream: DataFrame) -> DataFrame:
     """The ticks of each episode from its baseline to its end, with their phase.
 
-    The join is on the level; a level's episodes are few for each of its ticks.
+    Episodes meet ticks on their level and the slices of time that they cover.
     """
     e = found.select("episode_id", *LEVEL, "start_time", "zone_entry_time", "zone_exit_time", "resolution_time", "level_entry_side")
     z = events.select(*LEVEL, "ts_ms", "level_width_atr", "signed_distance_atr", "in_zone", "touch_count")
-    inside = e.join(z, LEVEL).where("ts_ms >= start_time AND ts_ms <= resolution_time")
+    inside = in_reach(e, z, F.col("start_time"), F.col("resolution_time"), keys=LEVEL)
     phase = F.when(F.col("ts_ms") < F.col("zone_entry_time"), "baseline").when(F.col("zone_exit_time").isNull() | (F.col("ts_ms") <= F.col("zone_exit_time")), "stress").otherwise("resolution")
-    s = stream.select(*KEY, "ts_ms", "last_price", "atr", "delta", "total_volume", "trade_count", "buy_volume", "sell_volume", "relative_aggression")
+    more = ("absorption_index", "spread_pct", "compression_index", "ema_confluence_score")
+    s = stream.select(*KEY, "ts_ms", "last_price", "atr", "delta", "total_volume", "trade_count", "buy_volume", "sell_volume", "relative_aggression", *[c for c in more if c in stream.columns])
     return inside.withColumn("phase", phase).join(s, [*KEY, "ts_ms"])
 
 
@@ -176,6 +178,77 @@ def marker_episodes(markers: DataFrame, ticks: DataFrame) -> DataFrame:
     return out.withColumn("end_time", F.coalesce("resolution_time", F.col("marker_ts_ms") + 600_000)).withColumn("outcome", outcome(F.col("resolution_trigger")))
 
 
+def baseline_ticks(found: DataFrame, events: DataFrame) -> DataFrame:
+    """The ticks of each episode before its entry at which its level was in force."""
+    e = found.select("episode_id", *LEVEL, "start_time", "zone_entry_time")
+    return in_reach(e, events.select(*LEVEL, "ts_ms", "signed_distance_atr"), F.col("start_time"), F.col("zone_entry_time") - 1, keys=LEVEL)
+
+
+def tf_rows(ticks: DataFrame, confluence_ref: float = 0.25) -> DataFrame:
+    """Structure of the averages of one time frame at each tick of an episode (EMA 9, 20, 30, 200; an ATR).
+
+    Slopes are over the episode's own ticks: against the one 60 s before or the latest before that.
+    """
+    e9, e20, e30, e200, price, atr = (F.col(c) for c in ("ema9", "ema20", "ema30", "ema200", "last_price", "atr"))
+    w = Window.partitionBy("episode_id", "timeframe").orderBy("ts_ms").rangeBetween(-300_000, -60_000)
+    one = ticks.withColumn("_then", F.last(F.struct("ts_ms", "ema9", "ema20", "ema30")).over(w))
+    seconds = (F.col("ts_ms") - F.col("_then.ts_ms")) / 1000.0
+    slopes = {f"slope_ema{p}_60s": F.coalesce((F.col(f"ema{p}") - F.col(f"_then.ema{p}")) / seconds, F.lit(0.0)) for p in (9, 20, 30)}
+    compression = F.when(atr > 0, (F.abs(e9 - e20) + F.abs(e20 - e30)) / atr).otherwise(0.0)
+    return one.withColumns(slopes | {
+        "ema_spread_9_20": e9 - e20, "ema_spread_20_30": e20 - e30, "compression_index": compression, "ema_confluence_score": clamp01(1 - compression / confluence_ref),
+        "stack_state": stack_state(price, e9, e20, e30), "price_vs_emas": price_mask(price, e9, e20, e30, e200), "stretch_200_atr": F.when(atr > 0, (price - e200) / atr).otherwise(0.0),
+    }).drop("_then")
+
+
+def episode_tick(found: DataFrame, stream: DataFrame, trades: DataFrame) -> DataFrame:
+    """An episode's ticks on their own: the last price is that of trades since its start, carried from tick to tick.
+
+    ``stream`` gives what the ticks know besides; before the first trade of an episode the price is null.
+    """
+    e = found.select("episode_id", *KEY, "start_time", "zone_entry_time", "zone_exit_time", "resolution_time")
+    inside = in_reach(e, stream.drop("last_price"), F.col("start_time"), F.col("resolution_time"))
+    last = trades.groupBy(*KEY, tick_of(F.col("ts_ms")).alias("ts_ms")).agg(F.max_by(F.struct(F.col("price").alias("price"), F.col("ts_ms").alias("at")), F.struct("ts_ms", "seq")).alias("_p"))
+    w = Window.partitionBy("episode_id").orderBy("ts_ms").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.when(F.col("_p.at") >= F.col("start_time"), F.col("_p.price"))
+    phase = F.when(F.col("ts_ms") < F.col("zone_entry_time"), "baseline").when(F.col("zone_exit_time").isNull() | (F.col("ts_ms") <= F.col("zone_exit_time")), "stress").otherwise("resolution")
+    out = inside.join(last, [*KEY, "ts_ms"], "left").withColumns({"last_price": F.last(own, ignorenulls=True).over(w), "phase": phase, "sequence_id": F.row_number().over(Window.partitionBy("episode_id").orderBy("ts_ms")) - 1})
+    return out.drop("_p", "start_time", "zone_entry_time", "zone_exit_time", "resolution_time")
+
+
+def marker_commands(markers: DataFrame) -> DataFrame:
+    """Commands for markers: a level for each price tag from the marker's start on, and the marker itself.
+
+    A marker whose notes ask for it (``skip_episode``) gets a blank bias, which keeps it from
+    opening an episode unless its type implies one. At equal times levels come before markers.
+    """
+    n = parse_notes(F.col("notes"))
+    one = markers.withColumn("n", n)
+    none = F.lit(None)
+    level = one.select(*KEY, "ts_ms", "marker_type", F.explode(F.coalesce("n.price_tags", F.array().cast("array<struct<price:double,kind:string>>"))).alias("t")).where("t.price IS NOT NULL")
+    kind = F.coalesce(F.nullif("t.kind", F.lit("")), F.lit("manual"))
+    levels = level.select(
+        *KEY, "ts_ms", F.lit("add_level").alias("type"), none.cast("string").alias("marker_type"), none.cast("string").alias("marker_id"), none.cast("string").alias("direction_bias"),
+        F.concat(F.lit("from_marker:"), "marker_type").alias("notes"), F.col("t.price").alias("level_price"), kind.alias("level_type"), F.lit(0.25).alias("level_width_atr"),
+        F.concat_ws(":", F.lit("marker_level"), "symbol", F.col("ts_ms").cast("string"), F.col("t.price").cast("string"), kind).alias("level_id"),
+    )
+    bias = F.when(~F.coalesce(F.col("n.skip_episode"), F.lit(False)), F.coalesce("direction_bias", "n.direction_bias"))
+    own = one.select(
+        *KEY, "ts_ms", F.lit("add_marker").alias("type"), "marker_type", F.concat_ws(":", F.lit("marker"), "symbol", F.col("ts_ms").cast("string"), "marker_type").alias("marker_id"), bias.alias("direction_bias"), "notes",
+        none.cast("double").alias("level_price"), none.cast("string").alias("level_type"), none.cast("double").alias("level_width_atr"), none.cast("string").alias("level_id"),
+    )
+    return levels.unionByName(own)
+
+
+def commanded(commands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The levels and the markers that commands add, in the schemas of levels and markers."""
+    made = F.coalesce("level_id", F.concat_ws(":", F.lit("manual"), "symbol", F.col("ts_ms").cast("string"), F.col("level_price").cast("string")))
+    levels = commands.where("type = 'add_level'").select(*KEY, made.alias("level_id"), "level_price", "level_type", F.coalesce("level_width_atr", F.lit(0.25)).alias("level_width_atr"), F.col("ts_ms").alias("created_ts_ms"))
+    named = F.coalesce("marker_id", F.concat_ws(":", F.lit("marker"), "symbol", F.col("ts_ms").cast("string"), "marker_type"))
+    markers = commands.where("type = 'add_marker'").select(named.alias("marker_id"), *KEY, "ts_ms", "marker_type", "direction_bias", "notes")
+    return levels, markers
+
+
 def merge_labels(found: DataFrame, labels: DataFrame) -> DataFrame:
     """Episodes plus manual labels (episode_id, manual_outcome, setup_type, confidence)."""
     return found.join(labels.select("episode_id", "manual_outcome", "setup_type", "confidence"), "episode_id", "left")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -19,26 +18,25 @@ from ..operators import zones as Z
 from ..schemas import KEY
 from ..sources import store
 from ..streaming import tape_stream as ST
-from .queries import Query, Tape, rounded
-
-
-def _folder(spark: SparkSession) -> str:
-    """A new folder on what driver and executors share."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.conf.get("spark.sql.warehouse.dir")
-    return f"{named.rstrip('/')}/levelscope-{uuid.uuid4().hex}"
+from .queries import Query, Tape, rounded, tape_of
 
 
 def base(t: Tape) -> DataFrame:
-    """The stream with its levels, stored once: windows over it run many times."""
-    path = _folder(t.spark)
-    t.stream.write.parquet(path)
-    return L.level_ticks(t.spark.read.parquet(path), t.levels)
+    """The stream with its levels."""
+    return L.level_ticks(t.stream, t.levels)
 
 
 def packets(t: Tape) -> DataFrame:
-    return L.touch_packets(L.interaction_timeline(base(t)))
+    return t.once("packets", lambda: L.touch_packets(L.interaction_timeline(base(t))))
+
+
+def heavy_stream(t: Tape) -> DataFrame:
+    return adapters.heavy(t.stream)
+
+
+def heavy(t: Tape) -> DataFrame:
+    """Touch packets of the stream with large volumes, for rules that ask for them."""
+    return t.once("heavy", lambda: L.touch_packets(L.interaction_timeline(L.level_ticks(heavy_stream(t), t.levels))))
 
 
 PACKET = ["approach_delta_60s", "approach_velocity_atr_per_min", "band_delta_0_30s", "band_delta_0_60s", "rel_aggr_0_30s", "touch_dwell_s", "bounce_return_30s_pct", "bounce_return_60s_pct", "max_penetration_pct", "touch_volume_z"]
@@ -54,32 +52,42 @@ def _packets(t: Tape) -> DataFrame:
 
 
 def _scores(t: Tape) -> DataFrame:
-    scored = S.touch_cum_score(S.touch_score(packets(t)))
-    return scored.select(*L.LEVEL, "ts_ms", F.col("score").cast("long").alias("score"), F.col("bucket").cast("long").alias("bucket"), "label", F.col("cum_score").cast("long").alias("cum_score"))
+    scored = S.touch_score(heavy(t))
+    return scored.select(*L.LEVEL, "ts_ms", F.col("score").cast("long").alias("score"), F.col("bucket").cast("long").alias("bucket"), "label")
 
 
 def _stats(t: Tape) -> DataFrame:
-    names = ["hold_rate", "flip_rate", "compression_mean", "compression_max", "bounce_mean", "bounce_median", "positive_bounce_rate", "aggression_rate"]
-    return rounded(S.level_stats(packets(t)), *names)
+    names = ["hold_rate", "flip_rate", "compression_mean", "compression_median", "compression_max", "bounce_mean", "bounce_median", "positive_bounce_rate", "aggression_rate"]
+    best = F.array_join(F.transform("top_bounces", lambda x: F.format_string("%.4f", F.round(x["bounce"], 6) * 100)), " ")
+    return rounded(S.level_stats(heavy(t)).select(*L.LEVEL, "touches", "breaks", "quality", *names, best.alias("best")), *names)
 
 
-def _minutes(t: Tape) -> DataFrame:
-    return S.minutes(t.flow, X.bucket(F.col("ts_ms"), 60_000), KEY, 1000.0)
+def minutes(t: Tape) -> DataFrame:
+    return S.minutes(heavy(t), heavy_stream(t))
 
 
 def _dumps(t: Tape) -> DataFrame:
-    out = S.wash_dumps(_minutes(t), KEY).select(*KEY, "minute_ts", "buy", "sell", "recovery_buy", F.col("accelerations").cast("long").alias("accelerations"), "recovery_ratio", "hard_stop_a", "hard_stop_b", F.col("score").cast("long").alias("score"), "absorbed")
+    counts = [F.col(c).cast("long").alias(c) for c in ("accelerations", "late_buy", "score")]
+    out = S.wash_dumps(minutes(t)).select(*L.LEVEL, "minute_ts", "buy", "sell", "recovery_buy", "recovery_ratio", "hard_stop_a", "hard_stop_b", "absorbed", *counts)
     return rounded(out, "recovery_ratio")
 
 
+def wash(t: Tape) -> DataFrame:
+    m = minutes(t)
+    return S.wash_verdict(m, S.wash_dumps(m))
+
+
+WINDOW = ["relative_aggression_mean", "spread_pct_mean", "compression_mean", "confluence_mean", "atr_mean", "absorption_mean_asinh", "return_abs", "return_pct", "price_first", "price_last"]
+
+
 def _window(t: Tape) -> DataFrame:
-    ticks = t.state.join(t.flow, K.TICK).where("last_price IS NOT NULL")
-    return rounded(L.window_summary(ticks, KEY), "relative_aggression_mean", "return_abs", "return_pct", "price_first", "price_last")
+    ticks = t.stream.where("last_price IS NOT NULL")
+    out = L.window_summary(ticks, KEY)
+    return rounded(out.select(*KEY, "points", "duration_s", "trades", "volume", "buy_volume", "sell_volume", "unknown_volume", "delta", "price_min", "price_max", *WINDOW), *WINDOW)
 
 
 def _snapshots(t: Tape) -> DataFrame:
-    stream = t.state.join(t.flow, K.TICK)
-    return Z.smart_money(Z.level_spine(Z.episode_ticks(t.episodes, t.events, stream)))
+    return t.once("snapshots", lambda: Z.smart_money(Z.level_spine(Z.episode_ticks(t.episodes, t.events, t.stream))))
 
 
 def _spine(t: Tape) -> DataFrame:
@@ -92,13 +100,24 @@ def _money(t: Tape) -> DataFrame:
     return rounded(_snapshots(t).select(*Z.LEVEL, "zone_entry_time", "ts_ms", "cvd_10s", "cvd_30s", "cvd_60s", "cvd_30s_slope", "cvd_60s_slope", "volume_60s", "trade_count_60s", *names), *names)
 
 
+def _z(t: Tape) -> DataFrame:
+    names = ["baseline_vol_mean", "vol_zscore", "baseline_trade_mean", "trade_zscore"]
+    return rounded(_snapshots(t).select(*Z.LEVEL, "zone_entry_time", "ts_ms", *names), *names, digits=4)
+
+
+def _divergence(t: Tape) -> DataFrame:
+    names = ["divergence_score", "buy_on_red", "sell_on_green"]
+    out = _snapshots(t).select(*Z.LEVEL, "zone_entry_time", "ts_ms", F.col("divergence_flag").cast("long").alias("divergence_flag"), *names)
+    return rounded(out.withColumns({n: X.asinh(F.col(n)) for n in names}), *names, digits=4)
+
+
 def _ranking(t: Tape) -> DataFrame:
-    out = G.feature_ranking(_snapshots(t), t.episodes)
-    return rounded(out, "win_mean", "loss_mean", "effect", digits=4)
+    out = G.feature_ranking(_snapshots(t), t.episodes).drop("diff")
+    return rounded(out.withColumns({c: X.asinh(F.col(c)) for c in ("win_mean", "loss_mean")}), "win_mean", "loss_mean", "effect", digits=4)
 
 
 def _markers(t: Tape) -> DataFrame:
-    return adapters.markers(t.spark, t.sf_dir, 50)
+    return adapters.markers(t.spark, t.sf_dir)
 
 
 def _marker_episodes(t: Tape) -> DataFrame:
@@ -113,7 +132,7 @@ def _level_tags(t: Tape) -> DataFrame:
 
 
 def _stored(t: Tape) -> tuple[str, DataFrame]:
-    path = _folder(t.spark)
+    path = store.scratch(t.spark)
     flow = t.flow.select(*K.TICK, "trade_count", "total_volume", "pct_at_ask")
     store.write(flow, path, "session_stream")
     return path, flow
@@ -136,14 +155,25 @@ def _sessions(t: Tape) -> DataFrame:
     return store.list_sessions(t.spark, path, ("session_stream",))
 
 
-def _streamed(t: Tape, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The tape dropped as files into a folder and drained by a stream."""
-    path = _folder(t.spark)
-    t.trades.drop("session_id").repartitionByRange(4, "ts_ms").sortWithinPartitions("ts_ms").write.parquet(f"{path}/in")
-    ST.drain(make(ST.source(t.spark, f"{path}/in", files_each=1_000_000)), f"{path}/out", f"{path}/state")
+def _streamed(t: Tape, make: Callable[[DataFrame], DataFrame], frame: DataFrame | None = None) -> DataFrame:
+    """A frame dropped as files into a folder, in order of time, and drained by a stream in several batches."""
+    path = store.scratch(t.spark)
+    df = t.trades.drop("session_id") if frame is None else frame
+    ST.drop_files(df, f"{path}/in")
+    ST.drain(make(ST.source(t.spark, f"{path}/in", schema=df.schema, files_each=1)), f"{path}/out", f"{path}/state")
     return t.spark.read.parquet(f"{path}/out")
 
 
+def _st_flow(t: Tape) -> DataFrame:
+    sided = t.sided.select("seq", "symbol", "ts_ms", "price", "size", "side")
+    return _streamed(t, ST.st_flow, sided)
+
+
+def _st_phases(t: Tape) -> DataFrame:
+    touches = packets(t).select("symbol", "ts_ms", "level_id")
+    return _streamed(t, ST.st_phases, touches)
+
+
 def _anti(t: Tape) -> DataFrame:
     return G.dq_missing(t.trades, t.episodes.where("resolution_trigger = 'timeout'"))
 
@@ -153,7 +183,7 @@ PLANS: dict[str, Callable[[Tape], DataFrame]] = {
     "interaction_timeline": _timeline,
     "timeline_summary": lambda t: L.timeline_summary(L.interaction_timeline(base(t))),
     "role_flip": lambda t: L.role_flip(L.interaction_timeline(base(t))),
-    "band_summary": lambda t: L.band_summary(base(t)),
+    "band_summary": lambda t: L.band_summary(base(t)).select(*L.LEVEL, "time_in_band_s", "band_volume", "band_delta", "touch_count", "cross_count", "reclaim_attempts", "reclaim_holds_30s", F.col("band_large_count").cast("long").alias("band_large_count"), "band_large_delta", F.round("band_large_buy_ratio", 6).alias("band_large_buy_ratio"), F.round("reclaim_hold_rate", 6).alias("reclaim_hold_rate")),
     "session_wide": _window,
     "touch_packets": _packets,
     "touch_outcome": lambda t: packets(t).select(*L.LEVEL, "ts_ms", "break_confirmed_30s", "reclaim_after_break", "reclaim_hold_30s", "touch_outcome"),
@@ -161,15 +191,16 @@ PLANS: dict[str, Callable[[Tape], DataFrame]] = {
     "level_stats": _stats,
     "level_flags": lambda t: S.level_flags(S.level_stats(packets(t))),
     "gap_phases": lambda t: S.gap_phases(packets(t)).groupBy(*L.LEVEL, F.col("phase_id").cast("long").alias("phase_id")).agg(F.count("*").alias("touches"), F.min("ts_ms").alias("start_ts_ms")),
-    "phases": lambda t: S.phases(packets(t)).withColumn("phase", F.col("phase").cast("long")),
-    "minute_breakdown": _minutes,
+    "phases": lambda t: S.phases(heavy(t)).select(*L.LEVEL, F.col("phase").cast("long").alias("phase"), "touches", F.col("first_touch").cast("long").alias("first_touch"), "buy", "sell", "delta", "inst_buy", "inst_sell", "absorbed", "winner"),
+    "minute_breakdown": minutes,
     "wash_dumps": _dumps,
-    "wash_verdict": lambda t: S.wash_verdict(S.wash_dumps(_minutes(t), KEY), KEY).withColumn("score", F.col("score").cast("long")),
+    "wash_verdict": lambda t: wash(t).withColumn("score", F.col("score").cast("long")),
     "episode_snapshots": _spine,
     "cvd": _money,
+    "baseline_z": _z,
+    "divergence": _divergence,
     "feature_ranking": _ranking,
     "reports_index": lambda t: rounded(G.reports_index(t.episodes), "mfe_p50", "mae_p90", "win_rate"),
-    "pattern_index": lambda t: G.pattern_index(packets(t)).withColumn("rank", F.col("rank").cast("long")),
     "marker_episodes": _marker_episodes,
     "level_tag": _level_tags,
     "marker_bias": lambda t: _markers(t).select("marker_id", X.marker_bias(F.col("marker_type"), F.col("direction_bias")).alias("bias")),
@@ -177,19 +208,20 @@ PLANS: dict[str, Callable[[Tape], DataFrame]] = {
     "dq_nulls": lambda t: rounded(G.dq_nulls(t.state, DISTS), "null_rate"),
     "dq_dists": lambda t: rounded(G.dq_dists(t.state, DISTS), "min", "max", "mean", "p50", "p90"),
     "dq_value_counts": lambda t: G.dq_value_counts(t.sided, ["side", "symbol"]),
-    "dq_cadence": lambda t: rounded(G.dq_cadence(t.grid, KEY), "regular"),
+    "dq_cadence": lambda t: rounded(G.dq_cadence(_snapshots(t), [*Z.LEVEL, "zone_entry_time"]), "regular"),
     "dq_missing": _anti,
-    "max_drop": lambda t: rounded(G.minute_extremes(t.state.join(t.flow, K.TICK).withColumn("high_10s", F.coalesce("_high", "last_price")).withColumn("low_10s", F.coalesce("_low", "last_price"))), "drop_pct"),
+    "max_drop": lambda t: rounded(G.minute_extremes(t.stream), "drop_pct"),
     "sink_partitioned": _sink,
     "sink_replace_session": _replaced,
     "list_sessions": _sessions,
     "st_bars": lambda t: _streamed(t, ST.st_bars),
-    "st_flow": lambda t: _streamed(t, ST.st_flow),
+    "st_flow": _st_flow,
+    "st_phases": _st_phases,
 }
 
 
 def _run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return PLANS[name](Tape(spark, sf_dir))
+    return PLANS[name](tape_of(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {name: partial(_run, name) for name in PLANS}

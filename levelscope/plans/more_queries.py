@@ -16,12 +16,12 @@ from ..operators import ticks as K
 from ..operators import windows as W
 from ..operators import zones as Z
 from ..schemas import KEY
-from ..sources import tape_files
+from ..sources import store, tape_files
 from ..streaming import tape_stream as ST
 from . import level_oracles  # noqa: F401  its table expressions are used below
-from .level_queries import _folder, _markers, _streamed, packets
+from .level_queries import _markers, _snapshots, _streamed, packets
 from .oracles import CTES, r, sql
-from .queries import Query, Tape, rounded
+from .queries import Query, Tape, rounded, tape_of
 
 
 def _anchors(t: Tape) -> DataFrame:
@@ -29,7 +29,7 @@ def _anchors(t: Tape) -> DataFrame:
 
 
 def _ticks(t: Tape) -> DataFrame:
-    return t.state.join(t.flow, K.TICK).where("last_price IS NOT NULL")
+    return t.stream.where("last_price IS NOT NULL")
 
 
 def _countdown(t: Tape) -> DataFrame:
@@ -38,26 +38,28 @@ def _countdown(t: Tape) -> DataFrame:
 
 
 def _time_frames(t: Tape) -> DataFrame:
-    """Averages of two time frames as of each tick."""
+    """Two time frames at the ticks of episodes."""
+    own = _snapshots(t).select("episode_id", *Z.LEVEL, "zone_entry_time", "ts_ms", "last_price", "atr")
     parts = []
     for tf in ("30s", "1m"):
-        own = B.with_emas(t.bars.where(F.col("tf") == tf)).select(*KEY, "end_ts", "ema9", "ema20", "ema30", "ema200")
-        parts.append(K.tick_state(t.grid, B.vwap(t.trades), own).withColumn("timeframe", F.lit(tf)))
-    both = parts[0].unionByName(parts[1]).where("ema9 IS NOT NULL AND last_price IS NOT NULL")
-    stack = X.stack_state(F.col("last_price"), F.col("ema9"), F.col("ema20"), F.col("ema30"))
-    mask = X.price_mask(F.col("last_price"), F.col("ema9"), F.col("ema20"), F.col("ema30"), F.col("ema200"))
-    return rounded(both.select(*K.TICK, "timeframe", "ema9", "ema200", stack.alias("stack_state"), mask.alias("price_vs_emas")), "ema9", "ema200")
+        bars = B.with_emas(B.bars(t.trades, {tf: B.WIDTHS[tf]})).select(*KEY, "end_ts", "ema9", "ema20", "ema30", "ema200")
+        state = K.tick_state(t.grid, t.trades.withColumn("vwap", F.lit(None).cast("double")), bars).drop("last_price", "vwap_session")
+        parts.append(own.join(state, K.TICK).where("ema9 IS NOT NULL").withColumn("timeframe", F.lit(tf)))
+    out = Z.tf_rows(parts[0].unionByName(parts[1]))
+    names = ["ema9", "ema200", "slope_ema9_60s", "slope_ema30_60s", "compression_index", "ema_confluence_score", "stretch_200_atr"]
+    return rounded(out.select(*Z.LEVEL, "zone_entry_time", "ts_ms", "timeframe", "stack_state", "price_vs_emas", *names), *names)
 
 
 def _vendor_a(t: Tape) -> DataFrame:
     """Trades as the first vendor's JSON lines, landed and read back."""
-    iso = F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS")
-    message = F.to_json(F.struct(F.lit("t").alias("T"), F.col("symbol").alias("S"), F.concat(iso, F.lit("456789Z")).alias("time"), F.col("price").alias("p"), F.col("size").alias("q"), F.col("conditions").alias("c")))
-    path = _folder(t.spark)
+    iso = F.concat(F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("456789Z"))
+    # field names that differ by case alone can't be columns of one struct, so the text is put together
+    rest = F.to_json(F.struct(F.col("symbol").alias("S"), F.col("price").alias("p"), F.col("conditions").alias("c")))
+    message = F.concat(F.lit('{"T":"t","t":"'), iso, F.lit('","s":'), F.col("size").cast("string"), F.lit(","), F.substring(rest, 2, 10_000))
+    path = store.scratch(t.spark)
     t.trades.select(message.alias("value")).write.text(path)
-    raw = t.spark.read.schema("T string, S string, time string, p double, q double, c array<string>").json(path)
-    at = F.unix_millis(F.try_to_timestamp(F.regexp_replace("time", r"(\.\d{1,6})\d*", "$1")))
-    return raw.where("T = 't'").select(F.col("S").alias("symbol"), at.alias("ts_ms"), F.col("p").alias("price"), F.col("q").alias("size"), F.size("c").cast("long").alias("n_conditions"))
+    found, _ = tape_files.vendor_a(t.spark.read.text(path))
+    return found.select("symbol", "ts_ms", "price", "size", F.size("conditions").cast("long").alias("n_conditions"))
 
 
 def _vendor_b(t: Tape) -> DataFrame:
@@ -73,14 +75,14 @@ def _parse(t: Tape) -> DataFrame:
 
 
 def _zone_share(t: Tape) -> DataFrame:
-    out = t.events.groupBy(*Z.LEVEL).agg(F.avg((F.col("abs_distance_atr") <= 0.25).cast("double")).alias("share_25"), F.avg((F.col("abs_distance_atr") <= 0.5).cast("double")).alias("share_50"))
-    return rounded(out, "share_25", "share_50")
+    return rounded(G.dq_zone(_snapshots(t), Z.LEVEL), "share_25", "share_50", "share_divergent")
 
 
 def _sequence(t: Tape) -> DataFrame:
-    lag = F.lag("sequence_id").over(K._order())
-    one = t.grid.withColumn("ok", F.coalesce(F.col("sequence_id") >= lag, F.lit(True)))
-    return one.groupBy(*KEY).agg(F.bool_and("ok").alias("monotonic"), (F.count("*") - F.countDistinct("sequence_id")).alias("duplicates"))
+    """The episodes' recorded ticks, numbered as the stream numbers them; one in a hundred has lost its place."""
+    ticks = _snapshots(t).select(*Z.LEVEL, "zone_entry_time", "ts_ms").join(t.stream.select(*K.TICK, "sequence_id"), K.TICK)
+    moved = F.when((F.col("ts_ms") - 9999) % 970_000 == 0, F.col("sequence_id") - 5).otherwise(F.col("sequence_id"))
+    return G.dq_sequence(ticks.withColumn("sequence_id", moved), [*Z.LEVEL, "zone_entry_time"])
 
 
 def _gaps(t: Tape) -> DataFrame:
@@ -130,12 +132,11 @@ PLANS: dict[str, Callable[[Tape], DataFrame]] = {
     "merge_labels": _labels,
     "shared_combos": _shared,
     "st_threshold": lambda t: _streamed(t, ST.st_threshold),
-    "st_phases": lambda t: _streamed(t, lambda s: ST.st_phases(s, "20 seconds")),
-}
+    }
 
 
 def _run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return PLANS[name](Tape(spark, sf_dir))
+    return PLANS[name](tape_of(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {name: partial(_run, name) for name in PLANS}
@@ -153,12 +154,18 @@ FINALS = {
     "level_gaps": f"SELECT {_K}, level_id, CAST(level_price AS DOUBLE) AS level_price, round(gap, 6) AS gap, round(gap / atr, 6) AS gap_atr, coalesce(gap / atr < 0.5, false) AS cluster FROM (SELECT {_K}, level_id, level_price, CAST(level_price AS DOUBLE) - lead(CAST(level_price AS DOUBLE)) OVER (PARTITION BY {_K} ORDER BY level_price DESC) AS gap FROM levels) JOIN (SELECT {_K}, last(atr ORDER BY end_ts) AS atr FROM averages GROUP BY ALL) USING ({_K})",
     "tape_minutes": f"SELECT {_K}, ts_ms - ts_ms % 60000 AS minute_ts, CASE WHEN price > 100.35 THEN 'ABOVE' WHEN price < 100.05 THEN 'BELOW' ELSE 'IN_BAND' END AS zone, {_TM} FROM sided2 GROUP BY ALL UNION ALL SELECT {_K}, ts_ms - ts_ms % 60000 AS minute_ts, 'ALL' AS zone, {_TM} FROM sided2 GROUP BY ALL",
     "session_range": "SELECT ticker, start_ts, end_ts, ticker || '_' || strftime(make_timestamp(start_ts * 1000), '%Y%m%d_%H%M%S') AS session_id FROM (SELECT symbol AS ticker, min(ts_ms) - 60000 AS start_ts, max(ts_ms) + 600000 AS end_ts FROM mk GROUP BY ALL)",
-    "tf_indicators": f"SELECT s.symbol, s.session_id, s.ts_ms, s.tf AS timeframe, round(e9, 6) AS ema9, round(e200, 6) AS ema200, CASE WHEN e9 > e20 AND e20 > e30 THEN 'bull' WHEN e9 < e20 AND e20 < e30 THEN 'bear' ELSE 'mixed' END AS stack_state, CASE WHEN last_price > e200 THEN 8 ELSE 0 END + CASE WHEN last_price > e30 THEN 4 ELSE 0 END + CASE WHEN last_price > e20 THEN 2 ELSE 0 END + CASE WHEN last_price > e9 THEN 1 ELSE 0 END AS price_vs_emas FROM tfstate s ASOF JOIN tfema e ON s.symbol = e.symbol AND s.session_id = e.session_id AND s.tf = e.tf AND s.ts_ms >= e.end_ts WHERE last_price IS NOT NULL",
+    "tf_indicators": f"""SELECT {_K}, level_id, entry AS zone_entry_time, ts_ms, tf AS timeframe, round(e9, 6) AS ema9, round(e200, 6) AS ema200, CASE WHEN e9 > e20 AND e20 > e30 THEN 'bull' WHEN e9 < e20 AND e20 < e30 THEN 'bear' ELSE 'mixed' END AS stack_state,
+  CASE WHEN last_price > e200 THEN 8 ELSE 0 END + CASE WHEN last_price > e30 THEN 4 ELSE 0 END + CASE WHEN last_price > e20 THEN 2 ELSE 0 END + CASE WHEN last_price > e9 THEN 1 ELSE 0 END AS price_vs_emas,
+  round(coalesce((e9 - b9) * 1000.0 / (ts_ms - bt), 0.0), 6) AS slope_ema9_60s, round(coalesce((e30 - b30) * 1000.0 / (ts_ms - bt), 0.0), 6) AS slope_ema30_60s, round((abs(e9 - e20) + abs(e20 - e30)) / atr, 6) AS compression_index,
+  round(greatest(0.0, least(1.0, 1 - (abs(e9 - e20) + abs(e20 - e30)) / atr / 0.25)), 6) AS ema_confluence_score, round((last_price - e200) / atr, 6) AS stretch_200_atr
+  FROM (SELECT *, last_value(ts_ms) OVER b AS bt, last_value(e9) OVER b AS b9, last_value(e30) OVER b AS b30 FROM (SELECT et.symbol, et.session_id, et.level_id, et.entry, et.ts_ms, et.last_price, et.atr, s.tf, s.e9, s.e20, s.e30, s.e200 FROM et
+    JOIN (SELECT g.symbol, g.session_id, g.ts_ms, g.tf, e.e9, e.e20, e.e30, e.e200 FROM tfstate g ASOF JOIN tfema e ON g.symbol = e.symbol AND g.session_id = e.session_id AND g.tf = e.tf AND g.ts_ms >= e.end_ts) s ON s.symbol = et.symbol AND s.session_id = et.session_id AND s.ts_ms = et.ts_ms)
+  WINDOW b AS (PARTITION BY {_K}, level_id, entry, tf ORDER BY ts_ms RANGE BETWEEN 300000 PRECEDING AND 60000 PRECEDING))""",
     "norm_vendor_a": "SELECT symbol, ts_ms, price, size, CAST(odd AS BIGINT) AS n_conditions FROM trades",
     "norm_vendor_b": "SELECT count(*) FILTER (ok) AS n, CAST(sum(ts_ms) FILTER (ok) AS BIGINT) AS ts_sum, sum(size) FILTER (ok) AS size_sum, count(*) FILTER (NOT ok) AS rejected FROM (SELECT *, seq % 3 <> 2 AND seq % 10 <> 7 AS ok FROM trades)",
     "parse_local_ts": "SELECT seq, ts_ms - ts_ms % 1000 AS parsed_ms FROM trades",
-    "dq_zone": f"SELECT {_K}, level_id, round(avg(CAST(abs(da) <= 0.25 AS INT)), 6) AS share_25, round(avg(CAST(abs(da) <= 0.5 AS INT)), 6) AS share_50 FROM zone GROUP BY ALL",
-    "dq_sequence": f"SELECT {_K}, true AS monotonic, CAST(0 AS BIGINT) AS duplicates FROM grid GROUP BY ALL",
+    "dq_zone": f"SELECT {_K}, level_id, round(avg(CAST(abs(da) <= 0.25 AS INT)), 6) AS share_25, round(avg(CAST(abs(da) <= 0.5 AS INT)), 6) AS share_50, round(avg(df), 6) AS share_divergent FROM smd GROUP BY ALL",
+    "dq_sequence": f"SELECT {_K}, level_id, entry AS zone_entry_time, bool_and(coalesce(n >= p, true)) AS monotonic, count(*) - count(DISTINCT n) AS duplicates FROM (SELECT *, lag(n) OVER (PARTITION BY {_K}, level_id, entry ORDER BY ts_ms) AS p FROM (SELECT {_K}, level_id, entry, ts_ms, g.n - CASE WHEN (ts_ms - 9999) % 970000 = 0 THEN 5 ELSE 0 END AS n FROM et JOIN (SELECT {_K}, ts_ms, row_number() OVER (PARTITION BY {_K} ORDER BY ts_ms) - 1 AS n FROM grid) g USING ({_K}, ts_ms))) GROUP BY ALL",
     "ids": "SELECT format('touch:{:.4f}:{}', level_price, entry) AS touch_id, 'manual:' || symbol || ':' || entry AS manual_id, CASE level_type WHEN 'support' THEN 'long' ELSE 'short' END || '_' || CASE why WHEN 'threshold_hit' THEN 'win' WHEN 'invalidation' THEN 'loss' ELSE 'pending' END AS scenario FROM eps",
     "marker_dedup": "SELECT marker_id, marker_type, ts_ms FROM mk",
     "merge_labels": "SELECT session_id, outcome, CASE outcome WHEN 'win' THEN 'good' END AS manual_outcome, count(*) AS n FROM (SELECT session_id, CASE why WHEN 'threshold_hit' THEN 'win' WHEN 'invalidation' THEN 'loss' ELSE 'scratch' END AS outcome FROM eps) GROUP BY ALL",

@@ -108,12 +108,12 @@ _T60 = "RANGE BETWEEN 60000 PRECEDING AND CURRENT ROW"
 _S = f"PARTITION BY {_K} ORDER BY ts_ms"
 
 FINALS: dict[str, str] = {
-    "scan_trades": f"SELECT seq, {_K}, ts_ms, price, size, CASE WHEN odd THEN 'W' ELSE '' END AS conditions FROM trades",
-    "scan_quotes": f"SELECT seq, {_K}, ts_ms, {r('bid', 'ask')}, bid_size, ask_size FROM quotes",
+    "scan_trades": f"SELECT symbol, ts_ms, price, size, CASE WHEN odd THEN 'W' ELSE '' END AS conditions FROM trades",
+    "scan_quotes": f"SELECT symbol, ts_ms, {r('bid', 'ask')}, bid_size, ask_size FROM quotes",
     "norm_conditions": "SELECT odd AS has_w, CAST(odd AS INT) AS n_conditions, count(*) AS n FROM trades GROUP BY ALL",
-    "range_scan": "SELECT seq, ts_ms, price, size FROM trades WHERE symbol = 'S0' AND ts_ms BETWEEN 1704207600000 AND 1704218400000",
+    "range_scan": "SELECT ts_ms, price, size FROM trades WHERE symbol = 'S0' AND ts_ms BETWEEN 1704207600000 AND 1704218400000",
     "stable_order": f"SELECT seq, {_K}, row_number() OVER (PARTITION BY {_K} ORDER BY ts_ms, seq) AS position FROM trades",
-    "event_merge": f"SELECT seq, kind, {_K}, row_number() OVER (PARTITION BY {_K} ORDER BY ts_ms, kind, seq) AS position FROM (SELECT seq, {_K}, ts_ms, 'quote' AS kind FROM quotes UNION ALL SELECT seq, {_K}, ts_ms, 'trade' FROM trades)",
+    "event_merge": f"SELECT seq, kind, {_K}, row_number() OVER (PARTITION BY {_K} ORDER BY ts_ms, o, seq) AS position FROM (SELECT seq, {_K}, ts_ms, 'quote' AS kind, 0 AS o FROM quotes UNION ALL SELECT seq, {_K}, ts_ms, 'trade', 2 FROM trades UNION ALL SELECT seq, {_K}, ts_ms, 'command', 1 FROM tape WHERE event_type = 'signup')",
     "session_extent": f"SELECT {_K}, start_ts_ms, end_ts_ms FROM extent",
     "exch_date": "SELECT strftime(make_timestamp(ts_ms * 1000) - INTERVAL 5 HOUR, '%Y-%m-%d') AS date, strftime(make_timestamp(ts_ms * 1000) - INTERVAL 6 HOUR, '%H:%M') AS minute, count(*) AS n FROM trades GROUP BY ALL",
     "tape_preview": f"SELECT {_K}, n_trades, n_quotes, first_price, last_price FROM (SELECT {_K}, count(*) AS n_trades, first(price ORDER BY ts_ms, seq) AS first_price, last(price ORDER BY ts_ms, seq) AS last_price FROM trades GROUP BY ALL) JOIN (SELECT {_K}, count(*) AS n_quotes FROM quotes GROUP BY ALL) USING ({_K})",
@@ -137,19 +137,25 @@ FINALS: dict[str, str] = {
     "tick_flow": f"SELECT {_K}, ts_ms, trade_count, total_volume, buy_volume, sell_volume, unknown_volume, buy_volume - sell_volume AS delta, {r('pct_at_ask=CASE WHEN total_volume > 0 THEN buy_volume / total_volume ELSE 0.0 END', 'relative_aggression=CASE WHEN total_volume > 0 THEN (buy_volume - sell_volume) / (total_volume + 1e-9) ELSE 0.0 END')} FROM flow",
     "tick_hilo": f"SELECT {_K}, ts_ms, high_10s, low_10s FROM stream",
     "filter_w": f"SELECT {_K}, ts_ms, hi AS high, lo AS low FROM flow",
-    "spread_vol": f"SELECT {_K}, ts_ms, {r('spread_volatility_60s=coalesce(CASE WHEN count(spread_pct) OVER s > 1 THEN stddev_pop(spread_pct) OVER s END, 0.0)')} FROM stream WINDOW s AS ({_S} {_T60})",
+    "spread_vol": f"""SELECT {_K}, ts_ms, round(v, 6) AS spread_volatility_60s, round(CASE WHEN n < 2 OR v <= 1e-9 THEN 0.0 ELSE (coalesce(spread_pct, 0.0) - mean) / (v + 1e-9) END, 4) AS spread_zscore
+  FROM (SELECT *, count(spread_pct) OVER s AS n, avg(spread_pct) OVER s AS mean, coalesce(CASE WHEN count(spread_pct) OVER s > 1 THEN stddev_pop(spread_pct) OVER s END, 0.0) AS v FROM stream WINDOW s AS ({_S} {_T60}))""",
     "aggr_z": f"SELECT {_K}, ts_ms, {r('z=CASE WHEN stddev_pop(relative_aggression) OVER s > 1e-9 THEN (relative_aggression - avg(relative_aggression) OVER s) / (stddev_pop(relative_aggression) OVER s + 1e-9) ELSE 0.0 END')} FROM stream WINDOW s AS ({_S} {_T60})",
     "delta_deriv": f"SELECT {_K}, ts_ms, v AS delta_velocity, coalesce(v - lag(v) OVER ({_S}), 0.0) AS delta_acceleration FROM (SELECT {_K}, ts_ms, coalesce(delta - lag(delta) OVER ({_S}), 0.0) AS v FROM stream)",
-    "absorption": f"SELECT {_K}, ts_ms, round(ln(1 + greatest(0.0, -delta) / (round(abs(coalesce(last_price - lag(last_price) OVER ({_S}), 0.0)), 4) + 1e-9)), 4) AS absorption FROM stream",
+    "absorption": f"SELECT {_K}, ts_ms, round(asinh(greatest(0.0, -delta) / (abs(coalesce(round(last_price, 4) - lag(round(last_price, 4)) OVER ({_S}), 0.0)) + 1e-9)), 4) AS absorption FROM stream",
     "trade_size": f"SELECT {_K}, tick AS ts_ms, {r('avg_trade_size=avg(size)', 'trade_size_std=stddev_pop(size)', 'trade_size_cv=stddev_pop(size) / avg(size)', 'top_decile_volume_share=sum(size) FILTER (n <= greatest(1, ceil(total * 0.1))) / sum(size)')} FROM (SELECT *, row_number() OVER (PARTITION BY {_K}, tick ORDER BY size DESC, seq) AS n, count(*) OVER (PARTITION BY {_K}, tick) AS total FROM ticktrades) GROUP BY {_K}, tick",
     "realized_vol": f"SELECT {_K}, ts_ms, {r('realized_vol_60s=coalesce(stddev_pop(step) OVER s, 0.0)')} FROM (SELECT {_K}, ts_ms, ln(last_price / lag(last_price) OVER ({_S})) AS step FROM state) WINDOW s AS ({_S} RANGE BETWEEN 50000 PRECEDING AND CURRENT ROW)",
     "approach_ret": f"SELECT {_K}, ts_ms, {r('approach_return_60s=coalesce(ln(last_price / (last_value(last_price IGNORE NULLS) OVER s)), 0.0)')} FROM state WINDOW s AS ({_S} RANGE BETWEEN 300000 PRECEDING AND 60000 PRECEDING)",
     "ema_mask": f"SELECT {_K}, ts_ms, CASE WHEN ema9 IS NOT NULL THEN CASE WHEN ema9 > ema20 AND ema20 > ema30 THEN 'bull' WHEN ema9 < ema20 AND ema20 < ema30 THEN 'bear' ELSE 'mixed' END END AS stack_state, CASE WHEN last_price > ema200 THEN 8 ELSE 0 END + CASE WHEN last_price > ema30 THEN 4 ELSE 0 END + CASE WHEN last_price > ema20 THEN 2 ELSE 0 END + CASE WHEN last_price > ema9 THEN 1 ELSE 0 END AS price_vs_emas FROM state",
     "ema_structure": f"SELECT {_K}, ts_ms, {r('slope_ema9_60s=coalesce((ema9 - then9) * 1000.0 / (ts_ms - then_ts), 0.0)', 'ema_spread_9_20=ema9 - ema20', 'compression_index=(abs(ema9 - ema20) + abs(ema20 - ema30)) / atr', 'ema_confluence_score=least(1.0, greatest(0.0, 1 - (abs(ema9 - ema20) + abs(ema20 - ema30)) / atr / 0.25))', 'stretch_200_atr=coalesce((last_price - ema200) / atr, 0.0)')} FROM (SELECT *, last_value(CASE WHEN ema9 IS NOT NULL THEN ts_ms END IGNORE NULLS) OVER s AS then_ts, last_value(ema9 IGNORE NULLS) OVER s AS then9 FROM state WINDOW s AS ({_S} RANGE BETWEEN 300000 PRECEDING AND 60000 PRECEDING))",
-    "vwap_context": f"SELECT {_K}, ts_ms, {r('price_minus_vwap=last_price - vwap_session', 'price_minus_vwap_atr=(last_price - vwap_session) / atr')} FROM state",
+    "vwap_context": f"SELECT {_K}, ts_ms, {r('price_minus_vwap=last_price - vwap_session', 'price_minus_vwap_atr=(last_price - vwap_session) / atr')}, CASE WHEN last_price - vwap_session > 1e-12 THEN 'above' WHEN last_price - vwap_session < -1e-12 THEN 'below' WHEN last_price - vwap_session IS NOT NULL THEN 'at' END AS vwap_state FROM state",
     "large_threshold": f"SELECT {_K}, ts_ms, thr AS large_trade_threshold_size FROM thresholds",
     "large_trades": f"SELECT {_K}, ts_ms, n AS large_trade_count_10s, lb AS large_buy_volume_10s, ls AS large_sell_volume_10s, lu AS large_unknown_volume_10s, lb - ls AS large_trade_delta, {r('large_trade_buy_ratio=CASE WHEN lb + ls > 0 THEN lb / (lb + ls + 1e-9) ELSE 0.0 END', 'large_trade_share_of_total_vol_10s=CASE WHEN total > 0 THEN (lb + ls + lu) / (total + 1e-9) ELSE 0.0 END')} FROM large",
-    "session_stream": f"SELECT {_K}, ts_ms, last_price, {r('vwap_session', 'atr', 'ema9', 'spread_pct', 'relative_aggression')}, trade_count, total_volume, delta, high_10s, low_10s, l.thr AS large_trade_threshold_size, l.n AS large_trade_count_10s FROM stream JOIN large l USING ({_K}, ts_ms)",
+    "session_stream": f"""SELECT {_K}, ts_ms, row_number() OVER ({_S}) - 1 AS sequence_id, last_price, {r('vwap_session', 'atr', 'ema9', 'spread_pct', 'relative_aggression')}, trade_count, total_volume, delta, high_10s, low_10s, l.thr AS large_trade_threshold_size, l.n AS large_trade_count_10s,
+  round((abs(ema9 - ema20) + abs(ema20 - ema30)) / atr, 6) AS compression_index, round(least(1.0, greatest(0.0, 1 - (abs(ema9 - ema20) + abs(ema20 - ema30)) / atr / 0.25)), 6) AS ema_confluence_score,
+  CASE WHEN ema9 IS NULL THEN NULL WHEN ema9 > ema20 AND ema20 > ema30 THEN 'bull' WHEN ema9 < ema20 AND ema20 < ema30 THEN 'bear' ELSE 'mixed' END AS stack_state,
+  CASE WHEN last_price - vwap_session > 1e-12 THEN 'above' WHEN last_price - vwap_session < -1e-12 THEN 'below' WHEN last_price - vwap_session IS NOT NULL THEN 'at' END AS vwap_state, round((last_price - vwap_session) / atr, 6) AS price_minus_vwap_atr,
+  round(coalesce(stddev_pop(step) OVER ({_S} RANGE BETWEEN 50000 PRECEDING AND CURRENT ROW), 0.0), 6) AS realized_vol_60s, coalesce(delta - pdelta, 0.0) AS delta_velocity
+  FROM (SELECT *, ln(last_price / lag(last_price) OVER ({_S})) AS step, lag(delta) OVER ({_S}) AS pdelta FROM stream) JOIN large l USING ({_K}, ts_ms)""",
     "active_levels": f"SELECT {_K}, level_id, CAST(level_price AS DOUBLE) AS level_price, created AS created_ts_ms FROM levels",
     "zone_distance": f"SELECT {_K}, level_id, ts_ms, {r('signed_distance=d', 'signed_distance_atr=da')}, inz AS in_zone FROM zone",
     "zone_events": f"SELECT {_K}, level_id, ts_ms, event FROM zev WHERE event IS NOT NULL",
@@ -158,7 +164,7 @@ FINALS: dict[str, str] = {
     "episodes": f"SELECT {_K}, level_id, entry - 300000 AS start_time, entry AS zone_entry_time, exit_ts AS zone_exit_time, res AS resolution_time, why AS resolution_trigger, CASE WHEN above THEN 'above' ELSE 'below' END AS level_entry_side FROM eps",
     "outcome_metrics": f"SELECT {_K}, level_id, entry AS zone_entry_time, CASE why WHEN 'threshold_hit' THEN 'win' WHEN 'invalidation' THEN 'loss' ELSE 'scratch' END AS outcome, {r('mfe', 'mae')}, mfe_ms AS time_to_mfe_ms, fail_ms AS time_to_failure_ms FROM eps",
     "outcome_counts": "SELECT CASE why WHEN 'threshold_hit' THEN 'win' WHEN 'invalidation' THEN 'loss' ELSE 'scratch' END AS outcome, session_id, count(*) AS n FROM eps GROUP BY ALL",
-    "episode_stats": f"SELECT session_id, metric, {r('min=min(x)', 'p50=quantile_cont(x, 0.5)', 'p90=quantile_cont(x, 0.9)', 'max=max(x)', 'mean=avg(x)')} FROM (SELECT session_id, 'mfe' AS metric, mfe AS x FROM eps UNION ALL SELECT session_id, 'mae', mae FROM eps UNION ALL SELECT session_id, 'time_to_mfe_ms', CAST(mfe_ms AS DOUBLE) FROM eps) GROUP BY session_id, metric",
-    "baseline_backfill": f"SELECT e.symbol, e.session_id, e.level_id, e.entry AS zone_entry_time, count(*) AS ticks FROM eps e JOIN zone z ON z.symbol = e.symbol AND z.session_id = e.session_id AND z.level_id = e.level_id AND z.ts_ms >= e.entry - 300000 AND z.ts_ms < e.entry GROUP BY ALL",
+    "episode_stats": f"SELECT session_id, metric, {r('min=min(x)', 'p50=quantile_cont(x, 0.5)', 'p90=quantile_cont(x, 0.9)', 'max=max(x)', 'mean=avg(x)')} FROM (SELECT session_id, 'mfe' AS metric, mfe AS x FROM eps UNION ALL SELECT session_id, 'mae', mae FROM eps UNION ALL SELECT session_id, 'time_to_mfe_ms', CAST(mfe_ms AS DOUBLE) FROM eps UNION ALL SELECT session_id, 'time_to_failure_ms', CAST(fail_ms AS DOUBLE) FROM eps) WHERE x IS NOT NULL GROUP BY session_id, metric",
+    "baseline_backfill": f"SELECT e.symbol, e.session_id, e.level_id, e.entry AS zone_entry_time, count(*) AS ticks, round(min(da), 6) AS lowest FROM eps e JOIN zone z ON z.symbol = e.symbol AND z.session_id = e.session_id AND z.level_id = e.level_id AND z.ts_ms >= e.entry - 300000 AND z.ts_ms < e.entry GROUP BY ALL",
 }
 ORACLES = {name: sql(final) for name, final in FINALS.items()}

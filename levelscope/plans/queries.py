@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from .. import adapters
 from ..functions import expressions as X
 from ..operators import bars as B
+from ..operators import stats as G
 from ..operators import tape as T
 from ..operators import ticks as K
 from ..operators import zones as Z
 from ..schemas import KEY
+from ..sources import store, tape_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,14 +27,21 @@ class Tape:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.trades, self.quotes = adapters.trades(spark, sf_dir), adapters.quotes(spark, sf_dir)
+        self._kept: dict[str, DataFrame] = {}
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A frame that several operators read: written once, then scanned."""
+        if name not in self._kept:
+            self._kept[name] = store.kept(make())
+        return self._kept[name]
 
     @property
     def quoted(self) -> DataFrame:
-        return T.asof_quote(self.trades, self.quotes)
+        return self.once("quoted", lambda: T.asof_quote(self.trades, self.quotes))
 
     @property
     def sided(self) -> DataFrame:
-        return T.lee_ready(self.quoted)
+        return self.once("sided", lambda: T.lee_ready(self.quoted))
 
     @property
     def bars(self) -> DataFrame:
@@ -40,7 +49,7 @@ class Tape:
 
     @property
     def averages(self) -> DataFrame:
-        one = self.bars.where("tf = '1m'")
+        one = B.bars(self.trades, {"1m": B.WIDTHS["1m"]})
         return B.atr(B.with_emas(one)).select(*KEY, "end_ts", "ema9", "ema20", "ema30", "ema200", "atr", "atr_status")
 
     @property
@@ -57,7 +66,7 @@ class Tape:
 
     @property
     def stream(self) -> DataFrame:
-        return K.session_stream(B.vwap(self.trades), self.quotes, self.sided, self.averages)
+        return self.once("stream", lambda: K.session_stream(B.vwap(self.trades), self.quotes, self.sided, self.averages))
 
     @property
     def levels(self) -> DataFrame:
@@ -72,6 +81,23 @@ class Tape:
         return Z.episodes(self.events)
 
 
+_tapes: dict[tuple[str, str], Tape] = {}
+
+
+def tape_of(spark: SparkSession, sf_dir: str) -> Tape:
+    """The session's tape of a folder: what one query has stored (sides, the stream, packets) the next one reads."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _tapes:
+        _tapes.clear()
+        _tapes[key] = Tape(spark, sf_dir)
+    return _tapes[key]
+
+
+def forget() -> None:
+    """Drop what queries have stored, so that the next one computes all of it."""
+    _tapes.clear()
+
+
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
@@ -80,28 +106,35 @@ def _bars(tf: str, t: Tape) -> DataFrame:
     return B.bars(t.trades, {tf: B.WIDTHS[tf]}).drop("tf", "width", "end_ts")
 
 
-def _stats(t: Tape) -> DataFrame:
-    tall = t.episodes.select("session_id", F.expr("stack(3, 'mfe', mfe, 'mae', mae, 'time_to_mfe_ms', CAST(time_to_mfe_ms AS DOUBLE)) AS (metric, x)"))
-    p = F.percentile("x", F.array(F.lit(0.5), F.lit(0.9)))
-    out = tall.groupBy("session_id", "metric").agg(F.min("x").alias("min"), p.alias("p"), F.max("x").alias("max"), F.avg("x").alias("mean"))
-    return rounded(out.select("session_id", "metric", "min", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p90"), "max", "mean"), "min", "p50", "p90", "max", "mean")
+def _landed(t: Tape, fmt: str = "parquet") -> str:
+    """The trades as recorded files: with a list of conditions, or in CSV with their first as text."""
+    path = store.scratch(t.spark)
+    if fmt == "csv":
+        t.trades.withColumn("conditions", F.get("conditions", 0)).drop("session_id").write.option("header", "true").csv(path)
+    else:
+        t.trades.drop("session_id").write.parquet(path)
+    return path
 
 
-def _merged(t: Tape) -> DataFrame:
-    both = t.quotes.select("seq", *KEY, "ts_ms", F.lit("quote").alias("kind")).unionByName(t.trades.select("seq", *KEY, "ts_ms", F.lit("trade").alias("kind")))
-    return both.select("seq", "kind", *KEY, F.expr("row_number() OVER (PARTITION BY symbol, session_id ORDER BY ts_ms, kind, seq)").cast("long").alias("position"))
+def _conditions(t: Tape) -> DataFrame:
+    found = tape_files.scan_trades(t.spark, _landed(t, "csv"), "csv")
+    return found.groupBy(F.array_contains("conditions", "W").alias("has_w"), F.size("conditions").alias("n_conditions")).agg(F.count("*").alias("n"))
+
 
+def _quotes(t: Tape) -> DataFrame:
+    path = store.scratch(t.spark)
+    t.quotes.write.option("header", "true").csv(path)
+    return rounded(tape_files.scan_quotes(t.spark, path, "csv"), "bid", "ask")
 
-def _preview(t: Tape) -> DataFrame:
-    order = F.struct("ts_ms", "seq")
-    a = t.trades.groupBy(*KEY).agg(F.count("*").alias("n_trades"), F.min_by("price", order).alias("first_price"), F.max_by("price", order).alias("last_price"))
-    return a.join(t.quotes.groupBy(*KEY).agg(F.count("*").alias("n_quotes")), KEY)
+
+def _merged(t: Tape) -> DataFrame:
+    commands = adapters.markers(t.spark, t.sf_dir).withColumn("seq", F.substring("marker_id", 2, 20).cast("long"))
+    return T.event_merge(t.quotes, t.trades, commands).select("seq", "kind", *KEY, "position")
 
 
 def _absorption(t: Tape) -> DataFrame:
-    move = F.round(F.abs(F.coalesce(F.col("last_price") - F.lag("last_price").over(K._order()), F.lit(0.0))), 4)
-    ticks = t.state.join(t.flow, K.TICK)
-    return ticks.select(*K.TICK, F.round(F.ln(1 + F.greatest(F.lit(0.0), -F.col("delta")) / (move + X.EPS)), 4).alias("absorption"))
+    out = K.absorption(t.state.withColumn("last_price", F.round("last_price", 4)).join(t.flow, K.TICK))
+    return out.select(*K.TICK, F.round(X.asinh(F.col("absorption_index")), 4).alias("absorption"))
 
 
 def _aggr(t: Tape) -> DataFrame:
@@ -110,22 +143,22 @@ def _aggr(t: Tape) -> DataFrame:
 
 
 def _baseline(t: Tape) -> DataFrame:
-    e = t.episodes.select(*Z.LEVEL, "start_time", "zone_entry_time")
-    inside = e.join(t.events.select(*Z.LEVEL, "ts_ms"), Z.LEVEL).where("ts_ms >= start_time AND ts_ms < zone_entry_time")
-    return inside.groupBy(*Z.LEVEL, "zone_entry_time").agg(F.count("*").alias("ticks"))
+    e = t.episodes
+    inside = Z.baseline_ticks(e, t.events).join(e.select("episode_id", "zone_entry_time"), "episode_id")
+    return inside.groupBy(*Z.LEVEL, "zone_entry_time").agg(F.count("*").alias("ticks"), F.round(F.min("signed_distance_atr"), 6).alias("lowest"))
 
 
 PLANS: dict[str, Callable[[Tape], DataFrame]] = {
-    "scan_trades": lambda t: t.trades.withColumn("conditions", F.array_join("conditions", ",")),
-    "scan_quotes": lambda t: rounded(t.quotes, "bid", "ask"),
-    "norm_conditions": lambda t: t.trades.groupBy(F.array_contains("conditions", "W").alias("has_w"), F.size("conditions").alias("n_conditions")).agg(F.count("*").alias("n")),
-    "range_scan": lambda t: t.trades.where((F.col("symbol") == "S0") & F.col("ts_ms").between(1704207600000, 1704218400000)).select("seq", "ts_ms", "price", "size"),
-    "stable_order": lambda t: t.trades.select("seq", *KEY, F.expr("row_number() OVER (PARTITION BY symbol, session_id ORDER BY ts_ms, seq)").cast("long").alias("position")),
+    "scan_trades": lambda t: tape_files.scan_trades(t.spark, _landed(t)).withColumn("conditions", F.array_join("conditions", ",")),
+    "scan_quotes": _quotes,
+    "norm_conditions": _conditions,
+    "range_scan": lambda t: tape_files.range_scan(tape_files.scan_trades(t.spark, _landed(t)), "S0", 1704207600000, 1704218400000).select("ts_ms", "price", "size"),
+    "stable_order": lambda t: T.stable_order(t.trades).select("seq", *KEY, "position"),
     "event_merge": _merged,
     "session_extent": lambda t: K.session_extent(t.trades, t.quotes),
     "exch_date": lambda t: t.trades.groupBy(X.exchange_date(F.col("ts_ms")).alias("date"), X.local_minute(F.col("ts_ms")).alias("minute")).agg(F.count("*").alias("n")),
-    "tape_preview": _preview,
-    "asof_quote": lambda t: rounded(t.quoted.select("seq", *KEY, "ts_ms", "price", "quote_ts_ms", "bid", "ask"), "bid", "ask"),
+    "tape_preview": lambda t: T.tape_preview(t.trades, t.quotes),
+    "asof_quote": lambda t: rounded(T.asof_quote(t.trades, t.quotes).select("seq", *KEY, "ts_ms", "price", "quote_ts_ms", "bid", "ask"), "bid", "ask"),
     "quote_rule": lambda t: t.quoted.select("seq", *KEY, X.quote_rule(F.col("price"), F.col("bid"), F.col("ask")).alias("side")),
     "lee_ready": lambda t: t.sided.select("seq", *KEY, "ts_ms", "price", "size", "side"),
     "lee_ready_noquote": lambda t: T.lee_ready(t.quoted, need_quote=False).select("seq", *KEY, "side"),
@@ -145,7 +178,7 @@ PLANS: dict[str, Callable[[Tape], DataFrame]] = {
     "tick_flow": lambda t: rounded(t.flow.drop("_high", "_low", "pct_at_bid"), "pct_at_ask", "relative_aggression"),
     "tick_hilo": lambda t: t.stream.select(*K.TICK, "high_10s", "low_10s"),
     "filter_w": lambda t: t.flow.select(*K.TICK, F.col("_high").alias("high"), F.col("_low").alias("low")),
-    "spread_vol": lambda t: rounded(K.spread_vol(K.tick_quote(t.grid, t.quotes)).select(*K.TICK, "spread_volatility_60s"), "spread_volatility_60s"),
+    "spread_vol": lambda t: rounded(K.spread_vol(K.tick_quote(t.grid, t.quotes)).select(*K.TICK, "spread_volatility_60s", F.round("spread_zscore", 4).alias("spread_zscore")), "spread_volatility_60s"),
     "aggr_z": _aggr,
     "delta_deriv": lambda t: K.delta_deriv(t.flow).select(*K.TICK, "delta_velocity", "delta_acceleration"),
     "absorption": _absorption,
@@ -154,13 +187,13 @@ PLANS: dict[str, Callable[[Tape], DataFrame]] = {
     "approach_ret": lambda t: rounded(K.approach_return(t.state).select(*K.TICK, "approach_return_60s"), "approach_return_60s"),
     "ema_mask": lambda t: K.ema_structure(t.state).select(*K.TICK, "stack_state", "price_vs_emas"),
     "ema_structure": lambda t: rounded(K.ema_structure(t.state).select(*K.TICK, "slope_ema9_60s", "ema_spread_9_20", "compression_index", "ema_confluence_score", "stretch_200_atr"), "slope_ema9_60s", "ema_spread_9_20", "compression_index", "ema_confluence_score", "stretch_200_atr"),
-    "vwap_context": lambda t: rounded(K.vwap_context(t.state).select(*K.TICK, "price_minus_vwap", "price_minus_vwap_atr"), "price_minus_vwap", "price_minus_vwap_atr"),
+    "vwap_context": lambda t: rounded(K.vwap_context(t.state).select(*K.TICK, "price_minus_vwap", "price_minus_vwap_atr", "vwap_state"), "price_minus_vwap", "price_minus_vwap_atr"),
     "large_threshold": lambda t: K.large_threshold(t.grid, t.sided),
     "large_trades": lambda t: rounded(K.large_trades(K.large_threshold(t.grid, t.sided), t.sided).drop("large_trade_threshold_size"), "large_trade_buy_ratio", "large_trade_share_of_total_vol_10s"),
     "session_stream": lambda t: rounded(
-        t.stream.select(*K.TICK, "last_price", "vwap_session", "atr", "ema9", "spread_pct", "relative_aggression", "trade_count", "total_volume", "delta", "high_10s", "low_10s", "large_trade_threshold_size", "large_trade_count_10s"),
-        "vwap_session", "atr", "ema9", "spread_pct", "relative_aggression",
-    ),
+        t.stream.select(*K.TICK, "sequence_id", "compression_index", "ema_confluence_score", "stack_state", "vwap_state", "price_minus_vwap_atr", "realized_vol_60s", "delta_velocity", "last_price", "vwap_session", "atr", "ema9", "spread_pct", "relative_aggression", "trade_count", "total_volume", "delta", "high_10s", "low_10s", "large_trade_threshold_size", "large_trade_count_10s"),
+        "vwap_session", "atr", "ema9", "spread_pct", "relative_aggression", "compression_index", "ema_confluence_score", "price_minus_vwap_atr", "realized_vol_60s",
+    ).withColumn("sequence_id", F.col("sequence_id").cast("long")),
     "active_levels": lambda t: t.levels.select(*Z.LEVEL, "level_price", "created_ts_ms"),
     "zone_distance": lambda t: rounded(t.events.select(*Z.LEVEL, "ts_ms", "signed_distance", "signed_distance_atr", "in_zone"), "signed_distance", "signed_distance_atr"),
     "zone_events": lambda t: t.events.where("event IS NOT NULL").select(*Z.LEVEL, "ts_ms", "event"),
@@ -169,13 +202,13 @@ PLANS: dict[str, Callable[[Tape], DataFrame]] = {
     "episodes": lambda t: t.episodes.select(*Z.LEVEL, "start_time", "zone_entry_time", "zone_exit_time", "resolution_time", "resolution_trigger", "level_entry_side"),
     "outcome_metrics": lambda t: rounded(t.episodes.select(*Z.LEVEL, "zone_entry_time", "outcome", "mfe", "mae", "time_to_mfe_ms", "time_to_failure_ms"), "mfe", "mae"),
     "outcome_counts": lambda t: t.episodes.groupBy("session_id", "outcome").agg(F.count("*").alias("n")),
-    "episode_stats": _stats,
+    "episode_stats": lambda t: rounded(G.episode_stats(t.episodes), "min", "p50", "p90", "max", "mean"),
     "baseline_backfill": _baseline,
 }
 
 
 def _run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return PLANS[name](Tape(spark, sf_dir))
+    return PLANS[name](tape_of(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {name: partial(_run, name) for name in PLANS}

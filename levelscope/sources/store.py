@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,19 @@ PARTITION = ["date", "ticker", "session"]
 ALIASES = {"pct_at_ask": "%_at_ask", "pct_at_bid": "%_at_bid"}
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder on what driver and executors share: the checkpoint folder, or the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{named.rstrip('/')}/levelscope-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read again from a new folder: for what several operators build on."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _stored(df: DataFrame, ts: str) -> DataFrame:
     named = df.withColumnsRenamed({k: v for k, v in ALIASES.items() if k in df.columns})
     return named.withColumn("date", exchange_date(F.col(ts))).withColumn("ticker", F.col("symbol")).withColumn("session", F.col("session_id"))
@@ -32,13 +46,19 @@ def write(df: DataFrame, path: str, kind: str, ts: str = "ts_ms", replace: bool
     writer.mode("overwrite" if replace else "append").parquet(f"{path}/{kind}")
 
 
-def read(spark: SparkSession, path: str, kind: str, date: str | None = None, ticker: str | None = None, session: str | None = None) -> DataFrame:
-    """A kind's rows; date, ticker and session prune partitions."""
+def read(spark: SparkSession, path: str, kind: str, date: str | None = None, ticker: str | None = None, session: str | None = None, episode: str | None = None, order: str | None = None) -> DataFrame:
+    """A kind's rows; date, ticker and session prune partitions, an episode is pushed to the scan.
+
+    With ``order`` rows whose time isn't a number are left out and the rest is sorted by it.
+    """
     df = spark.read.parquet(f"{path}/{kind}")
-    for name, value in (("date", date), ("ticker", ticker), ("session", session)):
+    for name, value in (("date", date), ("ticker", ticker), ("session", session), ("episode_id", episode)):
         if value is not None:
             df = df.where(F.col(name) == value)
-    return df.withColumnsRenamed({v: k for k, v in ALIASES.items() if v in df.columns})
+    df = df.withColumnsRenamed({v: k for k, v in ALIASES.items() if v in df.columns})
+    if order is not None:
+        df = df.withColumn(order, F.expr(f"try_cast({order} AS BIGINT)")).where(F.col(order).isNotNull()).orderBy(*PARTITION, order)
+    return df
 
 
 def list_sessions(spark: SparkSession, path: str, kinds: tuple[str, ...] = KINDS) -> DataFrame:
@@ -55,3 +75,27 @@ def drift_read(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
         df = spark.read.parquet(p)
         parts.append(df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want]))
     return reduce(DataFrame.unionByName, parts)
+
+
+REPORTS = "reports"
+
+
+def write_reports(reports: DataFrame, path: str, mode: str = "append") -> None:
+    """A nested document a session as JSON, by date and ticker; ``reports`` has PARTITION columns and a struct ``report``."""
+    document = F.to_json("report", {"ignoreNullFields": "false"})
+    out = reports.select("date", "ticker", F.to_json(F.struct("session", document.alias("report"))).alias("value"))
+    out.repartition("date", "ticker").write.partitionBy("date", "ticker").option("partitionOverwriteMode", "dynamic").mode(mode).text(f"{path}/{REPORTS}")
+
+
+def read_reports(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Reports by ``schema`` (of the document); lines that aren't one are skipped."""
+    lines = spark.read.text(f"{path}/{REPORTS}")
+    outer = F.from_json("value", "session string, report string")
+    inner = lines.select("date", "ticker", outer.alias("o")).select("date", "ticker", "o.session", F.from_json("o.report", schema).alias("report"))
+    return inner.where("session IS NOT NULL AND report IS NOT NULL")
+
+
+def without_report(sessions: DataFrame, reports: DataFrame) -> DataFrame:
+    """Sessions that have no report yet."""
+    key = ["ticker", "session"]
+    return sessions.join(reports.select(*key).distinct(), key, "left_anti")

@@ -13,9 +13,31 @@ from ..schemas import QUOTES, TRADES
 LATE = "10 seconds"
 
 
-def source(spark: SparkSession, path: str, kind: str = "trades", fmt: str = "parquet", files_each: int = 4) -> DataFrame:
+#: The last event of each symbol, so late that every window before it can close.
+CLOSE_MS = 86_400_000
+
+
+def drop_files(df: DataFrame, path: str, parts: int = 4, key: str = "symbol") -> None:
+    """A finished tape as files that a stream reads in order of time, and a closing event for each key.
+
+    Each part is written before the next one, since a file source takes the oldest files first.
+    """
+    low, high = df.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+    if low is None:
+        return df.write.mode("append").parquet(path)
+    step = max(1, -(-(high + 1 - low) // parts))
+    for k in range(parts):
+        df.where(F.col("ts_ms").between(low + k * step, low + (k + 1) * step - 1)).coalesce(1).write.mode("append").parquet(path)
+    last = F.lit(high + CLOSE_MS)
+    rest = [c for c in df.columns if c not in (key, "ts_ms")]
+    closing = df.select(key).distinct().select(key, last.alias("ts_ms"), *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in rest]).select(df.columns)
+    closing.coalesce(1).write.mode("append").parquet(path)
+    return None
+
+
+def source(spark: SparkSession, path: str, kind: str = "trades", fmt: str = "parquet", files_each: int = 4, schema=None) -> DataFrame:
     """A folder that files are dropped into, as a stream with its event time and watermark."""
-    schema = TRADES if kind == "trades" else QUOTES
+    schema = schema or (TRADES if kind == "trades" else QUOTES)
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_each).format(fmt).load(path)
     return raw.withColumn("t", F.timestamp_millis("ts_ms")).withWatermark("t", LATE)
 
