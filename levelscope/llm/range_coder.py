@@ -5,18 +5,21 @@ block can be decoded alone. For every id the block's history gives three predict
 
 * order 2: the id that last followed the two ids before,
 * order 1: the id that last followed the id before,
-* order 0: adaptive frequencies of the id's four hexadecimal digits, each given those before.
+* order 0: adaptive frequencies of the id's hexadecimal digits, each given those before.
 
-A first decision says whether the id is the one predicted by the longest known context;
-its probability is a logistic mix of adaptive probabilities for the order-2, order-1 and
-order-0 evidence, with weights learned as the block goes. If it isn't, four order-0 choices
-spell the id. A carryless range coder with 64-bit bounds codes all of them. Every value
-that the coder uses is an integer below 2^24 or exact, so every machine decodes alike.
+A first decision says whether the id is the one predicted by the longest known context. Its
+probability is a logistic mix of three adaptive ones, with weights learned as the block goes:
+by how sure order 2 is, by how sure order 1 is and whether it agrees, and by how many bits the
+predicted id has under order 0. If it isn't that id, order-0 choices spell it, four digits, or
+eight in blocks with ids over 65 535. A carryless range coder with 64-bit bounds codes all of
+them. Every value that the coder uses is an integer below 2^24 or exact, so every machine
+decodes alike.
 
 Blocks are coded many at a time, one numpy lane per block: step t handles id t of all.
 
-Layout of a coded block, little-endian: magic ``CMR1``, uint32 number of ids, uint32
-crc32 of the ids as uint32, uint32 crc32 of the payload, then the payload of 16-bit units.
+Layout of a coded block, little-endian: magic ``CMR2``, uint32 16-bit halves of an id (1 or 2),
+uint32 number of ids, uint32 crc32 of the ids as uint32, uint32 crc32 of all of that and the
+payload, then the payload of 16-bit units.
 """
 
 from __future__ import annotations
@@ -27,9 +30,10 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"CMR1"
-HEAD = struct.Struct("<4sIII")
-MAX_ID = 0xFFFF
+MAGIC = b"CMR2"
+FACTS, HEAD = struct.Struct("<4sIII"), struct.Struct("<4sIIII")
+#: Ids of a block, at most: what a decoder makes room for.
+MOST_IDS = 1 << 24
 #: Entries of the tables of contexts, a power of two.
 SLOTS = 4096
 
@@ -38,6 +42,7 @@ _FIRST = (0, 1, 17, 273)
 _ROWS = 4369
 #: What a digit's frequency grows by, and the total from which a row's are halved.
 _GAIN, _FULL = (12, 16, 24, 24), 16_000
+_BITS = np.array([n.bit_length() for n in range(1 << 16)], np.uint8)
 _UPTO = np.triu(np.ones((16, 16), np.float32))
 
 _U = np.uint64
@@ -55,35 +60,49 @@ class CorruptBlock(ValueError):
 
 
 class _Lanes:
-    """Models and coder bounds of ``n`` blocks; the longest block first."""
-
-    def __init__(self, n: int):
-        self.after1 = np.zeros(n * SLOTS, np.uint32)  # id + 1 in the high bits, confidence 0..3 below
-        self.after2 = np.zeros(n * SLOTS, np.uint32)
-        self.digits = np.ones((n * _ROWS, 16), np.uint16)  # frequencies of a digit given those before
-        self.hit = np.full((3, n * 8), 1 << 11, np.int32)  # 12 bits, by order and evidence
+    """Models and coder bounds of ``n`` blocks of ids of so many 16-bit ``halves``; the longest block first."""
+
+    def __init__(self, n: int, halves: int):
+        self.halves = halves
+        self.after1 = np.zeros(n * SLOTS, _U if halves > 1 else np.uint32)  # id + 1 in the high bits, confidence 0..3 below
+        self.after2 = np.zeros_like(self.after1)
+        # frequencies of a digit given those before, and their sums; the low halves' tables, then the high halves'
+        self.digits = np.ones((halves * n * _ROWS, 16), np.uint16)
+        self.total = np.full(halves * n * _ROWS, 16, np.uint16)
+        self.hit = np.full((3, n * 16), 1 << 11, np.int32)  # 12 bits, by order and evidence
         self.weight = np.full((3, n), 22_000, np.int32)  # of 65536
-        self.prev1 = np.zeros(n, np.uint32)
-        self.prev2 = np.zeros(n, np.uint32)
+        self.prev1 = np.zeros(n, self.after1.dtype)
+        self.prev2 = np.zeros(n, self.after1.dtype)
         self.row = np.arange(n)
         self.slot = self.row * SLOTS
 
+    def order0_bits(self, ids: np.ndarray) -> np.ndarray:
+        """How many bits, roughly, the low half of each id has under its lane's digit frequencies."""
+        begin, prefix, bits = self.row[: len(ids)] * _ROWS, np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        for k in range(4):
+            at = begin + _FIRST[k] + prefix
+            digit = (ids >> ids.dtype.type(12 - 4 * k) & ids.dtype.type(15)).astype(np.int64)
+            bits += _BITS[self.total[at]].astype(np.int64) - _BITS[self.digits[at, digit]]
+            prefix = prefix * 16 + digit
+        return bits
+
     def evidence(self, m: int):
         """Slots, the predicted id + 1 and the hit probability for the first ``m`` lanes."""
-        p1, p2 = self.prev1[:m], self.prev2[:m]
+        kind = self.after1.dtype.type
+        p1, p2 = (self._folded(x[:m]) for x in (self.prev1, self.prev2))
         s1 = (p1 * np.uint32(0x9E3779B1)) >> np.uint32(20)
         s2 = ((p2 * np.uint32(0x85EBCA6B)) ^ (p1 * np.uint32(0xC2B2AE35)))
         s2 = (s2 ^ (s2 >> np.uint32(15))) * np.uint32(0x27D4EB2F) >> np.uint32(20)
         s1, s2 = self.slot[:m] + s1, self.slot[:m] + s2
         e1, e2 = self.after1[s1], self.after2[s2]
-        g1, g2 = e1 >> np.uint32(2), e2 >> np.uint32(2)
+        g1, g2 = e1 >> kind(2), e2 >> kind(2)
         known2 = g2 > 0
         guess = np.where(known2, g2, g1)
-        same = (g1 == guess).astype(np.uint32)
-        c2 = np.where(known2, (e2 & np.uint32(3)) + np.uint32(1), np.uint32(0))
-        c1 = np.where(g1 > 0, same * np.uint32(4) + (e1 & np.uint32(3)), np.uint32(0))
-        c0 = c2 + known2 * same * np.uint32(3)
-        base = self.row[:m] * 8
+        same = (g1 == guess).astype(np.int64)
+        c2 = np.where(known2, (e2 & kind(3)).astype(np.int64) + 1, 0)
+        c1 = np.where(g1 > 0, same * 4 + (e1 & kind(3)).astype(np.int64), 0)
+        c0 = np.minimum(self.order0_bits(np.where(guess > 0, guess - kind(1), kind(0))), 15)
+        base = self.row[:m] * 16
         at = (base + c2, base + c1, base + c0)
         q = [self.hit[k][at[k]] for k in range(3)]
         s = [_STRETCH[x] for x in q]
@@ -92,6 +111,10 @@ class _Lanes:
         mixed = _SQUASH[np.clip(dot + 2048, 0, 4095)]
         return s1, s2, e1, e2, guess, at, q, s, np.where(guess > 0, mixed, 1).astype(np.int32)
 
+    @staticmethod
+    def _folded(x: np.ndarray) -> np.ndarray:
+        return x if x.dtype == np.uint32 else (x ^ x >> _U(32)).astype(np.uint32)
+
     def learn(self, m: int, ids: np.ndarray, ev, hit: np.ndarray) -> None:
         s1, s2, e1, e2, guess, at, q, s, mixed = ev
         goal = hit.astype(np.int32) * 4095
@@ -100,10 +123,11 @@ class _Lanes:
         for k in range(3):
             self.hit[k][at[k]] = q[k] + ((goal - q[k]) >> 4)
             np.clip(w[k] + ((s[k] * err) >> 12), -200_000, 200_000, out=w[k])
-        new = ids + np.uint32(1)
+        kind = self.after1.dtype.type
+        new = ids.astype(self.after1.dtype) + kind(1)
         for table, slot, e in ((self.after1, s1, e1), (self.after2, s2, e2)):
-            right = (e >> np.uint32(2)) == new
-            table[slot] = (new << np.uint32(2)) | np.where(right, np.minimum((e & np.uint32(3)) + np.uint32(1), np.uint32(3)), np.uint32(0))
+            right = (e >> kind(2)) == new
+            table[slot] = (new << kind(2)) | np.where(right, np.minimum((e & kind(3)) + kind(1), kind(3)), kind(0))
         self.prev2[:m] = self.prev1[:m]
         self.prev1[:m] = new
 
@@ -202,9 +226,17 @@ class _Decoder(_Coder):
 
 
 def _spell(lanes: _Lanes, coder: _Coder, rows: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-    """Four order-0 choices, of a digit each."""
-    flat, prefix, every = lanes.digits.reshape(-1), np.zeros(len(rows), np.int64), np.arange(len(rows)) * 16
-    begin = rows * _ROWS
+    """Order-0 choices of a digit each, four for every half of an id, the high half first."""
+    out = np.zeros(len(rows), np.uint32)
+    for half in reversed(range(lanes.halves)):
+        own = None if ids is None else ids >> np.uint32(16 * half) & np.uint32(0xFFFF)
+        begin = (rows + half * len(lanes.row)) * _ROWS
+        out |= _spell_half(lanes, coder, begin, own) << np.uint32(16 * half)
+    return out
+
+
+def _spell_half(lanes: _Lanes, coder: _Coder, begin: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
+    flat, prefix, every = lanes.digits.reshape(-1), np.zeros(len(begin), np.int64), np.arange(len(begin)) * 16
     for k in range(4):
         at = begin + _FIRST[k] + prefix
         own = lanes.digits[at]
@@ -213,30 +245,33 @@ def _spell(lanes: _Lanes, coder: _Coder, rows: np.ndarray, ids: np.ndarray | Non
         digit = coder.pick(sums, every, want)
         place = at * 16 + digit
         flat[place] += np.uint16(_GAIN[k])
+        lanes.total[at] += np.uint16(_GAIN[k])
         full = sums[:, 15] > _FULL
         if full.any():
             lanes.digits[at[full]] = (lanes.digits[at[full]] + np.uint16(1)) >> np.uint16(1)
+            lanes.total[at[full]] = lanes.digits[at[full]].sum(axis=1, dtype=np.uint16)
         prefix = prefix * 16 + digit
         if k % 2:
             coder.settle()
     return prefix.astype(np.uint32)
 
 
-def _run(sizes: np.ndarray, coder: _Coder, ids: np.ndarray | None) -> np.ndarray:
+def _run(sizes: np.ndarray, halves: int, coder: _Coder, ids: np.ndarray | None) -> np.ndarray:
     """Code all lanes, the longest first: ``ids`` (time by lane), or with None what they decode to."""
     n, longest = len(sizes), int(sizes[0])
-    lanes, result = _Lanes(n), ids if ids is not None else np.zeros((longest, n), np.uint32)
+    lanes, result = _Lanes(n, halves), ids if ids is not None else np.zeros((longest, n), np.uint32)
     active = np.searchsorted(-sizes, -np.arange(1, longest + 1), side="right")
     for t in range(longest):
         m = int(active[t])
         ev = lanes.evidence(m)
         guess = ev[4]
         coder.begin(lanes.row[:m])
-        hit = coder.decide(ev[8] << 4, None if ids is None else ids[t, :m] == guess - np.uint32(1))
+        expected = (guess - guess.dtype.type(1)).astype(np.uint32)
+        hit = coder.decide(ev[8] << 4, None if ids is None else (ids[t, :m] == expected) & (guess > 0))
         coder.settle()
         coder.end()
         rows = np.flatnonzero(~hit)
-        now = result[t, :m] if ids is not None else guess - np.uint32(1)
+        now = result[t, :m] if ids is not None else expected
         if len(rows):
             coder.begin(rows)
             spelt = _spell(lanes, coder, rows, None if ids is None else now[rows])
@@ -254,42 +289,59 @@ def _order(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block of ids (uint32, at most ``MAX_ID``) as a coded block, in the order given."""
+    """Each block of 32-bit ids as a coded block, in the order given."""
+    result: list[bytes] = [b""] * len(blocks)
+    wide = [bool(len(b)) and int(np.max(b)) > 0xFFFF for b in blocks]
+    for halves in (1, 2):
+        own = [k for k, w in enumerate(wide) if w == (halves == 2)]
+        for k, x in zip(own, _encoded([blocks[k] for k in own], halves), strict=True):
+            result[k] = x
+    return result
+
+
+def _encoded(blocks: list[np.ndarray], halves: int) -> list[bytes]:
     if not blocks:
         return []
+    if max(map(len, blocks)) > MOST_IDS:
+        raise ValueError(f"a block of more than {MOST_IDS} ids")
     order, sizes = _order([len(b) for b in blocks])
     ids = np.zeros((int(sizes[0]), len(blocks)), np.uint32)
     for lane, k in enumerate(order):
         ids[: len(blocks[k]), lane] = blocks[k]
-    if ids.size and ids.max() > MAX_ID:
-        raise ValueError(f"ids over {MAX_ID} don't fit this coder")
-    coder = _Encoder(len(blocks), int(sizes[0]))
-    _run(sizes, coder, ids)
+    coder = _Encoder(len(blocks), int(sizes[0]) * halves)
+    _run(sizes, halves, coder, ids)
     result: list[bytes] = [b""] * len(blocks)
     for lane, k in enumerate(order):
         payload = coder.payload(lane)
-        plain = np.asarray(blocks[k]).astype("<u4").tobytes()
-        result[k] = HEAD.pack(MAGIC, len(blocks[k]), zlib.crc32(plain), zlib.crc32(payload)) + payload
+        facts = FACTS.pack(MAGIC, halves, len(blocks[k]), zlib.crc32(np.asarray(blocks[k]).astype("<u4").tobytes()))
+        result[k] = facts + zlib.crc32(facts + payload).to_bytes(4, "little") + payload
     return result
 
 
 def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
-    """The ids of coded blocks, in the order given; raises CorruptBlock where a checksum fails."""
-    if not coded:
-        return []
+    """The ids of coded blocks, in the order given; raises CorruptBlock where a checksum or the head fails."""
     heads, payloads = [], []
     for x in coded:
         if len(x) < HEAD.size or x[:4] != MAGIC:
             raise CorruptBlock("not a coded block")
-        heads.append(HEAD.unpack_from(x))
-        payloads.append(x[HEAD.size :])
-        if zlib.crc32(payloads[-1]) != heads[-1][3]:
-            raise CorruptBlock("payload checksum differs")
-    order, sizes = _order([h[1] for h in heads])
-    ids = _run(sizes, _Decoder([payloads[k] for k in order]), None)
+        _, halves, n, check, whole = HEAD.unpack_from(x)
+        payload = x[HEAD.size :]
+        if zlib.crc32(x[: FACTS.size] + payload) != whole:
+            raise CorruptBlock("checksum of head and payload differs")
+        if halves not in (1, 2) or n > MOST_IDS:
+            raise CorruptBlock("a head that no block has")
+        heads.append((halves, n, check))
+        payloads.append(payload)
     result: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(coded)
-    for lane, k in enumerate(order):
-        result[k] = np.ascontiguousarray(ids[: heads[k][1], lane])
-        if zlib.crc32(result[k].astype("<u4").tobytes()) != heads[k][2]:
-            raise CorruptBlock("id checksum differs")
+    for halves in (1, 2):
+        own = [k for k, h in enumerate(heads) if h[0] == halves]
+        if not own:
+            continue
+        order, sizes = _order([heads[k][1] for k in own])
+        ids = _run(sizes, halves, _Decoder([payloads[own[k]] for k in order]), None)
+        for lane, at in enumerate(order):
+            k = own[at]
+            result[k] = np.ascontiguousarray(ids[: heads[k][1], lane])
+            if zlib.crc32(result[k].astype("<u4").tobytes()) != heads[k][2]:
+                raise CorruptBlock("id checksum differs")
     return result
