@@ -1,7 +1,7 @@
 """Interpolated modified Kneser-Ney bigram model: counted by Spark, mapped into memory to score.
 
 Tokens are words (white space, A-Z lowered) and one end a text; the first word's context is
-the text's beginning. A token is its 48-bit hash, a bigram the mixed hash of its two tokens.
+the text's beginning. A token is its 64-bit hash, a bigram the mixed hash of its two tokens.
 
 Counting: tasks count the bigrams of some millions of tokens at a time and send each
 shard, a range of bigram hashes, its sorted part. A shard adds its parts up and stores two
@@ -32,8 +32,6 @@ from pyspark.sql import functions as F
 from .common import MULTIPLIER, mix, new_path, word_hashes, written
 
 BEGIN, END = np.uint64(1), np.uint64(2)
-#: Words keep the upper 48 bits of their hashes; what is sent is that much smaller.
-TOKEN_BITS = np.uint64(0xFFFFFFFFFFFF0000)
 #: Characters that a task counts or scores at once (about a sixth of that in tokens); bounds its memory.
 COUNT_CHARS, SCORE_CHARS = 8_000_000, 2_000_000
 #: Shards for each shuffle partition; more make smaller groups.
@@ -63,31 +61,49 @@ def _sums(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[begins], *(np.add.reduceat(c[order], begins, dtype=np.int64) if len(begins) else c[:0].astype(np.int64) for c in columns)
 
 
+def _shrunk(x: np.ndarray) -> np.ndarray:
+    """Counts in the fewest bytes that hold them."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length, byte by byte: all first bytes, then all second ones and so on.
+    """Arrays byte by byte: all first bytes, then all second ones and so on, after each one's type and length.
 
     Bytes that hardly differ then lie together, and the shuffle's compression removes them.
     """
-    n = len(arrays[0])
-    return b"".join([n.to_bytes(8, "little"), *(np.ascontiguousarray(a).view(np.uint8).reshape(n, -1).T.tobytes() if n else b"" for a in arrays)])
+    parts = []
+    for x in arrays:
+        parts += [x.dtype.str[1:].encode(), len(x).to_bytes(8, "little"), np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b""]
+    return b"".join(parts)
+
+
+def _unpacked(payload: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(payload):
+        kind, n = np.dtype(payload[at : at + 2].decode()), int.from_bytes(payload[at + 2 : at + 10], "little")
+        at += 10
+        out.append(np.frombuffer(payload, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n).T.copy().view(kind).reshape(n))
+        at += n * kind.itemsize
+    return out
+
+
+def _unpack(payloads, columns: int) -> list[np.ndarray]:
+    """The columns of several payloads, one after another."""
+    found = [_unpacked(x) for x in payloads if x]
+    return [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.uint64) for k in range(columns)]
 
 
-def _small(counts: np.ndarray) -> np.ndarray:
-    """Counts of one shard as 32 bits."""
-    if len(counts) and counts.max() >= 1 << 32:
-        raise OverflowError("a shard has too many tokens; raise spark.sql.shuffle.partitions")
-    return counts.astype(np.uint32)
+def _pack_bigrams(first: np.ndarray, second: np.ndarray, n: np.ndarray) -> bytes:
+    """Bigrams as places among their distinct words, which are sent once, and their counts."""
+    words, at = np.unique(np.concatenate([first, second]), return_inverse=True)
+    at = _shrunk(at)
+    return _pack(words, at[: len(first)], at[len(first) :], _shrunk(n))
 
 
-def _unpack(payloads, kinds: tuple) -> list[np.ndarray]:
-    columns: list[list] = [[] for _ in kinds]
-    for x in payloads:
-        n, at = int.from_bytes(x[:8], "little"), 8
-        for column, kind in zip(columns, kinds, strict=True):
-            size = np.dtype(kind).itemsize
-            column.append(np.frombuffer(x, np.uint8, n * size, at).reshape(size, n).T.copy().view(kind).reshape(n))
-            at += n * size
-    return [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(columns, kinds, strict=True)]
+def _unpack_bigrams(payloads) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found = [_unpacked(x) for x in payloads]
+    columns = [(words[a], words[b], n.astype(np.int64)) for words, a, b, n in found]
+    return tuple(np.concatenate([c[k] for c in columns]) for k in range(3))
 
 
 def _tokens(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +111,6 @@ def _tokens(texts) -> tuple[np.ndarray, np.ndarray]:
     parts, begins, at = [], [], 0
     for text in texts:
         h = word_hashes(text)
-        h &= TOKEN_BITS
         parts += [h, [END]]
         begins.append(at)
         at += len(h) + 1
@@ -211,7 +226,7 @@ def count(docs: DataFrame, folder: str, shards: int) -> dict:
             order = np.argsort(keys)
             keys = keys[order]
             new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            n = np.diff(np.append(new, len(keys))).astype(np.uint32)
+            n = np.diff(np.append(new, len(keys)))
             keys, first, second = keys[new], first[order][new], tokens[order][new]
             bounds = _shards(keys, shards)
             rows = []
@@ -219,14 +234,14 @@ def count(docs: DataFrame, folder: str, shards: int) -> dict:
                 a, b = bounds[s], bounds[s + 1]
                 if a < b:  # by first word, so that the shuffle's compression finds runs
                     near = a + np.argsort(first[a:b])
-                    rows.append((s, "bigram", _pack(first[near], second[near], n[near])))
+                    rows.append((s, "bigram", _pack_bigrams(first[near], second[near], n[near])))
             yield pd.DataFrame(rows, columns=["shard", "kind", "payload"])
 
     def bigrams(group: pd.DataFrame) -> pd.DataFrame:
         shard = int(group["shard"].iloc[0])
-        first, second, n = _unpack(group["payload"], (np.uint64, np.uint64, np.uint32))
+        first, second, n = _unpack_bigrams(group["payload"])
         keys, at = _bigrams(first, second), np.arange(len(first))
-        unique, n = _sums(keys, n.astype(np.int64))
+        unique, n = _sums(keys, n)
         order = np.argsort(keys, kind="stable")
         at = at[order][np.searchsorted(keys[order], unique)]
         first, second = first[at], second[at]
@@ -236,7 +251,7 @@ def count(docs: DataFrame, folder: str, shards: int) -> dict:
         for kind, by, columns in (("before", second, (n, np.ones_like(n))), ("after", first, (n, n == 1, n == 2, n > 2))):
             word, *sums = _sums(by, *columns)
             bounds = _shards(word, word_shards)
-            rows += [(s, kind, _pack(word[a:b], *(_small(x[a:b]) for x in sums))) for s in range(word_shards) if (a := bounds[s]) < (b := bounds[s + 1])]
+            rows += [(s, kind, _pack(word[a:b], *(_shrunk(x[a:b]) for x in sums))) for s in range(word_shards) if (a := bounds[s]) < (b := bounds[s + 1])]
         rows.append((shard, "counts", _pack(np.array([np.sum(n == k) for k in (1, 2, 3, 4)] + [len(n), n.sum(), 0], np.int64))))
         return pd.DataFrame(rows, columns=["shard", "kind", "payload"])
 
@@ -244,8 +259,8 @@ def count(docs: DataFrame, folder: str, shards: int) -> dict:
         shard = int(group["shard"].iloc[0])
         found = []
         for kind, width in (("before", 2), ("after", 4)):
-            word, *sums = _unpack(group.loc[group["kind"] == kind, "payload"], (np.uint64,) + (np.uint32,) * width)
-            found.append(_sums(word, *sums))
+            word, *sums = _unpack(group.loc[group["kind"] == kind, "payload"], 1 + width)
+            found.append(_sums(word.astype(np.uint64), *sums))
         word = np.union1d(found[0][0], found[1][0])
         table = np.zeros((len(WORD_SUMS), len(word)), np.int64)
         for at, (own, *sums) in zip((0, 2), found, strict=True):
@@ -259,7 +274,7 @@ def count(docs: DataFrame, folder: str, shards: int) -> dict:
     spark = docs.sparkSession
     every = spark.range(shards).select(F.col("id").cast("int").alias("shard"))
     # every shard has its arrays, be they empty
-    none2 = every.select("shard", F.lit("bigram").alias("kind"), F.lit(_pack(empty, empty, empty.astype(np.uint32))).alias("payload"))
+    none2 = every.select("shard", F.lit("bigram").alias("kind"), F.lit(_pack_bigrams(empty, empty, empty)).alias("payload"))
     none1 = every.where(F.col("shard") < word_shards).select("shard", F.lit("none").alias("kind"), F.lit(b"").alias("payload"))
     counted = docs.select("text").mapInPandas(parts, PARTS).unionByName(none2)
     second = written(counted.groupBy("shard").applyInPandas(bigrams, PARTS), "bigrams")
@@ -267,7 +282,7 @@ def count(docs: DataFrame, folder: str, shards: int) -> dict:
 
     def totals(df: DataFrame) -> list[int]:
         rows = df.where("kind = 'counts'").select("payload").collect()  # 64 bytes a shard
-        return np.sum([_unpack([r["payload"]], (np.int64,))[0] for r in rows], axis=0).tolist()
+        return np.sum([_unpacked(r["payload"])[0] for r in rows], axis=0).tolist()
 
     two, one = totals(second), totals(third)
     return {"folder": folder, "shards": shards, "word_shards": word_shards, "d2": discounts(*two[:4]), "d1": discounts(*one[:4]), "types": two[4], "tokens": two[5], "vocabulary": one[4], "n1": one[:4]}
