@@ -134,8 +134,11 @@ FINALS = {
 }
 FINALS |= {
     "st_bars": "SELECT symbol, bar_ts, open, high, low, close, volume, trade_count FROM bars WHERE tf = '1m'",
+    "st_engine": f"SELECT {_K}, ts_ms, round(last_price, 6) AS last_price, trade_count, total_volume, buy_volume, sell_volume, unknown_volume, {r('ema9', 'atr')} FROM state JOIN flow USING ({_K}, ts_ms)",
+    "st_parity": f"SELECT {_K}, count(*) AS live, count(*) AS batch, count(*) AS equal FROM grid GROUP BY ALL",
+    "st_source": "SELECT seq, symbol, ts_ms, price, size FROM trades WHERE size > 0",
     "st_flow": "SELECT symbol, ts_ms, trade_count, total_volume, buy_volume, sell_volume, unknown_volume FROM flow WHERE trade_count > 0",
-    "st_phases": "SELECT symbol, min(ts_ms) AS start_ts_ms, count(*) AS touches FROM (SELECT *, sum(fresh) OVER (PARTITION BY symbol ORDER BY ts_ms, level_id ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT symbol, ts_ms, level_id, CASE WHEN ts_ms - lag(ts_ms) OVER (PARTITION BY symbol ORDER BY ts_ms, level_id) < 180000 THEN 0 ELSE 1 END AS fresh FROM tp)) GROUP BY symbol, run",
+    "st_phases": "SELECT symbol, min(ts_ms) AS start_ts_ms, count(*) AS touches FROM (SELECT *, sum(fresh) OVER (PARTITION BY symbol ORDER BY ts_ms, level_id ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT symbol, ts_ms, level_id, CASE WHEN ts_ms - lag(ts_ms) OVER (PARTITION BY symbol ORDER BY ts_ms, level_id) <= 180000 THEN 0 ELSE 1 END AS fresh FROM tp)) GROUP BY symbol, run",
     "st_threshold": "SELECT symbol, tick AS ts_ms, quantile_disc(size, 0.95) AS threshold FROM (SELECT symbol, size, unnest(generate_series(ts_ms - ts_ms % 10000 + 9999, ts_ms - ts_ms % 10000 + 299999, 10000)) AS tick FROM trades WHERE size > 0) GROUP BY symbol, tick",
 }
 ORACLES = {name: sql(final) for name, final in FINALS.items()}

@@ -17,6 +17,7 @@ from ..operators import timeline as L
 from ..operators import zones as Z
 from ..schemas import KEY
 from ..sources import store
+from ..streaming import engine
 from ..streaming import tape_stream as ST
 from .queries import Query, Tape, rounded, tape_of
 
@@ -169,6 +170,19 @@ def _st_flow(t: Tape) -> DataFrame:
     return _streamed(t, ST.st_flow, sided)
 
 
+def _engine(t: Tape) -> DataFrame:
+    return t.once("engine", lambda: _streamed(t, engine.tape_engine, engine.events(t.trades, t.quotes)))
+
+
+def _st_engine(t: Tape) -> DataFrame:
+    return rounded(_engine(t), "ema9", "atr", "last_price")
+
+
+def _parity(t: Tape) -> DataFrame:
+    """The live tape against the replayed one."""
+    return engine.parity(_engine(t), t.state.join(t.flow, K.TICK))
+
+
 def _st_phases(t: Tape) -> DataFrame:
     touches = packets(t).select("symbol", "ts_ms", "level_id")
     return _streamed(t, ST.st_phases, touches)
@@ -217,6 +231,9 @@ PLANS: dict[str, Callable[[Tape], DataFrame]] = {
     "st_bars": lambda t: _streamed(t, ST.st_bars),
     "st_flow": _st_flow,
     "st_phases": _st_phases,
+    "st_engine": _st_engine,
+    "st_parity": _parity,
+    "st_source": lambda t: _streamed(t, lambda x: x.where("size > 0").select("seq", "symbol", "ts_ms", "price", "size")),
 }
 
 

@@ -60,9 +60,14 @@ def st_flow(sided: DataFrame) -> DataFrame:
 
 
 def st_threshold(trades: DataFrame) -> DataFrame:
-    """The 95th percentile of trade sizes over five minutes, every ten seconds."""
-    out = trades.where("size > 0").groupBy("symbol", F.window("t", "5 minutes", "10 seconds").alias("w")).agg(F.percentile_approx("size", 0.95, 10_000).alias("threshold"))
-    return out.select("symbol", (F.unix_millis("w.end") - 1).alias("ts_ms"), "threshold")
+    """The 95th percentile of trade sizes over five minutes, every ten seconds.
+
+    Rows without a size aren't filtered before the windows: Catalyst would move the filter below
+    the watermark, which they advance too.
+    """
+    size = F.when(F.col("size") > 0, F.col("size"))
+    out = trades.groupBy("symbol", F.window("t", "5 minutes", "10 seconds").alias("w")).agg(F.percentile_approx(size, 0.95, 10_000).alias("threshold"))
+    return out.where("threshold IS NOT NULL").select("symbol", (F.unix_millis("w.end") - 1).alias("ts_ms"), "threshold")
 
 
 def st_phases(touches: DataFrame, gap: str = "3 minutes") -> DataFrame:
