@@ -20,8 +20,9 @@ def _w() -> Window:
     return Window.partitionBy(*LEVEL).orderBy("ts_ms")
 
 
-def _after() -> Window:
-    return _w().rowsBetween(1, Window.unboundedFollowing)
+def _later() -> Window:
+    """The rows after each one, the nearest last: a frame to the end would be read anew for every row."""
+    return Window.partitionBy(*LEVEL).orderBy(F.desc("ts_ms")).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def level_ticks(stream: DataFrame, levels: DataFrame, band: float = BAND) -> DataFrame:
@@ -113,12 +114,12 @@ def touch_packets(timeline: DataFrame, interval_s: float = 10.0) -> DataFrame:
     support = F.col("level_type") == "support"
     one = timeline.withColumns({"_held": F.min(price).over(soon) >= lower, "_under": F.max(price).over(soon) < lower, "_cvd": sums("delta", _w().rowsBetween(-5, 0))})
     touch = F.when(F.col("event") == "touch", F.struct("ts_ms", "_held"))
-    one = one.withColumn("_next_touch", F.first(touch, ignorenulls=True).over(_after()))
+    one = one.withColumn("_next_touch", F.last(touch, ignorenulls=True).over(_later()))
     broke = F.when(F.col("event") == "break", F.struct("ts_ms", "_under", "_next_touch"))
     atr = F.avg("atr").over(early)
     out_at = F.min(F.when(F.col("pos") != 0, F.col("rn"))).over(dozen)
     one = one.withColumns({
-        "_break": F.first(broke, ignorenulls=True).over(_after()),
+        "_break": F.last(broke, ignorenulls=True).over(_later()),
         "_in30": ahead(3), "_in60": ahead(6), "_lowest": F.min(price).over(minute),
         "_before": F.collect_list(F.struct("compression_index")).over(early),
         "approach_delta_60s": sums("delta", early),
