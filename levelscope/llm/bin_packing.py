@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .encoding import encoder, slices
 
-#: Groups that the pieces of one length are numbered in.
+#: Groups that the pieces of one length are numbered in, at least; as many as twice the shuffle partitions.
 SALTS = 256
 PIECES = "doc_id long, piece long, start long, length long, ids_crc32 long"
 
@@ -38,10 +38,11 @@ def cut(docs: DataFrame, vocabulary_file: str, end_id: int, capacity: int, with_
     end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches):
+        encode = encoder(vocabulary_file)
         for batch in batches:
             at = 0
             for part in slices(batch.column("text")):
-                ids, ends = encoder(vocabulary_file).encode(part)
+                ids, ends = encode.encode(part)
                 data, lengths = ids.astype("<u4").tobytes(), np.diff(ends) + 1  # with the end id
                 counts = -(-lengths // capacity)
                 doc = np.repeat(np.arange(len(part)), counts)
@@ -56,6 +57,7 @@ def cut(docs: DataFrame, vocabulary_file: str, end_id: int, capacity: int, with_
                 columns += [pa.array(own, pa.binary())] * with_ids
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] * with_ids)])
                 at += len(part)
+        encode.rest()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return source.mapInArrow(pieces, PIECES + ", ids binary" * with_ids).withColumn("piece", F.col("piece").cast("int"))
@@ -116,7 +118,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     The input must be a stored table: it is read once to count and once to deal out.
     """
     spark = pieces.sparkSession
-    pieces = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
+    pieces = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(SALTS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))))
     by_part = pieces.groupBy("_part", "length").agg(F.count("*").alias("n"))
     tally = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     if any(x > capacity or x < 1 for x in tally):

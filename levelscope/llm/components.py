@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -30,18 +30,24 @@ def small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and component (the least node that it reaches) of every node with an edge.
 
-    ``edges`` has long columns u and v. Each round's edges are written to the shared folder;
-    rounds grow with the logarithm of the number of nodes.
+    ``edges`` has long columns u and v. Each round's edges are written to the shared folder, and
+    the round's before are removed; rounds grow with the logarithm of the number of nodes. A node
+    with very many neighbours is the skewed side of a join whose other side has a row a node, which
+    Spark's adaptive execution splits. Repeated edges count once, edges from a node to itself and
+    edges with a null not at all; without edges there are no rows.
     """
     edges = written(edges.select("u", "v").where("u <> v").distinct(), "edges")
     if edges.isEmpty():
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     before = None
     while True:
-        edges = written(small_star(large_star(edges)), "edges")
+        old, edges = edges, written(small_star(large_star(edges)), "edges")
+        drop_written(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return written(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()), "components")
+    out = written(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()), "components")
+    drop_written(edges)
+    return out

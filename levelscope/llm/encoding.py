@@ -24,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of known pieces and their ids that a worker keeps at once.
-CACHED_BYTES = 64_000_000
+#: Bytes of known pieces and their ids that a worker keeps within a task, and from one task to the next.
+CACHED_BYTES, RESTING_BYTES = 48_000_000, 6_000_000
 #: Characters of texts that are cut up at once; a longer text is a slice of its own.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_500_000
 #: Pieces that go to the library in one string, and such strings at once.
 TOGETHER, STRINGS = 50, 200
 #: Bytes that a known piece takes besides its characters and ids.
@@ -94,18 +94,27 @@ class WordwiseEncoder:
         self.flat, self.used = np.zeros(4096, np.uint32), 0
         self.seen = np.zeros(1024, np.int32)  # slices that held the piece
 
-    def _thin(self) -> None:
-        """Forget the pieces that came up least until half of the bytes are free."""
+    def _thin(self, most: int) -> None:
+        """Forget the pieces that came up least until ``most`` bytes are left.
+
+        What stays is copied, so that it lies together and the memory round it is free.
+        """
         n = len(self.known)
         cost, seen, least = 4 * self.lengths[:n].astype(np.int64) + _OVERHEAD, self.seen[:n], 2
-        while int(cost[seen >= least].sum()) > self.most_bytes // 2:
+        while int(cost[seen >= least].sum()) > most:
             least *= 2
         keep = seen >= least
-        known = [p for p, k in zip(self.known, keep.tolist(), strict=True) if k]
+        known = [p.encode("utf-8", "surrogatepass").decode("utf-8", "surrogatepass") for p, k in zip(self.known, keep.tolist(), strict=True) if k]
         starts, lengths, flat = self.starts[:n][keep], self.lengths[:n][keep], self.flat
         self._forget()
         self._add(known, _gather(flat, starts, lengths.astype(np.int64)), lengths)
 
+    def rest(self) -> None:
+        """Give back what the next task need not find: most of what is known, and Arrow's free memory."""
+        if self.held > RESTING_BYTES:
+            self._thin(RESTING_BYTES)
+        pa.default_memory_pool().release_unused()
+
     def _add(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         first = len(self.known)
         end = first + len(pieces)
@@ -186,7 +195,7 @@ class WordwiseEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids (uint32) of all texts in a row, and the place where each text's begin and end."""
         if self.held > self.most_bytes:
-            self._thin()
+            self._thin(self.most_bytes // 2)
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)

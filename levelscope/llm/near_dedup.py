@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIER, mix, word_hashes, written
+from .common import MULTIPLIER, drop_written, mix, word_hashes, written
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -163,9 +163,11 @@ def prefix_pairs(entries: DataFrame, texts: DataFrame, size: int, percent: int)
     room = F.floor(F.col("rest") * (100 + percent) / percent) - F.col("n")
     rare = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("low < high").withColumn("room", room)
     rare = written(rare.where(100 * F.col("room") >= percent * F.col("n")).select("class", "id", "label", "n", "rest", "room", "shingle"), "rare")
+    drop_written(rows)
     bounds = rare.groupBy("shingle").agg(F.min("n").alias("least_n"), F.max("room").alias("most_room"), F.min("label").alias("low"), F.max("label").alias("high"))
     meeting = rare.join(bounds.where("low < high"), "shingle").where("room >= least_n AND n <= most_room")
     meeting = written(meeting.select("class", "id", "label", "n", "rest", "shingle"), "meeting")
+    drop_written(rare)
     x, y = meeting.alias("x"), meeting.alias("y")
     enough = (100 + percent) * F.least("x.rest", "y.rest") >= percent * (F.col("x.n") + F.col("y.n"))
     pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") < F.col("y.label")) & enough)

@@ -79,6 +79,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary_file: str, end_id: int, blo
         close()
         if full:
             yield coded()
+        encoder(vocabulary_file).rest()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInPandas(blocks, BLOCKS).write.parquet(path)

@@ -37,10 +37,11 @@ def count_tokens(docs: DataFrame, vocabulary_file: str) -> DataFrame:
     """doc_id, source, lang and n_tokens, by the tokenizers library over whole texts."""
 
     def counted(batches):
+        own = encoder(vocabulary_file)
         for batch in batches:
-            texts = batch.column("text")
-            n = np.concatenate([np.zeros(0, np.int64), *(np.diff(encoder(vocabulary_file).encode(part)[1]) for part in slices(texts))])
+            n = np.concatenate([np.zeros(0, np.int64), *(np.diff(own.encode(part)[1]) for part in slices(batch.column("text")))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("lang"), pa.array(n, pa.int64())], ["doc_id", "source", "lang", "n_tokens"])
+        own.rest()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text").mapInArrow(counted, "doc_id long, source string, lang string, n_tokens long")
 

@@ -214,9 +214,12 @@ def test_near_dedup_mutated_family(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_near_dedup_repeated_doc_id_ties_its_classes(spark):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_near_dedup_repeated_doc_id_ties_its_classes(spark, monkeypatch, most):
     from .conftest import prose
 
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", most)
+
     x, y, z = (prose(k, 60) for k in (700, 701, 702))
     rows = [(1, x), (5, x), (5, y), (2, y), (7, y), (7, z), (3, z), (9, prose(703, 60))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -225,6 +228,25 @@ def test_near_dedup_repeated_doc_id_ties_its_classes(spark):
     assert sorted(r["doc_id"] for r in near_dedup.deduplicated(docs).collect()) == [1, 9]
 
 
+def test_near_dedup_of_a_hidden_base(spark):
+    """Copies of a text that isn't there itself, some past the threshold to all others and some with one another's changes."""
+    from .conftest import prose
+
+    base, r, rows = prose(900, 120).split(), random.Random(8), []
+    changes = [(r.randrange(len(base)), f"seen{k}") for k in range(12)]
+    for k in range(90):
+        w = list(base)
+        for at, word in r.sample(changes, r.randrange(1, 5)):
+            w[at] = word
+        for _ in range(r.randrange(4)):
+            w[r.randrange(len(w))] = f"own{r.randrange(10**6)}"
+        rows.append((k, " ".join(w[: r.choice([120, 120, 110])])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size, percent in ((3, 85), (5, 80)):
+        got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(df, size, percent).collect()}
+        assert got == linked(rows, size, percent)
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(80), r.randrange(80)) for _ in range(50)] + [(100 + k, 101 + k) for k in range(25)]
