@@ -57,9 +57,14 @@ def tape_minutes(sided: DataFrame, low: Column, high: Column) -> DataFrame:
     return out.withColumn("zone", F.coalesce("zone", F.lit("ALL")))
 
 
-def session_range(windows: DataFrame) -> DataFrame:
-    """First start and last end of each ticker's watch windows, and a session id free of collisions."""
-    span = windows.groupBy("ticker").agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"))
+def session_range(windows: DataFrame, by: list[str] = ["ticker"]) -> DataFrame:  # noqa: B006
+    """First start and last end of the watch windows of each request, and a session id of ticker and start.
+
+    ``by`` names a request (the ticker among it); of requests with the same id the later ones by
+    ``by`` get a number.
+    """
+    span = windows.groupBy(*by).agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"))
     base = F.concat_ws("_", "ticker", F.date_format(F.timestamp_millis("start_ts"), "yyyyMMdd_HHmmss"))
-    n = F.row_number().over(Window.partitionBy("base").orderBy("ticker"))
-    return span.withColumn("base", base).withColumn("n", n).select("ticker", "start_ts", "end_ts", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", "n")).alias("session_id"))
+    n = F.row_number().over(Window.partitionBy("_base").orderBy(*by))
+    named = span.withColumn("_base", base).withColumn("_n", n)
+    return named.withColumn("session_id", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat_ws("_", "_base", "_n"))).drop("_base", "_n")

@@ -112,7 +112,9 @@ def _shared(t: Tape) -> DataFrame:
 
 
 def _range(t: Tape) -> DataFrame:
-    return W.session_range(_markers(t).select(F.col("symbol").alias("ticker"), (F.col("ts_ms") - 60_000).alias("start_ts"), (F.col("ts_ms") + 600_000).alias("end_ts")))
+    """Two requests for the same windows of each ticker."""
+    one = _markers(t).select(F.col("symbol").alias("ticker"), (F.col("ts_ms") - 60_000).alias("start_ts"), (F.col("ts_ms") + 600_000).alias("end_ts"))
+    return W.session_range(one.select("*", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("request")), ["ticker", "request"])
 
 
 PLANS: dict[str, Callable[[Tape], DataFrame]] = {
@@ -153,7 +155,7 @@ FINALS = {
     "anchor_stats": f"SELECT marker_id, c AS column, {r('p10=quantile_cont(x, 0.1)', 'p50=quantile_cont(x, 0.5)', 'p90=quantile_cont(x, 0.9)', 'mean=avg(x)')} FROM (SELECT m.marker_id, unnest(['last_price', 'delta', 'atr']) AS c, unnest([last_price, delta, atr]) AS x FROM mk m JOIN stream s ON s.symbol = m.symbol AND s.session_id = m.session_id AND s.ts_ms > m.ts_ms - 300000 AND s.ts_ms <= m.ts_ms WHERE last_price IS NOT NULL) WHERE x IS NOT NULL GROUP BY marker_id, c",
     "level_gaps": f"SELECT {_K}, level_id, CAST(level_price AS DOUBLE) AS level_price, round(gap, 6) AS gap, round(gap / atr, 6) AS gap_atr, coalesce(gap / atr < 0.5, false) AS cluster FROM (SELECT {_K}, level_id, level_price, CAST(level_price AS DOUBLE) - lead(CAST(level_price AS DOUBLE)) OVER (PARTITION BY {_K} ORDER BY level_price DESC) AS gap FROM levels) JOIN (SELECT {_K}, last(atr ORDER BY end_ts) AS atr FROM averages GROUP BY ALL) USING ({_K})",
     "tape_minutes": f"SELECT {_K}, ts_ms - ts_ms % 60000 AS minute_ts, CASE WHEN price > 100.35 THEN 'ABOVE' WHEN price < 100.05 THEN 'BELOW' ELSE 'IN_BAND' END AS zone, {_TM} FROM sided2 GROUP BY ALL UNION ALL SELECT {_K}, ts_ms - ts_ms % 60000 AS minute_ts, 'ALL' AS zone, {_TM} FROM sided2 GROUP BY ALL",
-    "session_range": "SELECT ticker, start_ts, end_ts, ticker || '_' || strftime(make_timestamp(start_ts * 1000), '%Y%m%d_%H%M%S') AS session_id FROM (SELECT symbol AS ticker, min(ts_ms) - 60000 AS start_ts, max(ts_ms) + 600000 AS end_ts FROM mk GROUP BY ALL)",
+    "session_range": "SELECT ticker, request, start_ts, end_ts, ticker || '_' || strftime(make_timestamp(start_ts * 1000), '%Y%m%d_%H%M%S') || CASE request WHEN 'b' THEN '_2' ELSE '' END AS session_id FROM (VALUES ('a'), ('b')) q(request), (SELECT symbol AS ticker, min(ts_ms) - 60000 AS start_ts, max(ts_ms) + 600000 AS end_ts FROM mk GROUP BY ALL)",
     "tf_indicators": f"""SELECT {_K}, level_id, entry AS zone_entry_time, ts_ms, tf AS timeframe, round(e9, 6) AS ema9, round(e200, 6) AS ema200, CASE WHEN e9 > e20 AND e20 > e30 THEN 'bull' WHEN e9 < e20 AND e20 < e30 THEN 'bear' ELSE 'mixed' END AS stack_state,
   CASE WHEN last_price > e200 THEN 8 ELSE 0 END + CASE WHEN last_price > e30 THEN 4 ELSE 0 END + CASE WHEN last_price > e20 THEN 2 ELSE 0 END + CASE WHEN last_price > e9 THEN 1 ELSE 0 END AS price_vs_emas,
   round(coalesce((e9 - b9) * 1000.0 / (ts_ms - bt), 0.0), 6) AS slope_ema9_60s, round(coalesce((e30 - b30) * 1000.0 / (ts_ms - bt), 0.0), 6) AS slope_ema30_60s, round((abs(e9 - e20) + abs(e20 - e30)) / atr, 6) AS compression_index,
