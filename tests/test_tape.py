@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from levelscope.functions import expressions as X
 from levelscope.operators import bars, scoring, tape, ticks, windows, zones
 from levelscope.sources import store, tape_files
-from levelscope.streaming import tape_stream
+from levelscope.streaming import engine, tape_stream
 
 T0 = 1704205800000  # 09:30 in New York
 
@@ -160,6 +160,23 @@ def test_stream_equals_batch(spark, tmp_path):
     assert tuple(flow) == tuple(want)
 
 
+def test_live_tape_equals_the_replayed_one(spark, tmp_path):
+    """The stateful stream in several batches, with late quotes between them, against the batch operators."""
+    r = random.Random(11)
+    t = trades(spark, [(T0 + r.randrange(2_400_000), 100 + r.randrange(-5, 6) / 100, r.randrange(1, 9)) for _ in range(300)])
+    q = quotes(spark, [(T0 + 300_000 + r.randrange(1_800_000), 99.98, 100.02) for _ in range(60)])
+    date = X.exchange_date(F.col("ts_ms"))
+    t, q = (df.withColumn("session_id", F.concat_ws("_", "symbol", date)) for df in (t, q))
+    tape_stream.drop_files(engine.events(t, q), f"{tmp_path}/in", parts=5)
+    live = engine.tape_engine(tape_stream.source(spark, f"{tmp_path}/in", files_each=1, schema=engine.EVENTS))
+    tape_stream.drain(live, f"{tmp_path}/out", f"{tmp_path}/state")
+    averages = bars.atr(bars.with_emas(bars.bars(t, {"1m": 60_000}))).select("symbol", "session_id", "end_ts", "ema9", "atr")
+    grid = ticks.tick_grid(ticks.session_extent(t, q))
+    batch = ticks.tick_state(grid, bars.vwap(t), averages).join(ticks.tick_flow(grid, tape.lee_ready(tape.asof_quote(t, q))), ticks.TICK)
+    got = engine.parity(spark.read.parquet(f"{tmp_path}/out"), batch).first()
+    assert got["live"] == got["batch"] == got["equal"] > 200
+
+
 def test_entry_imports_without_a_session():
     import subprocess
     import sys
