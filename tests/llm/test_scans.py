@@ -149,6 +149,20 @@ def test_quality_classifier(spark):
     assert quality_classifier.classify(docs, one).where("predicted = 1").count() == 242
 
 
+def test_quality_edges(spark):
+    """Empty labels and documents, and labels that repeat a doc_id or disagree."""
+    docs = spark.createDataFrame([(1, "a few words here", "x"), (None, None, "x")], "doc_id long, text string, words string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = quality_classifier.classify(docs, quality_classifier.train(docs, none)).collect()
+    assert [(r["score"], r["predicted"]) for r in rows] == [(0.5, 0), (0.5, 0)]
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (1, 0, 0), (3, 1, 0), (3, 0, 0), (4, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    texts = spark.createDataFrame([(k, "t") for k in (1, 3, 4)], "doc_id long, text string")
+    known = {r["doc_id"]: r["label"] for r in quality_classifier.labelled(texts, labels, held_out=9).collect()}
+    assert known == {1: 0.0, 3: 1.0}
+    empty = docs.limit(0)
+    assert quality_classifier.classify(empty, quality_classifier.train(empty, labels)).count() == 0 and quality_rules.judge(empty).count() == 0
+
+
 def brute_tiles(item, text, least):
     free_i, free_t, found = [True] * len(item), [True] * len(text), 0
     while True:
