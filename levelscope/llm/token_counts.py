@@ -75,10 +75,11 @@ class TokenCounts:
             return False
         latest = F.max(F.struct("seq", "op", "source", "lang", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))).alias("last")
         wanted = changes.where(F.col("op").isin("upsert", "delete")).groupBy(*KEY).agg(latest)
-        state = self._table("ledger", LEDGER, batch_id).groupBy(*KEY, "source", "lang").agg(F.sum("d_docs").alias("docs"), F.sum("d_tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
-        a, b = state.alias("a"), wanted.select(*KEY).alias("b")
+        a, b = self._table("ledger", LEDGER, batch_id).alias("a"), wanted.select(*KEY).alias("b")
         same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.tokenizer").eqNullSafe(F.col("b.tokenizer"))
-        taken = a.join(b, same, "left_semi").select(*KEY, "source", "lang", (-F.col("docs")).alias("d_docs"), (-F.col("tokens")).alias("d_tokens"))
+        # only the batch's own keys are summed, not the ledger
+        state = a.join(b, same, "left_semi").groupBy(*KEY, "source", "lang").agg(F.sum("d_docs").alias("docs"), F.sum("d_tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
+        taken = state.select(*KEY, "source", "lang", (-F.col("docs")).alias("d_docs"), (-F.col("tokens")).alias("d_tokens"))
         added = wanted.where("last.op = 'upsert'").select(*KEY, "last.source", "last.lang", F.lit(1).cast("long").alias("d_docs"), F.col("last.n_tokens").alias("d_tokens"))
         signed = taken.unionByName(added).groupBy(*KEY, "source", "lang").agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens")).where("d_docs <> 0 OR d_tokens <> 0")
         signed.select("doc_id", "tokenizer", "source", "lang", "d_docs", "d_tokens").write.mode("overwrite").parquet(f"{self.path}/ledger/{batch_id}")

@@ -93,6 +93,21 @@ def test_token_counts(spark, tmp_path):
     assert store.commit("empty", spark.createDataFrame([], schema)) and len(store.batches()) == 5
 
 
+def test_a_batch_lost_half_way_is_written_anew(spark, tmp_path):
+    import shutil
+
+    schema = "doc_id long, tokenizer string, op string, source string, lang string, n_tokens long, seq long, d_docs string"
+    store = TokenCounts(spark, f"file://{tmp_path}/store")
+    store.commit("one", spark.createDataFrame([(1, "t", "upsert", "a", "en", 5, 1, "x"), (2, "t", "upsert", "a", "en", 7, 1, "x")], schema))
+    # of equal seq the largest by op, source, lang and count holds; clashing columns are ignored
+    second = spark.createDataFrame([(1, "t", "upsert", "b", "en", 6, 2, "x"), (1, "t", "upsert", "b", "en", 9, 2, "x"), (1, "t", "delete", "z", "en", 0, 2, "x")], schema)
+    assert store.commit("two", second)
+    want = sorted(map(tuple, store.totals().collect()))
+    shutil.rmtree(tmp_path / "store/rollup/two")
+    assert store.batches() == ["one"] and store.commit("two", second) and not store.commit("two", second)
+    assert sorted(map(tuple, store.totals().collect())) == want == [("a", "en", "t", 1, 7), ("b", "en", "t", 1, 9)]
+
+
 def test_count_tokens(corpus, texts, tokenizer):
     name, t = tokenizer
     got = Counter((r["doc_id"], r["n_tokens"]) for r in count_tokens(corpus, vocabulary(name)).collect())
