@@ -88,6 +88,14 @@ def tick_state(grid: DataFrame, trades: DataFrame, averages: DataFrame) -> DataF
     return all_.withColumn("_p", p).withColumn("_b", b).select(*TICK, F.col("_p.price").alias("last_price"), F.col("_p.vwap").alias("vwap_session"), *[F.col(f"_b.{v}").alias(v) for v in values])
 
 
+def bars_asof(ticks: DataFrame, bars: DataFrame) -> DataFrame:
+    """Ticks plus the columns of the last bar that has ended (``bars`` has end_ts and what to carry, by session)."""
+    values = [c for c in bars.columns if c not in (*KEY, "end_ts")]
+    bar = bars.groupBy(*KEY, tick_of(F.col("end_ts")).alias("ts_ms")).agg(F.max_by(F.struct(*values), "end_ts").alias("_b"))
+    out = ticks.join(bar, TICK, "left").withColumn("_b", F.last("_b", ignorenulls=True).over(_rows(Window.unboundedPreceding, 0)))
+    return out.select(*ticks.columns, *[F.col(f"_b.{v}").alias(v) for v in values])
+
+
 def spread_vol(ticks: DataFrame) -> DataFrame:
     """Population deviation of the spread over 60 s and the tick's z-score in it."""
     w = _over(-60_000, 0)
@@ -200,15 +208,19 @@ def large_trades(thresholds: DataFrame, sided: DataFrame) -> DataFrame:
     )
 
 
-def session_stream(trades: DataFrame, quotes: DataFrame, sided: DataFrame, averages: DataFrame) -> DataFrame:
+def session_stream(trades: DataFrame, quotes: DataFrame, sided: DataFrame, averages: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """All that a tick knows, a row a tick. ``trades`` has a vwap, ``averages`` as in tick_state.
 
+    ``more`` has averages of longer time frames (end_ts and columns of other names), to be carried too.
+
     Every join is on (symbol, session, tick) and stays within that partitioning.
     """
     grid = tick_grid(session_extent(trades, quotes))
     base = grid.join(tick_state(grid, trades, averages), TICK).join(tick_quote(grid, quotes), TICK).join(tick_flow(grid, sided), TICK)
     base = base.join(trade_size(sided), TICK, "left").join(large_trades(large_threshold(grid, sided), sided), TICK)
     base = base.withColumn("high_10s", F.coalesce("_high", "last_price")).withColumn("low_10s", F.coalesce("_low", "last_price")).drop("_high", "_low")
+    if more is not None:
+        base = bars_asof(base, more)
     base = base.fillna(0.0, ["avg_trade_size", "trade_size_std", "top_decile_volume_share", "trade_size_cv"])
     for step in (spread_vol, aggr_z, delta_deriv, absorption, realized_vol, approach_return, ema_structure, vwap_context):
         base = step(base)

@@ -150,12 +150,14 @@ FINALS: dict[str, str] = {
     "vwap_context": f"SELECT {_K}, ts_ms, {r('price_minus_vwap=last_price - vwap_session', 'price_minus_vwap_atr=(last_price - vwap_session) / atr')}, CASE WHEN last_price - vwap_session > 1e-12 THEN 'above' WHEN last_price - vwap_session < -1e-12 THEN 'below' WHEN last_price - vwap_session IS NOT NULL THEN 'at' END AS vwap_state FROM state",
     "large_threshold": f"SELECT {_K}, ts_ms, thr AS large_trade_threshold_size FROM thresholds",
     "large_trades": f"SELECT {_K}, ts_ms, n AS large_trade_count_10s, lb AS large_buy_volume_10s, ls AS large_sell_volume_10s, lu AS large_unknown_volume_10s, lb - ls AS large_trade_delta, {r('large_trade_buy_ratio=CASE WHEN lb + ls > 0 THEN lb / (lb + ls + 1e-9) ELSE 0.0 END', 'large_trade_share_of_total_vol_10s=CASE WHEN total > 0 THEN (lb + ls + lu) / (total + 1e-9) ELSE 0.0 END')} FROM large",
-    "session_stream": f"""SELECT {_K}, ts_ms, row_number() OVER ({_S}) - 1 AS sequence_id, last_price, {r('vwap_session', 'atr', 'ema9', 'spread_pct', 'relative_aggression')}, trade_count, total_volume, delta, high_10s, low_10s, l.thr AS large_trade_threshold_size, l.n AS large_trade_count_10s,
+    "session_stream": f"""SELECT {_K}, ts_ms, row_number() OVER ({_S}) - 1 AS sequence_id, last_price, {r('vwap_session', 'atr', 'ema9', 'ema9_2m=two', 'ema200_3m=three', 'spread_pct', 'relative_aggression')}, trade_count, total_volume, delta, high_10s, low_10s, l.thr AS large_trade_threshold_size, l.n AS large_trade_count_10s,
   round((abs(ema9 - ema20) + abs(ema20 - ema30)) / atr, 6) AS compression_index, round(least(1.0, greatest(0.0, 1 - (abs(ema9 - ema20) + abs(ema20 - ema30)) / atr / 0.25)), 6) AS ema_confluence_score,
   CASE WHEN ema9 IS NULL THEN NULL WHEN ema9 > ema20 AND ema20 > ema30 THEN 'bull' WHEN ema9 < ema20 AND ema20 < ema30 THEN 'bear' ELSE 'mixed' END AS stack_state,
   CASE WHEN last_price - vwap_session > 1e-12 THEN 'above' WHEN last_price - vwap_session < -1e-12 THEN 'below' WHEN last_price - vwap_session IS NOT NULL THEN 'at' END AS vwap_state, round((last_price - vwap_session) / atr, 6) AS price_minus_vwap_atr,
   round(coalesce(stddev_pop(step) OVER ({_S} RANGE BETWEEN 50000 PRECEDING AND CURRENT ROW), 0.0), 6) AS realized_vol_60s, coalesce(delta - pdelta, 0.0) AS delta_velocity
-  FROM (SELECT *, ln(last_price / lag(last_price) OVER ({_S})) AS step, lag(delta) OVER ({_S}) AS pdelta FROM stream) JOIN large l USING ({_K}, ts_ms)""",
+  FROM (SELECT *, ln(last_price / lag(last_price) OVER ({_S})) AS step, lag(delta) OVER ({_S}) AS pdelta FROM stream) JOIN large l USING ({_K}, ts_ms) JOIN (SELECT g.symbol, g.session_id, g.ts_ms, a.e9 AS two, b.e200 AS three FROM grid g
+  ASOF LEFT JOIN (SELECT x.*, b.end_ts FROM emas x JOIN nbars b USING ({_K}, tf, n) WHERE tf = '2m') a ON a.symbol = g.symbol AND a.session_id = g.session_id AND g.ts_ms >= a.end_ts
+  ASOF LEFT JOIN (SELECT x.*, b.end_ts FROM emas x JOIN nbars b USING ({_K}, tf, n) WHERE tf = '3m') b ON b.symbol = g.symbol AND b.session_id = g.session_id AND g.ts_ms >= b.end_ts) tfs USING ({_K}, ts_ms)""",
     "active_levels": f"SELECT {_K}, level_id, CAST(level_price AS DOUBLE) AS level_price, created AS created_ts_ms FROM levels",
     "zone_distance": f"SELECT {_K}, level_id, ts_ms, {r('signed_distance=d', 'signed_distance_atr=da')}, inz AS in_zone FROM zone",
     "zone_events": f"SELECT {_K}, level_id, ts_ms, event FROM zev WHERE event IS NOT NULL",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import adapters
@@ -52,6 +52,16 @@ class Tape:
         one = B.bars(self.trades, {"1m": B.WIDTHS["1m"]})
         return B.atr(B.with_emas(one)).select(*KEY, "end_ts", "ema9", "ema20", "ema30", "ema200", "atr", "atr_status")
 
+    @property
+    def longer(self) -> DataFrame:
+        """Averages of two and three minutes, each at the ends of its own bars."""
+        bars = B.with_emas(B.bars(self.trades, {tf: B.WIDTHS[tf] for tf in ("1m", "2m", "3m")}).where("tf <> '1m'"))
+        columns = [F.max(F.when(F.col("tf") == tf, F.col(f"ema{p}"))).alias(f"ema{p}_{tf}") for tf in ("2m", "3m") for p in B.PERIODS]
+        at = bars.groupBy(*KEY, "end_ts").agg(*columns)
+        w = Window.partitionBy(*KEY).orderBy("end_ts").rowsBetween(Window.unboundedPreceding, 0)
+        names = [c for c in at.columns if c.startswith("ema")]
+        return at.select(*KEY, "end_ts", *[F.last(c, ignorenulls=True).over(w).alias(c) for c in names])
+
     @property
     def grid(self) -> DataFrame:
         return K.tick_grid(K.session_extent(self.trades, self.quotes))
@@ -66,7 +76,7 @@ class Tape:
 
     @property
     def stream(self) -> DataFrame:
-        return self.once("stream", lambda: K.session_stream(B.vwap(self.trades), self.quotes, self.sided, self.averages))
+        return self.once("stream", lambda: K.session_stream(B.vwap(self.trades), self.quotes, self.sided, self.averages, self.longer))
 
     @property
     def levels(self) -> DataFrame:
@@ -191,8 +201,8 @@ PLANS: dict[str, Callable[[Tape], DataFrame]] = {
     "large_threshold": lambda t: K.large_threshold(t.grid, t.sided),
     "large_trades": lambda t: rounded(K.large_trades(K.large_threshold(t.grid, t.sided), t.sided).drop("large_trade_threshold_size"), "large_trade_buy_ratio", "large_trade_share_of_total_vol_10s"),
     "session_stream": lambda t: rounded(
-        t.stream.select(*K.TICK, "sequence_id", "compression_index", "ema_confluence_score", "stack_state", "vwap_state", "price_minus_vwap_atr", "realized_vol_60s", "delta_velocity", "last_price", "vwap_session", "atr", "ema9", "spread_pct", "relative_aggression", "trade_count", "total_volume", "delta", "high_10s", "low_10s", "large_trade_threshold_size", "large_trade_count_10s"),
-        "vwap_session", "atr", "ema9", "spread_pct", "relative_aggression", "compression_index", "ema_confluence_score", "price_minus_vwap_atr", "realized_vol_60s",
+        t.stream.select(*K.TICK, "ema9_2m", "ema200_3m", "sequence_id", "compression_index", "ema_confluence_score", "stack_state", "vwap_state", "price_minus_vwap_atr", "realized_vol_60s", "delta_velocity", "last_price", "vwap_session", "atr", "ema9", "spread_pct", "relative_aggression", "trade_count", "total_volume", "delta", "high_10s", "low_10s", "large_trade_threshold_size", "large_trade_count_10s"),
+        "vwap_session", "atr", "ema9", "ema9_2m", "ema200_3m", "spread_pct", "relative_aggression", "compression_index", "ema_confluence_score", "price_minus_vwap_atr", "realized_vol_60s",
     ).withColumn("sequence_id", F.col("sequence_id").cast("long")),
     "active_levels": lambda t: t.levels.select(*Z.LEVEL, "level_price", "created_ts_ms"),
     "zone_distance": lambda t: rounded(t.events.select(*Z.LEVEL, "ts_ms", "signed_distance", "signed_distance_atr", "in_zone"), "signed_distance", "signed_distance_atr"),
