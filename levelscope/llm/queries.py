@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_packing, chat_format, conversation_repair, decontaminate, kneser_ney, near_dedup, quality_classifier, quality_rules, secret_scan, token_binary
+from . import alignment, bin_packing, chat_format, conversation_repair, decontaminate, kneser_ney, near_dedup, quality_classifier, quality_rules, secret_scan, token_binary
 from .common import bucket_of, new_path, table, written
 from .encoding import vocabulary
 from .sql import ORACLES
@@ -105,6 +105,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
 
@@ -123,6 +127,7 @@ QUERIES: dict[str, Query] = {
         op8_bin_packing,
         op9_decontaminate,
         op10_lm_scoring,
+        op11_token_alignment,
         op13_conversation_repair,
     )
 }
