@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bin_packing, chat_format, conversation_repair, decontaminate, kneser_ney, near_dedup, quality_classifier, quality_rules, secret_scan, token_binary
+from . import alignment, bin_packing, chat_format, conversation_repair, decontaminate, kneser_ney, near_dedup, quality_classifier, quality_rules, secret_scan, token_binary, toxicity
 from .common import bucket_of, new_path, table, written
 from .encoding import vocabulary
 from .sql import ORACLES
@@ -109,6 +109,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
 
@@ -128,6 +132,7 @@ QUERIES: dict[str, Query] = {
         op9_decontaminate,
         op10_lm_scoring,
         op11_token_alignment,
+        op12_toxicity,
         op13_conversation_repair,
     )
 }
