@@ -107,7 +107,7 @@ def test_label_model_finds_rates_and_dependence(spark):
     rates = [(0.02, 0.7), (0.05, 0.6), (0.01, 0.5), (0.8, 0.1)]
     x = [np.where(y, r.random(n) < b, r.random(n) < a) for a, b in rates]
     x.append(np.where(r.random(n) < 0.95, x[0], ~x[0]))
-    votes = sum(v.astype(np.int64) << k for k, v in enumerate(x))
+    votes = np.sum([v.astype(np.int64) << k for k, v in enumerate(x)], axis=0)
     frame = pd.DataFrame({"votes": votes, "label": y.astype(int)})
     patterns = spark.createDataFrame(frame.groupby("votes").size().reset_index(name="n"))
     known = spark.createDataFrame(frame[:200].groupby(["votes", "label"]).size().reset_index(name="n"))
@@ -115,7 +115,7 @@ def test_label_model_finds_rates_and_dependence(spark):
     assert abs(model.prior - 0.2) < 0.02
     assert model.parents[4] == 0 or model.parents[0] == 4
     for k in range(4):
-        found = [(frame["votes"][frame["label"] == c] >> k & 1).mean() for c in (0, 1)]
+        found = [(votes[y == bool(c)] >> k & 1).mean() for c in (0, 1)]
         if model.parents[k] < 0:  # voters that hang on no other
             assert np.allclose(model.rates[:, k, 0], found, atol=0.05)
     # the posterior is the product of the rates along the forest
