@@ -15,10 +15,10 @@ Neither tokenizer carries anything across a single space, or before a single lin
 between two visible characters (see :mod:`encoding`; no piece of B has a space mark after
 another character). So words are aligned once each in a worker, and texts are sums over words.
 
-Two passes over the texts: the first counts id pairs, aggregated in each task before the
-shuffle; the second reads the counts. As long as they are few (``MOST_PAIRS``, checked by
-counting) every worker gets them as sorted arrays; beyond that documents send their distinct
-pairs to be joined.
+Texts are encoded once. Each document's tokens, groups, digest and distinct linked pairs are
+written; from these the pairs are counted, aggregated in each task before the shuffle, and
+the counts brought back. As long as there are few (``MOST_PAIRS``, checked by counting) every
+worker gets them as sorted arrays; beyond that documents send their distinct pairs to be joined.
 
 Nulls and ties: a null text is empty; it has zeros and an empty digest, as have texts that B
 can't spell, such as those with the mark that it has for a space. Rows that repeat a doc_id are
@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +45,13 @@ from .encoding import WordwiseEncoder, _cuts, _gather, _inner, slices
 MOST_PAIRS = 6_000_000
 #: Bytes of aligned words that a worker keeps within a task, and words in a search side by side.
 KEPT_BYTES, SIDE_BY_SIDE = 60_000_000, 20_000
-_OVERHEAD = 330
+_OVERHEAD = 280
 _MARK = "▁"
-PAIRS = "key long, n long"
+#: A pair's key has so many bits for the id of B.
+B_BITS = 20
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+#: The same before pairs are counted, with each document's pairs in order and how often it has them.
+LINKED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, keys array<long>, times array<int>"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -106,8 +110,8 @@ def _sums(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarr
 class Aligner:
     """A worker's aligned words: how many tokens, groups and links each has, its links and its groups as text."""
 
-    #: Rows of ``facts``: tokens of A, tokens of B, groups, links, best links, sum of counts, whether B spells other bytes.
-    N_A, N_B, N_GROUPS, N_LINKS, N_BEST, COUNT_SUM, BAD = range(7)
+    #: Rows of ``facts``: tokens of A, tokens of B, groups, links, whether B spells other bytes.
+    N_A, N_B, N_GROUPS, N_LINKS, BAD = range(5)
 
     def __init__(self, path_a: str, path_b: str, most_bytes: int = KEPT_BYTES):
         import sentencepiece
@@ -120,26 +124,21 @@ class Aligner:
         for token, k in vocabulary.items():
             self.bytes_a[k] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
+        if max(len(pieces), len(self.bytes_a)) >> B_BITS:
+            raise ValueError(f"vocabularies of more than {1 << B_BITS} ids")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(_MARK, " ").encode() for k, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
+        # how each id is written inside a group and at the end of its side of it
+        self.written = [b"%d%s" % (k, end) for n, ends in ((len(self.bytes_a), (b",", b"|")), (len(pieces), (b",", b";"))) for k in range(n) for end in ends]
         self.most_bytes = most_bytes
-        self.table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.groups: list[str] = []
-        self.facts = np.zeros((7, 1024), np.int64)
-        self.starts = np.zeros(1024, np.int64)  # of a word's links in ``flat``
-        self.uses, self.seen = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.groups: list[bytes] = []
+        self.facts = np.zeros((5, 1024), np.int64)
+        self.starts, self.seen = np.zeros(1024, np.int64), np.zeros(1024, np.int32)  # places of links in ``flat``; slices that held the word
         self.flat, self.used, self.held = np.zeros(4096, np.int64), 0, 0
-        self.loose: list[tuple[np.ndarray, np.ndarray]] = []  # links of what isn't kept as a word
-
-    def look_up(self, table: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> None:
-        """From now on words know their best links and sums of counts, by sorted keys, counts and whether each is its B id's highest."""
-        if table is not self.table:
-            self.table = table
-            self._forget()
 
     def _spelt(self, words: list[str], inner: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids and numbers of ids of words (as they stand in a text) by A and B, and whether both spell each."""
@@ -151,27 +150,33 @@ class Aligner:
             flat_a, n_a = np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
         # before a line feed B's own space is a piece of its own
         ids_b = [x if w[0] == " " else x[1:] for w, x in zip(words, self.b.encode(plain, num_threads=1), strict=True)]
-        n_a, n_b = n_a.astype(np.int64), np.fromiter(map(len, ids_b), np.int64, len(ids_b))
-        a, b, at, listed, good = self.bytes_a, self.bytes_b, 0, flat_a.tolist(), np.zeros(len(words), bool)
-        for k, (w, n, y) in enumerate(zip(words, n_a.tolist(), ids_b, strict=True)):
-            own = w.encode("utf-8", "surrogatepass")
-            good[k] = b"".join([b[t] for t in y]) == own and b"".join([a[t] for t in listed[at : at + n]]) == own
-            at += n
-        flat_b = np.fromiter((t for x in ids_b for t in x), np.int64, int(n_b.sum()))
-        return flat_a.astype(np.int64), n_a, flat_b, n_b, good
-
-    def aligned(self, words: list[str], inner: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """``facts`` of words, the starts of their links, all links as keys, and groups as text."""
+        flat_a, n_a = flat_a.astype(np.int64), n_a.astype(np.int64)
+        n_b = np.fromiter(map(len, ids_b), np.int64, len(ids_b))
+        flat_b = np.fromiter(chain.from_iterable(ids_b), np.int64, int(n_b.sum()))
+        own = pa.array(words, pa.large_string())
+        sizes, whole = pc.binary_length(own).to_numpy(), "".join(words).encode("utf-8", "surrogatepass")
+        good = np.ones(len(words), bool)
+        for flat, n, size, spelt in ((flat_a, n_a, self.size_a, self.bytes_a), (flat_b, n_b, self.size_b, self.bytes_b)):
+            begins = np.cumsum(n) - n
+            same = _sums(size[flat], begins, n) == sizes
+            if same.all() and b"".join(map(spelt.__getitem__, flat.tolist())) == whole:
+                continue
+            for k, (w, p, q) in enumerate(zip(words, begins.tolist(), (begins + n).tolist(), strict=True)):
+                good[k] &= b"".join(map(spelt.__getitem__, flat[p:q].tolist())) == w.encode("utf-8", "surrogatepass")
+        return flat_a, n_a, flat_b, n_b, good
+
+    def aligned(self, words: list[str], inner: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """``facts`` of words, the starts of their links, all links as keys, and groups as text, each with its semicolon."""
         flat_a, n_a, flat_b, n_b, good = self._spelt(words, inner)
         if not good.all():
             flat_a, flat_b = flat_a[np.repeat(good, n_a)], flat_b[np.repeat(good, n_b)]
             n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
-        facts = np.zeros((7, len(words)), np.int64)
+        facts = np.zeros((5, len(words)), np.int64)
         facts[self.N_A], facts[self.N_B], facts[self.BAD] = n_a, n_b, ~good
         at_a, at_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
         ends_a, ends_b = np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b])  # equal at the end of each word
         starts, keys, base = np.zeros(len(words), np.int64), [], 0
-        groups = [""] * len(words)
+        groups = [b""] * len(words)
         for a_drives in (True, False):
             which = np.flatnonzero(good & ((n_a <= n_b) == a_drives))
             if not len(which):
@@ -185,39 +190,39 @@ class Aligner:
             low = np.concatenate([[0], (rank + common)[:-1]])
             low[short_at] = long_at
             over = rank - low + 1
-            facts[self.N_GROUPS, which], facts[self.N_LINKS, which] = _sums(common, short_at, n), _sums(over, short_at, n)
+            facts[self.N_GROUPS, which], links = _sums(common, short_at, n), _sums(over, short_at, n)
+            facts[self.N_LINKS, which] = links
             ours, theirs = np.repeat(short_ids, over), long_ids[_gather(np.arange(len(long)), low, over)]
-            keys.append((ours << 32 | theirs) if a_drives else (theirs << 32 | ours))
-            links = facts[self.N_LINKS, which]
+            keys.append((ours << B_BITS | theirs) if a_drives else (theirs << B_BITS | ours))
             starts[which] = base + np.cumsum(links) - links
             base += int(links.sum())
-            ends = np.flatnonzero(common)
-            begins = np.concatenate([[0], ends[:-1] + 1])
-            left, right = list(map(str, short_ids.tolist())), list(map(str, long_ids.tolist()))
-            cut = rank[ends]
-            texts = [(left[p:q], right[r:s]) for p, q, r, s in zip(begins.tolist(), (ends + 1).tolist(), np.concatenate([[0], cut[:-1] + 1]).tolist(), (cut + 1).tolist(), strict=True)]
-            texts = [f"{','.join(x)}|{','.join(y)}" if a_drives else f"{','.join(y)}|{','.join(x)}" for x, y in texts]
-            upto = np.cumsum(facts[self.N_GROUPS, which])
+            closes = np.zeros(len(long), bool)
+            closes[rank[common]] = True
+            a_ids, b_ids, a_last, b_last = (short_ids, long_ids, common, closes) if a_drives else (long_ids, short_ids, closes, common)
+            texts = self._written(a_ids, a_last, b_ids, b_last)
+            upto = np.cumsum(n + m)
             for w, p, q in zip(which.tolist(), [0, *upto[:-1].tolist()], upto.tolist(), strict=True):
-                groups[w] = ";".join(texts[p:q]) if q - p > 1 else texts[p]
-        flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        if self.table is not None and len(flat) and len(self.table[0]):
-            key, n, best = self.table
-            at = np.minimum(np.searchsorted(key, flat), len(key) - 1)
-            at = np.where(key[at] == flat, at, 0)  # only words of texts without tokens have links that weren't counted
-            facts[self.N_BEST], facts[self.COUNT_SUM] = _sums(best[at].astype(np.int64), starts, facts[self.N_LINKS]), _sums(n[at], starts, facts[self.N_LINKS])
-        return facts, starts, flat, groups
-
-    def _add(self, words: list[str], facts: np.ndarray, starts: np.ndarray, flat: np.ndarray, groups: list[str]) -> None:
+                groups[w] = b"".join(texts[p:q])
+        return facts, starts, np.concatenate(keys) if keys else np.zeros(0, np.int64), groups
+
+    def _written(self, a_ids: np.ndarray, a_last: np.ndarray, b_ids: np.ndarray, b_last: np.ndarray) -> list[bytes]:
+        """The ids of groups in turn, A's before B's in each, as they are written; ``last`` marks each side's last one."""
+        n_a, n_b = (np.diff(np.flatnonzero(x), prepend=-1) for x in (a_last, b_last))  # by group
+        group_a, group_b = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+        places = np.empty(len(a_ids) + len(b_ids), np.int64)
+        places[np.arange(len(a_ids)) + (np.cumsum(n_b) - n_b)[group_a]] = 2 * a_ids + a_last
+        places[np.arange(len(b_ids)) + np.cumsum(n_a)[group_b]] = 2 * (len(self.bytes_a) + b_ids) + b_last
+        return list(map(self.written.__getitem__, places.tolist()))
+
+    def _add(self, words: list[str], facts: np.ndarray, starts: np.ndarray, flat: np.ndarray, groups: list[bytes]) -> None:
         first = len(self.known)
         end = first + len(words)
         while end > len(self.starts):
             self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)], 1)
-            self.starts, self.uses, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.uses, self.seen))
+            self.starts, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.seen))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.facts[:, first:end], self.starts[first:end] = facts, self.used + starts
-        self.uses[first:end], self.seen[first:end] = 0, 1
+        self.facts[:, first:end], self.starts[first:end], self.seen[first:end] = facts, self.used + starts, 1
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
         self.groups += groups
@@ -225,7 +230,7 @@ class Aligner:
         self.held += 8 * len(flat) + _OVERHEAD * len(words) + sum(map(len, words)) + sum(map(len, groups))
 
     def _thin(self, most: int) -> None:
-        """Forget the words that came up in the fewest slices until ``most`` bytes are left; their uses must have been read."""
+        """Forget the words that came up in the fewest slices until ``most`` bytes are left."""
         n = len(self.known)
         sizes = np.fromiter(map(len, self.groups), np.int64, n) + 8 * self.facts[self.N_LINKS, :n] + _OVERHEAD
         least = 2
@@ -252,7 +257,7 @@ class Aligner:
             self._add(own, *self.aligned([w if w[0] == "\n" else " " + w for w in own], True))
         return numbers
 
-    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         """The words of texts in turn, as numbers, and where each text's begin and end; facts, starts of links, links and groups by number.
 
         Numbers from ``len(known)`` on are parts of texts with other white space, which aren't kept.
@@ -296,39 +301,33 @@ class Aligner:
             facts, starts, flat, groups = np.concatenate([facts, f], 1), np.concatenate([starts, self.used + s]), np.concatenate([flat, links]), groups + g
         return np.concatenate(runs), np.concatenate([[0], np.cumsum(sizes)]), facts, starts, flat, groups
 
-    def count(self, texts: pa.Array) -> None:
-        """Count the links of texts, to be read by ``pairs``."""
-        words, ends, facts, starts, flat, _ = self.texts(texts)
-        bad = _sums(facts[self.BAD, words], ends[:-1], np.diff(ends)) > 0
-        uses = np.bincount(words[np.repeat(~bad, np.diff(ends))], minlength=facts.shape[1])
-        n = len(self.known)
-        self.uses[:n] += uses[:n]
-        if len(uses) > n:
-            links = facts[self.N_LINKS, n:]
-            self.loose.append((_gather(flat, starts[n:], links), np.repeat(uses[n:], links)))
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and counts of all links counted since the last call."""
-        n = len(self.known)
-        links = self.facts[self.N_LINKS, :n]
-        keys = [_gather(self.flat, self.starts[:n], links), *(k for k, _ in self.loose)]
-        counts = [np.repeat(self.uses[:n], links), *(c for _, c in self.loose)]
-        self.uses[:n], self.loose = 0, []
-        return _added(np.concatenate(keys), np.concatenate(counts))
-
-    def make_room(self) -> None:
+    def documents(self, texts: pa.Array) -> list[pa.Array]:
+        """The columns of ``LINKED`` after doc_id for texts."""
         if self.held > self.most_bytes:
             self._thin(self.most_bytes // 2)
-
-
-def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order with the sums of their counts, those of 0 left out."""
-    keys, counts = keys[counts > 0], counts[counts > 0]
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys)
-    keys, so_far = keys[order], np.cumsum(counts[order])
-    last = np.flatnonzero(np.append(keys[1:] != keys[:-1], True))
+        words, ends, facts, starts, flat, groups = self.texts(texts)
+        begins, sizes = ends[:-1], np.diff(ends)
+        bad = _sums(facts[self.BAD, words], begins, sizes) > 0
+        columns = [np.where(bad, 0, _sums(facts[k, words], begins, sizes)) for k in (self.N_A, self.N_B, self.N_GROUPS, self.N_LINKS)]
+        numbers = words.tolist()
+        digests = ["" if skip or p == q else hashlib.sha256(b"".join([groups[k] for k in numbers[p:q]])[:-1]).hexdigest() for skip, p, q in zip(bad.tolist(), begins.tolist(), ends[1:].tolist(), strict=True)]
+        words = words[np.repeat(~bad, sizes)]
+        keys = np.repeat(np.arange(len(texts)), columns[3]) << 2 * B_BITS | _gather(flat, starts[words], facts[self.N_LINKS, words])
+        keys, times = _added(keys, None)
+        offsets = np.searchsorted(keys >> 2 * B_BITS, np.arange(len(texts) + 1)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (keys & ((1 << 2 * B_BITS) - 1), times.astype(np.int32))]
+        return [*map(pa.array, columns), pa.array(digests, pa.string()), *lists]
+
+
+def _added(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with the sums of their counts, each 1 where none are given."""
+    if counts is None:
+        keys = np.sort(keys)
+        so_far = np.arange(1, len(keys) + 1)
+    else:
+        order = np.argsort(keys)
+        keys, so_far = keys[order], np.cumsum(counts[order])
+    last = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) if len(keys) else np.zeros(0, np.int64)
     return keys[last], np.diff(so_far[last], prepend=0)
 
 
@@ -343,104 +342,75 @@ def aligner(path_a: str, path_b: str, most_bytes: int = KEPT_BYTES) -> Aligner:
     return _aligners[key]
 
 
-def count_pairs(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """key (the A id times 2^32 plus the B id), n and whether n is the B id's highest, over the texts of ``docs``."""
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = aligner(path_a, path_b)
-        own.look_up(None)
 
-        def read() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in own.pairs()], ["key", "n"])
+def link(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """``LINKED`` of every row of ``docs`` (doc_id, text)."""
 
-        own.pairs()  # what a task that failed has left
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = aligner(path_a, path_b)
         for batch in batches:
+            at = 0
             for part in slices(batch.column("text")):
-                if own.held > own.most_bytes:
-                    yield read()
-                    own.make_room()
-                own.count(part)
-        yield read()
-
-    sums = docs.select("text").mapInArrow(counted, PAIRS).groupBy("key").agg(F.sum("n").alias("n"))
-    b = F.col("key").bitwiseAND(0xFFFFFFFF)
-    # an id of B has at most as many partners as A has ids
-    return sums.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy(b)))
-
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(part)), *own.documents(part)], _names(LINKED))
+                at += len(part)
 
-def _digest(groups: list[str], words: np.ndarray) -> str:
-    return hashlib.sha256(";".join([groups[k] for k in words.tolist()]).encode()).hexdigest()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(linked, LINKED)
 
 
-def _documents(own: Aligner, doc_ids: pa.Array, texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray, tuple]:
-    """Columns of ``ALIGNED`` for a slice of documents, and its words, their ends and what they hold."""
-    words, ends, facts, starts, flat, groups = own.texts(texts)
-    sizes = np.diff(ends)
-    bad = _sums(facts[own.BAD, words], ends[:-1], sizes) > 0
-    columns = [np.where(bad, 0, _sums(facts[k, words], ends[:-1], sizes)) for k in (own.N_A, own.N_B, own.N_GROUPS, own.N_LINKS, own.N_BEST, own.COUNT_SUM)]
-    digests = ["" if skip or p == q else _digest(groups, words[p:q]) for skip, p, q in zip(bad.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-    return [doc_ids, *map(pa.array, columns), pa.array(digests, pa.string())], words, np.where(bad, 0, sizes), (ends, facts, starts, flat)
+def count_pairs(linked: DataFrame) -> DataFrame:
+    """key (the A id times 2^20 plus the B id), n and whether n is the B id's highest, over all documents."""
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            more = [batch.column(c).flatten().to_numpy() for c in ("keys", "times")]
+            keys, counts = _added(np.concatenate([keys, more[0]]), np.concatenate([counts, more[1]]))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
 
-def _names(schema: str) -> list[str]:
-    return [c.split()[0] for c in schema.split(", ")]
+    sums = linked.select("keys", "times").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    b = F.col("key").bitwiseAND((1 << B_BITS) - 1)
+    # an id of B has at most as many partners as A has ids
+    return sums.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy(b)))
 
 
-def _with_arrays(docs: DataFrame, counts: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def _with_arrays(linked: DataFrame, counts: DataFrame) -> DataFrame:
     """Every worker has all counts."""
     table = counts.select("key", "n", "best").toArrow().sort_by("key")
-    sent = docs.sparkSession.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("key", "n", "best")))
+    sent = linked.sparkSession.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("key", "n", "best")))
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = aligner(path_a, path_b)
-        own.look_up(sent.value)
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, best = sent.value
         for batch in batches:
-            at = 0
-            for part in slices(batch.column("text")):
-                own.make_room()
-                yield pa.RecordBatch.from_arrays(_documents(own, batch.column("doc_id").slice(at, len(part)), part)[0], _names(ALIGNED))
-                at += len(part)
+            lists = batch.column("keys")
+            offsets = np.asarray(lists.offsets, np.int64)
+            begins, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
+            at, times = np.searchsorted(key, lists.flatten().to_numpy()), batch.column("times").flatten().to_numpy().astype(np.int64)
+            sums = [pa.array(_sums(x, begins, sizes)) for x in (times * best[at], times * n[at])]
+            columns = {c: batch.column(c) for c in batch.schema.names} | dict(zip(("n_best", "count_sum"), sums, strict=True))
+            yield pa.RecordBatch.from_arrays([columns[c] for c in _names(ALIGNED)], _names(ALIGNED))
 
-    return docs.mapInArrow(scored, ALIGNED)
+    return linked.mapInArrow(summed, ALIGNED)
 
 
-def _with_join(docs: DataFrame, counts: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def _with_join(linked: DataFrame, counts: DataFrame) -> DataFrame:
     """Documents send their distinct pairs to the counts."""
-    schema = f"{ALIGNED}, keys array<long>, times array<long>"
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = aligner(path_a, path_b)
-        own.look_up(None)
-        for batch in batches:
-            at = 0
-            for part in slices(batch.column("text")):
-                own.make_room()
-                columns, words, sizes, (ends, facts, starts, flat) = _documents(own, batch.column("doc_id").slice(at, len(part)), part)
-                keys, times = [], []
-                for p, n in zip(ends[:-1].tolist(), sizes.tolist(), strict=True):
-                    mine = words[p : p + n]
-                    links = _gather(flat, starts[mine], facts[own.N_LINKS, mine])
-                    k, t = _added(links, np.ones(len(links), np.int64))
-                    keys.append(k)
-                    times.append(t)
-                more = [pa.array(x, pa.list_(pa.int64())) for x in (keys, times)]
-                yield pa.RecordBatch.from_arrays([*columns, *more], _names(schema))
-                at += len(part)
-
-    found = written(docs.mapInArrow(scored, schema).withColumn("row", F.monotonically_increasing_id()), "aligned")
-    sent = found.select("row", F.explode(F.arrays_zip("keys", "times")).alias("p")).select("row", F.col("p.keys").alias("key"), F.col("p.times").alias("times"))
+    rows = written(linked.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    sent = rows.select("row", F.explode(F.arrays_zip("keys", "times")).alias("p")).select("row", F.col("p.keys").alias("key"), F.col("p.times").alias("times"))
     sums = sent.join(counts, "key").groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("b"), F.sum(F.col("n") * F.col("times")).alias("s"))
     zero = F.lit(0).cast("long")
-    return found.join(sums, "row", "left").withColumns({"n_best": F.coalesce("b", zero), "count_sum": F.coalesce("s", zero)}).select(_names(ALIGNED))
+    return rows.join(sums, "row", "left").withColumns({"n_best": F.coalesce("b", zero), "count_sum": F.coalesce("s", zero)}).select(_names(ALIGNED))
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """``ALIGNED`` of every row of ``docs`` (doc_id, text): tokens, groups and links, how many links are
     their B id's most counted, the sum of the links' counts and the digest of the groups."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = written(count_pairs(docs, path_a, path_b), "pairs")
-    few = counts.count() <= most_pairs
-    out = (_with_arrays if few else _with_join)(docs, counts, path_a, path_b)
-    if few:
-        drop_written(counts)
+    linked = written(link(docs, path_a, path_b), "linked")
+    counts = written(count_pairs(linked), "pairs")
+    if counts.count() > most_pairs:
+        return _with_join(linked, counts)
+    out = _with_arrays(linked, counts)
+    drop_written(counts)
     return out
