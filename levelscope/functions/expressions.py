@@ -49,7 +49,8 @@ def asinh(x: Column) -> Column:
 
 
 def clamp01(x: Column) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    """``x`` kept within 0 and 1; a null stays null."""
+    return F.when(x.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))
 
 
 def true_range(high: Column, low: Column, prev_close: Column) -> Column:

@@ -33,7 +33,7 @@ CTES |= {
   b.nts IS NOT NULL AS again, b.nheld FROM nb n LEFT JOIN (SELECT {_L}, ts_ms, under, first(nt ORDER BY nt) AS nts, first(nh ORDER BY nt) AS nheld FROM (
     SELECT x.symbol, x.session_id, x.level_id, x.ts_ms, x.under, y.ts_ms AS nt, y.held AS nh FROM pk x LEFT JOIN pk y ON x.symbol = y.symbol AND x.session_id = y.session_id AND x.level_id = y.level_id AND y.event = 'touch' AND y.ts_ms > x.ts_ms WHERE x.event = 'break') GROUP BY ALL) b
   ON b.symbol = n.symbol AND b.session_id = n.session_id AND b.level_id = n.level_id AND b.ts_ms = n.bts WHERE n.event = 'touch'""",
-    "strm": f"""SELECT *, (abs(ema9 - ema20) + abs(ema20 - ema30)) / atr AS ci, greatest(0.0, least(1.0, 1 - (abs(ema9 - ema20) + abs(ema20 - ema30)) / atr / 0.25)) AS conf,
+    "strm": f"""SELECT *, (abs(ema9 - ema20) + abs(ema20 - ema30)) / atr AS ci, CASE WHEN atr IS NOT NULL THEN greatest(0.0, least(1.0, 1 - (abs(ema9 - ema20) + abs(ema20 - ema30)) / atr / 0.25)) END AS conf,
   greatest(0.0, -delta) / (abs(coalesce(last_price - lag(last_price) OVER ({_S}), 0.0)) + 1e-9) AS absn FROM stream""",
     "et": f"""SELECT e.symbol, e.session_id, e.level_id, e.entry, e.above, e.entry - 300000 AS st, z.ts_ms, z.da, z.width, z.last_price, z.atr, x.absn, x.spread_pct, x.ci, x.conf, f.delta, f.total_volume, f.trade_count, f.buy_volume, f.sell_volume, e.why,
   CASE WHEN z.ts_ms < e.entry THEN 'baseline' WHEN e.exit_ts IS NULL OR z.ts_ms <= e.exit_ts THEN 'stress' ELSE 'resolution' END AS phase

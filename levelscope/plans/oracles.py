@@ -146,12 +146,12 @@ FINALS: dict[str, str] = {
     "realized_vol": f"SELECT {_K}, ts_ms, {r('realized_vol_60s=coalesce(stddev_pop(step) OVER s, 0.0)')} FROM (SELECT {_K}, ts_ms, ln(last_price / lag(last_price) OVER ({_S})) AS step FROM state) WINDOW s AS ({_S} RANGE BETWEEN 50000 PRECEDING AND CURRENT ROW)",
     "approach_ret": f"SELECT {_K}, ts_ms, {r('approach_return_60s=coalesce(ln(last_price / (last_value(last_price IGNORE NULLS) OVER s)), 0.0)')} FROM state WINDOW s AS ({_S} RANGE BETWEEN 300000 PRECEDING AND 60000 PRECEDING)",
     "ema_mask": f"SELECT {_K}, ts_ms, CASE WHEN ema9 IS NOT NULL THEN CASE WHEN ema9 > ema20 AND ema20 > ema30 THEN 'bull' WHEN ema9 < ema20 AND ema20 < ema30 THEN 'bear' ELSE 'mixed' END END AS stack_state, CASE WHEN last_price > ema200 THEN 8 ELSE 0 END + CASE WHEN last_price > ema30 THEN 4 ELSE 0 END + CASE WHEN last_price > ema20 THEN 2 ELSE 0 END + CASE WHEN last_price > ema9 THEN 1 ELSE 0 END AS price_vs_emas FROM state",
-    "ema_structure": f"SELECT {_K}, ts_ms, {r('slope_ema9_60s=coalesce((ema9 - then9) * 1000.0 / (ts_ms - then_ts), 0.0)', 'ema_spread_9_20=ema9 - ema20', 'compression_index=(abs(ema9 - ema20) + abs(ema20 - ema30)) / atr', 'ema_confluence_score=least(1.0, greatest(0.0, 1 - (abs(ema9 - ema20) + abs(ema20 - ema30)) / atr / 0.25))', 'stretch_200_atr=coalesce((last_price - ema200) / atr, 0.0)')} FROM (SELECT *, last_value(CASE WHEN ema9 IS NOT NULL THEN ts_ms END IGNORE NULLS) OVER s AS then_ts, last_value(ema9 IGNORE NULLS) OVER s AS then9 FROM state WINDOW s AS ({_S} RANGE BETWEEN 300000 PRECEDING AND 60000 PRECEDING))",
+    "ema_structure": f"SELECT {_K}, ts_ms, {r('slope_ema9_60s=coalesce((ema9 - then9) * 1000.0 / (ts_ms - then_ts), 0.0)', 'ema_spread_9_20=ema9 - ema20', 'compression_index=(abs(ema9 - ema20) + abs(ema20 - ema30)) / atr', 'ema_confluence_score=CASE WHEN atr IS NOT NULL THEN least(1.0, greatest(0.0, 1 - (abs(ema9 - ema20) + abs(ema20 - ema30)) / atr / 0.25)) END', 'stretch_200_atr=coalesce((last_price - ema200) / atr, 0.0)')} FROM (SELECT *, last_value(CASE WHEN ema9 IS NOT NULL THEN ts_ms END IGNORE NULLS) OVER s AS then_ts, last_value(ema9 IGNORE NULLS) OVER s AS then9 FROM state WINDOW s AS ({_S} RANGE BETWEEN 300000 PRECEDING AND 60000 PRECEDING))",
     "vwap_context": f"SELECT {_K}, ts_ms, {r('price_minus_vwap=last_price - vwap_session', 'price_minus_vwap_atr=(last_price - vwap_session) / atr')}, CASE WHEN last_price - vwap_session > 1e-12 THEN 'above' WHEN last_price - vwap_session < -1e-12 THEN 'below' WHEN last_price - vwap_session IS NOT NULL THEN 'at' END AS vwap_state FROM state",
     "large_threshold": f"SELECT {_K}, ts_ms, thr AS large_trade_threshold_size FROM thresholds",
     "large_trades": f"SELECT {_K}, ts_ms, n AS large_trade_count_10s, lb AS large_buy_volume_10s, ls AS large_sell_volume_10s, lu AS large_unknown_volume_10s, lb - ls AS large_trade_delta, {r('large_trade_buy_ratio=CASE WHEN lb + ls > 0 THEN lb / (lb + ls + 1e-9) ELSE 0.0 END', 'large_trade_share_of_total_vol_10s=CASE WHEN total > 0 THEN (lb + ls + lu) / (total + 1e-9) ELSE 0.0 END')} FROM large",
     "session_stream": f"""SELECT {_K}, ts_ms, row_number() OVER ({_S}) - 1 AS sequence_id, last_price, {r('vwap_session', 'atr', 'ema9', 'ema9_2m=two', 'ema200_3m=three', 'spread_pct', 'relative_aggression')}, trade_count, total_volume, delta, high_10s, low_10s, l.thr AS large_trade_threshold_size, l.n AS large_trade_count_10s,
-  round((abs(ema9 - ema20) + abs(ema20 - ema30)) / atr, 6) AS compression_index, round(least(1.0, greatest(0.0, 1 - (abs(ema9 - ema20) + abs(ema20 - ema30)) / atr / 0.25)), 6) AS ema_confluence_score,
+  round((abs(ema9 - ema20) + abs(ema20 - ema30)) / atr, 6) AS compression_index, round(CASE WHEN atr IS NOT NULL THEN least(1.0, greatest(0.0, 1 - (abs(ema9 - ema20) + abs(ema20 - ema30)) / atr / 0.25)) END, 6) AS ema_confluence_score,
   CASE WHEN ema9 IS NULL THEN NULL WHEN ema9 > ema20 AND ema20 > ema30 THEN 'bull' WHEN ema9 < ema20 AND ema20 < ema30 THEN 'bear' ELSE 'mixed' END AS stack_state,
   CASE WHEN last_price - vwap_session > 1e-12 THEN 'above' WHEN last_price - vwap_session < -1e-12 THEN 'below' WHEN last_price - vwap_session IS NOT NULL THEN 'at' END AS vwap_state, round((last_price - vwap_session) / atr, 6) AS price_minus_vwap_atr,
   round(coalesce(stddev_pop(step) OVER ({_S} RANGE BETWEEN 50000 PRECEDING AND CURRENT ROW), 0.0), 6) AS realized_vol_60s, coalesce(delta - pdelta, 0.0) AS delta_velocity

@@ -153,9 +153,7 @@ def _aggr(t: Tape) -> DataFrame:
 
 
 def _baseline(t: Tape) -> DataFrame:
-    e = t.episodes
-    inside = Z.baseline_ticks(e, t.events).join(e.select("episode_id", "zone_entry_time"), "episode_id")
-    return inside.groupBy(*Z.LEVEL, "zone_entry_time").agg(F.count("*").alias("ticks"), F.round(F.min("signed_distance_atr"), 6).alias("lowest"))
+    return Z.baseline_ticks(t.episodes, t.events).groupBy(*Z.LEVEL, "zone_entry_time").agg(F.count("*").alias("ticks"), F.round(F.min("signed_distance_atr"), 6).alias("lowest"))
 
 
 PLANS: dict[str, Callable[[Tape], DataFrame]] = {

@@ -397,10 +397,10 @@ CTES |= {
   FROM (SELECT *, row_number() OVER (PARTITION BY {_L} ORDER BY tn DESC) AS bk FROM tpx) GROUP BY ALL""",
     "ckb": f"SELECT *, bd * 1000 AS hbd, bb * 1000 AS hb, bs * 1000 AS hs, coalesce(bs * 100 / nullif(bb + bs, 0), 0) AS sp FROM cke JOIN bands USING ({_L})",
     "ckg": "SELECT *, hb >= hs * 1.5 AND hb + hs >= 5000 AND hb > 0 AS ga FROM ckb",
-    "ckl": """SELECT *, array_to_string([CASE WHEN lc THEN 'LATE_INST_SELL_CONFIRMED' END, CASE WHEN nb = 0 AND NOT ga THEN 'NO_BUYERS' END, CASE WHEN sp > 70 THEN 'SELLER_DOMINATED' END, CASE WHEN fd THEN 'FIRST_TOUCH_DUMP' END, CASE WHEN ns > nb THEN 'SELLERS_OUTNUMBER' END, CASE WHEN hs > hb THEN 'SHARES_OUTNUMBER' END], ',') AS gates,
+    "ckl": """SELECT *, coalesce(array_to_string([CASE WHEN lc THEN 'LATE_INST_SELL_CONFIRMED' END, CASE WHEN nb = 0 AND NOT ga THEN 'NO_BUYERS' END, CASE WHEN sp > 70 THEN 'SELLER_DOMINATED' END, CASE WHEN fd THEN 'FIRST_TOUCH_DUMP' END, CASE WHEN ns > nb THEN 'SELLERS_OUTNUMBER' END, CASE WHEN hs > hb THEN 'SHARES_OUTNUMBER' END], ','), '') AS gates,
   list_filter([CASE WHEN eb THEN 'INST_BUY_EARLY' END, CASE WHEN nb > 0 AND ns = 0 THEN 'INST_HOLD' END, CASE WHEN hr THEN 'HIGH_BUY_RATIO' END, CASE WHEN kc THEN 'KILLER_COMBO' END, CASE WHEN ch THEN 'COMPRESSION_HIGH' END, CASE WHEN touches >= 4 AND lcnt < ec * 0.5 AND ns = 0 THEN 'SELLER_EXHAUSTION' END, CASE WHEN ab > 0 AND (hb > hs OR nb > ns) THEN 'ABSORPTION' END, CASE WHEN la THEN 'SHAKEOUT_ABSORBED' END,
     CASE WHEN hbd > 0 THEN 'BAND_DELTA_POSITIVE' END, CASE WHEN sp < 40 THEN 'SELL_PCT_LOW' END, CASE WHEN touches >= 3 AND stg >= 2 THEN 'ENDING_STRONG' END, CASE WHEN bo THEN 'BREAKOUT_IDENTIFIED' END, CASE WHEN ga THEN 'VOLUME_ACCUMULATION' END], lambda x: x IS NOT NULL) AS gl,
-  array_to_string([CASE WHEN an THEN 'AGGR_NEGATIVE_ALL' END, CASE WHEN nob THEN 'NO_BOUNCE' END, CASE WHEN touches > 40 THEN 'EXHAUSTED_LEVEL' END, CASE WHEN sp BETWEEN 45 AND 55 THEN 'SELL_PCT_CONTESTED' END], ',') AS cautions FROM ckg""",
+  coalesce(array_to_string([CASE WHEN an THEN 'AGGR_NEGATIVE_ALL' END, CASE WHEN nob THEN 'NO_BOUNCE' END, CASE WHEN touches > 40 THEN 'EXHAUSTED_LEVEL' END, CASE WHEN sp BETWEEN 45 AND 55 THEN 'SELL_PCT_CONTESTED' END], ','), '') AS cautions FROM ckg""",
     "nodes": f"""SELECT symbol, session_id, 'c1' AS chain_id, row_number() OVER (PARTITION BY {_K} ORDER BY ws, coalesce(price, 0.0), ind) AS position, ws, we, price, kind, ind FROM (SELECT symbol, session_id, start_ts_ms + (end_ts_ms - start_ts_ms) // 3 * k AS ws, start_ts_ms + (end_ts_ms - start_ts_ms) // 3 * (k + 1) - 600000 AS we, price, kind, ind
   FROM extent, (VALUES (0, CAST(100.20 AS DOUBLE), 'support', NULL), (1, CAST(101.00 AS DOUBLE), 'resistance', NULL), (2, CAST(100.60 AS DOUBLE), 'support', NULL), (2, NULL, NULL, 'ema9'), (2, NULL, NULL, 'vwap')) x(k, price, kind, ind))""",
     "nticks": f"""SELECT *, CASE WHEN last_price < lp * (1 - 0.0015) THEN -1 WHEN last_price > lp * (1 + 0.0015) THEN 1 ELSE 0 END AS pos, CASE WHEN last_price > lp THEN 1 WHEN last_price < lp THEN -1 ELSE 0 END AS side FROM (SELECT s.*, n.chain_id, n.position, n.ws, n.we, n.kind, n.ind, ts_ms BETWEEN ws AND we AS watched,
@@ -423,7 +423,7 @@ CTES |= {
   FROM (SELECT *, abs(ret) / atr / ((ws - f) / 60000.0) AS v, abs(delta) / (volume + 1e-9) AS im FROM mvt)""",
 }
 _FS = "CASE WHEN bd > 0 THEN 1 WHEN bd < 0 THEN -1 ELSE 0 END + CASE WHEN ag > 0.1 THEN 1 WHEN ag < -0.1 THEN -1 ELSE 0 END + CASE WHEN hr >= 0.7 THEN 1 WHEN hr <= 0.3 THEN -1 ELSE 0 END"
-_FL = "array_to_string([CASE WHEN bd > 0 THEN 'green: band_delta_positive' END, CASE WHEN bd < 0 THEN 'red: band_delta_negative' END, CASE WHEN ag > 0.1 THEN 'green: aggression_positive' END, CASE WHEN ag < -0.1 THEN 'red: aggression_negative' END, CASE WHEN hr >= 0.7 THEN 'green: reclaim_hold_rate_high' END, CASE WHEN hr <= 0.3 THEN 'red: reclaim_hold_rate_low' END, CASE WHEN tc >= 3 THEN 'info: multiple_touches' END], ',')"
+_FL = "coalesce(array_to_string([CASE WHEN bd > 0 THEN 'green: band_delta_positive' END, CASE WHEN bd < 0 THEN 'red: band_delta_negative' END, CASE WHEN ag > 0.1 THEN 'green: aggression_positive' END, CASE WHEN ag < -0.1 THEN 'red: aggression_negative' END, CASE WHEN hr >= 0.7 THEN 'green: reclaim_hold_rate_high' END, CASE WHEN hr <= 0.3 THEN 'red: reclaim_hold_rate_low' END, CASE WHEN tc >= 3 THEN 'info: multiple_touches' END], ','), '')"
 _NS = f"SELECT {_N}, points, CAST(trades AS BIGINT) AS trades, volume, delta, tib AS time_in_band_s, bv AS band_volume, bd AS band_delta, tc AS touch_count, cc AS cross_count, ra AS reclaim_attempts, rh AS reclaim_holds_30s, CAST({_FS} AS BIGINT) AS flag_score, {_FL} AS flags, {r('return_abs=ret', 'relative_aggression_mean=agg', 'compression_mean=comp', 'band_relative_aggression_mean=bagg', 'reclaim_hold_rate=hr', 'level_price=lp')} FROM nflag WHERE ind"
 FINALS = {
     "reclaim_packets": f"SELECT {_L}, did AS deeper_id, tag AS tag_ts_ms, ts_ms AS reclaim_ts_ms, took AS time_to_reclaim_ms, took <= 120000 AS snapback, d30 AS band_delta_30s, d60 AS band_delta_60s, h30 AS hold_30s, h60 AS hold_60s, datr >= 1 AND datr / greatest(1e-9, took / 60000.0) >= 0.75 AS flush, {r('rel_aggr_30s=a30', 'drop_pct=dp / p - 1', 'drop_atr=datr')} FROM reclaims",
@@ -443,7 +443,7 @@ FINALS = {
     "pattern_verdict": f"SELECT {_L}, touches, CAST(score AS BIGINT) AS score, hs AS hard_stop, CASE WHEN hs IS NOT NULL OR score < -3 THEN 'SHORT' WHEN score >= 1 THEN 'LONG' ELSE 'NEUTRAL' END AS direction, CASE WHEN hs IS NOT NULL OR score < -7 THEN 'AVOID' WHEN score >= 8 THEN 'TAKE' WHEN score >= 4 OR score < -3 THEN 'LEAN' ELSE 'WAIT' END AS confidence, prog AS progression FROM pscored",
     "resistance_trend": f"SELECT {_L}, n AS phases, CAST(score AS BIGINT) AS score, CASE WHEN n < 2 THEN CASE WHEN score > 0 THEN 'SINGLE_PHASE_BULLISH' WHEN score < 0 THEN 'SINGLE_PHASE_BEARISH' ELSE 'INSUFFICIENT_DATA' END WHEN clean THEN 'CLEAN_BREAKOUT' WHEN score >= 4 THEN 'STRONG_BULLISH' WHEN score >= 2 THEN 'BULLISH' WHEN score >= 0 THEN 'NEUTRAL' WHEN score >= -2 THEN 'BEARISH' ELSE 'STRONG_BEARISH' END AS trend, CASE WHEN n < 2 THEN CASE WHEN score > 0 THEN 'BREAKOUT POSSIBLE (low data)' WHEN score < 0 THEN 'RESISTANCE HOLDING (low data)' ELSE 'WAIT - insufficient data' END WHEN clean THEN 'BREAKOUT - TAKE' WHEN score >= 4 THEN 'BREAKOUT LIKELY' WHEN score >= 2 THEN 'BREAKOUT POSSIBLE' WHEN score >= 0 THEN 'CONTESTED' WHEN score >= -2 THEN 'RESISTANCE HOLDING' ELSE 'STRONG RESISTANCE' END AS verdict, coalesce(list_sum(d[1:h]), 0.0) AS early_delta, coalesce(list_sum(d[h + 1:n]), 0.0) AS late_delta FROM rts",
     "weighted_verdict": f"SELECT {_L}, n AS phases, CAST(tr AS BIGINT) AS trend_score, {r('early_score=es', 'mid_score=mds', 'late_score=lsc', 'combined=comb')}, gate IS NOT NULL AS gated, coalesce(split_part(gate, ' ', 1), dir) AS direction, coalesce(split_part(gate, ' ', 2), CASE WHEN dir = 'NEUTRAL' THEN 'WAIT' WHEN st >= 5 AND ag = 0 THEN CASE dir WHEN 'LONG' THEN 'TAKE' ELSE 'AVOID' END WHEN st >= 3 AND ag <= 1 THEN 'WAIT' WHEN st >= 2 AND ag = 0 THEN 'WAIT' ELSE 'LEAN' END) AS confidence FROM wv4",
-    "checklist_eval": f"SELECT {_L}, touches, round(sp, 6) AS sell_pct, nb = 0 AND ga AS softened, gates, array_to_string(gl, ',') AS greens, cautions, CASE WHEN gates <> '' THEN CASE WHEN touches < 10 THEN 'LEAN AVOID' ELSE 'AVOID' END WHEN nb = 0 AND ga THEN 'WAIT - ACCUMULATION' WHEN touches < 10 AND len(gl) >= 4 THEN 'LEAN TAKE' WHEN len(gl) >= 6 THEN 'STRONG TAKE' WHEN len(gl) >= 4 THEN 'TAKE' WHEN len(gl) >= 2 THEN 'WAIT' WHEN touches < 10 THEN 'LEAN PASS' ELSE 'PASS' END AS verdict FROM ckl",
+    "checklist_eval": f"SELECT {_L}, touches, round(sp, 6) AS sell_pct, nb = 0 AND ga AS softened, gates, coalesce(array_to_string(gl, ','), '') AS greens, cautions, CASE WHEN gates <> '' THEN CASE WHEN touches < 10 THEN 'LEAN AVOID' ELSE 'AVOID' END WHEN nb = 0 AND ga THEN 'WAIT - ACCUMULATION' WHEN touches < 10 AND len(gl) >= 4 THEN 'LEAN TAKE' WHEN len(gl) >= 6 THEN 'STRONG TAKE' WHEN len(gl) >= 4 THEN 'TAKE' WHEN len(gl) >= 2 THEN 'WAIT' WHEN touches < 10 THEN 'LEAN PASS' ELSE 'PASS' END AS verdict FROM ckl",
     "chain_nodes": f"SELECT {_N}, ws AS watch_start_ts_ms, we AS watch_end_ts_ms, price AS level_price, kind AS level_type, CAST(0.0015 AS DOUBLE) AS band_pct, ind AS indicator FROM nodes",
     "window_summary": f"{_NS} IS NULL",
     "indicator_levels": f"{_NS} IS NOT NULL",
