@@ -221,8 +221,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with every run of overlapping spans in ``text`` replaced."""
-    found = with_spans(docs, rules)
+    """``docs`` with every run of overlapping spans in ``text`` replaced; all other columns as they are, whatever their names."""
+    others = [c for c in docs.columns if c != "text"]
+    found = with_spans(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row")), rules)
     text = F.col("text")
 
     def redacted(blocks: Column) -> Column:
@@ -247,4 +248,5 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         return let(ends, parts)
 
     clean = let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), redacted)
-    return found.withColumn("text", F.when(F.size("_spans") > 0, clean).otherwise(text)).drop("_spans")
+    new = F.when(F.size("_spans") > 0, clean).otherwise(text).alias("text")
+    return found.select(*[new if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])

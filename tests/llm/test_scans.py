@@ -94,6 +94,16 @@ def test_redact(spark):
     assert out[0]["text"].endswith("token: token: abcdefgh")
 
 
+def test_redact_keeps_every_column(spark, corpus):
+    """Columns with the names of helpers come through, with nulls, ties and repeated rows."""
+    names = ["_id", "_hash", "_may", "_text", "_text_hash", "_spans", "_row", "text_hash", "a.b"]
+    docs = corpus.withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for n in names})
+    out = secret_scan.redact(docs)
+    assert out.columns == docs.columns
+    key = lambda r: repr(tuple(r))
+    assert sorted(map(key, out.collect())) == sorted(map(key, docs.collect()))  # this corpus holds no secret
+
+
 def test_secret_scan_empty(spark):
     assert secret_scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
