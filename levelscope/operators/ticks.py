@@ -6,10 +6,13 @@ a trade or quote are there too. All operators keep the partitioning by symbol an
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import EPS, bucket, clamp01, price_mask, regular, stack_state
+from ..functions.sliding import window_ranks
 from ..schemas import KEY
 
 TICK_MS = 10_000
@@ -173,23 +176,29 @@ def vwap_context(ticks: DataFrame) -> DataFrame:
     return ticks.withColumn("price_minus_vwap", d).withColumn("price_minus_vwap_atr", F.when(F.col("atr") > 0, d / F.col("atr")).when(d.isNotNull() & F.col("atr").isNotNull(), 0.0)).withColumn("vwap_state", state)
 
 
+#: Time of which a task slides the window over the trade sizes at once; what its first windows need is sent to it as well.
+RANK_SLICE_MS = 1_800_000
+
+
 def large_threshold(grid: DataFrame, sided: DataFrame, share: float = 0.95, window_ms: int = 300_000) -> DataFrame:
     """The 95th percentile (nearest rank) of the trade sizes of the five minutes to each tick.
 
-    A window begins at a whole millisecond inside a tick, so trades are first counted by tick,
-    size and whether they lie in the part of their tick that its farthest window still holds;
-    only these counts go to the 31 ticks whose windows hold them. The rank is found by running
-    counts over the distinct sizes of a window.
+    Sessions are cut into slices of time; a trade goes to the slices whose windows hold it, two
+    at most. In a slice one histogram of sizes is added to and taken from as the window slides.
     """
     first = tick_of(F.col("ts_ms"))
     farthest = first + F.floor((F.col("ts_ms") + window_ms - first) / TICK_MS) * TICK_MS
-    counted = sided.where("size > 0").groupBy(*KEY, first.alias("first"), farthest.alias("farthest"), "size").agg(F.count("*").alias("n"))
-    sent = counted.select(*KEY, F.explode(F.sequence("first", "farthest", F.lit(TICK_MS))).alias("ts_ms"), "size", "n")
-    sizes = sent.groupBy(*TICK, "size").agg(F.sum("n").alias("n"))
-    part = Window.partitionBy(*TICK)
-    so_far = F.sum("n").over(part.orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = sizes.withColumns({"_upto": so_far, "_all": F.sum("n").over(part)})
-    out = ranked.where(F.col("_upto") >= F.ceil(F.col("_all") * share)).groupBy(*TICK).agg(F.min("size").alias("large_trade_threshold_size"))
+    sizes = sided.where("size > 0").select(*KEY, "ts_ms", "size", F.explode(F.sequence(F.floor(first / RANK_SLICE_MS), F.floor(farthest / RANK_SLICE_MS))).alias("_slice"))
+
+    def ranks(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        ts, begin = group["ts_ms"].to_numpy(), key[-1] * RANK_SLICE_MS
+        low, high = max(begin, int(ts.min())), min(begin + RANK_SLICE_MS - 1, int(ts.max()) + window_ms)
+        ends = np.arange(low // TICK_MS * TICK_MS + TICK_MS - 1, high + 1, TICK_MS)
+        found = window_ranks(ts, group["size"].to_numpy(), ends, share, window_ms)
+        there = ~np.isnan(found)
+        return pd.DataFrame({"symbol": key[0], "session_id": key[1], "ts_ms": ends[there], "large_trade_threshold_size": found[there]})
+
+    out = sizes.groupBy(*KEY, "_slice").applyInPandas(ranks, "symbol string, session_id string, ts_ms long, large_trade_threshold_size double")
     return grid.join(out, TICK, "left").select(*TICK, F.coalesce("large_trade_threshold_size", F.lit(0.0)).alias("large_trade_threshold_size"))
 
 

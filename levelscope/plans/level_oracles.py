@@ -135,6 +135,8 @@ FINALS = {
 FINALS |= {
     "st_bars": "SELECT symbol, bar_ts, open, high, low, close, volume, trade_count FROM bars WHERE tf = '1m'",
     "st_engine": f"SELECT {_K}, ts_ms, round(last_price, 6) AS last_price, trade_count, total_volume, buy_volume, sell_volume, unknown_volume, {r('ema9', 'atr')} FROM state JOIN flow USING ({_K}, ts_ms)",
+    "st_zones": f"SELECT {_L}, ts_ms, event FROM zev WHERE event IS NOT NULL",
+    "st_episodes": f"SELECT {_L}, entry AS zone_entry_time, exit_ts AS zone_exit_time, res AS resolution_time, why AS resolution_trigger, CASE WHEN above THEN 'above' ELSE 'below' END AS level_entry_side, CASE why WHEN 'threshold_hit' THEN 'win' WHEN 'invalidation' THEN 'loss' ELSE 'scratch' END AS outcome, {r('mfe', 'mae')}, mfe_ms AS time_to_mfe_ms, fail_ms AS time_to_failure_ms FROM eps",
     "st_parity": f"SELECT {_K}, count(*) AS live, count(*) AS batch, count(*) AS equal FROM grid GROUP BY ALL",
     "st_source": "SELECT seq, symbol, ts_ms, price, size FROM trades WHERE size > 0",
     "st_flow": "SELECT symbol, ts_ms, trade_count, total_volume, buy_volume, sell_volume, unknown_volume FROM flow WHERE trade_count > 0",

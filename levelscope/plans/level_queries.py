@@ -160,27 +160,43 @@ def _streamed(t: Tape, make: Callable[[DataFrame], DataFrame], frame: DataFrame
     """A frame dropped as files into a folder, in order of time, and drained by a stream in several batches."""
     path = store.scratch(t.spark)
     df = t.trades.drop("session_id") if frame is None else frame
-    ST.drop_files(df, f"{path}/in")
-    ST.drain(make(ST.source(t.spark, f"{path}/in", schema=df.schema, files_each=1)), f"{path}/out", f"{path}/state")
+    # shared state: a part's files are few, so that each part is a batch of its own
+    ST.drop_files(df.repartition(PART_FILES), f"{path}/in")
+    ST.drain(make(ST.source(t.spark, f"{path}/in", schema=df.schema, files_each=PART_FILES)), f"{path}/out", f"{path}/state")
     return t.spark.read.parquet(f"{path}/out")
 
 
+#: Files in which each part of a tape is dropped.
+PART_FILES = 2
+
+
 def _st_flow(t: Tape) -> DataFrame:
     sided = t.sided.select("seq", "symbol", "ts_ms", "price", "size", "side")
     return _streamed(t, ST.st_flow, sided)
 
 
 def _engine(t: Tape) -> DataFrame:
-    return t.once("engine", lambda: _streamed(t, engine.tape_engine, engine.events(t.trades, t.quotes)))
+    """Ticks, zones and episodes of the live tape, its levels added by commands."""
+    return t.once("engine", lambda: _streamed(t, engine.tape_engine, engine.events(t.trades, t.quotes, t.levels)))
 
 
 def _st_engine(t: Tape) -> DataFrame:
-    return rounded(_engine(t), "ema9", "atr", "last_price")
+    names = ["last_price", "trade_count", "total_volume", "buy_volume", "sell_volume", "unknown_volume", "ema9", "atr"]
+    return rounded(engine.ticks(_engine(t)).select(*K.TICK, *names), "ema9", "atr", "last_price")
+
+
+def _st_zones(t: Tape) -> DataFrame:
+    return engine.zone_events(_engine(t)).select(*Z.LEVEL, "ts_ms", "event")
+
+
+def _st_episodes(t: Tape) -> DataFrame:
+    names = ["zone_entry_time", "zone_exit_time", "resolution_time", "resolution_trigger", "level_entry_side", "outcome", "mfe", "mae", "time_to_mfe_ms", "time_to_failure_ms"]
+    return rounded(engine.episodes(_engine(t)).select(*Z.LEVEL, *names), "mfe", "mae")
 
 
 def _parity(t: Tape) -> DataFrame:
-    """The live tape against the replayed one."""
-    return engine.parity(_engine(t), t.state.join(t.flow, K.TICK))
+    """The live tape against the replayed one, in every column that is stored of a tick."""
+    return engine.parity(engine.ticks(_engine(t)), t.stream)
 
 
 def _st_phases(t: Tape) -> DataFrame:
@@ -232,6 +248,8 @@ PLANS: dict[str, Callable[[Tape], DataFrame]] = {
     "st_flow": _st_flow,
     "st_phases": _st_phases,
     "st_engine": _st_engine,
+    "st_zones": _st_zones,
+    "st_episodes": _st_episodes,
     "st_parity": _parity,
     "st_source": lambda t: _streamed(t, lambda x: x.where("size > 0").select("seq", "symbol", "ts_ms", "price", "size")),
 }

@@ -1,151 +1,610 @@
-"""A live tape by session as one stateful stream: as-of quotes, trade sides, flow, bars and averages, tick by tick.
+"""A live tape by session, tick by tick: all that the batch knows of a tick, of zones and of episodes.
 
-Events that the watermark hasn't passed wait in the state, so late ones still find their place;
-those behind it are dropped by Spark. What is final is worked off in numpy and pandas, a batch
-of a session at a time. A tick is emitted once an event of a later tick is final, ticks without
-events too; a session that has been idle for ``idle_ms`` emits its last tick and is forgotten.
+Every session's state is typed and lives in the state store: events that aren't final yet,
+what is carried along a session (quote, side, price, VWAP, bars and averages), the last five
+minutes of ticks and trade sizes, and each level's zone and open episode. Events are final
+once the watermark has passed the end of their tick; ones that come later than that are late.
+A tick without events is emitted with the next event that becomes final, or, with ``ahead_ms``,
+by a timer as long as its session has been idle no longer than that. What a tick shows doesn't
+depend on when it is emitted. Only the tape's history is evicted, after five minutes; averages
+and carried sides live until the exchange's day ends, whatever the pause.
+
+Levels come as commands in the tape (kind 1) and count from the first tick that ends at or after
+them; the first command of a level id counts.
+
+The state store has to be RocksDB (``tape_stream.drain`` sees to it).
 """
 
 from __future__ import annotations
 
-import pickle
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.expressions import exchange_date
-from ..operators.bars import ATR_PERIOD, ATR_SEED, BLEND
-from ..operators.ticks import TICK_MS
+from ..functions.expressions import DEAD_ZONE, EPS, EXCHANGE_ZONE, exchange_date, regular
+from ..functions.sliding import window_ranks
+from ..operators.bars import ATR_PERIOD, ATR_SEED, BLEND, PERIODS
+from ..operators.ticks import CONFLUENCE_REF, TICK_MS
+from ..operators.zones import BASELINE_MS, FAILURE_ATR, SUCCESS_ATR, TIMEOUT_MS
+from ..schemas import KEY
 
-EVENTS = "seq long, symbol string, ts_ms long, kind int, price double, size double, bid double, ask double"
-TICKS = "symbol string, session_id string, ts_ms long, last_price double, trade_count long, total_volume double, buy_volume double, sell_volume double, unknown_volume double, ema9 double, atr double"
-IDLE_MS = 7_200_000
-BAR_MS = 60_000
+QUOTE, COMMAND, TRADE = 0, 1, 2
+EVENTS = "seq long, symbol string, ts_ms long, kind int, price double, size double, irregular boolean, bid double, ask double, level_id string, level_price double, level_type string, level_width_atr double"
+_PENDING = EVENTS.replace("symbol string, ", "")
 SIDES = ("buy", "sell", "unknown")
+WINDOW_MS, SHARE = 300_000, 0.95
+#: Ticks that look back five minutes need.
+HISTORY = WINDOW_MS // TICK_MS + 1
+
+_NUMBERS = (
+    "last_price vwap_session ema9 ema20 ema30 ema200 atr bid ask mid_price spread_abs spread_pct total_volume buy_volume sell_volume unknown_volume delta pct_at_ask pct_at_bid relative_aggression "
+    "avg_trade_size trade_size_std top_decile_volume_share trade_size_cv large_trade_threshold_size large_buy_volume_10s large_sell_volume_10s large_unknown_volume_10s large_trade_delta large_trade_buy_ratio "
+    "large_trade_share_of_total_vol_10s high_10s low_10s ema9_2m ema20_2m ema30_2m ema200_2m ema9_3m ema20_3m ema30_3m ema200_3m spread_volatility_60s spread_zscore relative_aggression_zscore_60s "
+    "delta_velocity delta_acceleration absorption_index realized_vol_60s approach_return_60s slope_ema9_60s slope_ema20_60s slope_ema30_60s ema_spread_9_20 ema_spread_20_30 compression_index "
+    "ema_confluence_score stretch_200_atr price_minus_vwap price_minus_vwap_atr"
+).split()
+_COUNTS = "sequence_id trade_count quote_age_ms large_trade_count_10s price_vs_emas".split()
+_TEXTS = "atr_status stack_state vwap_state".split()
+TICK_COLUMNS = [*_COUNTS, *_NUMBERS, *_TEXTS]
+ZONE_COLUMNS = ["level_id", "event", "entry_side", "touch_count"]
+EPISODE_COLUMNS = [
+    "episode_id", "level_id", "level_price", "level_type", "level_width_atr", "level_entry_side", "start_time", "zone_entry_time", "zone_exit_time", "resolution_time", "resolution_trigger", "outcome",
+    "direction_bias", "atr_value", "mfe", "mae", "time_to_mfe_ms", "time_to_failure_ms",
+]
+_TYPES = (
+    {c: "double" for c in (*_NUMBERS, "level_price", "level_width_atr", "atr_value", "mfe", "mae")}
+    | {c: "long" for c in (*_COUNTS, "touch_count", "start_time", "zone_entry_time", "zone_exit_time", "resolution_time", "time_to_mfe_ms", "time_to_failure_ms")}
+    | {c: "string" for c in (*_TEXTS, *ZONE_COLUMNS[:3], "episode_id", "level_type", "level_entry_side", "resolution_trigger", "outcome", "direction_bias")}
+)
+_ALL = list(dict.fromkeys([*TICK_COLUMNS, *ZONE_COLUMNS, *EPISODE_COLUMNS]))
+#: A row of the stream: a tick, a zone event or an episode, by ``kind``.
+OUTPUT = "kind string, symbol string, session_id string, ts_ms long, " + ", ".join(f"{c} {_TYPES[c]}" for c in _ALL)
+
+_CORE = "bid double, ask double, prev double, side string, price double, vwap double, money double, vwap_size double, tick long, ticks long, last long"
+_BAR = "begin long, high double, low double, close double, n long, ema9 double, ema20 double, ema30 double, ema200 double, tr double, atr double, closed double"
+#: What rolling features need of earlier ticks.
+_RECENT = ("last_price", "spread_pct", "relative_aggression", "delta", "delta_velocity", "ema9", "ema20", "ema30")
+_LEVEL = (
+    "price double, type string, width double, created long, one boolean, two boolean, side string, touches long, open boolean, entry long, entry_atr double, exit long, most double, most_ts long, least double, fail_ts long"
+)
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def events(trades: DataFrame, quotes: DataFrame, levels: DataFrame | None = None) -> DataFrame:
+    """Trades, quotes and commands that add levels as one tape; at equal times quotes come first and trades last.
+
+    A level that was there before its session (``created_ts_ms`` before the first event) comes with the first event.
+    """
+    columns = _names(EVENTS)
+    q = quotes.select("seq", "symbol", "ts_ms", F.lit(QUOTE).alias("kind"), "bid", "ask")
+    w = ~regular(F.col("conditions")) if "conditions" in trades.columns else F.lit(False)
+    t = trades.select("seq", "symbol", "ts_ms", F.lit(TRADE).alias("kind"), "price", "size", w.alias("irregular"))
+    out = q.unionByName(t, allowMissingColumns=True)
+    if levels is not None:
+        starts = trades.select(*KEY, "ts_ms").unionByName(quotes.select(*KEY, "ts_ms")).groupBy(*KEY).agg(F.min("ts_ms").alias("_start"))
+        own = levels.join(starts, KEY).select(
+            F.lit(None).cast("long").alias("seq"), "symbol", F.greatest("created_ts_ms", "_start").alias("ts_ms"), F.lit(COMMAND).alias("kind"), "level_id", F.col("level_price").cast("double").alias("level_price"), "level_type", "level_width_atr"
+        )
+        out = out.unionByName(own, allowMissingColumns=True)
+    missing = [c for c in columns if c not in out.columns]
+    types = dict(c.split() for c in EVENTS.split(", "))
+    return out.withColumns({c: F.lit(None).cast(types[c]) for c in missing}).select(columns)
+
+
+_PANDAS = {"double": "float64", "long": "Int64", "int": "Int64", "string": "object", "boolean": "boolean"}
+
+
+def _typed(df: pd.DataFrame, schema: str) -> pd.DataFrame:
+    """The columns of a schema as its types: whole numbers with nulls would else have become floats."""
+    return pd.DataFrame({(name := c.split())[0]: df[name[0]].astype(_PANDAS[name[1]]) for c in schema.split(", ")})
+
+
+def _tuples(df: pd.DataFrame) -> list[tuple]:
+    return list(df.astype(object).where(df.notna(), None).itertuples(index=False, name=None))
+
+
+def _float(x) -> float:
+    return math.nan if x is None else x
+
 
+class Ticking(StatefulProcessor):
+    """Keeps events until the watermark has passed their tick, and a timer for the next thing to do."""
 
-def events(trades: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Trades and quotes as one tape; at equal times quotes come first."""
-    q = quotes.select("seq", "symbol", "ts_ms", F.lit(0).alias("kind"), "bid", "ask")
-    t = trades.select("seq", "symbol", "ts_ms", F.lit(1).alias("kind"), "price", "size")
-    columns = [c.split()[0] for c in EVENTS.split(", ")]
-    return q.unionByName(t, allowMissingColumns=True).select(columns)
-
-
-def _fresh() -> dict:
-    return {"pending": None, "bid": np.nan, "ask": np.nan, "prev": np.nan, "side": None, "price": np.nan, "tick": None, "flow": [0, 0.0, 0.0, 0.0, 0.0], "bar": None, "n": 0, "ema": np.nan, "tr": 0.0, "atr": np.nan, "close": np.nan, "last": 0}
-
-
-def _sides(s: dict, t: pd.DataFrame) -> pd.Series:
-    """Lee and Ready's side of each trade in turn, carried on from the state."""
-    has = t["bid"].notna() & t["ask"].notna()
-    own = t[has]
-    prev = own["price"].shift(1)
-    if len(own):
-        prev.iloc[0] = s["prev"]
-    raw = pd.Series(np.select([own["price"] >= own["ask"], own["price"] <= own["bid"], own["price"] > prev, own["price"] < prev], ["buy", "sell", "buy", "sell"], ""), own.index, dtype=object).where(lambda x: x != "", None)
-    carried = raw.shift(1)
-    if len(raw):
-        carried.iloc[0] = s["side"]
-    side = raw.where(raw.notna(), carried.ffill().where(prev.notna(), None))
-    if len(own):
-        s["prev"] = own["price"].iloc[-1]
-        known = raw.dropna()
-        s["side"] = known.iloc[-1] if len(known) else s["side"]
-    return side.reindex(t.index).fillna("unknown")
-
-
-def _close_bar(s: dict) -> tuple[int, float, float]:
-    """The open bar goes into the averages: its end, the average of closes and the true range's."""
-    begin, high, low, close = s["bar"]
-    tr = high - low if np.isnan(s["close"]) else max(high - low, abs(high - s["close"]), abs(low - s["close"]))
-    s["n"] += 1
-    s["ema"] = close if np.isnan(s["ema"]) else s["ema"] + (close - s["ema"]) * 2 / 10
-    if s["n"] <= ATR_PERIOD:
-        s["tr"] = (s["tr"] * (s["n"] - 1) + tr) / s["n"]
-    else:
-        s["tr"] = (s["tr"] * (ATR_PERIOD - 1) + tr) / ATR_PERIOD
-    s["atr"] = BLEND * ATR_SEED + (1 - BLEND) * s["tr"] if s["n"] < ATR_PERIOD else s["tr"]
-    s["close"], s["bar"] = close, None
-    return begin + BAR_MS, s["ema"], s["atr"]
-
-
-def advance(s: dict, final: pd.DataFrame) -> pd.DataFrame:
-    """Work off final events in order; returns the ticks that they close."""
-    if final.empty:
-        return pd.DataFrame()
-    final = final.sort_values(["ts_ms", "kind", "seq"], kind="stable").reset_index(drop=True)
-    final["tick"] = final["ts_ms"] // TICK_MS * TICK_MS + TICK_MS - 1
-    for c in ("bid", "ask"):
-        final[c] = final[c].ffill().fillna(s[c])
-        s[c] = final[c].iloc[-1]
-    t = final[final["kind"] == 1].copy()
-    t["side"] = _sides(s, t)
-    ended = [(-1, s["ema"], s["atr"])]  # averages by the end of the bar that they include
-    for begin, bar in t.groupby(t["ts_ms"] // BAR_MS * BAR_MS):
-        if s["bar"] is not None and s["bar"][0] != begin:
-            ended.append(_close_bar(s))
-        high, low, close = bar["price"].max(), bar["price"].min(), bar["price"].iloc[-1]
-        s["bar"] = (begin, high, low, close) if s["bar"] is None else (begin, max(high, s["bar"][1]), min(low, s["bar"][2]), close)
-    last = int(final["tick"].iloc[-1])
-    if s["bar"] is not None and s["bar"][0] + BAR_MS <= last:
-        ended.append(_close_bar(s))
-    first = s["tick"] if s["tick"] is not None else int(final["tick"].iloc[0])
-    grid = np.arange(first, last + 1, TICK_MS)
-    out = pd.DataFrame({"ts_ms": grid})
-    by = t.groupby("tick")
-    flow = pd.DataFrame({"trade_count": by.size(), "total_volume": by["size"].sum(), **{f"{k}_volume": t["size"].where(t["side"] == k, 0.0).groupby(t["tick"]).sum() for k in SIDES}})
-    flow = flow.reindex(grid).fillna(0.0)
-    flow.iloc[0] += s["flow"]
-    price = by["price"].last().reindex(grid).ffill().fillna(s["price"])
-    at = np.searchsorted([e[0] for e in ended], grid, side="right") - 1
-    out = out.assign(last_price=price.to_numpy(), **{c: flow[c].to_numpy() for c in flow}, ema9=np.array([e[1] for e in ended])[at], atr=np.array([e[2] for e in ended])[at])
-    s["tick"], s["price"], s["flow"], s["last"] = last, price.iloc[-1], flow.iloc[-1].tolist(), int(final["ts_ms"].iloc[-1])
-    s["open"] = out.iloc[-1:].copy()
-    return out.iloc[:-1]
-
-
-def _keyed(key: tuple, ticks: pd.DataFrame) -> pd.DataFrame:
-    out = ticks.assign(symbol=key[0], session_id=key[1], trade_count=ticks["trade_count"].astype("int64"))
-    return out[[c.split()[0] for c in TICKS.split(", ")]]
-
-
-def tape_engine(stream: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
-    """Ticks of a stream of ``EVENTS`` that has an event time and a watermark, by symbol and exchange day."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = pickle.loads(state.get[0]) if state.exists else _fresh()
-        known = state.getCurrentWatermarkMs()
-        parts = [x for x in (s["pending"], *([] if state.hasTimedOut else batches)) if x is not None and len(x)]
-        rows = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=[c.split()[0] for c in EVENTS.split(", ")])
-        ripe = rows["ts_ms"] <= known
-        closed = advance(s, rows[ripe & rows["kind"].notna()])
-        s["pending"] = rows[~ripe] if (~ripe).any() else None
-        if len(closed):
-            yield _keyed(key, closed)
-        if s["pending"] is None and s["tick"] is not None and known >= s["last"] + idle_ms:
-            yield _keyed(key, s["open"])
-            state.remove()
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", _PENDING)
+        self.clock = handle.getValueState("clock", "done long, due long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        yield from self._step(key, list(rows), timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._step(key, [], timerValues.getCurrentWatermarkInMs())
+
+    def _step(self, key: tuple, parts: list[pd.DataFrame], watermark: int) -> Iterator[pd.DataFrame]:
+        done, due = self.clock.get() if self.clock.exists() else (-1, None)
+        held = pd.DataFrame(list(self.pending.get()) if self.pending.exists() else [], columns=_names(_PENDING))
+        rows = pd.concat([_typed(x, _PENDING) for x in (held, *parts)], ignore_index=True)
+        rows = rows[rows["kind"].notna() & (rows["ts_ms"] > done)]
+        boundary = max(done, (watermark + 1) // TICK_MS * TICK_MS - 1)
+        ripe = rows["ts_ms"] <= boundary
+        final = rows[ripe].sort_values(["ts_ms", "kind", "seq"], kind="stable").reset_index(drop=True)
+        yield from self.advance(key, final, boundary)
+        rest = rows[~ripe]
+        if len(rest):
+            self.pending.put(_tuples(rest))
+        elif len(held):
+            self.pending.clear()
+        at = self.next_due(key, int(rest["ts_ms"].min()) // TICK_MS * TICK_MS + TICK_MS - 1 if len(rest) else None, watermark)
+        if due is not None and due != at and due > watermark:
+            self.handle.deleteTimer(due)
+        if at is None:
+            self.clock.clear()
             return
-        state.update((pickle.dumps(s),))
-        due = int(s["pending"]["ts_ms"].min()) if s["pending"] is not None else s["last"] + idle_ms
-        state.setTimeoutTimestamp(max(due, known + 1))
+        at = max(at, watermark + 1)
+        self.clock.update((boundary, at))
+        self.handle.registerTimer(at)
+
+    def advance(self, key: tuple, final: pd.DataFrame, boundary: int) -> Iterator[pd.DataFrame]:
+        """Work off final events in order, up to the end of a tick."""
+        raise NotImplementedError
+
+    def next_due(self, key: tuple, pending: int | None, watermark: int) -> int | None:
+        """When to act without a new event; None if the state is gone."""
+        raise NotImplementedError
+
+
+def _last_before(places: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each of ``at`` the index of the last of ``places`` before it, or -1."""
+    return np.searchsorted(places, at) - 1
+
+
+def _rows_back(x: np.ndarray, n: int) -> np.ndarray:
+    """The last ``n`` values up to each row, NaN before the first."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(n - 1, np.nan), x]), n)
+
+
+def _moments(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number, mean and population deviation of what isn't NaN among the last ``n`` rows."""
+    w = _rows_back(x, n)
+    there = ~np.isnan(w)
+    count = there.sum(1)
+    mean = np.where(count > 0, np.where(there, w, 0).sum(1) / np.maximum(count, 1), np.nan)
+    return count, mean, np.sqrt(np.where(there, (w - mean[:, None]) ** 2, 0).sum(1) / np.maximum(count, 1))
+
+
+def _before(x: np.ndarray, n: int) -> np.ndarray:
+    return np.concatenate([np.full(min(n, len(x)), np.nan), x[: max(0, len(x) - n)]])
+
+
+class TapeEngine(Ticking):
+    """The tape of a session, key (symbol, session_id)."""
+
+    def __init__(self, ahead_ms: int = 0, bias: str = "long"):
+        self.ahead_ms, self.bias = ahead_ms, bias
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.core = handle.getValueState("core", _CORE)
+        self.bars = handle.getMapState("bars", "width long", _BAR)
+        self.recent = handle.getListState("recent", ", ".join(f"{c} double" for c in _RECENT))
+        self.sizes = handle.getListState("sizes", "ts_ms long, size double")
+        self.levels = handle.getMapState("levels", "level_id string", _LEVEL)
+
+    @staticmethod
+    def _day(session_id: str) -> tuple[int, int]:
+        """When the regular hours of the session's day begin, and when the day ends."""
+        day = pd.Timestamp(session_id[-10:])
+        opens, ends = (x.tz_localize(EXCHANGE_ZONE) for x in (day + pd.Timedelta(hours=9, minutes=30), day + pd.Timedelta(days=1)))
+        return opens.value // 1_000_000, ends.value // 1_000_000
 
+    def next_due(self, key: tuple, pending: int | None, watermark: int) -> int | None:
+        ends = self._day(key[1])[1]
+        core = self.core.get() if self.core.exists() else None
+        if watermark >= ends and pending is None:
+            for s in (self.core, self.bars, self.recent, self.sizes, self.levels):
+                s.clear()
+            return None
+        if pending is not None:
+            return pending
+        if core is None and not self.levels.exists():
+            return None
+        tick, last = (core[_names(_CORE).index(c)] for c in ("tick", "last")) if core is not None else (None, None)
+        if self.ahead_ms and tick is not None and tick + TICK_MS <= last // TICK_MS * TICK_MS + TICK_MS - 1 + self.ahead_ms:
+            return tick + TICK_MS
+        return ends
+
+    def advance(self, key: tuple, final: pd.DataFrame, boundary: int) -> Iterator[pd.DataFrame]:
+        commands = final[final["kind"] == COMMAND]
+        for c in commands.itertuples():
+            if not self.levels.containsKey((c.level_id,)):
+                width = 0.25 if c.level_width_atr is None or pd.isna(c.level_width_atr) else float(c.level_width_atr)
+                self.levels.updateValue((c.level_id,), (float(c.level_price), c.level_type, width, int(c.ts_ms), False, False, None, 0, False, None, None, None, None, None, None, None))
+        final = final[final["kind"] != COMMAND].reset_index(drop=True)
+        s = dict(zip(_names(_CORE), self.core.get(), strict=True)) if self.core.exists() else dict.fromkeys(_names(_CORE)) | {"money": 0.0, "vwap_size": 0.0, "ticks": 0}
+        if len(final):
+            s["last"] = int(final["ts_ms"].iloc[-1])
+        if s["last"] is None:
+            return
+        first = s["tick"] + TICK_MS if s["tick"] is not None else int(final["ts_ms"].iloc[0]) // TICK_MS * TICK_MS + TICK_MS - 1
+        upto = min(boundary, s["last"] // TICK_MS * TICK_MS + TICK_MS - 1 + self.ahead_ms // TICK_MS * TICK_MS)
+        grid = np.arange(first, upto + 1, TICK_MS)
+        if not len(grid):
+            return
+        out = self._ticks(key, s, final, grid)
+        s["tick"], s["ticks"] = int(grid[-1]), s["ticks"] + len(grid)
+        self.core.update(tuple(None if isinstance(x, float) and math.isnan(x) else x for x in s.values()))
+        yield _shaped(key, "tick", out)
+        yield from self._zones(key, out)
+
+    def _ticks(self, key: tuple, s: dict, final: pd.DataFrame, grid: np.ndarray) -> pd.DataFrame:
+        """Every column of the grid's ticks; ``s`` is carried on."""
+        n, place = len(grid), np.arange(len(final))
+        is_trade = (final["kind"] == TRADE).to_numpy(bool)
+        q, t = final[~is_trade], final[is_trade]
+        ts = t["ts_ms"].to_numpy(np.int64)
+        price, size = t["price"].to_numpy(float), t["size"].to_numpy(float)
+        tick = (ts - (grid[0] - TICK_MS + 1)) // TICK_MS
+        out: dict[str, np.ndarray] = {"ts_ms": grid, "sequence_id": s["ticks"] + np.arange(n)}
+        # quotes: as of each trade, and the last one inside each tick
+        at = _last_before(place[~is_trade], place[is_trade])
+        bids, asks = q["bid"].to_numpy(float), q["ask"].to_numpy(float)
+        bid, ask = (np.where(at >= 0, x[np.maximum(at, 0)] if len(x) else np.nan, _float(s[c])) for x, c in ((bids, "bid"), (asks, "ask")))
+        q_tick = (q["ts_ms"].to_numpy(np.int64) - (grid[0] - TICK_MS + 1)) // TICK_MS
+        last_q = np.full(n, -1)
+        last_q[q_tick] = np.arange(len(q))
+        has = last_q >= 0
+        for c, x in (("bid", bids), ("ask", asks)):
+            out[c] = np.where(has, x[last_q] if len(x) else np.nan, np.nan)
+        valid = (out["bid"] > 0) & (out["ask"] > 0)
+        out["mid_price"] = np.where(valid, (out["bid"] + out["ask"]) / 2, np.nan)
+        out["spread_abs"] = np.where(valid, out["ask"] - out["bid"], np.nan)
+        out["spread_pct"] = out["spread_abs"] / out["mid_price"]
+        out["quote_age_ms"] = np.where(has, grid - (q["ts_ms"].to_numpy(np.int64)[last_q] if len(q) else 0), np.nan)
+        if len(q):
+            s["bid"], s["ask"] = float(bids[-1]), float(asks[-1])
+        # sides and flow
+        side = self._sides(s, price, bid, ask)
+        volume = np.nan_to_num(size)
+        out["trade_count"] = np.bincount(tick, minlength=n)
+        out["total_volume"] = np.bincount(tick, volume, n)
+        for k in SIDES:
+            out[f"{k}_volume"] = np.bincount(tick, np.where(side == k, volume, 0.0), n)
+        out["delta"] = out["buy_volume"] - out["sell_volume"]
+        some, total = out["total_volume"] > 0, np.where(out["total_volume"] > 0, out["total_volume"], 1)
+        out["pct_at_ask"], out["pct_at_bid"] = np.where(some, out["buy_volume"] / total, 0.0), np.where(some, out["sell_volume"] / total, 0.0)
+        out["relative_aggression"] = np.where(some, out["delta"] / (total + EPS), 0.0)
+        # price and VWAP
+        opens = self._day(key[1])[0]
+        counts = (size > 0) & (ts >= opens)
+        money, shares = s["money"] + np.cumsum(np.where(counts, price * volume, 0.0)), s["vwap_size"] + np.cumsum(np.where(counts, volume, 0.0))
+        vwap = np.where(shares > 0, money / np.where(shares > 0, shares, 1), np.nan)
+        last_t = np.full(n, -1)
+        last_t[tick] = np.arange(len(t))
+        last_t = np.maximum.accumulate(last_t)
+        for c, name, x in (("last_price", "price", price), ("vwap_session", "vwap", vwap)):
+            out[c] = np.where(last_t >= 0, x[last_t] if len(x) else np.nan, _float(s[name]))
+            s[name] = float(out[c][-1])
+        if len(t):
+            s["money"], s["vwap_size"] = float(money[-1]), float(shares[-1])
+        plain = ~t["irregular"].eq(True).to_numpy(bool)
+        high, low = np.full(n, -np.inf), np.full(n, np.inf)
+        np.maximum.at(high, tick[plain], price[plain])
+        np.minimum.at(low, tick[plain], price[plain])
+        out["high_10s"], out["low_10s"] = np.where(np.isinf(high), out["last_price"], high), np.where(np.isinf(low), out["last_price"], low)
+        out |= self._trade_sizes(tick, size, n) | self._large(grid, ts, tick, size, side)
+        # bars that have ended by each tick
+        for width, suffix in ((60_000, ""), (120_000, "_2m"), (180_000, "_3m")):
+            out |= self._averages(width, suffix, ts, price, grid)
+        return pd.DataFrame(out | self._rolling(out))
+
+    @staticmethod
+    def _sides(s: dict, price: np.ndarray, bid: np.ndarray, ask: np.ndarray) -> np.ndarray:
+        """Lee and Ready's side of each trade in turn, carried on from the state."""
+        out = np.full(len(price), "unknown", dtype=object)
+        own = np.flatnonzero(~np.isnan(bid) & ~np.isnan(ask))
+        if not len(own):
+            return out
+        p, b, a = price[own], bid[own], ask[own]
+        prev = np.concatenate([[_float(s["prev"])], p[:-1]])
+        raw = np.select([p >= a, p <= b, p > prev, p < prev], [1, -1, 1, -1], 0)
+        known = np.maximum.accumulate(np.where(raw != 0, np.arange(len(raw)), -1))
+        before = {"buy": 1, "sell": -1, None: 0}[s["side"]]
+        carried = np.where(known >= 0, raw[known], before)
+        carried = np.where(np.isnan(prev) & (raw == 0), 0, carried)
+        out[own] = np.array(["sell", "unknown", "buy"], dtype=object)[carried + 1]
+        s["prev"] = float(p[-1])
+        if known[-1] >= 0:
+            s["side"] = "buy" if raw[known[-1]] > 0 else "sell"
+        return out
+
+    @staticmethod
+    def _trade_sizes(tick: np.ndarray, size: np.ndarray, n: int) -> dict[str, np.ndarray]:
+        """Mean, deviation, variation and top-decile share of the trade sizes of each tick."""
+        good = size > 0
+        tick, size = tick[good], size[good]
+        count, total = np.bincount(tick, minlength=n), np.bincount(tick, size, n)
+        safe = np.maximum(count, 1)
+        mean = total / safe
+        dev = np.sqrt(np.bincount(tick, (size - mean[tick]) ** 2, n) / safe)
+        order = np.lexsort((-size, tick))
+        rank = np.arange(len(tick)) - (np.cumsum(count) - count)[tick[order]]
+        top = rank < np.maximum(1, np.ceil(count * 0.1))[tick[order]]
+        share = np.bincount(tick[order], np.where(top, size[order], 0.0), n) / np.where(total > 0, total, 1)
+        return {"avg_trade_size": mean, "trade_size_std": dev, "top_decile_volume_share": share, "trade_size_cv": dev / np.where(mean > 0, mean, 1)}
+
+    def _large(self, grid: np.ndarray, ts: np.ndarray, tick: np.ndarray, size: np.ndarray, side: np.ndarray) -> dict[str, np.ndarray]:
+        """The 95th percentile of the sizes of five minutes, and the trades of each tick that reach it."""
+        n, good = len(grid), size > 0
+        held = list(self.sizes.get()) if self.sizes.exists() else []
+        every = np.concatenate([np.array([x[0] for x in held], np.int64), ts[good]])
+        values = np.concatenate([np.array([x[1] for x in held], float), size[good]])
+        threshold = np.nan_to_num(window_ranks(every, values, grid, SHARE, WINDOW_MS))
+        keep = every >= grid[-1] + TICK_MS - WINDOW_MS
+        if keep.any():
+            self.sizes.put(list(zip(every[keep].tolist(), values[keep].tolist(), strict=True)))
+        elif held:
+            self.sizes.clear()
+        own = threshold[tick]
+        big = (own > 0) & (size >= own)
+        volume = np.nan_to_num(size)
+        out = {"large_trade_threshold_size": threshold, "large_trade_count_10s": np.bincount(tick, big, n).astype(np.int64)}
+        buy, sell, rest = (np.bincount(tick, np.where(big & (side == k), volume, 0.0), n) for k in SIDES)
+        total = np.bincount(tick, volume, n)
+        out |= {"large_buy_volume_10s": buy, "large_sell_volume_10s": sell, "large_unknown_volume_10s": rest, "large_trade_delta": buy - sell}
+        out["large_trade_buy_ratio"] = np.where(buy + sell > 0, buy / (buy + sell + EPS), 0.0)
+        out["large_trade_share_of_total_vol_10s"] = np.where(total > 0, (buy + sell + rest) / (total + EPS), 0.0)
+        return out
+
+    def _averages(self, width: int, suffix: str, ts: np.ndarray, price: np.ndarray, grid: np.ndarray) -> dict[str, np.ndarray]:
+        """Averages of the bars of a width as of each tick; the bar that hasn't ended stays in the state."""
+        names = _names(_BAR)
+        b = dict(zip(names, self.bars.getValue((width,)), strict=True)) if self.bars.containsKey((width,)) else dict.fromkeys(names) | {"n": 0}
+        ended = [(-1, *(_float(b[f"ema{p}"]) for p in PERIODS), _float(b["atr"]), b["n"])]
+
+        def close() -> None:
+            begin, high, low, last, before = b["begin"], b["high"], b["low"], b["close"], b["closed"]
+            tr = high - low if before is None else max(high - low, abs(high - before), abs(low - before))
+            b["n"] += 1
+            for p in PERIODS:
+                old = b[f"ema{p}"]
+                b[f"ema{p}"] = last if old is None else old + (last - old) * 2 / (p + 1)
+            k, old = b["n"], b["tr"] or 0.0
+            b["tr"] = (old * (k - 1) + tr) / k if k <= ATR_PERIOD else (old * (ATR_PERIOD - 1) + tr) / ATR_PERIOD
+            b["atr"] = BLEND * ATR_SEED + (1 - BLEND) * b["tr"] if k < ATR_PERIOD else b["tr"]
+            b["closed"], b["begin"] = last, None
+            ended.append((begin + width, *(b[f"ema{p}"] for p in PERIODS), b["atr"], k))
+
+        buckets = ts // width * width
+        cuts = np.flatnonzero(np.diff(buckets, prepend=-1)) if len(ts) else np.zeros(0, np.int64)
+        for p, q in zip(cuts.tolist(), np.append(cuts, len(ts))[1:].tolist(), strict=True):
+            begin, own = int(buckets[p]), price[p:q]
+            if b["begin"] is not None and b["begin"] != begin:
+                close()
+            high, low = float(own.max()), float(own.min())
+            if b["begin"] is not None:
+                high, low = max(high, b["high"]), min(low, b["low"])
+            b |= {"begin": begin, "high": high, "low": low, "close": float(own[-1])}
+        if b["begin"] is not None and b["begin"] + width <= grid[-1]:
+            close()
+        self.bars.updateValue((width,), tuple(b[c] for c in names))
+        at = np.searchsorted([e[0] for e in ended], grid, side="right") - 1
+        table = np.array([e[1:] for e in ended], float)[at]
+        out = {f"ema{p}{suffix}": table[:, k] for k, p in enumerate(PERIODS)}
+        if not suffix:
+            out["atr"] = table[:, len(PERIODS)]
+            bars = table[:, len(PERIODS) + 1]
+            out["atr_status"] = np.where(bars == 0, None, np.where(bars >= ATR_PERIOD, "live", "blending"))
+        return out
+
+    def _rolling(self, out: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Features that look back, over the ring of the last five minutes and the new ticks."""
+        ring = pd.DataFrame(list(self.recent.get()) if self.recent.exists() else [], columns=list(_RECENT), dtype=float)
+        m, n = len(ring), len(out["ts_ms"])
+        h = {c: np.concatenate([ring[c].to_numpy(float), out[c]]) for c in _RECENT if c in out}
+        f: dict[str, np.ndarray] = {}
+        spread = h["spread_pct"]
+        count, mean, dev = _moments(spread, 7)
+        vol = np.where(count > 1, dev, 0.0)
+        f["spread_volatility_60s"] = vol
+        f["spread_zscore"] = np.where((count < 2) | (vol <= EPS), 0.0, (np.nan_to_num(spread) - np.nan_to_num(mean)) / (vol + EPS))
+        x = h["relative_aggression"]
+        count, mean, dev = _moments(x, 7)
+        f["relative_aggression_zscore_60s"] = np.where((count < 2) | (dev <= EPS), 0.0, (x - mean) / (dev + EPS))
+        velocity = np.nan_to_num(h["delta"] - _before(h["delta"], 1))
+        velocity[:m] = ring["delta_velocity"].to_numpy(float)  # the ring's first has lost the tick before it
+        f["delta_velocity"] = velocity
+        f["delta_acceleration"] = np.nan_to_num(velocity - _before(velocity, 1))
+        p = h["last_price"]
+        before = _before(p, 1)
+        f["absorption_index"] = np.maximum(0.0, -h["delta"]) / (np.abs(np.nan_to_num(p - before)) + EPS)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            step = np.where((p > 0) & (before > 0), np.log(p / before), np.nan)
+            f["realized_vol_60s"] = np.where(_moments(step, 6)[0] > 0, _moments(step, 6)[2], 0.0)
+            then = _before(p, 6)
+            f["approach_return_60s"] = np.where((then > 0) & (p > 0), np.nan_to_num(np.log(p / then)), 0.0)
+        f = {c: v[m:] for c, v in f.items()}
+        e9, e20, e30, e200, atr, price = (out[c] for c in ("ema9", "ema20", "ema30", "ema200", "atr", "last_price"))
+        for k in (9, 20, 30):
+            f[f"slope_ema{k}_60s"] = np.nan_to_num((h[f"ema{k}"] - _before(h[f"ema{k}"], 6)) / (6 * TICK_MS / 1000))[m:]
+        f["ema_spread_9_20"], f["ema_spread_20_30"] = e9 - e20, e20 - e30
+        moving, ranged = ~np.isnan(e9) & ~np.isnan(atr), atr > 0
+        safe = np.where(ranged, atr, 1)
+        compression = np.where(ranged, (np.abs(e9 - e20) + np.abs(e20 - e30)) / safe, np.where(moving, 0.0, np.nan))
+        f["compression_index"], f["ema_confluence_score"] = compression, np.clip(1 - compression / CONFLUENCE_REF, 0, 1)
+        stack = np.where((e9 > e20) & (e20 > e30), "bull", np.where((e9 < e20) & (e20 < e30), "bear", "mixed"))
+        f["stack_state"] = np.where(np.isnan(e9), None, stack)
+        f["price_vs_emas"] = sum(np.where((e > 0) & (price > e), w, 0) for e, w in ((e200, 8), (e30, 4), (e20, 2), (e9, 1)))
+        f["stretch_200_atr"] = np.where(ranged, np.nan_to_num((price - e200) / safe), 0.0)
+        d = price - out["vwap_session"]
+        f["price_minus_vwap"] = d
+        f["price_minus_vwap_atr"] = np.where(ranged, d / safe, np.where(~np.isnan(d) & ~np.isnan(atr), 0.0, np.nan))
+        f["vwap_state"] = np.where(np.isnan(d), None, np.where(d > DEAD_ZONE, "above", np.where(d < -DEAD_ZONE, "below", "at")))
+        h["delta_velocity"] = np.concatenate([ring["delta_velocity"].to_numpy(float), f["delta_velocity"]])
+        self.recent.put(_tuples(pd.DataFrame({c: h[c][-HISTORY:] for c in _RECENT})))
+        return f
+
+    def _zones(self, key: tuple, ticks: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Zone events and episodes that the ticks bring about, level by level."""
+        known = ticks[ticks["last_price"].notna() & (ticks["atr"] > 0)]
+        if not len(known) or not self.levels.exists():
+            return
+        names = _names(_LEVEL)
+        ts, price, atr = known["ts_ms"].tolist(), known["last_price"].tolist(), known["atr"].tolist()
+        zones, found, changed = [], [], []
+        for (level_id,), value in self.levels.iterator():
+            v = dict(zip(names, value, strict=True))
+            for t, p, a in zip(ts, price, atr, strict=True):
+                if t < v["created"]:
+                    continue
+                d = (p - v["price"]) / a
+                inside = abs(d) <= v["width"]
+                if v["two"] and not v["one"] and not inside:
+                    v["touches"] += 1
+                event = "enter" if inside and not v["one"] else "exit" if v["one"] and not inside else None
+                if event == "enter":
+                    v["side"] = "above" if p - v["price"] >= 0 else "below"
+                    v |= {"open": True, "entry": t, "entry_atr": a, "exit": None, "most": None, "most_ts": None, "least": None, "fail_ts": None}
+                if event is not None:
+                    zones.append((t, level_id, event, v["side"], v["touches"]))
+                v["two"], v["one"] = v["one"], inside
+                if v["open"]:
+                    episode = self._episode(key, level_id, v, t, p, d, event)
+                    if episode is not None:
+                        found.append(episode)
+            changed.append((level_id, v))
+        for level_id, v in changed:
+            self.levels.updateValue((level_id,), tuple(v[c] for c in names))
+        if zones:
+            yield _shaped(key, "zone", pd.DataFrame(zones, columns=["ts_ms", *ZONE_COLUMNS]))
+        if found:
+            yield _shaped(key, "episode", pd.DataFrame(found))
+
+    def _episode(self, key: tuple, level_id: str, v: dict, t: int, p: float, d: float, event: str | None) -> dict | None:
+        """Carry a level's open episode on by a tick; the episode if this resolves it."""
+        sign = -1 if self.bias == "short" else 1
+        if event == "exit" and v["exit"] is None:
+            v["exit"] = t
+        move = (p - v["price"]) / v["entry_atr"] * sign
+        if v["most"] is None or move > v["most"]:
+            v["most"], v["most_ts"] = move, t
+        v["least"] = move if v["least"] is None else min(v["least"], move)
+        if v["fail_ts"] is None and -move >= FAILURE_ATR:
+            v["fail_ts"] = t
+        thesis = d * sign
+        late = v["exit"] is not None and t >= v["exit"] + TIMEOUT_MS
+        why = "timeout" if late else "threshold_hit" if thesis >= SUCCESS_ATR else "invalidation" if thesis <= -FAILURE_ATR else None
+        if why is None:
+            return None
+        v["open"] = False
+        entry = v["entry"]
+        return {
+            "ts_ms": t, "episode_id": hashlib.sha256(f"{key[1]}|{level_id}|{entry}".encode()).hexdigest(), "level_id": level_id, "level_price": v["price"], "level_type": v["type"], "level_width_atr": v["width"],
+            "level_entry_side": v["side"], "start_time": entry - BASELINE_MS, "zone_entry_time": entry, "zone_exit_time": v["exit"], "resolution_time": t, "resolution_trigger": why,
+            "outcome": {"threshold_hit": "win", "invalidation": "loss", "timeout": "scratch"}[why], "direction_bias": self.bias, "atr_value": v["entry_atr"], "mfe": max(0.0, v["most"]), "mae": max(0.0, -v["least"]),
+            "time_to_mfe_ms": v["most_ts"] - entry, "time_to_failure_ms": None if v["fail_ts"] is None else v["fail_ts"] - entry,
+        }
+
+
+def _shaped(key: tuple, kind: str, rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows of a kind with all columns of ``OUTPUT``, null where the kind has none."""
+    whole = {"kind": kind, "symbol": key[0], "session_id": key[1], "ts_ms": rows["ts_ms"]}
+    for c in _ALL:
+        whole[c] = rows[c].astype(_PANDAS[_TYPES[c]]) if c in rows else pd.Series(None, index=rows.index, dtype=_PANDAS[_TYPES[c]])
+    return pd.DataFrame(whole)
+
+
+class Thresholds(Ticking):
+    """The nearest rank of trade sizes over a window to each tick that isn't empty, key (symbol,)."""
+
+    def __init__(self, window_ms: int, share: float):
+        self.window_ms, self.share = window_ms, share
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.sizes = handle.getListState("sizes", "ts_ms long, size double")
+        self.tick = handle.getValueState("tick", "ts_ms long")
+
+    def advance(self, key: tuple, final: pd.DataFrame, boundary: int) -> Iterator[pd.DataFrame]:
+        good = final[final["size"].astype(float) > 0]
+        held = list(self.sizes.get()) if self.sizes.exists() else []
+        ts = np.concatenate([np.array([x[0] for x in held], np.int64), good["ts_ms"].to_numpy(np.int64)])
+        if not len(ts):
+            return
+        values = np.concatenate([np.array([x[1] for x in held], float), good["size"].to_numpy(float)])
+        first = self.tick.get()[0] + TICK_MS if held and self.tick.exists() else int(ts.min()) // TICK_MS * TICK_MS + TICK_MS - 1
+        grid = np.arange(first, min(boundary, (int(ts.max()) + self.window_ms + 1) // TICK_MS * TICK_MS - 1) + 1, TICK_MS)
+        if not len(grid):
+            if len(good):
+                self.sizes.put(list(zip(ts.tolist(), values.tolist(), strict=True)))
+            return
+        threshold = window_ranks(ts, values, grid, self.share, self.window_ms)
+        keep = ts >= grid[-1] + TICK_MS - self.window_ms
+        if keep.any():
+            self.sizes.put(list(zip(ts[keep].tolist(), values[keep].tolist(), strict=True)))
+            self.tick.update((int(grid[-1]),))
+        else:
+            self.sizes.clear()
+            self.tick.clear()
+        there = ~np.isnan(threshold)
+        yield pd.DataFrame({"symbol": key[0], "ts_ms": grid[there], "threshold": threshold[there]})
+
+    def next_due(self, key: tuple, pending: int | None, watermark: int) -> int | None:
+        if pending is not None:
+            return pending
+        return self.tick.get()[0] + TICK_MS if self.sizes.exists() and self.tick.exists() else None
+
+
+def tape_engine(stream: DataFrame, ahead_ms: int = 0, bias: str = "long") -> DataFrame:
+    """``OUTPUT`` of a stream of ``EVENTS`` that has an event time ``t`` and a watermark, by symbol and exchange day."""
     dated = stream.withColumn("session_id", F.concat_ws("_", "symbol", exchange_date(F.col("ts_ms"))))
-    return dated.groupBy("symbol", "session_id").applyInPandasWithState(step, TICKS, "payload binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return dated.groupBy(*KEY).transformWithStateInPandas(TapeEngine(ahead_ms, bias), OUTPUT, "append", "eventTime")
+
+
+def threshold_engine(trades: DataFrame, window_ms: int, share: float = SHARE) -> DataFrame:
+    """symbol, ts_ms and threshold for each tick whose window (of ``window_ms`` before its end, and that) has a trade."""
+    types = dict(c.split() for c in _PENDING.split(", "))
+    whole = trades.withColumns({c: F.lit(None).cast(types[c]) for c in types if c not in trades.columns and c != "kind"})
+    whole = whole.withColumn("kind", F.when(F.col("seq").isNotNull(), TRADE).cast("int"))
+    return whole.groupBy("symbol").transformWithStateInPandas(Thresholds(window_ms, share), "symbol string, ts_ms long, threshold double", "append", "eventTime")
+
+
+def ticks(out: DataFrame) -> DataFrame:
+    return out.where("kind = 'tick'").select(*KEY, "ts_ms", *TICK_COLUMNS)
+
+
+def zone_events(out: DataFrame) -> DataFrame:
+    return out.where("kind = 'zone'").select(*KEY, "ts_ms", *ZONE_COLUMNS)
+
+
+def episodes(out: DataFrame) -> DataFrame:
+    return out.where("kind = 'episode'").select(*KEY, *EPISODE_COLUMNS)
+
 
+def parity(live: DataFrame, batch: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """By session, how many ticks the stream and the batch have, and how many agree in every stored column that both have.
 
-def parity(live: DataFrame, batch: DataFrame, digits: int = 6) -> DataFrame:
-    """By session, how many ticks the stream and the batch have and how many agree in all columns."""
-    names = [c.split()[0] for c in TICKS.split(", ")][3:]
+    Numbers agree within ``tolerance`` of their size; nulls agree with nulls alone.
+    """
     a, b = live.alias("a"), batch.alias("b")
-    keys = ["symbol", "session_id", "ts_ms"]
-    both = a.join(b, keys, "full")
+    keys = [*KEY, "ts_ms"]
     same = F.lit(True)
-    for n in names:
-        same = same & F.round(F.col(f"a.{n}").cast("double"), digits).eqNullSafe(F.round(F.col(f"b.{n}").cast("double"), digits))
-    return both.groupBy("symbol", "session_id").agg(F.count("a.trade_count").alias("live"), F.count("b.trade_count").alias("batch"), F.count(F.when(same, 1)).alias("equal"))
+    for n in [c for c in TICK_COLUMNS if c in batch.columns and c in live.columns]:
+        x, y = F.col(f"a.{n}"), F.col(f"b.{n}")
+        if n not in _TEXTS:
+            x, y = x.cast("double"), y.cast("double")
+            close = F.abs(x - y) <= tolerance * F.greatest(F.lit(1.0), F.abs(x), F.abs(y))
+            same = same & F.coalesce(close, x.isNull() & y.isNull())
+        else:
+            same = same & x.eqNullSafe(y)
+    both = a.withColumn("_live", F.lit(1)).alias("a").join(b.withColumn("_batch", F.lit(1)).alias("b"), keys, "full")
+    return both.groupBy(*KEY).agg(F.count("_live").alias("live"), F.count("_batch").alias("batch"), F.count(F.when(F.col("_live").isNotNull() & F.col("_batch").isNotNull() & same, 1)).alias("equal"))

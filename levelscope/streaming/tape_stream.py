@@ -1,33 +1,39 @@
 """Bars, flow and thresholds of a live tape, as Structured Streaming.
 
-Times are event times; rows later than the watermark are dropped and counted by Spark.
+Times are event times; rows later than the watermark are dropped by Spark and counted, and
+``sinks`` keeps them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from ..schemas import QUOTES, TRADES
 
 LATE = "10 seconds"
-
-
 #: The last event of each symbol, so late that every window before it can close.
 CLOSE_MS = 86_400_000
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def drop_files(df: DataFrame, path: str, parts: int = 4, key: str = "symbol") -> None:
     """A finished tape as files that a stream reads in order of time, and a closing event for each key.
 
-    Each part is written before the next one, since a file source takes the oldest files first.
+    Each part is written, by as many tasks as its rows take, before the next one, since a file
+    source takes the oldest files first.
     """
     low, high = df.agg(F.min("ts_ms"), F.max("ts_ms")).first()
     if low is None:
         return df.write.mode("append").parquet(path)
     step = max(1, -(-(high + 1 - low) // parts))
     for k in range(parts):
-        df.where(F.col("ts_ms").between(low + k * step, low + (k + 1) * step - 1)).coalesce(1).write.mode("append").parquet(path)
+        df.where(F.col("ts_ms").between(low + k * step, low + (k + 1) * step - 1)).write.mode("append").parquet(path)
     last = F.lit(high + CLOSE_MS)
     rest = [c for c in df.columns if c not in (key, "ts_ms")]
     closing = df.select(key).distinct().select(key, last.alias("ts_ms"), *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in rest]).select(df.columns)
@@ -35,6 +41,17 @@ def drop_files(df: DataFrame, path: str, parts: int = 4, key: str = "symbol") ->
     return None
 
 
+@contextmanager
+def state_store(spark: SparkSession, provider: str = ROCKSDB) -> Iterator[None]:
+    """Streams that start inside keep their state by ``provider``; engines with timers and several states need RocksDB."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, provider)
+    try:
+        yield
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
+
+
 def source(spark: SparkSession, path: str, kind: str = "trades", fmt: str = "parquet", files_each: int = 4, schema=None) -> DataFrame:
     """A folder that files are dropped into, as a stream with its event time and watermark."""
     schema = schema or (TRADES if kind == "trades" else QUOTES)
@@ -60,14 +77,10 @@ def st_flow(sided: DataFrame) -> DataFrame:
 
 
 def st_threshold(trades: DataFrame) -> DataFrame:
-    """The 95th percentile of trade sizes over five minutes, every ten seconds.
+    """The 95th percentile (nearest rank, exact) of trade sizes over the five minutes up to each ten seconds' end."""
+    from .engine import threshold_engine
 
-    Rows without a size aren't filtered before the windows: Catalyst would move the filter below
-    the watermark, which they advance too.
-    """
-    size = F.when(F.col("size") > 0, F.col("size"))
-    out = trades.groupBy("symbol", F.window("t", "5 minutes", "10 seconds").alias("w")).agg(F.percentile_approx(size, 0.95, 10_000).alias("threshold"))
-    return out.where("threshold IS NOT NULL").select("symbol", (F.unix_millis("w.end") - 1).alias("ts_ms"), "threshold")
+    return threshold_engine(trades, 299_999)
 
 
 def st_phases(touches: DataFrame, gap: str = "3 minutes") -> DataFrame:
@@ -76,9 +89,15 @@ def st_phases(touches: DataFrame, gap: str = "3 minutes") -> DataFrame:
     return out.select("symbol", F.unix_millis("w.start").alias("start_ts_ms"), "touches")
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Append what has arrived to ``path``, exactly once, and stop."""
-    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+def finished(query: StreamingQuery) -> StreamingQuery:
+    """Wait until what has arrived is worked off; an error of the stream is raised."""
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
+    return query
+
+
+def drain(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append what has arrived to ``path``, exactly once, and stop."""
+    with state_store(stream.sparkSession):
+        return finished(stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path))
