@@ -130,11 +130,14 @@ FINALS = {
     "max_drop": f"SELECT {_K}, max(high_10s) FILTER (a <= 6) AS first_high, min(low_10s) FILTER (a <= 6) AS first_low, max(high_10s) FILTER (z <= 6) AS last_high, min(low_10s) FILTER (z <= 6) AS last_low, max(last_price) AS peak, min(last_price) AS low, round((max(last_price) - min(last_price)) / max(last_price) * 100, 6) AS drop_pct FROM (SELECT *, row_number() OVER ({_S}) AS a, row_number() OVER (PARTITION BY {_K} ORDER BY ts_ms DESC) AS z FROM stream WHERE last_price IS NOT NULL) GROUP BY ALL",
     "sink_partitioned": "SELECT strftime(make_timestamp(ts_ms * 1000) - INTERVAL 5 HOUR, '%Y-%m-%d') AS date, symbol AS ticker, session_id AS session, count(*) AS rows, CAST(sum(trade_count) AS BIGINT) AS trades FROM flow GROUP BY ALL",
     "sink_replace_session": "SELECT symbol AS ticker, session_id AS session, count(*) AS rows, CAST(sum(trade_count * CASE WHEN symbol = 'S0' THEN 2 ELSE 1 END) AS BIGINT) AS trades FROM flow GROUP BY ALL",
+    "sink_published": f"SELECT symbol AS ticker, session_id AS session, count(*) AS rows, CAST(sum(trade_count) * any_value(CASE symbol WHEN 'S0' THEN 2 ELSE 1 END) AS BIGINT) AS trades, coalesce(any_value(n), 0) * any_value(CASE symbol WHEN 'S0' THEN 2 ELSE 1 END) AS events FROM flow LEFT JOIN (SELECT {_K}, count(*) AS n FROM zev WHERE event IS NOT NULL GROUP BY ALL) USING ({_K}) GROUP BY {_K}",
     "list_sessions": "SELECT DISTINCT strftime(make_timestamp(ts_ms * 1000) - INTERVAL 5 HOUR, '%Y-%m-%d') AS date, symbol AS ticker, session_id AS session FROM flow",
 }
 FINALS |= {
     "st_bars": "SELECT symbol, bar_ts, open, high, low, close, volume, trade_count FROM bars WHERE tf = '1m'",
     "st_engine": f"SELECT {_K}, ts_ms, round(last_price, 6) AS last_price, trade_count, total_volume, buy_volume, sell_volume, unknown_volume, {r('ema9', 'atr')} FROM state JOIN flow USING ({_K}, ts_ms)",
+    "st_sink": "SELECT symbol AS ticker, session_id AS session, count(*) AS n, count(DISTINCT seq) AS n_different, sum(size) AS size FROM trades GROUP BY ALL",
+    "st_watermark": "SELECT seq, symbol, ts_ms, (SELECT count(*) FROM trades) AS on_time FROM trades WHERE seq % 50 = 7 AND ts_ms < (SELECT min(ts_ms) + (max(ts_ms) + 1 - min(ts_ms)) // 4 FROM trades)",
     "st_zones": f"SELECT {_L}, ts_ms, event FROM zev WHERE event IS NOT NULL",
     "st_episodes": f"SELECT {_L}, entry AS zone_entry_time, exit_ts AS zone_exit_time, res AS resolution_time, why AS resolution_trigger, CASE WHEN above THEN 'above' ELSE 'below' END AS level_entry_side, CASE why WHEN 'threshold_hit' THEN 'win' WHEN 'invalidation' THEN 'loss' ELSE 'scratch' END AS outcome, {r('mfe', 'mae')}, mfe_ms AS time_to_mfe_ms, fail_ms AS time_to_failure_ms FROM eps",
     "st_parity": f"SELECT {_K}, count(*) AS live, count(*) AS batch, count(*) AS equal FROM grid GROUP BY ALL",

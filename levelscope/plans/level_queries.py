@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from ..operators import timeline as L
 from ..operators import zones as Z
 from ..schemas import KEY
 from ..sources import store
-from ..streaming import engine
+from ..streaming import engine, sinks
 from ..streaming import tape_stream as ST
 from .queries import Query, Tape, rounded, tape_of
 
@@ -151,6 +152,20 @@ def _replaced(t: Tape) -> DataFrame:
     return store.read(t.spark, path, "session_stream").groupBy("ticker", "session").agg(F.count("*").alias("rows"), F.sum("trade_count").alias("trades"))
 
 
+def _published(t: Tape) -> DataFrame:
+    """Two kinds published together; one symbol's sessions are published again with every count doubled."""
+    path = store.scratch(t.spark)
+    flow, events = t.flow.select(*K.TICK, "trade_count", "total_volume"), t.events.where("event IS NOT NULL").select(*Z.LEVEL, "ts_ms", "event")
+    store.publish({"session_stream": (flow, "ts_ms"), "episodes": (events, "ts_ms")}, path)
+    again = F.col("symbol") == "S0"
+    twice = events.where(again).unionByName(events.where(again))
+    store.publish({"session_stream": (flow.where(again).withColumn("trade_count", F.col("trade_count") * 2), "ts_ms"), "episodes": (twice, "ts_ms")}, path)
+    at = store.manifest(t.spark, path)
+    ticks = store.read_published(t.spark, path, "session_stream", at).groupBy("ticker", "session").agg(F.count("*").alias("rows"), F.sum("trade_count").alias("trades"))
+    found = store.read_published(t.spark, path, "episodes", at).groupBy("ticker", "session").agg(F.count("*").alias("events"))
+    return ticks.join(found, ["ticker", "session"], "left").fillna(0, ["events"])
+
+
 def _sessions(t: Tape) -> DataFrame:
     path, _ = _stored(t)
     return store.list_sessions(t.spark, path, ("session_stream",))
@@ -194,6 +209,50 @@ def _st_episodes(t: Tape) -> DataFrame:
     return rounded(engine.episodes(_engine(t)).select(*Z.LEVEL, *names), "mfe", "mae")
 
 
+class _Dies(sinks.BatchSink):
+    """Fails once between a batch's tables and its entry in the ledger."""
+
+    died = False
+
+    def commit(self, batch: DataFrame, number: int) -> None:
+        if number == 1 and not _Dies.died:
+            _Dies.died = True
+            raise RuntimeError("cut off")
+        super().commit(batch, number)
+
+
+def _st_sink(t: Tape) -> DataFrame:
+    """Trades through the partitioned sink; the stream is cut off in its second batch and started again."""
+    path = store.scratch(t.spark)
+    frame = t.trades
+    ST.drop_files(frame.repartition(PART_FILES), f"{path}/in")
+    stream = ST.source(t.spark, f"{path}/in", schema=frame.schema, files_each=PART_FILES)
+    sink = _Dies(f"{path}/out", {"tape": lambda df: df.where("price IS NOT NULL").drop("t")})
+    _Dies.died = False
+    try:
+        sinks.drain_to(stream, sink, f"{path}/state")
+    except StreamingQueryException:
+        pass
+    sinks.drain_to(stream, sink, f"{path}/state")
+    return sinks.read(t.spark, f"{path}/out", "tape").groupBy("ticker", "session").agg(F.count("*").alias("n"), F.countDistinct("seq").alias("n_different"), F.sum("size").alias("size"))
+
+
+def _st_watermark(t: Tape) -> DataFrame:
+    """Trades of which one in fifty of the first quarter comes once more after the third: what is kept as late."""
+    path = store.scratch(t.spark)
+    low, high = t.trades.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+    quarter = (high + 1 - low) // 4
+    again = t.trades.where((F.col("seq") % 50 == 7) & (F.col("ts_ms") < low + quarter)).withColumn("seq", -F.col("seq"))
+    for k in range(4):
+        part = t.trades.where(F.col("ts_ms").between(low + k * quarter, low + (k + 1) * quarter - 1 if k < 3 else high))
+        (part.unionByName(again) if k == 3 else part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = ST.source(t.spark, f"{path}/in", schema=t.trades.schema, files_each=1)
+    sinks.drain_to(stream, sinks.LateSink(f"{path}/out", 10_000), f"{path}/state")
+    kept = sinks.read(t.spark, f"{path}/out", "tape").groupBy().agg(F.count("*").alias("on_time"))
+    late = sinks.read(t.spark, f"{path}/out", "late")
+    return late.select((-F.col("seq")).alias("seq"), "symbol", "ts_ms").join(kept)  # a single row
+
+
 def _parity(t: Tape) -> DataFrame:
     """The live tape against the replayed one, in every column that is stored of a tick."""
     return engine.parity(engine.ticks(_engine(t)), t.stream)
@@ -244,10 +303,13 @@ PLANS: dict[str, Callable[[Tape], DataFrame]] = {
     "sink_partitioned": _sink,
     "sink_replace_session": _replaced,
     "list_sessions": _sessions,
+    "sink_published": _published,
     "st_bars": lambda t: _streamed(t, ST.st_bars),
     "st_flow": _st_flow,
     "st_phases": _st_phases,
     "st_engine": _st_engine,
+    "st_sink": _st_sink,
+    "st_watermark": _st_watermark,
     "st_zones": _st_zones,
     "st_episodes": _st_episodes,
     "st_parity": _parity,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,8 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _stored(df: DataFrame, ts: str) -> DataFrame:
+def stored(df: DataFrame, ts: str) -> DataFrame:
+    """``df`` under its stored names, with the partition columns."""
     named = df.withColumnsRenamed({k: v for k, v in ALIASES.items() if k in df.columns})
     return named.withColumn("date", exchange_date(F.col(ts))).withColumn("ticker", F.col("symbol")).withColumn("session", F.col("session_id"))
 
@@ -41,7 +43,7 @@ def write(df: DataFrame, path: str, kind: str, ts: str = "ts_ms", replace: bool
     """
     if kind not in KINDS:
         raise ValueError(f"unknown kind {kind!r}")
-    out = _stored(df, ts).repartition(*PARTITION)
+    out = stored(df, ts).repartition(*PARTITION)
     writer = out.write.partitionBy(*PARTITION).option("compression", compression).option("partitionOverwriteMode", "dynamic")
     writer.mode("overwrite" if replace else "append").parquet(f"{path}/{kind}")
 
@@ -61,9 +63,97 @@ def read(spark: SparkSession, path: str, kind: str, date: str | None = None, tic
     return df
 
 
+MANIFEST = "_manifest"
+ENTRY = "date string, ticker string, session string, version string, published_ms long, kinds array<string>"
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, system = _folder(spark, path)
+    return system.exists(where)
+
+
+def publish(frames: dict[str, tuple[DataFrame, str]], path: str, compression: str = "zstd") -> str:
+    """Write several kinds (frame and time column of each) as a new version of their sessions, seen all together.
+
+    The tables are written to folders of the version first, then one file of the manifest names
+    it for every session that any kind has rows of. Until that file is there readers see the
+    sessions as they were before; a publication that fails leaves nothing that is read.
+    """
+    version = f"v{uuid.uuid4().hex}"
+    spark = next(iter(frames.values()))[0].sparkSession
+    named = []
+    for kind, (df, ts) in frames.items():
+        if kind not in KINDS:
+            raise ValueError(f"unknown kind {kind!r}")
+        out = stored(df, ts).withColumn("version", F.lit(version)).repartition(*PARTITION)
+        out.write.partitionBy("version", *PARTITION).option("compression", compression).mode("append").parquet(f"{path}/{kind}")
+        if exists(spark, f"{path}/{kind}/version={version}"):
+            named.append(_partitions(spark, f"{path}/{kind}/version={version}").withColumn("kind", F.lit(kind)))
+    if named:
+        sessions = reduce(DataFrame.unionByName, named).groupBy(*PARTITION).agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
+        entry = sessions.select(*PARTITION, F.lit(version).alias("version"), F.unix_millis(F.current_timestamp()).alias("published_ms"), "kinds")
+        entry.coalesce(1).write.mode("append").parquet(f"{path}/{MANIFEST}")  # a row a session; one file is there or isn't
+    return version
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The version of each session that counts, as of now: keep this frame (``kept``) to read several kinds at one moment."""
+    if not exists(spark, f"{path}/{MANIFEST}"):
+        return spark.createDataFrame([], ENTRY)
+    every = spark.read.schema(ENTRY).parquet(f"{path}/{MANIFEST}")
+    last = F.max_by(F.struct("version", "published_ms", "kinds"), F.struct("published_ms", "version")).alias("m")
+    return every.groupBy(*PARTITION).agg(last).select(*PARTITION, "m.version", "m.published_ms", "m.kinds")
+
+
+def read_published(spark: SparkSession, path: str, kind: str, at: DataFrame | None = None) -> DataFrame:
+    """A kind's rows of the versions that count, now or as of the manifest ``at``.
+
+    Versions and partitions are folders, so that those of other versions aren't read.
+    """
+    versions = (manifest(spark, path) if at is None else at).where(F.array_contains("kinds", kind)).select(*PARTITION, "version")
+    df = spark.read.parquet(f"{path}/{kind}")
+    df = df.withColumns({c: F.col(c).cast("string") for c in (*PARTITION, "version")})
+    return df.join(versions, [*PARTITION, "version"], "left_semi").withColumnsRenamed({v: k for k, v in ALIASES.items() if v in df.columns})
+
+
+def vacuum(spark: SparkSession, path: str) -> int:
+    """Remove the versions that no session counts any more; returns how many. Not while older manifests are read."""
+    live = {r["version"] for r in manifest(spark, path).select("version").distinct().collect()}  # a name a publication in force
+    gone = 0
+    for kind in KINDS:
+        where, system = _folder(spark, f"{path}/{kind}")
+        for found in system.listStatus(where) if system.exists(where) else ():
+            name = found.getPath().getName()
+            if name.startswith("version=") and name[8:] not in live:
+                system.delete(found.getPath(), True)
+                gone += 1
+    return gone
+
+
+def _partitions(spark: SparkSession, path: str) -> DataFrame:
+    """The partitions of a stored table by the names of its folders, as the file index lists them: no file is read."""
+    files = spark.read.parquet(path).inputFiles()
+    folders = {f.rsplit("/", 1)[0] for f in files}
+    values = {tuple(dict(x.split("=", 1) for x in unquote(d).split("/") if "=" in x).get(c) for c in PARTITION) for d in folders}
+    return spark.createDataFrame(sorted(v for v in values if None not in v), "date string, ticker string, session string")
+
+
 def list_sessions(spark: SparkSession, path: str, kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """Sessions that any kind has, the latest first."""
-    found = [read(spark, path, k).select(*PARTITION) for k in kinds]
+    """Sessions that any kind has, the latest first: from the manifest, or else from the names of folders.
+
+    Either way no data is read.
+    """
+    if exists(spark, f"{path}/{MANIFEST}"):
+        found = [manifest(spark, path).where(F.arrays_overlap("kinds", F.array(*[F.lit(k) for k in kinds]))).select(*PARTITION)]
+    else:
+        found = [_partitions(spark, f"{path}/{k}") for k in kinds if exists(spark, f"{path}/{k}")]
+    if not found:
+        return spark.createDataFrame([], "date string, ticker string, session string")
     return reduce(DataFrame.unionByName, found).distinct().orderBy(F.desc("date"), F.desc("session"), "ticker")
 
 

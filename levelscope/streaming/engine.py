@@ -63,7 +63,7 @@ _TYPES = (
     | {c: "string" for c in (*_TEXTS, *ZONE_COLUMNS[:3], "episode_id", "level_type", "level_entry_side", "resolution_trigger", "outcome", "direction_bias")}
 )
 _ALL = list(dict.fromkeys([*TICK_COLUMNS, *ZONE_COLUMNS, *EPISODE_COLUMNS]))
-#: A row of the stream: a tick, a zone event or an episode, by ``kind``.
+#: A row of the stream: a tick, a zone event, an episode or a late event (its seq as sequence_id), by ``kind``.
 OUTPUT = "kind string, symbol string, session_id string, ts_ms long, " + ", ".join(f"{c} {_TYPES[c]}" for c in _ALL)
 
 _CORE = "bid double, ask double, prev double, side string, price double, vwap double, money double, vwap_size double, tick long, ticks long, last long"
@@ -134,7 +134,11 @@ class Ticking(StatefulProcessor):
         done, due = self.clock.get() if self.clock.exists() else (-1, None)
         held = pd.DataFrame(list(self.pending.get()) if self.pending.exists() else [], columns=_names(_PENDING))
         rows = pd.concat([_typed(x, _PENDING) for x in (held, *parts)], ignore_index=True)
-        rows = rows[rows["kind"].notna() & (rows["ts_ms"] > done)]
+        rows = rows[rows["kind"].notna()]
+        behind = rows[rows["ts_ms"] <= done]
+        if len(behind):
+            yield from self.late(key, behind)
+        rows = rows[rows["ts_ms"] > done]
         boundary = max(done, (watermark + 1) // TICK_MS * TICK_MS - 1)
         ripe = rows["ts_ms"] <= boundary
         final = rows[ripe].sort_values(["ts_ms", "kind", "seq"], kind="stable").reset_index(drop=True)
@@ -158,6 +162,10 @@ class Ticking(StatefulProcessor):
         """Work off final events in order, up to the end of a tick."""
         raise NotImplementedError
 
+    def late(self, key: tuple, behind: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Events of ticks that are done; they are left out."""
+        return iter(())
+
     def next_due(self, key: tuple, pending: int | None, watermark: int) -> int | None:
         """When to act without a new event; None if the state is gone."""
         raise NotImplementedError
@@ -200,6 +208,9 @@ class TapeEngine(Ticking):
         self.sizes = handle.getListState("sizes", "ts_ms long, size double")
         self.levels = handle.getMapState("levels", "level_id string", _LEVEL)
 
+    def late(self, key: tuple, behind: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        yield _shaped(key, "late", pd.DataFrame({"ts_ms": behind["ts_ms"], "sequence_id": behind["seq"]}))
+
     @staticmethod
     def _day(session_id: str) -> tuple[int, int]:
         """When the regular hours of the session's day begin, and when the day ends."""
@@ -590,6 +601,11 @@ def episodes(out: DataFrame) -> DataFrame:
     return out.where("kind = 'episode'").select(*KEY, *EPISODE_COLUMNS)
 
 
+def late_events(out: DataFrame) -> DataFrame:
+    """Events that came after their tick was done: seq and time."""
+    return out.where("kind = 'late'").select(*KEY, "ts_ms", F.col("sequence_id").alias("seq"))
+
+
 def parity(live: DataFrame, batch: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """By session, how many ticks the stream and the batch have, and how many agree in every stored column that both have.
 
