@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import first_tag, level_tags, parse_notes, scenario, velocity_bucket
 from ..schemas import KEY
-from .timeline import BAND, LEVEL, band_summary, window_summary
+from .tape import in_reach
+from .timeline import BAND, LEVEL, level_summary, window_summary
 from .windows import COUNTDOWN
 
 #: A touch is positive if price is this much further in the level's direction 30 s later.
@@ -222,12 +223,12 @@ NODE = [*KEY, "chain_id", "position"]
 def node_ticks(stream: DataFrame, nodes: DataFrame, whole: bool = False) -> DataFrame:
     """Priced ticks of each node's watch (or of its whole session), with its band at that tick.
 
-    The band of an indicator moves with it; ticks at which it isn't set are left out.
+    The band of an indicator moves with it; ticks at which it isn't set are left out. Watches
+    meet the ticks of the slices of time that they cover.
     """
     watch = nodes.select(*NODE, "watch_start_ts_ms", "watch_end_ts_ms", F.col("level_price").alias("_fixed"), "level_type", "band_pct", "indicator", "indicator_timeframe")
-    ticks = stream.where("last_price IS NOT NULL").drop("level_price", "level_type").join(watch, KEY)
-    if not whole:
-        ticks = ticks.where(F.col("ts_ms").between(F.col("watch_start_ts_ms"), F.col("watch_end_ts_ms")))
+    priced = stream.where("last_price IS NOT NULL").drop("level_price", "level_type")
+    ticks = priced.join(watch, KEY) if whole else in_reach(watch, priced, F.col("watch_start_ts_ms"), F.col("watch_end_ts_ms"))
     price = F.coalesce("_fixed", indicator_value(F.col("indicator"), F.col("indicator_timeframe"), stream.columns))
     ticks = ticks.withColumn("level_price", price).where("level_price IS NOT NULL").drop("_fixed", "indicator", "indicator_timeframe")
     ticks = ticks.withColumns({"lower": F.col("level_price") * (1 - F.col("band_pct")), "upper": F.col("level_price") * (1 + F.col("band_pct"))})
@@ -236,10 +237,8 @@ def node_ticks(stream: DataFrame, nodes: DataFrame, whole: bool = False) -> Data
 
 
 def watch_summary(ticks: DataFrame, keys: list[str]) -> DataFrame:
-    """Flow, price and band of each watch, with the auditor's flags."""
-    both = window_summary(ticks, keys).join(band_summary(ticks, part=keys), keys)
-    level = ticks.groupBy(*keys).agg(F.avg("level_price").alias("level_price"), F.first("level_type").alias("level_type"))
-    return summary_flags(both.join(level, keys))
+    """Flow, price and band of each watch, with the auditor's flags: one pass over its ticks."""
+    return summary_flags(level_summary(ticks, keys))
 
 
 def watch_countdown(ticks: DataFrame, keys: list[str], windows: tuple = COUNTDOWN) -> DataFrame:
@@ -304,7 +303,7 @@ def chain_moves(stream: DataFrame, nodes: DataFrame) -> DataFrame:
     """The move from each node's end to the next one's start, where there is a gap."""
     before = F.lag("watch_end_ts_ms").over(Window.partitionBy(*KEY, "chain_id").orderBy("position"))
     gaps = nodes.withColumn("_from", before).where(F.col("_from") < F.col("watch_start_ts_ms")).select(*NODE, F.col("_from").alias("start_ts_ms"), F.col("watch_start_ts_ms").alias("end_ts_ms"))
-    inside = stream.where("last_price IS NOT NULL").join(gaps, KEY).where(F.col("ts_ms").between(F.col("start_ts_ms"), F.col("end_ts_ms")))
+    inside = in_reach(gaps, stream.where("last_price IS NOT NULL"), F.col("start_ts_ms"), F.col("end_ts_ms"))
     out = window_summary(inside, [*NODE, "start_ts_ms", "end_ts_ms"])
     return move_verdict(out)
 

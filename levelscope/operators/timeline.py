@@ -180,29 +180,33 @@ def _touch_columns(touches: DataFrame, support: Column, interval_s: float) -> Da
     return one.drop(*[c for c in one.columns if c.startswith("_")])
 
 
-def window_summary(ticks: DataFrame, part: list[str]) -> DataFrame:
-    """Flow, quality and price of the ticks of each window, as far as the stream has the columns."""
+def _window_columns(has: set[str]) -> list[Column]:
+    """What ``window_summary`` aggregates, as far as the stream has the columns."""
     order = F.when(F.col("last_price").isNotNull(), F.col("ts_ms"))
     means = {"relative_aggression_mean": "relative_aggression", "pct_at_ask_mean": "pct_at_ask", "pct_at_bid_mean": "pct_at_bid", "spread_pct_mean": "spread_pct", "compression_mean": "compression_index"}
     means |= {"confluence_mean": "ema_confluence_score", "atr_mean": "atr", "absorption_mean": "absorption_index"}
     sums = {"trades": "trade_count", "volume": "total_volume", "buy_volume": "buy_volume", "sell_volume": "sell_volume", "unknown_volume": "unknown_volume", "delta": "delta"}
-    has = set(ticks.columns)
     stable = [F.avg(asinh(F.col("absorption_index"))).alias("absorption_mean_asinh")] if "absorption_index" in has else []
-    out = ticks.groupBy(*part).agg(
+    return [
         F.count("*").alias("points"), ((F.max("ts_ms") - F.min("ts_ms")) / 1000.0).alias("duration_s"),
         *[F.sum(c).alias(n) for n, c in sums.items() if c in has], *[F.avg(c).alias(n) for n, c in means.items() if c in has], *stable,
         F.min_by("last_price", order).alias("price_first"), F.max_by("last_price", order).alias("price_last"),
         F.min("last_price").alias("price_min"), F.max("last_price").alias("price_max"),
-    )
+    ]
+
+
+def _returns(out: DataFrame) -> DataFrame:
     change = F.col("price_last") - F.col("price_first")
     return out.withColumns({"return_abs": change, "return_pct": F.try_divide(change, F.col("price_first"))})
 
 
-def band_summary(base: DataFrame, interval_s: float = 10.0, part: list[str] = LEVEL) -> DataFrame:
-    """What happened inside each level's band: time, flow, large trades, touches, crosses, reclaims and holds.
+def window_summary(ticks: DataFrame, part: list[str]) -> DataFrame:
+    """Flow, quality and price of the ticks of each window, as far as the stream has the columns."""
+    return _returns(ticks.groupBy(*part).agg(*_window_columns(set(ticks.columns))))
 
-    ``part`` names the windows; a window's first row has nothing before it.
-    """
+
+def _marked(base: DataFrame, part: list[str]) -> DataFrame:
+    """Ticks with what they begin or end in their level's band; a window's first row has nothing before it."""
     w = Window.partitionBy(*part).orderBy("ts_ms")
     inside = F.col("pos") == 0
     before = F.coalesce(F.lag(inside).over(w), F.lit(False))
@@ -211,27 +215,36 @@ def band_summary(base: DataFrame, interval_s: float = 10.0, part: list[str] = LE
     beyond = F.when(below, F.col("pos") < 0).when(above, F.col("pos") > 0).otherwise(False)
     ahead = w.rowsBetween(0, 2)
     one = base.withColumns({"_side": side, "_in": inside, "_touch": inside & ~before}).withColumn("_was", F.lag("_side").over(w))
-    one = one.withColumns({
+    return one.withColumns({
         "_cross": (F.col("_side") != 0) & (F.col("_was") != 0) & (F.col("_side") != F.col("_was")),
         "_again": inside & F.coalesce(F.lag(beyond).over(w), F.lit(False)),
         "_hold": (F.min(inside).over(ahead)) & (F.count("*").over(ahead) == 3),
     })
 
+
+_LARGE = {"large_trade_count_10s": "band_large_count", "large_buy_volume_10s": "band_large_buy", "large_sell_volume_10s": "band_large_sell"}
+
+
+def _band_columns(has: set[str], interval_s: float) -> list[Column]:
+    """What ``band_summary`` aggregates of marked ticks."""
+    inside = F.col("_in")
+
     def many(c: Column, name: str) -> Column:
         return F.count(F.when(c, 1)).alias(name)
 
     def total(c: str, name: str) -> Column:
         return F.sum(F.when(inside, F.col(c)).otherwise(0.0)).alias(name)
 
-    large = {"large_trade_count_10s": "band_large_count", "large_buy_volume_10s": "band_large_buy", "large_sell_volume_10s": "band_large_sell"}
-    has = set(base.columns)
-    out = one.groupBy(*part).agg(
+    return [
         (F.count(F.when(inside, 1)) * interval_s).alias("time_in_band_s"), (F.count("*") * interval_s / 60.0).alias("_minutes"),
         total("trade_count", "band_trades"), total("total_volume", "band_volume"), total("buy_volume", "band_buy_volume"), total("sell_volume", "band_sell_volume"), total("delta", "band_delta"),
-        F.avg(F.when(inside, F.col("relative_aggression"))).alias("band_relative_aggression_mean"), *[total(c, n) for c, n in large.items() if c in has],
+        F.avg(F.when(inside, F.col("relative_aggression"))).alias("band_relative_aggression_mean"), *[total(c, n) for c, n in _LARGE.items() if c in has],
         many(F.col("_touch"), "touch_count"), many(F.col("_cross"), "cross_count"), many(F.col("_again"), "reclaim_attempts"), many(F.col("_again") & F.col("_hold"), "reclaim_holds_30s"),
-    )
-    if set(large) <= has:
+    ]
+
+
+def _band_rates(out: DataFrame) -> DataFrame:
+    if set(_LARGE.values()) <= set(out.columns):
         buy, sell, n = F.col("band_large_buy"), F.col("band_large_sell"), F.col("band_large_count")
         out = out.withColumns({
             "band_large_delta": buy - sell, "band_large_buy_ratio": F.when(buy + sell > 0, buy / (buy + sell)),
@@ -240,6 +253,22 @@ def band_summary(base: DataFrame, interval_s: float = 10.0, part: list[str] = LE
     return out.drop("_minutes").withColumn("reclaim_hold_rate", F.try_divide(F.col("reclaim_holds_30s"), F.col("reclaim_attempts")))
 
 
+def band_summary(base: DataFrame, interval_s: float = 10.0, part: list[str] = LEVEL) -> DataFrame:
+    """What happened inside each level's band: time, flow, large trades, touches, crosses, reclaims and holds.
+
+    ``part`` names the windows; a window's first row has nothing before it.
+    """
+    return _band_rates(_marked(base, part).groupBy(*part).agg(*_band_columns(set(base.columns), interval_s)))
+
+
+def level_summary(ticks: DataFrame, part: list[str], interval_s: float = 10.0) -> DataFrame:
+    """``window_summary`` and ``band_summary`` of each window, and its level, in one aggregation."""
+    has = set(ticks.columns)
+    level = [F.avg("level_price").alias("level_price"), F.first("level_type").alias("level_type")]
+    out = _marked(ticks, part).groupBy(*part).agg(*_window_columns(has), *_band_columns(has, interval_s), *level)
+    return _band_rates(_returns(out))
+
+
 def band_rates(summary: DataFrame, minutes: Column) -> DataFrame:
     """Volume and trades a minute, shares a trade and the share of selling in large volume of a band summary."""
     sell = F.col("band_large_sell")

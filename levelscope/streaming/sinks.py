@@ -80,11 +80,12 @@ class LateSink(BatchSink):
         super().write(batch, number)
 
 
-def read(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """The rows of a kind, of whole batches only."""
+def read(spark: SparkSession, path: str, kind: str, schema: str | None = None) -> DataFrame:
+    """The rows of a kind, of whole batches only; a kind that may be without rows so far needs its schema."""
     if not exists(spark, f"{path}/{kind}"):
         raise FileNotFoundError(f"{path}/{kind}")
-    return spark.read.parquet(f"{path}/{kind}").join(ledger(spark, path).select("batch"), "batch", "left_semi")
+    reader = spark.read if schema is None else spark.read.schema(f"{schema}, date string, ticker string, session string, batch long")
+    return reader.parquet(f"{path}/{kind}").join(ledger(spark, path).select("batch"), "batch", "left_semi")
 
 
 def drain_to(stream: DataFrame, sink: BatchSink, checkpoint: str, name: str | None = None) -> StreamingQuery:
