@@ -26,19 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .encoding import encoder, slices
+from .encoding import CACHED_BYTES, encoder, slices
 
 #: Groups that the pieces of one length are numbered in, at least; as many as twice the shuffle partitions.
 SALTS = 256
 PIECES = "doc_id long, piece long, start long, length long, ids_crc32 long"
 
 
-def cut(docs: DataFrame, vocabulary_file: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
+def cut(docs: DataFrame, vocabulary_file: str, end_id: int, capacity: int, with_ids: bool = False, most_bytes: int = CACHED_BYTES) -> DataFrame:
     """Each document's pieces in order; with_ids adds the ids as little-endian uint32 bytes."""
     end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches):
-        encode = encoder(vocabulary_file)
+        encode = encoder(vocabulary_file, most_bytes)
         for batch in batches:
             at = 0
             for part in slices(batch.column("text")):
@@ -158,6 +158,6 @@ def ranked(pieces: DataFrame, by_part: DataFrame) -> DataFrame:
     return pieces.withColumn("_own", own).join(before, ["_part", "length"]).withColumn("_rank", F.col("_before") + F.col("_own"))
 
 
-def pack_documents(docs: DataFrame, vocabulary_file: str, end_id: int, capacity: int = 2048) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
-    return pack(written(cut(docs, vocabulary_file, end_id, capacity), "pieces"), capacity)
+def pack_documents(docs: DataFrame, vocabulary_file: str, end_id: int, capacity: int = 2048, most_bytes: int = CACHED_BYTES) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece; a worker keeps ``most_bytes`` of words."""
+    return pack(written(cut(docs, vocabulary_file, end_id, capacity, most_bytes=most_bytes), "pieces"), capacity)
