@@ -2,6 +2,12 @@
 
 Each stage is a function of (spark, docs, sf_dir); what it returns is written as Parquet and
 read again as the next one's docs. All but the last return the columns of ``documents``.
+
+Every stage takes null ids and texts, empty texts, ties, repeated rows and further columns of
+any name: rows that share an id are judged each on their own, but leave together where a stage
+goes by id (decontamination); near-duplicate groups keep their least id, once. An empty table
+gives an empty one. Columns of ``documents`` go through unchanged, but for ``text`` and
+``n_chars`` where secrets are redacted.
 """
 
 from __future__ import annotations
@@ -14,6 +20,10 @@ from levelscope.llm.common import new_path, table
 from levelscope.llm.encoding import vocabulary
 
 
+#: Words that a worker keeps while it packs: executors have run four stages before.
+PACKING_BYTES = 20_000_000
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learnt from ``labels``, doesn't reject."""
     return quality_classifier.accepted(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
@@ -37,7 +47,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and place."""
-    return bin_packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), 0)
+    return bin_packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), 0, most_bytes=PACKING_BYTES)
 
 
 STAGES = [
