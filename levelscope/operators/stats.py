@@ -17,10 +17,22 @@ RATIO_LIKE = ("absorption_index", "divergence_score", "buy_on_red", "sell_on_gre
 EARLY = 6
 
 
+def _stacked(names: tuple[str, ...], value: str = "{}") -> Column:
+    """Columns of ``names`` below each other, as (feature, x)."""
+    return F.expr(f"stack({len(names)}, {', '.join(f"'{n}', CAST({value.format(n)} AS DOUBLE)" for n in names)}) AS (feature, x)")
+
+
 def _tall(ticks: DataFrame, names: tuple[str, ...]) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("episode_id", "phase").orderBy("ts_ms"))
-    stacked = F.expr(f"stack({len(names)}, {', '.join(f"'{n}', CAST({n} AS DOUBLE)" for n in names)}) AS (feature, x)")
-    return ticks.withColumn("_n", rank).select("episode_id", "phase", "_n", stacked)
+    return ticks.withColumn("_n", rank).select("episode_id", "phase", "_n", _stacked(names))
+
+
+def _changes(ticks: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """episode_id, feature and change: the features side by side in one aggregation by episode, then below each other."""
+    rank = F.row_number().over(Window.partitionBy("episode_id", "phase").orderBy("ts_ms"))
+    early = ticks.select("episode_id", "phase", *names, rank.alias("_n")).where(f"phase = 'baseline' OR (phase = 'stress' AND _n <= {EARLY})")
+    means = [F.avg(F.when(F.col("phase") == p, F.col(n).cast("double"))).alias(f"{n}_{k}") for n in names for k, p in enumerate(("baseline", "stress"))]
+    return early.groupBy("episode_id").agg(*means).select("episode_id", _stacked(names, "{0}_1 - {0}_0")).withColumnRenamed("x", "change")
 
 
 def feature_ranking(ticks: DataFrame, outcomes: DataFrame, names: tuple[str, ...] = FEATURES, most: int = 20) -> DataFrame:
@@ -30,8 +42,7 @@ def feature_ranking(ticks: DataFrame, outcomes: DataFrame, names: tuple[str, ...
     fewer than two episodes of either outcome are left out; the ``most`` largest effects stay,
     of equal ones those with the larger difference. Without any deviation an effect is 0.
     """
-    early = _tall(ticks, names).where(f"phase = 'baseline' OR (phase = 'stress' AND _n <= {EARLY})")
-    change = early.groupBy("episode_id", "feature").agg((F.avg(F.when(F.col("phase") == "stress", F.col("x"))) - F.avg(F.when(F.col("phase") == "baseline", F.col("x")))).alias("change"))
+    change = _changes(ticks, names)
     joined = change.join(outcomes.select("episode_id", "outcome"), "episode_id").where("change IS NOT NULL")
     joined = joined.withColumn("stable", F.when(F.col("feature").isin(*RATIO_LIKE), asinh(F.col("change"))).otherwise(F.col("change")))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import adapters
 from ..functions import expressions as X
+from ..operators import document as D
 from ..operators import report as P
 from ..operators import scoring as S
 from ..operators import stats as G
@@ -221,6 +222,39 @@ def _report_doc(t: Tape) -> DataFrame:
     return back.select("ticker", "session", "report.episodes", "report.wins", "report.losses", F.col("report.stats")["mfe_p50"].alias("mfe_p50"))
 
 
+def _whole_documents(t: Tape) -> tuple[dict[str, D.Part], DataFrame]:
+    """The flat parts of the sessions' reports, and the documents that were written of them and read again."""
+    path = store.scratch(t.spark)
+    timeline = L.interaction_timeline(base(t))
+    between, windows, _ = P.watch_report(t.stream, nodes(t))
+    stats = S.level_stats(packets(t))
+    stats = stats.select(*L.LEVEL, *[F.col(c).alias(f"stat_{c}") for c in stats.columns if c not in L.LEVEL])
+    parts: dict[str, D.Part] = {
+        "levels": (L.timeline_summary(timeline).join(stats, L.LEVEL, "left"), ["level_id"]),
+        "touches": (packets(t), ["level_id", "ts_ms"]),
+        "reclaims": (_reclaims(t), ["level_id"]),
+        "watches": (between, ["chain_id", "position"]),
+        "countdowns": (windows, ["chain_id", "position", "window"]),
+        "moves": (P.chain_moves(t.stream, nodes(t)), ["chain_id", "position"]),
+        "outcomes": (t.episodes.groupBy(*KEY, F.coalesce("outcome", F.lit("unresolved")).alias("outcome")).agg(F.count("*").alias("n")), ["outcome"]),
+    }
+    documents = D.session_documents(parts)
+    dated = documents.select(F.substring_index("session_id", "_", -1).alias("date"), F.col("symbol").alias("ticker"), F.col("session_id").alias("session"), "report")
+    store.write_reports(dated, path)
+    back = store.read_reports(t.spark, path, D.document_schema(documents))
+    return parts, back.select(F.col("ticker").alias("symbol"), F.col("session").alias("session_id"), "report")
+
+
+def _report_document(t: Tape) -> DataFrame:
+    """Sizes of the parts of each session's document, with what its touches and moves come to."""
+    _, back = _whole_documents(t)
+    sizes = [F.size(F.col("report").getField(n)).cast("long").alias(n) for n in ("levels", "touches", "reclaims", "moves")]
+    held = F.size(F.filter("report.touches", lambda x: x["touch_outcome"] == "hold")).cast("long").alias("held")
+    won = F.aggregate(F.filter("report.outcomes", lambda x: x["outcome"] == "win"), F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("wins")
+    moved = F.aggregate("report.moves", F.lit(0.0), lambda a, x: a + x["delta"]).alias("moved_delta")
+    return back.select(*KEY, *sizes, held, won, moved)
+
+
 def _backfill(t: Tape) -> DataFrame:
     _, back = _report_documents(t)
     sessions = t.episodes.select(F.col("symbol").alias("ticker"), F.col("session_id").alias("session")).distinct()
@@ -302,6 +336,7 @@ PLANS: dict[str, Callable[[Tape], DataFrame]] = {
     "commands_load": _commands_load,
     "levels_load": _levels_load,
     "report_doc": _report_doc,
+    "report_document": _report_document,
     "report_backfill": _backfill,
     "sink_tape": _sink_tape,
     "sink_alias": _sink_alias,
@@ -458,6 +493,9 @@ FINALS = {
     "marker_commands": f"SELECT {_K}, ws AS ts_ms, 'add_level' AS type, NULL AS marker_id, 'marker_level:' || symbol || ':' || ws || ':' || price || ':' || kind AS level_id, price AS level_price, kind AS level_type, NULL AS direction_bias FROM tagw UNION ALL SELECT {_K}, ts_ms, 'add_marker', 'marker:' || symbol || ':' || ts_ms || ':' || marker_type, NULL, NULL, NULL, CASE marker_type WHEN 'consolidation' THEN 'long' END FROM mk",
     "commands_load": "SELECT symbol AS ticker, 'add_level' AS type, kind AS level_type, count(*) AS n, CAST(0.25 AS DOUBLE) AS width, max(ws) AS last_ts FROM tagw GROUP BY ALL UNION ALL SELECT symbol, 'add_marker', NULL, count(*), NULL, max(ts_ms) FROM mk GROUP BY ALL",
     "levels_load": "SELECT symbol AS ticker, session_id || '-' || level_id AS level_id, CAST(level_price AS DOUBLE) AS level_price, level_type, CAST(0.25 AS DOUBLE) AS level_width_atr, created AS created_ts_ms FROM levels",
+    "report_document": f"""SELECT {_K}, coalesce(l.n, 0) AS levels, coalesce(t.n, 0) AS touches, coalesce(c.n, 0) AS reclaims, coalesce(m.n, 0) AS moves, coalesce(t.h, 0) AS held, coalesce(e.w, 0) AS wins, coalesce(m.d, 0.0) AS moved_delta
+  FROM (SELECT {_K}, count(DISTINCT level_id) AS n FROM tlr WHERE event IS NOT NULL GROUP BY ALL) l LEFT JOIN (SELECT {_K}, count(*) AS n, count(*) FILTER (NOT conf) AS h FROM tp GROUP BY ALL) t USING ({_K})
+  LEFT JOIN (SELECT {_K}, count(*) AS n FROM reclaims GROUP BY ALL) c USING ({_K}) LEFT JOIN (SELECT {_K}, count(*) AS n, sum(delta) AS d FROM mvv GROUP BY ALL) m USING ({_K}) LEFT JOIN (SELECT {_K}, count(*) FILTER (why = 'threshold_hit') AS w FROM eps GROUP BY ALL) e USING ({_K})""",
     "report_doc": "SELECT symbol AS ticker, session_id AS session, count(*) AS episodes, count(*) FILTER (why = 'threshold_hit') AS wins, count(*) FILTER (why = 'invalidation') AS losses, round(quantile_cont(mfe, 0.5), 6) AS mfe_p50 FROM eps WHERE symbol = 'S0' GROUP BY ALL",
     "report_backfill": "SELECT DISTINCT symbol AS ticker, session_id AS session FROM eps WHERE symbol <> 'S0'",
     "sink_tape": "SELECT strftime(make_timestamp(ts_ms * 1000) - INTERVAL 5 HOUR, '%Y-%m-%d') AS date, symbol, count(*) AS n, sum(size) AS size FROM trades GROUP BY ALL",
