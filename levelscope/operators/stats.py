@@ -73,7 +73,8 @@ def feature_corr(ticks: DataFrame, outcomes: DataFrame, names: tuple[str, ...] =
     grid = known.crossJoin(F.broadcast(sets))  # three windows and two statistics of each feature
     full = grid.join(each, ["episode_id", "feature", "window", "stat"], "left")
     keys = ["feature", "window", "stat"]
-    full = full.join(full.groupBy(*keys).agg(F.percentile("x", F.lit(0.5)).alias("_median")), keys)
+    medians = counted_ranks(full.select(*keys, "x"), keys, (0.5,)).select(*keys, F.col("p50").alias("_median"))
+    full = full.join(F.broadcast(medians), keys, "left")  # as few rows as sets
     win, loss = F.when(F.col("y") == 1, F.col("x")), F.when(F.col("y") == 0, F.col("x"))
     out = full.groupBy(*keys).agg(F.count(win).alias("wins"), F.count(loss).alias("losses"), F.avg(win).alias("win_mean"), F.avg(loss).alias("loss_mean"), F.corr(F.coalesce("x", "_median"), "y").alias("corr"))
     out = out.where("wins >= 2 AND losses >= 2").withColumn("diff", F.col("win_mean") - F.col("loss_mean"))
@@ -118,31 +119,36 @@ def dq_nulls(df: DataFrame, names: list[str]) -> DataFrame:
     return one.select(F.expr(f"stack({len(names)}, {', '.join(f"'{n}', `{n}`" for n in names)}) AS (column, null_rate)"))
 
 
-def dq_dists(df: DataFrame, names: list[str], points: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:
-    """Least, largest, mean and percentiles (interpolated) of each column.
+def counted_ranks(tall: DataFrame, keys: list[str], points: tuple[float, ...]) -> DataFrame:
+    """min, max, mean, rows and percentiles (p50, ..., interpolated) of ``x`` for each of a few ``keys``.
 
-    Values are counted first; each count is then placed among the ranks of its column by running
-    sums over ranges of values, so no task holds a column's values.
+    Values are counted first; each count is then placed among the ranks of its key by running
+    sums over ranges of values, so no task holds a key's values.
     """
-    stacked = F.expr(f"stack({len(names)}, {', '.join(f"'{n}', CAST(`{n}` AS DOUBLE)" for n in names)}) AS (column, x)")
-    counted = df.select(stacked).where("x IS NOT NULL").groupBy("column", "x").agg(F.count("*").alias("n"))
-    whole = counted.groupBy("column").agg(F.min("x").alias("min"), F.max("x").alias("max"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("rows"))
-    ranged = counted.join(F.broadcast(whole.select("column", "min", "max")), "column")  # a row for each named column
+    counted = tall.where("x IS NOT NULL").groupBy(*keys, "x").agg(F.count("*").alias("n"))
+    whole = counted.groupBy(*keys).agg(F.min("x").alias("min"), F.max("x").alias("max"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("rows"))
+    ranged = counted.join(F.broadcast(whole.select(*keys, "min", "max")), keys)  # a row for each key: columns, pairs or features by name
     bins = F.least(F.lit(4095), F.floor(F.coalesce(F.try_divide(F.col("x") - F.col("min"), F.col("max") - F.col("min")), F.lit(0.0)) * 4096)).cast("int")
     ranged = ranged.withColumn("_bin", bins)
-    before = Window.partitionBy("column").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    by_bin = ranged.groupBy("column", "_bin").agg(F.sum("n").alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0)))
-    inside = Window.partitionBy("column", "_bin").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranged.join(by_bin.select("column", "_bin", "_before"), ["column", "_bin"]).withColumn("_upto", F.sum("n").over(inside) + F.col("_before"))
-    ranks = placed.join(F.broadcast(whole.select("column", "rows")), "column")
+    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    by_bin = ranged.groupBy(*keys, "_bin").agg(F.sum("n").alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    inside = Window.partitionBy(*keys, "_bin").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.join(by_bin.select(*keys, "_bin", "_before"), [*keys, "_bin"]).withColumn("_upto", F.sum("n").over(inside) + F.col("_before"))
+    ranks = placed.join(F.broadcast(whole.select(*keys, "rows")), keys)
     picked = []
-    for k, p in enumerate(points):
+    for p in points:
         at = (F.col("rows") - 1) * p
         low, high = F.floor(at), F.ceil(at)
         begin, end = F.col("_upto") - F.col("n"), F.col("_upto") - 1
         value = [F.max(F.when((begin <= i) & (i <= end), F.col("x"))) for i in (low, high)]
         picked.append((value[0] + (value[1] - value[0]) * F.max(at - low)).alias(f"p{round(100 * p)}"))
-    return whole.drop("rows").join(ranks.groupBy("column").agg(*picked), "column")
+    return whole.join(ranks.groupBy(*keys).agg(*picked), keys)
+
+
+def dq_dists(df: DataFrame, names: list[str], points: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:
+    """Least, largest, mean and percentiles (interpolated) of each column."""
+    stacked = F.expr(f"stack({len(names)}, {', '.join(f"'{n}', CAST(`{n}` AS DOUBLE)" for n in names)}) AS (column, x)")
+    return counted_ranks(df.select(stacked), ["column"], points).drop("rows")
 
 
 def dq_value_counts(df: DataFrame, names: list[str]) -> DataFrame:
@@ -187,10 +193,8 @@ TIMES = (("start_time", "zone_entry_time"), ("zone_entry_time", "zone_exit_time"
 def dq_time(episodes: DataFrame) -> DataFrame:
     """Least, median, 90th percentile and largest distance of the times of episodes, a row a pair."""
     pairs = [(a, b) for a, b in TIMES if a in episodes.columns and b in episodes.columns]
-    stacked = F.expr(f"stack({len(pairs)}, {', '.join(f"'{a} to {b}', CAST({b} - {a} AS DOUBLE)" for a, b in pairs)}) AS (pair, d)")
-    p = F.percentile("d", F.array(F.lit(0.5), F.lit(0.9)))
-    out = episodes.select(stacked).where("d IS NOT NULL").groupBy("pair").agg(F.min("d").alias("min"), p.alias("p"), F.max("d").alias("max"), F.count("*").alias("n"))
-    return out.select("pair", "n", "min", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p90"), "max")
+    stacked = F.expr(f"stack({len(pairs)}, {', '.join(f"'{a} to {b}', CAST({b} - {a} AS DOUBLE)" for a, b in pairs)}) AS (pair, x)")
+    return counted_ranks(episodes.select(stacked), ["pair"], (0.5, 0.9)).select("pair", F.col("rows").alias("n"), "min", "p50", "p90", "max")
 
 
 def dq_coverage(snapshots: DataFrame, stream: DataFrame) -> DataFrame:
