@@ -50,3 +50,38 @@ def test_pipeline(spark, tmp_path):
     for d, text in fourth.items():
         x = np.array(ids(t, text) + [0], "<u4")
         assert (packed[d]["length"], packed[d]["ids_crc32"]) == (len(x), zlib.crc32(x.tobytes()))
+
+
+@pytest.fixture(scope="module")
+def odd_tables(spark, corpus, tmp_path_factory):
+    """Nulls in every column, empty and very long texts, repeated rows, columns with clashing names; labels and items with nulls."""
+    folder = str(tmp_path_factory.mktemp("odd"))
+    docs = corpus.unionByName(corpus.limit(1).selectExpr(*[f"CAST(NULL AS {t}) AS `{n}`" for n, t in corpus.dtypes]))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels = [(k, int(k % 5 != 0), 0) for k in range(50)] + [(None, 1, 0), (3, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, prose(5, 20)), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_stages_take_odd_rows(spark, odd_tables):
+    """Each stage on the whole odd table: no crash, the columns as they are, and only its own decisions."""
+    docs = spark.read.parquet(f"{odd_tables}/documents.parquet")
+    whole = docs.count()
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, odd_tables)
+        if k == 4:
+            assert {r["doc_id"] for r in out.select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+            continue
+        assert out.columns == docs.columns and 0 < out.count() <= whole, name
+        if name == "secret scan":
+            assert out.count() == whole
+        if name in ("near duplicates", "decontamination"):
+            assert out.where("text IS NULL").count() == docs.where("text IS NULL").count(), name
+            assert out.where("words IS NOT NULL AND words <> 'x'").count() == 0
+
+
+def test_stages_take_an_empty_table(spark, odd_tables):
+    docs = spark.read.parquet(f"{odd_tables}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, odd_tables).count() == 0, name
