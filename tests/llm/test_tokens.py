@@ -62,6 +62,26 @@ def test_wordwise_encoding_of_many_words():
         assert [np.frombuffer(x, "<u4").tolist() for x in WordwiseEncoder(vocabulary(name)).many(texts)] == [ids(t, x) for x in texts]
 
 
+def test_pieces_are_told_apart_by_their_bytes(monkeypatch):
+    """Steady pieces go to the library without a separator; what a normalizer changes doesn't, and keeps its ids."""
+    from tokenizers import Tokenizer
+
+    pieces = ["Word", "\nline", "l'été,", "don\u2019t", "\u0130x", "\u212bngstrom", "e\u0301", "a\tb", "\u6f22", "x" * 300, "<|endoftext|>", "10", "\n\u0130", "\u0178\u017f"] * 9
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        t = Tokenizer.from_file(vocabulary(name))
+        t.encode_special_tokens = True
+        own = WordwiseEncoder(vocabulary(name))
+        sent = []
+        monkeypatch.setattr(own, "_by_separator", lambda p, f=own._by_separator: sent.extend(p) or f(p))
+        flat, lengths = own._of_pieces(pieces)
+        ends = np.cumsum(lengths)
+        assert [flat[e - n : e].tolist() for e, n in zip(ends, lengths, strict=True)] == [ids(t, p if p[0] == "\n" else " " + p) for p in pieces]
+        assert set(sent) == {"\u0130x", "\u212bngstrom", "e\u0301", "a\tb", "\u6f22", "\n\u0130"}
+        own.sizes[:] = 1  # bytes that don't fit: all go with separators, and their ids stay
+        again, more = own._of_pieces(pieces)
+        assert again.tolist() == flat.tolist() and more.tolist() == lengths.tolist() and len(sent) > len(pieces)
+
+
 _made: dict = {}
 
 
