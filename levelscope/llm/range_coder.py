@@ -43,11 +43,16 @@ _ROWS = 4369
 #: What a digit's frequency grows by, and the total from which a row's are halved.
 _GAIN, _FULL = (12, 16, 24, 24), 16_000
 _BITS = np.array([n.bit_length() for n in range(1 << 16)], np.uint8)
-_UPTO = np.triu(np.ones((16, 16), np.float32))
+#: Where a digit lies in a half of an id, and the digits before it.
+_DIGIT, _ABOVE = np.array([[12], [8], [4], [0]]), np.array([[16], [12], [8], [4]])
+#: What a digit adds to the running sums of its row, by level and digit; a row of them as one item.
+_STEPS = np.array([np.triu(np.full((16, 16), g)) for g in _GAIN], np.uint16)
+_ROW = np.dtype("V32")
+_ONES, _TOP_BYTE = np.uint64(0x0101010101010101), np.uint64(56)
 
 _U = np.uint64
 _TOP, _LOW48, _SMALL, _ALL = _U(48), _U(0xFFFFFFFFFFFF), _U(1 << 40), _U(0xFFFFFFFFFFFFFFFF)
-_S16 = _U(16)
+_S16, _APART = _U(16), _U(1 << 48)
 _UNIT = _U(0xFFFF)
 
 #: Logistic function and its inverse over 12-bit probabilities, in steps of 1/256.
@@ -60,74 +65,83 @@ class CorruptBlock(ValueError):
 
 
 class _Lanes:
-    """Models and coder bounds of ``n`` blocks of ids of so many 16-bit ``halves``; the longest block first."""
+    """Models and coder bounds of ``n`` blocks of ids of so many 16-bit ``halves``; the longest block first.
+
+    Tables are flat and read by ``take``, rows as single items: many times as fast as indexing them.
+    """
 
     def __init__(self, n: int, halves: int):
         self.halves = halves
-        self.after1 = np.zeros(n * SLOTS, _U if halves > 1 else np.uint32)  # id + 1 in the high bits, confidence 0..3 below
-        self.after2 = np.zeros_like(self.after1)
-        # frequencies of a digit given those before, and their sums; the low halves' tables, then the high halves'
-        self.digits = np.ones((halves * n * _ROWS, 16), np.uint16)
-        self.total = np.full(halves * n * _ROWS, 16, np.uint16)
-        self.hit = np.full((3, n * 16), 1 << 11, np.int32)  # 12 bits, by order and evidence
+        # what followed one id, then two: id + 1 in the high bits, confidence 0..3 below
+        self.after = np.zeros(2 * n * SLOTS, _U if halves > 1 else np.uint32)
+        # running sums of a digit's frequencies given the digits before; the low halves' tables, then the high halves'
+        self.sums = np.empty((halves * n * _ROWS, 16), np.uint16)
+        self.sums[:] = np.arange(1, 17, dtype=np.uint16)
+        self.flat, self.rows = self.sums.reshape(-1), self.sums.view(_ROW).reshape(-1)
+        self.hit = np.full(3 * n * 16, 1 << 11, np.int32)  # 12 bits, by order and evidence
         self.weight = np.full((3, n), 22_000, np.int32)  # of 65536
-        self.prev1 = np.zeros(n, self.after1.dtype)
-        self.prev2 = np.zeros(n, self.after1.dtype)
+        self.prev1 = np.zeros(n, self.after.dtype)
+        self.prev2 = np.zeros(n, self.after.dtype)
         self.row = np.arange(n)
-        self.slot = self.row * SLOTS
+        self.slot = np.stack([self.row * SLOTS, (n + self.row) * SLOTS])
+        self.seen = np.stack([(k * n + self.row) * 16 for k in (0, 1, 2)])
+        self.begin = np.stack([(self.row * _ROWS + first) * 16 for first in _FIRST])
 
     def order0_bits(self, ids: np.ndarray) -> np.ndarray:
         """How many bits, roughly, the low half of each id has under its lane's digit frequencies."""
-        begin, prefix, bits = self.row[: len(ids)] * _ROWS, np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        for k in range(4):
-            at = begin + _FIRST[k] + prefix
-            digit = (ids >> ids.dtype.type(12 - 4 * k) & ids.dtype.type(15)).astype(np.int64)
-            bits += _BITS[self.total[at]].astype(np.int64) - _BITS[self.digits[at, digit]]
-            prefix = prefix * 16 + digit
-        return bits
+        ids = ids.astype(np.int64) & 0xFFFF
+        at = self.begin[:, : len(ids)] + (ids >> _ABOVE << 4)
+        digit = ids >> _DIGIT & 15
+        place = at + digit
+        own = self.flat.take(place, mode="clip")
+        place -= 1
+        own -= self.flat.take(place, mode="clip") * (digit > 0)
+        at += 15
+        bits = _BITS.take(self.flat.take(at, mode="clip"), mode="clip")
+        bits -= _BITS.take(own, mode="clip")
+        return bits[0] + bits[1] + bits[2] + bits[3]
 
     def evidence(self, m: int):
         """Slots, the predicted id + 1 and the hit probability for the first ``m`` lanes."""
-        kind = self.after1.dtype.type
+        kind = self.after.dtype.type
         p1, p2 = (self._folded(x[:m]) for x in (self.prev1, self.prev2))
-        s1 = (p1 * np.uint32(0x9E3779B1)) >> np.uint32(20)
-        s2 = ((p2 * np.uint32(0x85EBCA6B)) ^ (p1 * np.uint32(0xC2B2AE35)))
-        s2 = (s2 ^ (s2 >> np.uint32(15))) * np.uint32(0x27D4EB2F) >> np.uint32(20)
-        s1, s2 = self.slot[:m] + s1, self.slot[:m] + s2
-        e1, e2 = self.after1[s1], self.after2[s2]
-        g1, g2 = e1 >> kind(2), e2 >> kind(2)
-        known2 = g2 > 0
-        guess = np.where(known2, g2, g1)
-        same = (g1 == guess).astype(np.int64)
-        c2 = np.where(known2, (e2 & kind(3)).astype(np.int64) + 1, 0)
-        c1 = np.where(g1 > 0, same * 4 + (e1 & kind(3)).astype(np.int64), 0)
-        c0 = np.minimum(self.order0_bits(np.where(guess > 0, guess - kind(1), kind(0))), 15)
-        base = self.row[:m] * 16
-        at = (base + c2, base + c1, base + c0)
-        q = [self.hit[k][at[k]] for k in range(3)]
-        s = [_STRETCH[x] for x in q]
-        w = self.weight[:, :m]
-        dot = (w[0] * s[0] + w[1] * s[1] + w[2] * s[2]) >> 16
-        mixed = _SQUASH[np.clip(dot + 2048, 0, 4095)]
-        return s1, s2, e1, e2, guess, at, q, s, np.where(guess > 0, mixed, 1).astype(np.int32)
+        slot = self.slot[:, :m].copy()
+        slot[0] += (p1 * np.uint32(0x9E3779B1)) >> np.uint32(20)
+        s2 = (p2 * np.uint32(0x85EBCA6B)) ^ (p1 * np.uint32(0xC2B2AE35))
+        slot[1] += (s2 ^ (s2 >> np.uint32(15))) * np.uint32(0x27D4EB2F) >> np.uint32(20)
+        e = self.after.take(slot, mode="clip")
+        g, sure = e >> kind(2), (e & kind(3)).astype(np.int64)
+        known2 = g[1] > 0
+        guess = np.where(known2, g[1], g[0])
+        any0 = guess > 0
+        at = self.seen[:, :m].copy()
+        at[0] += (sure[1] + 1) * known2
+        at[1] += ((g[0] == guess) * 4 + sure[0]) * (g[0] > 0)
+        at[2] += np.minimum(self.order0_bits(guess - any0.astype(guess.dtype)), 15)
+        q = self.hit.take(at, mode="clip")
+        s = _STRETCH.take(q, mode="clip")
+        each = self.weight[:, :m] * s
+        dot = (each[0] + each[1] + each[2]) >> 16
+        mixed = _SQUASH.take(dot + 2048, mode="clip")
+        return slot, e, guess, at, q, s, np.where(any0, mixed, np.int32(1))
 
     @staticmethod
     def _folded(x: np.ndarray) -> np.ndarray:
         return x if x.dtype == np.uint32 else (x ^ x >> _U(32)).astype(np.uint32)
 
     def learn(self, m: int, ids: np.ndarray, ev, hit: np.ndarray) -> None:
-        s1, s2, e1, e2, guess, at, q, s, mixed = ev
-        goal = hit.astype(np.int32) * 4095
-        err = (goal - mixed) * 6
-        w = self.weight[:, :m]
-        for k in range(3):
-            self.hit[k][at[k]] = q[k] + ((goal - q[k]) >> 4)
-            np.clip(w[k] + ((s[k] * err) >> 12), -200_000, 200_000, out=w[k])
-        kind = self.after1.dtype.type
-        new = ids.astype(self.after1.dtype) + kind(1)
-        for table, slot, e in ((self.after1, s1, e1), (self.after2, s2, e2)):
-            right = (e >> kind(2)) == new
-            table[slot] = (new << kind(2)) | np.where(right, np.minimum((e & kind(3)) + kind(1), kind(3)), kind(0))
+        slot, e, guess, at, q, s, mixed = ev
+        goal = hit.astype(np.int32) * np.int32(4095)
+        s *= (goal - mixed) * np.int32(6)
+        s >>= 12
+        s += self.weight[:, :m]
+        np.minimum(s, 200_000, out=s)
+        np.maximum(s, -200_000, out=self.weight[:, :m])
+        self.hit[at] = q + ((goal - q) >> 4)
+        kind = self.after.dtype.type
+        new = ids.astype(self.after.dtype) + kind(1)
+        right = (e >> kind(2)) == new
+        self.after[slot] = (new << kind(2)) | np.minimum((e & kind(3)) + kind(1), kind(3)) * right
         self.prev2[:m] = self.prev1[:m]
         self.prev1[:m] = new
 
@@ -139,7 +153,7 @@ class _Coder:
         self.x1, self.x2 = np.zeros(n, _U), np.full(n, _ALL, _U)
 
     def begin(self, rows: np.ndarray) -> None:
-        self.rows, self.a, self.b = rows, self.x1[rows], self.x2[rows]
+        self.rows, self.a, self.b = rows, self.x1.take(rows), self.x2.take(rows)
 
     def decide(self, p16: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
         """One binary decision a lane; ``p16`` / 65536 is the probability of a set bit."""
@@ -150,11 +164,13 @@ class _Coder:
 
     def pick(self, sums: np.ndarray, every: np.ndarray, digit: np.ndarray | None) -> np.ndarray:
         """One choice a lane among 16 with the running ``sums`` of their frequencies."""
-        unit = (self.b - self.a) // sums[:, 15]
-        digit = self.digit(sums, unit, digit)
         flat = sums.reshape(-1)
-        high = flat[every + digit]
-        low = np.where(digit > 0, flat[every + digit - 1], 0)
+        total = sums[:, 15].astype(_U)
+        unit = (self.b - self.a) // total
+        digit = self.digit(sums, unit, digit)
+        place = every + digit
+        high = flat.take(place, mode="clip")
+        low = flat.take(place - 1, mode="clip") * (digit > 0)
         self.b = self.a + unit * high - _U(1)
         self.a = self.a + unit * low
         return digit
@@ -163,16 +179,17 @@ class _Coder:
         """Shift out what is decided until every range is wide enough for two decisions."""
         a, b = self.a, self.b
         while True:
-            apart = (a ^ b) >> _TOP != 0
-            tight = apart & (b - a < _SMALL)
-            if tight.any():  # a carry hangs in the balance: give up the part above it
-                b[tight] = a[tight] | _LOW48
-            shift = ~apart | tight
-            if not shift.any():
+            apart = (a ^ b) >= _APART
+            tight = (apart & (b - a < _SMALL)).nonzero()[0]
+            if len(tight):  # a carry hangs in the balance: give up the part above it
+                b[tight] = a.take(tight) | _LOW48
+                apart[tight] = False
+            shift = (~apart).nonzero()[0]
+            if not len(shift):
                 return
             self.shift(shift)
-            a[shift] <<= _S16
-            b[shift] = b[shift] << _S16 | _UNIT
+            a[shift] = a.take(shift) << _S16
+            b[shift] = b.take(shift) << _S16 | _UNIT
 
     def end(self) -> None:
         self.x1[self.rows], self.x2[self.rows] = self.a, self.b
@@ -190,12 +207,13 @@ class _Encoder(_Coder):
     def digit(self, sums, unit, digit):
         return digit
 
-    def shift(self, mask) -> None:
-        rows = self.rows[mask]
-        if self.at[rows].max() >= self.units.shape[1]:
+    def shift(self, which) -> None:
+        rows = self.rows.take(which)
+        at = self.at.take(rows)
+        if at.max() >= self.units.shape[1]:
             self.units = np.concatenate([self.units, np.zeros_like(self.units)], axis=1)
-        self.units[rows, self.at[rows]] = (self.a[mask] >> _TOP).astype(np.uint16)
-        self.at[rows] += 1
+        self.units.reshape(-1)[rows * self.units.shape[1] + at] = self.a.take(which) >> _TOP
+        self.at[rows] = at + 1
 
     def payload(self, lane: int) -> bytes:
         tail = [int(self.x2[lane]) >> s & 0xFFFF for s in (48, 32, 16, 0)]
@@ -213,16 +231,19 @@ class _Decoder(_Coder):
         self.at = np.full(len(payloads), 4, np.int64)
 
     def choose(self, mid, bit):
-        return self.x[self.rows] <= mid
+        return self.x.take(self.rows) <= mid
 
     def digit(self, sums, unit, digit):
-        target = np.minimum((self.x[self.rows] - self.a) // unit, sums[:, 15] - 1)
-        return np.count_nonzero(sums <= target[:, None], axis=1)
+        target = np.minimum((self.x.take(self.rows) - self.a) // unit, sums[:, 15] - np.uint16(1)).astype(np.uint16)
+        below = (sums <= target[:, None]).view(_U)  # a byte a digit
+        return ((below[:, 0] + below[:, 1]) * _ONES >> _TOP_BYTE).astype(np.int64)
 
-    def shift(self, mask) -> None:
-        rows = self.rows[mask]
-        self.x[rows] = self.x[rows] << _S16 | self.units[rows, np.minimum(self.at[rows], self.units.shape[1] - 1)].astype(_U)
-        self.at[rows] += 1
+    def shift(self, which) -> None:
+        rows, width = self.rows.take(which), self.units.shape[1]
+        at = self.at.take(rows)
+        own = self.units.reshape(-1).take(rows * width + np.minimum(at, width - 1))
+        self.x[rows] = self.x.take(rows) << _S16 | own
+        self.at[rows] = at + 1
 
 
 def _spell(lanes: _Lanes, coder: _Coder, rows: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
@@ -236,20 +257,18 @@ def _spell(lanes: _Lanes, coder: _Coder, rows: np.ndarray, ids: np.ndarray | Non
 
 
 def _spell_half(lanes: _Lanes, coder: _Coder, begin: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-    flat, prefix, every = lanes.digits.reshape(-1), np.zeros(len(begin), np.int64), np.arange(len(begin)) * 16
+    prefix, every = np.zeros(len(begin), np.int64), np.arange(len(begin)) * 16
+    want = None if ids is None else ids.astype(np.int64)
     for k in range(4):
         at = begin + _FIRST[k] + prefix
-        own = lanes.digits[at]
-        sums = (own.astype(np.float32) @ _UPTO).astype(np.uint32)  # exact: far below 2^24
-        want = None if ids is None else (ids >> np.uint32(12 - 4 * k) & np.uint32(15)).astype(np.int64)
-        digit = coder.pick(sums, every, want)
-        place = at * 16 + digit
-        flat[place] += np.uint16(_GAIN[k])
-        lanes.total[at] += np.uint16(_GAIN[k])
-        full = sums[:, 15] > _FULL
-        if full.any():
-            lanes.digits[at[full]] = (lanes.digits[at[full]] + np.uint16(1)) >> np.uint16(1)
-            lanes.total[at[full]] = lanes.digits[at[full]].sum(axis=1, dtype=np.uint16)
+        sums = lanes.rows.take(at, mode="clip").view(np.uint16).reshape(-1, 16)
+        digit = coder.pick(sums, every, None if want is None else want >> 12 - 4 * k & 15)
+        full = (sums[:, 15] > _FULL).nonzero()[0]
+        sums += _STEPS[k].take(digit, axis=0, mode="clip")
+        if len(full):
+            own = np.diff(sums[full], axis=1, prepend=np.uint16(0))
+            sums[full] = np.cumsum((own + np.uint16(1)) >> np.uint16(1), axis=1, dtype=np.uint16)
+        lanes.rows[at] = sums.view(_ROW).reshape(-1)
         prefix = prefix * 16 + digit
         if k % 2:
             coder.settle()
@@ -264,10 +283,10 @@ def _run(sizes: np.ndarray, halves: int, coder: _Coder, ids: np.ndarray | None)
     for t in range(longest):
         m = int(active[t])
         ev = lanes.evidence(m)
-        guess = ev[4]
+        guess = ev[2]
         coder.begin(lanes.row[:m])
         expected = (guess - guess.dtype.type(1)).astype(np.uint32)
-        hit = coder.decide(ev[8] << 4, None if ids is None else (ids[t, :m] == expected) & (guess > 0))
+        hit = coder.decide(ev[6] << 4, None if ids is None else (ids[t, :m] == expected) & (guess > 0))
         coder.settle()
         coder.end()
         rows = np.flatnonzero(~hit)

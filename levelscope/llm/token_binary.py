@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import range_coder
@@ -28,68 +28,74 @@ from .common import new_path
 from .encoding import encoder
 
 BLOCK_IDS = 4096
-#: Blocks that a task codes side by side; bounds its memory.
-LANES = 1024
+#: Blocks that a task codes side by side; bounds its memory. A step costs nearly as much for a few as for all,
+#: so tasks hold up to twice as many and take blocks of like length together, the longest first.
+LANES = 1280
 BLOCKS = "part int, block long, part_start long, n_ids long, docs array<struct<doc_id: long, row: long, before: long, here: long, n_tokens: long>>, payload binary"
 FRAGMENT = "part int, doc_id long, row long, part_start long, before long, n_tokens long, ids binary"
 
 
+def coded_blocks(batches, part: int, vocabulary_file: str, end_id: int, block_ids: int = BLOCK_IDS, lanes: int = LANES):
+    """A part's documents (pandas, in order) as rows of blocks, up to ``lanes`` coded side by side."""
+    end = np.array([end_id], "<u4").tobytes()
+    pending, full, state = [], [], {"block": 0, "start": 0, "row": 0, "size": 0}
+
+    def close():
+        if pending:
+            full.append((state["block"], state["start"], state["size"], [x[0] for x in pending], b"".join(x[1] for x in pending)))
+            state["block"] += 1
+            state["start"] += state["size"]
+            pending.clear()
+            state["size"] = 0
+
+    def coded():
+        full.sort(key=lambda b: -b[2])
+        own = full[:lanes]
+        del full[:lanes]
+        payloads = range_coder.encode_blocks([np.frombuffer(b[4], "<u4") for b in own])
+        rows = [(part, *b[:4], payload) for b, payload in zip(own, payloads, strict=True)]
+        return pd.DataFrame(rows, columns=["part", "block", "part_start", "n_ids", "docs", "payload"])
+
+    for batch in batches:
+        for doc_id, ids in zip(batch["doc_id"], encoder(vocabulary_file).many(batch["text"]), strict=True):
+            ids += end
+            total = len(ids) // 4
+            if state["size"] + total > block_ids:
+                close()
+            for before in range(0, total, block_ids):
+                piece = ids[4 * before : 4 * (before + block_ids)]
+                here = len(piece) // 4
+                pending.append(({"doc_id": None if pd.isna(doc_id) else int(doc_id), "row": state["row"], "before": before, "here": here, "n_tokens": total}, piece))
+                state["size"] += here
+                if total > block_ids:
+                    close()
+            state["row"] += 1
+            while len(full) >= 2 * lanes:
+                yield coded()
+    close()
+    while full:
+        yield coded()
+    encoder(vocabulary_file).rest()
+
+
 def write_ids(docs: DataFrame, path: str, vocabulary_file: str, end_id: int, block_ids: int = BLOCK_IDS, lanes: int = LANES) -> None:
     """Encode ``docs`` (doc_id, text), append ``end_id`` to each and write the blocks to ``path``."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    end = np.array([end_id], "<u4").tobytes()
 
     def blocks(batches):
-        part, pending, full, state = TaskContext.get().partitionId(), [], [], {"block": 0, "start": 0, "row": 0, "size": 0}
-
-        def close():
-            if pending:
-                full.append(list(pending))
-                pending.clear()
-                state["size"] = 0
-
-        def coded():
-            rows = []
-            payloads = range_coder.encode_blocks([np.frombuffer(b"".join(x[1] for x in b), "<u4") for b in full])
-            for b, payload in zip(full, payloads, strict=True):
-                ids = sum(x[0]["here"] for x in b)
-                rows.append((part, state["block"], state["start"], ids, [x[0] for x in b], payload))
-                state["block"] += 1
-                state["start"] += ids
-            full.clear()
-            return pd.DataFrame(rows, columns=["part", "block", "part_start", "n_ids", "docs", "payload"])
-
-        for batch in batches:
-            for doc_id, ids in zip(batch["doc_id"], encoder(vocabulary_file).many(batch["text"]), strict=True):
-                ids += end
-                total = len(ids) // 4
-                if state["size"] + total > block_ids:
-                    close()
-                for before in range(0, total, block_ids):
-                    piece = ids[4 * before : 4 * (before + block_ids)]
-                    here = len(piece) // 4
-                    pending.append(({"doc_id": None if pd.isna(doc_id) else int(doc_id), "row": state["row"], "before": before, "here": here, "n_tokens": total}, piece))
-                    state["size"] += here
-                    if total > block_ids:
-                        close()
-                state["row"] += 1
-                if len(full) >= lanes:
-                    yield coded()
-        close()
-        if full:
-            yield coded()
-        encoder(vocabulary_file).rest()
+        yield from coded_blocks(batches, TaskContext.get().partitionId(), vocabulary_file, end_id, block_ids, lanes)
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInPandas(blocks, BLOCKS).write.parquet(path)
 
 
-def read_fragments(spark: SparkSession, path: str) -> DataFrame:
-    """Runs of ids within one block, decoded; each block's checksums are verified."""
+def read_fragments(spark: SparkSession, path: str, having: Column | None = None) -> DataFrame:
+    """Runs of ids within one block, decoded; each block's checksums are verified. ``having`` picks blocks before that."""
 
     def decoded(batches):
         for batch in batches:
+            batch = batch.sort_values("n_ids", ascending=False, kind="stable")
             for at in range(0, len(batch), LANES):
                 part = batch.iloc[at : at + LANES]
                 rows = []
@@ -102,7 +108,8 @@ def read_fragments(spark: SparkSession, path: str) -> DataFrame:
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
 
-    return spark.read.schema(BLOCKS).parquet(path).mapInPandas(decoded, FRAGMENT)
+    blocks = spark.read.schema(BLOCKS).parquet(path)
+    return (blocks if having is None else blocks.where(having)).mapInPandas(decoded, FRAGMENT)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -116,14 +123,14 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         starts.append((t["part"], before))
         before += t["n"]
     parts = spark.createDataFrame(starts, "part int, part_begins long")
-    fragments = read_fragments(spark, path)
-    whole = fragments.where(F.length("ids") == 4 * F.col("n_tokens")).select("part", "doc_id", "part_start", "n_tokens", "ids")
+    # a block holds whole documents or a run of one that is split, so that each is decoded by one of the two
+    whole = read_fragments(spark, path, F.exists("docs", lambda d: d["here"] == d["n_tokens"])).where(F.length("ids") == 4 * F.col("n_tokens")).select("part", "doc_id", "part_start", "n_tokens", "ids")
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("before")
         return group.head(1)[["part", "doc_id", "part_start", "n_tokens"]].assign(ids=b"".join(group["ids"]))
 
-    split = fragments.where(F.length("ids") < 4 * F.col("n_tokens"))
+    split = read_fragments(spark, path, F.exists("docs", lambda d: d["here"] < d["n_tokens"])).where(F.length("ids") < 4 * F.col("n_tokens"))
     split = split.groupBy("part", "row").applyInPandas(joined, "part int, doc_id long, part_start long, n_tokens long, ids binary")
     return whole.unionByName(split).join(F.broadcast(parts), "part").select("doc_id", (F.col("part_begins") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 

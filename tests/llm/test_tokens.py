@@ -191,6 +191,29 @@ def test_range_coder_uses_order_0():
     assert sizes[1] < 0.75 * sizes[0]
 
 
+def test_range_coder_keeps_its_format():
+    """Bytes of coded blocks of either width, as files on disk hold them; rows of digit frequencies get halved on the way."""
+    r = np.random.default_rng(5)
+    blocks = [(r.geometric(0.01, 4000) % 50_000).astype(np.uint32), np.zeros(3000, np.uint32), r.integers(0, 1 << 32, 50, np.uint32), np.tile(np.arange(40, dtype=np.uint32), 50)]
+    coded = range_coder.encode_blocks(blocks)
+    assert zlib.crc32(b"".join(coded)) == 1103937080
+    assert all(np.array_equal(a, b) for a, b in zip(range_coder.decode_blocks(coded), blocks, strict=True))
+
+
+def test_blocks_of_like_length_are_coded_together(monkeypatch):
+    """No task codes a few blocks at a time while it could code many, and long ones don't hold up short ones."""
+    import pandas as pd
+
+    r, lanes, runs = random.Random(4), 4, []
+    lengths = [r.choice([5, 90]) for _ in range(22)]
+    monkeypatch.setattr(range_coder, "encode_blocks", lambda blocks, f=range_coder.encode_blocks: runs.append([len(b) for b in blocks]) or f(blocks))
+    texts = pd.DataFrame({"doc_id": range(22), "text": [" a" * n for n in lengths]})
+    rows = pd.concat(token_binary.coded_blocks([texts], 0, vocabulary("byte_bpe_50k.json"), 2, block_ids=100, lanes=lanes))
+    assert all(len(x) == lanes for x in runs[:-1]) and sum(max(x) for x in runs) < 1.3 * sum(max(x) for x in np.array_split(sorted(rows["n_ids"]), len(runs)))
+    rows = rows.sort_values("block")
+    assert rows["block"].tolist() == list(range(len(rows))) and rows["part_start"].tolist() == (rows["n_ids"].cumsum() - rows["n_ids"]).tolist()
+
+
 def test_token_binary(spark, corpus, texts):
     from tokenizers import Tokenizer
 
@@ -207,6 +230,21 @@ def test_token_binary(spark, corpus, texts):
     assert token_binary.written_and_read(corpus.limit(0), vocabulary("byte_bpe_50k.json"), 2).count() == 0
 
 
+def test_token_binary_decodes_a_block_once(spark, corpus):
+    """Counted by the blocks that go to Python, over split and whole documents."""
+    path = new_path(spark, "ids")
+    token_binary.write_ids(corpus, path, vocabulary("byte_bpe_50k.json"), 2, block_ids=512, lanes=8)
+    blocks, asked = spark.read.parquet(path), []
+    read = token_binary.read_fragments
+    token_binary.read_fragments = lambda s, p, having=None: asked.append(having) or read(s, p, having)
+    try:
+        n = token_binary.read_documents(spark, path).count()
+    finally:
+        token_binary.read_fragments = read
+    each = [blocks.where(F.lit(True) if h is None else h).count() for h in asked]
+    assert n == corpus.count() and sum(each) == blocks.count() and min(each) > 0
+
+
 def linked(texts, size, percent):
     sets = {}
     for d, t in texts:
