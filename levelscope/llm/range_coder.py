@@ -15,7 +15,9 @@ eight in blocks with ids over 65 535. A carryless range coder with 64-bit bounds
 them. Every value that the coder uses is an integer below 2^24 or exact, so every machine
 decodes alike.
 
-Blocks are coded many at a time, one numpy lane per block: step t handles id t of all.
+Blocks of up to ``SHORT`` ids are coded many at a time, one numpy lane per block: step t handles
+id t of all. A longer one is coded by ``long_blocks``, in many lanes of its own that learn
+together; it has magic ``CMR3``. Every reader takes both.
 
 Layout of a coded block, little-endian: magic ``CMR2``, uint32 16-bit halves of an id (1 or 2),
 uint32 number of ids, uint32 crc32 of the ids as uint32, uint32 crc32 of all of that and the
@@ -24,16 +26,21 @@ payload, then the payload of 16-bit units.
 
 from __future__ import annotations
 
-import math
 import struct
 import zlib
 
 import numpy as np
 
-MAGIC = b"CMR2"
+from . import long_blocks
+from .long_blocks import SQUASH as _SQUASH
+from .long_blocks import STRETCH as _STRETCH
+
+MAGIC, LONG_MAGIC = b"CMR2", b"CMR3"
 FACTS, HEAD = struct.Struct("<4sIII"), struct.Struct("<4sIIII")
 #: Ids of a block, at most: what a decoder makes room for.
 MOST_IDS = 1 << 24
+#: Ids of a block that is coded in one lane, at most.
+SHORT = 4096
 #: Entries of the tables of contexts, a power of two.
 SLOTS = 4096
 
@@ -55,10 +62,6 @@ _TOP, _LOW48, _SMALL, _ALL = _U(48), _U(0xFFFFFFFFFFFF), _U(1 << 40), _U(0xFFFFF
 _S16, _APART = _U(16), _U(1 << 48)
 _UNIT = _U(0xFFFF)
 
-#: Logistic function and its inverse over 12-bit probabilities, in steps of 1/256.
-_SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-(i - 2048) / 256))))) for i in range(4096)], np.int32)
-_STRETCH = np.array([min(2047, max(-2047, round(256 * math.log(p / (4096 - p))))) if 0 < p < 4096 else -2047 for p in range(4096)], np.int32)
-
 
 class CorruptBlock(ValueError):
     """A block's bytes don't have the checksum or the form that its head states."""
@@ -312,17 +315,29 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     result: list[bytes] = [b""] * len(blocks)
     wide = [bool(len(b)) and int(np.max(b)) > 0xFFFF for b in blocks]
     for halves in (1, 2):
-        own = [k for k, w in enumerate(wide) if w == (halves == 2)]
+        own = [k for k, w in enumerate(wide) if w == (halves == 2) and len(blocks[k]) <= SHORT]
         for k, x in zip(own, _encoded([blocks[k] for k in own], halves), strict=True):
             result[k] = x
+    for k, block in enumerate(blocks):
+        if len(block) > SHORT:
+            _allowed(block)
+            result[k] = _headed(LONG_MAGIC, 1 + wide[k], block, long_blocks.encode(block, wide[k]))
     return result
 
 
+def _allowed(block: np.ndarray) -> None:
+    if len(block) > MOST_IDS:
+        raise ValueError(f"a block of more than {MOST_IDS} ids")
+
+
+def _headed(magic: bytes, halves: int, block: np.ndarray, payload: bytes) -> bytes:
+    facts = FACTS.pack(magic, halves, len(block), zlib.crc32(np.asarray(block).astype("<u4").tobytes()))
+    return facts + zlib.crc32(payload, zlib.crc32(facts)).to_bytes(4, "little") + payload
+
+
 def _encoded(blocks: list[np.ndarray], halves: int) -> list[bytes]:
     if not blocks:
         return []
-    if max(map(len, blocks)) > MOST_IDS:
-        raise ValueError(f"a block of more than {MOST_IDS} ids")
     order, sizes = _order([len(b) for b in blocks])
     ids = np.zeros((int(sizes[0]), len(blocks)), np.uint32)
     for lane, k in enumerate(order):
@@ -331,9 +346,7 @@ def _encoded(blocks: list[np.ndarray], halves: int) -> list[bytes]:
     _run(sizes, halves, coder, ids)
     result: list[bytes] = [b""] * len(blocks)
     for lane, k in enumerate(order):
-        payload = coder.payload(lane)
-        facts = FACTS.pack(MAGIC, halves, len(blocks[k]), zlib.crc32(np.asarray(blocks[k]).astype("<u4").tobytes()))
-        result[k] = facts + zlib.crc32(facts + payload).to_bytes(4, "little") + payload
+        result[k] = _headed(MAGIC, halves, blocks[k], coder.payload(lane))
     return result
 
 
@@ -341,19 +354,20 @@ def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
     """The ids of coded blocks, in the order given; raises CorruptBlock where a checksum or the head fails."""
     heads, payloads = [], []
     for x in coded:
-        if len(x) < HEAD.size or x[:4] != MAGIC:
+        if len(x) < HEAD.size or x[:4] not in (MAGIC, LONG_MAGIC):
             raise CorruptBlock("not a coded block")
         _, halves, n, check, whole = HEAD.unpack_from(x)
         payload = x[HEAD.size :]
-        if zlib.crc32(x[: FACTS.size] + payload) != whole:
+        if zlib.crc32(payload, zlib.crc32(x[: FACTS.size])) != whole:
             raise CorruptBlock("checksum of head and payload differs")
-        if halves not in (1, 2) or n > MOST_IDS:
+        long = x[:4] == LONG_MAGIC
+        if halves not in (1, 2) or n > MOST_IDS or long and n <= SHORT:
             raise CorruptBlock("a head that no block has")
-        heads.append((halves, n, check))
+        heads.append((halves, n, check, long))
         payloads.append(payload)
     result: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(coded)
     for halves in (1, 2):
-        own = [k for k, h in enumerate(heads) if h[0] == halves]
+        own = [k for k, h in enumerate(heads) if h[0] == halves and not h[3]]
         if not own:
             continue
         order, sizes = _order([heads[k][1] for k in own])
@@ -361,6 +375,12 @@ def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
         for lane, at in enumerate(order):
             k = own[at]
             result[k] = np.ascontiguousarray(ids[: heads[k][1], lane])
-            if zlib.crc32(result[k].astype("<u4").tobytes()) != heads[k][2]:
-                raise CorruptBlock("id checksum differs")
+    for k, (halves, n, _, long) in enumerate(heads):
+        if long:
+            try:
+                result[k] = long_blocks.decode(payloads[k], n, halves == 2)
+            except ValueError as e:
+                raise CorruptBlock(str(e)) from e
+    if any(zlib.crc32(ids.astype("<u4").tobytes()) != h[2] for ids, h in zip(result, heads, strict=True)):
+        raise CorruptBlock("id checksum differs")
     return result

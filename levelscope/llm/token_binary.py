@@ -6,7 +6,7 @@ ids in it (doc_id, row, ids of the document before the block, ids here, ids in a
 ``payload`` a coded block of :mod:`range_coder`. Spark's commit protocol makes the files
 appear whole or not at all, on any store that it can write to.
 
-Blocks hold up to ``block_ids`` ids. A document that fits in one isn't split; a longer one
+Blocks hold up to ``block_ids`` ids: two millions, so that the lanes of one have much to learn from each other. A document that fits in one isn't split; a longer one
 starts a block of its own and runs over as many as it needs.
 
 Nulls and ties: a null text is empty; every document has at least its end id. Rows that
@@ -27,16 +27,19 @@ from . import range_coder
 from .common import new_path
 from .encoding import encoder
 
-BLOCK_IDS = 4096
-#: Blocks that a task codes side by side; bounds its memory. A step costs nearly as much for a few as for all,
-#: so tasks hold up to twice as many and take blocks of like length together, the longest first.
-LANES = 1280
+BLOCK_IDS = 1 << 21
+#: Ids of the blocks that a task codes side by side; bounds its memory. A step costs nearly as much for a few short
+#: blocks as for all, so tasks hold up to twice as many and take blocks of like length together, the longest first.
+IDS_AT_ONCE = 1 << 22
+#: Bytes of a row group, and after how many rows Parquet looks again how many it has: blocks are large rows.
+GROUP_BYTES, LOOK_AFTER = 16 << 20, 4
 BLOCKS = "part int, block long, part_start long, n_ids long, docs array<struct<doc_id: long, row: long, before: long, here: long, n_tokens: long>>, payload binary"
 FRAGMENT = "part int, doc_id long, row long, part_start long, before long, n_tokens long, ids binary"
 
 
-def coded_blocks(batches, part: int, vocabulary_file: str, end_id: int, block_ids: int = BLOCK_IDS, lanes: int = LANES):
+def coded_blocks(batches, part: int, vocabulary_file: str, end_id: int, block_ids: int = BLOCK_IDS, lanes: int | None = None):
     """A part's documents (pandas, in order) as rows of blocks, up to ``lanes`` coded side by side."""
+    lanes = lanes or max(1, IDS_AT_ONCE // block_ids)
     end = np.array([end_id], "<u4").tobytes()
     pending, full, state = [], [], {"block": 0, "start": 0, "row": 0, "size": 0}
 
@@ -78,7 +81,7 @@ def coded_blocks(batches, part: int, vocabulary_file: str, end_id: int, block_id
     encoder(vocabulary_file).rest()
 
 
-def write_ids(docs: DataFrame, path: str, vocabulary_file: str, end_id: int, block_ids: int = BLOCK_IDS, lanes: int = LANES) -> None:
+def write_ids(docs: DataFrame, path: str, vocabulary_file: str, end_id: int, block_ids: int = BLOCK_IDS, lanes: int | None = None) -> None:
     """Encode ``docs`` (doc_id, text), append ``end_id`` to each and write the blocks to ``path``."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -87,7 +90,10 @@ def write_ids(docs: DataFrame, path: str, vocabulary_file: str, end_id: int, blo
         yield from coded_blocks(batches, TaskContext.get().partitionId(), vocabulary_file, end_id, block_ids, lanes)
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInPandas(blocks, BLOCKS).write.parquet(path)
+    writer = ordered.mapInPandas(blocks, BLOCKS).write.option("parquet.block.size", GROUP_BYTES)
+    for kind in ("page", "block"):
+        writer = writer.option(f"parquet.{kind}.size.row.check.min", LOOK_AFTER)
+    writer.parquet(path)
 
 
 def read_fragments(spark: SparkSession, path: str, having: Column | None = None) -> DataFrame:
@@ -96,8 +102,8 @@ def read_fragments(spark: SparkSession, path: str, having: Column | None = None)
     def decoded(batches):
         for batch in batches:
             batch = batch.sort_values("n_ids", ascending=False, kind="stable")
-            for at in range(0, len(batch), LANES):
-                part = batch.iloc[at : at + LANES]
+            begun = np.cumsum(batch["n_ids"].to_numpy()) - batch["n_ids"].to_numpy()
+            for _, part in batch.groupby(begun // IDS_AT_ONCE):
                 rows = []
                 for b, ids in zip(part.itertuples(), range_coder.decode_blocks(list(part["payload"])), strict=True):
                     offset = 0

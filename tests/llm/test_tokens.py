@@ -200,6 +200,49 @@ def test_range_coder_keeps_its_format():
     assert all(np.array_equal(a, b) for a, b in zip(range_coder.decode_blocks(coded), blocks, strict=True))
 
 
+def test_long_blocks_come_back_whole():
+    """Of either width, with lanes of unlike length, carries through many units, and runs of one id."""
+    r = np.random.default_rng(7)
+    shapes = [range_coder.SHORT + 1, 5000, 16 * 320, 30_011]
+    blocks = [(r.geometric(0.01, n) % 50_000).astype(np.uint32) for n in shapes] + [r.integers(0, 1 << 16, 9000, np.uint32), r.integers(0, 1 << 32, 9000, np.uint32)]
+    blocks += [np.full(6000, x, np.uint32) for x in (0, 0xFFFF, 0xFFFFFFFF)] + [np.where(r.random(20_000) < 0.999, 0xFFFF, 3).astype(np.uint32), np.zeros(10, np.uint32)]
+    blocks += [np.where(r.random(8000) < 0.5, r.integers(0, 1 << 32, 8000, np.uint32), np.uint32(7))]
+    coded = range_coder.encode_blocks(blocks)
+    assert all(np.array_equal(a, b) and a.dtype == np.uint32 for a, b in zip(range_coder.decode_blocks(coded), blocks, strict=True))
+    assert [x[:4] for x in coded] == [range_coder.MAGIC if len(b) <= range_coder.SHORT else range_coder.LONG_MAGIC for b in blocks]
+    for at in range(0, len(coded[0]), 37):
+        bad = bytearray(coded[0])
+        bad[at] ^= 1
+        with pytest.raises(range_coder.CorruptBlock):
+            range_coder.decode_blocks([bytes(bad)])
+
+
+def test_long_blocks_keep_their_format():
+    r = np.random.default_rng(5)
+    blocks = [(r.geometric(0.01, 40_000) % 50_000).astype(np.uint32), np.tile(np.arange(40, dtype=np.uint32), 200), r.integers(0, 1 << 32, 5000, np.uint32)]
+    assert zlib.crc32(b"".join(range_coder.encode_blocks(blocks))) == 2190737093
+
+
+def test_lanes_of_a_long_block_learn_together(monkeypatch):
+    """A long block takes no more than some hundred steps, and fewer bytes than the same ids in blocks that learn alone."""
+    from levelscope.llm import long_blocks
+
+    r = np.random.default_rng(6)
+    follows = r.integers(0, 3000, (3000, 4))
+    ids = np.empty(60_000, np.uint32)
+    ids[0] = 1
+    for k, (a, b) in enumerate(zip(r.integers(0, 4, len(ids)), r.random(len(ids)), strict=True)):
+        ids[k] = follows[ids[k - 1], a if b < 0.3 else 0]
+    steps, settle = [], long_blocks._Encoder.end
+    monkeypatch.setattr(long_blocks._Encoder, "end", lambda self, *x: steps.append(1) or settle(self, *x))
+    long = len(range_coder.encode_blocks([ids])[0])
+    assert 0 < len(steps) < 300
+    assert long < 0.8 * sum(map(len, range_coder.encode_blocks(np.array_split(ids, 15))))
+    # orders 2, 1 and 0 all count: shuffled, only order 0 is left; even, not even that
+    shuffled = len(range_coder.encode_blocks([r.permutation(ids)])[0])
+    assert long < 0.7 * shuffled
+
+
 def test_blocks_of_like_length_are_coded_together(monkeypatch):
     """No task codes a few blocks at a time while it could code many, and long ones don't hold up short ones."""
     import pandas as pd
