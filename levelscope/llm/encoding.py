@@ -121,10 +121,10 @@ class WordwiseEncoder:
         self._forget()
         self._add(known, _gather(flat, starts, lengths.astype(np.int64)), lengths)
 
-    def rest(self) -> None:
-        """Give back what the next task need not find: most of what is known, and Arrow's free memory."""
-        if self.held > RESTING_BYTES:
-            self._thin(RESTING_BYTES)
+    def rest(self, most: int = RESTING_BYTES) -> None:
+        """Give back what the next task need not find: what is known beyond ``most`` bytes, and Arrow's free memory."""
+        if self.held > most:
+            self._thin(most)
         pa.default_memory_pool().release_unused()
 
     def _add(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:

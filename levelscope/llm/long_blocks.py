@@ -34,7 +34,7 @@ STRETCH = np.array([min(2047, max(-2047, round(256 * math.log(p / (4096 - p)))))
 _RUN, _MOST, _LEAST = 256, 8192, 16
 _RENEWED = 64
 #: Steps after which the mix is renewed, but for the first ones.
-_MIXED = 4
+_MIXED = 8
 #: Bits of the totals of order-0 frequencies, and what an id adds to its counts.
 _BITS, _GAIN = 12, 16
 _TOTAL, _PART, _ONE = 1 << _BITS, _BITS + 1, (1 << _BITS + 1) - 1
@@ -96,7 +96,7 @@ class _Model:
         upper, lower = self.levels[-2:]
         bits = 2 * _BITS + 2 - np.repeat(_LOG[upper.freq], 256) - _LOG[lower.freq]
         # by id + 1; 0 is no guess at all
-        self.rare = (np.concatenate([[15], np.minimum(bits, 15)]) << 6).astype(np.int32)
+        self.rare = (np.concatenate([[15], np.minimum(bits, 15)]) << 6).astype(np.int16)
 
     def mix(self) -> None:
         """The probability, of 65536, that a guess is right, for every kind of evidence."""
@@ -291,7 +291,7 @@ def _run(n: int, wide: bool, coder, table: np.ndarray | None) -> np.ndarray:
         model.spelt.append(spelt)
         kind += right * np.int32(1024)
         model.kinds.append(kind)
-        if t < 4 * _MIXED or not t % _MIXED:
+        if t < 2 * _MIXED or not t % _MIXED:
             model.learn_mix()
         # an id that is there already is more certain, up to 3
         entry = (new << 3) + 4

@@ -16,6 +16,7 @@ Columns other than those named are ignored. An empty table gives an empty datase
 
 from __future__ import annotations
 
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -33,14 +34,17 @@ BLOCK_IDS = 1 << 21
 IDS_AT_ONCE = 1 << 22
 #: Bytes of a row group, and after how many rows Parquet looks again how many it has: blocks are large rows.
 GROUP_BYTES, LOOK_AFTER = 16 << 20, 4
+#: Bytes of known words that a worker keeps within a task and from one to the next: the coder leaves room for many,
+#: and every second word that a task would have to encode anew was in the one before.
+CACHED_BYTES, RESTING_BYTES = 80_000_000, 40_000_000
 BLOCKS = "part int, block long, part_start long, n_ids long, docs array<struct<doc_id: long, row: long, before: long, here: long, n_tokens: long>>, payload binary"
-FRAGMENT = "part int, doc_id long, row long, part_start long, before long, n_tokens long, ids binary"
+FRAGMENT = "part int, doc_id long, row long, part_start long, before long, n_tokens long, ids binary, ids_crc32 long"
 
 
 def coded_blocks(batches, part: int, vocabulary_file: str, end_id: int, block_ids: int = BLOCK_IDS, lanes: int | None = None):
     """A part's documents (pandas, in order) as rows of blocks, up to ``lanes`` coded side by side."""
     lanes = lanes or max(1, IDS_AT_ONCE // block_ids)
-    end = np.array([end_id], "<u4").tobytes()
+    end, own_encoder = np.array([end_id], "<u4").tobytes(), encoder(vocabulary_file, CACHED_BYTES)
     pending, full, state = [], [], {"block": 0, "start": 0, "row": 0, "size": 0}
 
     def close():
@@ -60,7 +64,7 @@ def coded_blocks(batches, part: int, vocabulary_file: str, end_id: int, block_id
         return pd.DataFrame(rows, columns=["part", "block", "part_start", "n_ids", "docs", "payload"])
 
     for batch in batches:
-        for doc_id, ids in zip(batch["doc_id"], encoder(vocabulary_file).many(batch["text"]), strict=True):
+        for doc_id, ids in zip(batch["doc_id"], own_encoder.many(batch["text"]), strict=True):
             ids += end
             total = len(ids) // 4
             if state["size"] + total > block_ids:
@@ -78,7 +82,7 @@ def coded_blocks(batches, part: int, vocabulary_file: str, end_id: int, block_id
     close()
     while full:
         yield coded()
-    encoder(vocabulary_file).rest()
+    own_encoder.rest(RESTING_BYTES)
 
 
 def write_ids(docs: DataFrame, path: str, vocabulary_file: str, end_id: int, block_ids: int = BLOCK_IDS, lanes: int | None = None) -> None:
@@ -96,8 +100,11 @@ def write_ids(docs: DataFrame, path: str, vocabulary_file: str, end_id: int, blo
     writer.parquet(path)
 
 
-def read_fragments(spark: SparkSession, path: str, having: Column | None = None) -> DataFrame:
-    """Runs of ids within one block, decoded; each block's checksums are verified. ``having`` picks blocks before that."""
+def read_fragments(spark: SparkSession, path: str, having: Column | None = None, digests: bool = False) -> DataFrame:
+    """Runs of ids within one block, decoded; each block's checksums are verified. ``having`` picks blocks before that.
+
+    With ``digests``, a document that isn't split has the crc32 of its decoded ids in the ids' place.
+    """
 
     def decoded(batches):
         for batch in batches:
@@ -108,21 +115,26 @@ def read_fragments(spark: SparkSession, path: str, having: Column | None = None)
                 for b, ids in zip(part.itertuples(), range_coder.decode_blocks(list(part["payload"])), strict=True):
                     offset = 0
                     for d in b.docs:
-                        rows.append((b.part, d["doc_id"], d["row"], b.part_start + offset, d["before"], d["n_tokens"], ids[offset : offset + d["here"]].astype("<u4").tobytes()))
+                        own = ids[offset : offset + d["here"]].astype("<u4", copy=False)
+                        held = (None, zlib.crc32(own)) if digests and d["here"] == d["n_tokens"] else (own.tobytes(), None)
+                        rows.append((b.part, d["doc_id"], d["row"], b.part_start + offset, d["before"], d["n_tokens"], *held))
                         offset += d["here"]
-                out = pd.DataFrame(rows, columns=["part", "doc_id", "row", "part_start", "before", "n_tokens", "ids"])
-                out["doc_id"] = out["doc_id"].astype("Int64")
+                out = pd.DataFrame(rows, columns=["part", "doc_id", "row", "part_start", "before", "n_tokens", "ids", "ids_crc32"])
+                for c in ("doc_id", "ids_crc32"):
+                    out[c] = out[c].astype("Int64")
                 yield out
 
     blocks = spark.read.schema(BLOCKS).parquet(path)
     return (blocks if having is None else blocks.where(having)).mapInPandas(decoded, FRAGMENT)
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, digests: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian uint32).
 
+    With ``digests``, ids_crc32 in the place of ids: the workers that decode them send no more than that.
     Only documents that run over several blocks are shuffled to be put together.
     """
+    more, last = ({"digests": True}, "ids_crc32") if digests else ({}, "ids")
     totals = spark.read.schema(BLOCKS).parquet(path).groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # a row for each part file
     starts, before = [], 0
     for t in totals:
@@ -130,19 +142,20 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         before += t["n"]
     parts = spark.createDataFrame(starts, "part int, part_begins long")
     # a block holds whole documents or a run of one that is split, so that each is decoded by one of the two
-    whole = read_fragments(spark, path, F.exists("docs", lambda d: d["here"] == d["n_tokens"])).where(F.length("ids") == 4 * F.col("n_tokens")).select("part", "doc_id", "part_start", "n_tokens", "ids")
+    whole = read_fragments(spark, path, F.exists("docs", lambda d: d["here"] == d["n_tokens"]), **more).select("part", "doc_id", "part_start", "n_tokens", last)
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("before")
-        return group.head(1)[["part", "doc_id", "part_start", "n_tokens"]].assign(ids=b"".join(group["ids"]))
+        ids = b"".join(group["ids"])
+        return group.head(1)[["part", "doc_id", "part_start", "n_tokens"]].assign(**{last: zlib.crc32(ids) if digests else ids})
 
-    split = read_fragments(spark, path, F.exists("docs", lambda d: d["here"] < d["n_tokens"])).where(F.length("ids") < 4 * F.col("n_tokens"))
-    split = split.groupBy("part", "row").applyInPandas(joined, "part int, doc_id long, part_start long, n_tokens long, ids binary")
-    return whole.unionByName(split).join(F.broadcast(parts), "part").select("doc_id", (F.col("part_begins") + F.col("part_start")).alias("start"), "n_tokens", "ids")
+    split = read_fragments(spark, path, F.exists("docs", lambda d: d["here"] < d["n_tokens"]), **more)
+    split = split.groupBy("part", "row").applyInPandas(joined, f"part int, doc_id long, part_start long, n_tokens long, {last} {'long' if digests else 'binary'}")
+    return whole.unionByName(split).join(F.broadcast(parts), "part").select("doc_id", (F.col("part_begins") + F.col("part_start")).alias("start"), "n_tokens", last)
 
 
 def written_and_read(docs: DataFrame, vocabulary_file: str, end_id: int) -> DataFrame:
     """The documents as read back from a new dataset in the shared folder, with ids_crc32."""
     path = new_path(docs.sparkSession, "token-ids")
     write_ids(docs, path, vocabulary_file, end_id)
-    return read_documents(docs.sparkSession, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_documents(docs.sparkSession, path, digests=True)
