@@ -160,6 +160,20 @@ def test_stream_equals_batch(spark, tmp_path):
     assert tuple(flow) == tuple(want)
 
 
+def test_dropped_files_are_in_order_of_time(spark, tmp_path):
+    """Whatever partitions the tape comes in: each file begins after all that were written before it end, and no row is lost."""
+    from pathlib import Path
+
+    df = trades(spark, [(T0 + k * k, 10, 1) for k in range(300)] + [(T0 + 500, 10, 1)] * 40).repartition(5)
+    for file_rows in (1000, 30):
+        tape_stream.drop_files(df, f"{tmp_path}/{file_rows}", file_rows=file_rows)
+        files = sorted(Path(f"{tmp_path}/{file_rows}").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+        times = [[x["ts_ms"] for x in spark.read.parquet(str(f)).collect()] for f in files]
+        assert all(max(a) < min(b) for a, b in zip(times, times[1:]))
+        assert sorted(x for own in times[:-1] for x in own) == sorted(x["ts_ms"] for x in df.collect()) and len(times[-1]) == 1
+        assert len(files) == 5 if file_rows == 1000 else len(files) > 9 and max(map(len, times)) < 80
+
+
 def test_entry_imports_without_a_session():
     import subprocess
     import sys
