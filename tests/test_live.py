@@ -148,6 +148,57 @@ def test_state_stays_flat(spark, tmp_path):
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1
 
 
+def test_events_wait_in_blocks(spark, tmp_path):
+    """Events that aren't final are some rows of state by session, however many they are."""
+    t, q = recorded(spark, ("S", "T"), minutes=60, each=40)
+    tape = engine.events(t, q, levels_of(spark, [r["session_id"] for r in t.select("session_id").distinct().collect()]))
+    tape.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = engine.tape_engine(tape_stream.source(spark, f"{tmp_path}/in", files_each=1, schema=engine.EVENTS))
+    query = tape_stream.drain(stream, f"{tmp_path}/out", f"{tmp_path}/state")
+    assert query.recentProgress[0]["numInputRows"] > 6000
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) < 40
+    assert 700 < engine.ticks(spark.read.parquet(f"{tmp_path}/out")).count() <= 720
+
+
+def test_blocks_hold_each_session_and_command():
+    """Events of a key meet in a row, commands have one each, closing events none; nothing is lost."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [("S" if k % 3 else None, f"d{k % 2}", k, 1000 - k, (0, 2, 1, -1)[k % 4]) for k in range(40)]
+    flat = {c: pa.array([r[i] for r in rows], kind) for i, (c, kind) in enumerate((("symbol", pa.string()), ("session_id", pa.string()), ("seq", pa.int64()), ("ts_ms", pa.int64()), ("kind", pa.int32())))}
+    flat |= {"irregular": pa.array([k % 5 == 0 for k in range(40)])} | {c: pa.array([k / 2 if k % 7 else None for k in range(40)], pa.float64()) for c in ("price", "size", "bid", "ask", "level_price", "level_width_atr")}
+    flat |= {c: pa.array([f"{c}{k}" for k in range(40)]) for c in ("level_id", "level_type")}
+    batch = pa.RecordBatch.from_pydict(flat)
+    got, commands = [], 0
+    for out in engine._packed(["symbol", "session_id"])(iter([batch.slice(0, 25), batch.slice(25)])):
+        for r in out.to_pylist():
+            own = engine._columns(r[c] for c in engine._COLUMNS)
+            if own["kind"][0] == engine.COMMAND:
+                commands += 1
+                assert len(own["seq"]) == 1 and r["level_id"] == f"level_id{own['seq'][0]}"
+            got += [(r["symbol"], r["session_id"], *x) for x in zip(*(own[c].tolist() for c in ("seq", "ts_ms", "kind")), strict=True)]
+            assert all(np.isnan(p) if k % 7 == 0 else p == k / 2 for k, p in zip(own["seq"].tolist(), own["ask"].tolist(), strict=True))
+    assert commands == 10 and sorted(got, key=repr) == sorted((r for r in rows if r[4] >= 0), key=repr)
+    assert list(engine._packed(["symbol"])(iter([batch.slice(3, 1)]))) == []  # a closing event alone
+
+
+def test_blocks_of_the_state_are_replaced(monkeypatch):
+    """What waits is kept in blocks of a bounded number of rows; those not needed any more go."""
+    import numpy as np
+
+    class Kept(dict):
+        updateValue, removeKey = dict.__setitem__, dict.__delitem__
+
+    monkeypatch.setattr(engine, "BLOCK_ROWS", 7)
+    e = engine.TapeEngine()
+    e.pending, blocks = Kept(), 0
+    for n in (20, 6, 15, 0):
+        blocks = e._hold({c: np.arange(n).astype(kind) for c, kind in engine._COLUMNS.items()}, blocks)
+        held = [engine._columns(e.pending[(k,)]) for k in range(blocks)]
+        assert len(e.pending) == blocks == -(-n // 7) and [x for h in held for x in h["seq"].tolist()] == list(range(n))
+
+
 def test_count_histogram_against_sorting():
     import math
 
