@@ -160,6 +160,20 @@ def test_stream_equals_batch(spark, tmp_path):
     assert tuple(flow) == tuple(want)
 
 
+def test_a_dropped_tape_is_computed_once(spark, tmp_path):
+    """However many files it is cut into: once to find the spans of time, and once to be kept."""
+    n, read = 2000, spark.sparkContext.accumulator(0)
+
+    def row(k):
+        read.add(1)
+        return (k, "S", T0 + k * 7)
+
+    df = spark.createDataFrame(spark.sparkContext.parallelize(range(n), 3).map(row), "seq long, symbol string, ts_ms long")
+    tape_stream.drop_files(df, f"{tmp_path}/in", file_rows=100)
+    assert read.value <= 2 * n
+    assert spark.read.parquet(f"{tmp_path}/in").where("seq IS NOT NULL").count() == n
+
+
 def test_dropped_files_are_in_order_of_time(spark, tmp_path):
     """Whatever partitions the tape comes in: each file begins after all that were written before it end, and no row is lost."""
     from pathlib import Path
