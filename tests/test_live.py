@@ -199,6 +199,20 @@ def test_blocks_of_the_state_are_replaced(monkeypatch):
         assert len(e.pending) == blocks == -(-n // 7) and [x for h in held for x in h["seq"].tolist()] == list(range(n))
 
 
+def test_state_has_few_partitions(spark, tmp_path):
+    """A stream's state isn't cut into more partitions than the cores can use, and the setting is back afterwards."""
+    t, q = recorded(spark, minutes=4)
+    before = spark.conf.get(tape_stream.PARTITIONS)
+    spark.conf.set(tape_stream.PARTITIONS, "60")
+    try:
+        engine.events(t, q).coalesce(1).write.parquet(f"{tmp_path}/in")
+        query = tape_stream.drain(engine.tape_engine(tape_stream.source(spark, f"{tmp_path}/in", schema=engine.EVENTS)), f"{tmp_path}/out", f"{tmp_path}/state")
+        assert spark.conf.get(tape_stream.PARTITIONS) == "60"
+    finally:
+        spark.conf.set(tape_stream.PARTITIONS, before)
+    assert {p["stateOperators"][0]["numShufflePartitions"] for p in query.recentProgress} == {2 * spark.sparkContext.defaultParallelism}
+
+
 def test_count_histogram_against_sorting():
     import math
 
