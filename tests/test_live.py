@@ -116,6 +116,39 @@ def test_any_order_of_arrival_within_the_watermark(spark, tmp_path, seed):
     assert got["live"] == got["batch"] == got["equal"] > 100
 
 
+def test_parity_makes_the_batch_beside_the_stream(spark, monkeypatch):
+    """The replayed tape isn't put off until the live one has drained, and an error of it is raised."""
+    import threading
+
+    from levelscope.plans import level_queries
+
+    begun = threading.Event()
+
+    class Tape:
+        broken = False
+
+        def __init__(self):
+            self.spark = spark
+
+        @property
+        def stream(self):
+            begun.set()
+            if self.broken:
+                raise ValueError("no batch")
+            return spark.createDataFrame([("S", "d", 9_999, 1.5), ("S", "d", 19_999, 1.0)], "symbol string, session_id string, ts_ms long, last_price double")
+
+    def drained(t):
+        assert begun.wait(20)
+        rows = spark.createDataFrame([("tick", "S", "d", 9_999, 1.5)], "kind string, symbol string, session_id string, ts_ms long, last_price double")
+        return spark.createDataFrame([], engine.OUTPUT).unionByName(rows, allowMissingColumns=True)
+
+    monkeypatch.setattr(level_queries, "_engine", drained)
+    assert [tuple(r) for r in level_queries._parity(Tape()).collect()] == [("S", "d", 1, 2, 1)]
+    Tape.broken = True
+    with pytest.raises(ValueError, match="no batch"):
+        level_queries._parity(Tape())
+
+
 def test_gap_ticks_by_timers(spark, tmp_path):
     """With ``ahead_ms`` an idle session goes on ticking, while another one moves the watermark, and no further."""
     t, q = recorded(spark, ("S", "T"), minutes=6)
